@@ -6,8 +6,9 @@ similarity is first estimated from the counts of equal packed cells, corrected f
 and whatever the estimate can't rule out by SLACK is confirmed on the full sets.
 
 No bucket is ever expanded into all its pairs. Texts with equal sets are one class from the start. In each bucket, every
-class is first compared with one representative; only classes that are then still in different components are compared
-further: in small buckets by a join, in large ones by blocks of BLOCK rows whose pairs are tested inside the task.
+class is first compared with one representative. Only buckets whose classes are then still in different components are
+looked at again: whole, or in blocks of BLOCK rows where they are large, and tasks return no pairs but the edges of stars
+that join components, fewer than the rows they got.
 At the default similarity 0.8, 24 bands of 4 rows miss a linking pair with probability (1 - 0.8^4)^24 = 3e-6
 (2e-8 at 0.85).
 """
@@ -29,7 +30,8 @@ from quakeframe.llm.tokens import distinct, mix, row_reduce, windows, words
 BANDS, ROWS, BITS = 24, 4, 4
 LONGS = BANDS * ROWS * BITS // 64
 SLACK = 0.22  # six standard deviations of the estimate from 96 cells
-BLOCK, SMALL = 512, 48
+BLOCK = 512  # rows of a large bucket that are compared in one task with another such block
+GROUP = 1 << 20  # shingles of small buckets, or of a block, that a task holds at once
 _LOW = 0x1111111111111111
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -113,31 +115,66 @@ def _alike(percent: int):
     return sizes & (estimate("cells_a", "cells_b") >= percent / 100 - SLACK)
 
 
-def _block_pairs(percent: int):
+def _reached(near: np.ndarray) -> Iterator[np.ndarray]:
+    """Connected sets of two or more rows of a symmetric boolean matrix, each with its first row in front."""
+    left = near.any(axis=1)
+    while left.any():
+        seen = np.zeros(len(near), bool)
+        front = np.array([int(np.argmax(left))])
+        while len(front):
+            seen[front] = True
+            front = np.flatnonzero(near[front].any(axis=0) & ~seen)
+        left &= ~seen
+        yield np.flatnonzero(seen)
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of a few sets, by products of membership columns."""
+    sizes = [len(x) for x in sets]
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = counts > 1
+    place = np.cumsum(often) - 1
+    row, column = np.repeat(np.arange(len(sets)), sizes)[often[column]], place[column[often[column]]]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(often.sum()), 4096):
+        x, y = np.searchsorted(column, (lo, lo + 4096))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[row[x:y], column[x:y] - lo] = 1
+        total += has @ has.T
+    return np.rint(total).astype(np.int64)
+
+
+def _bucket_links(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
+    """What links the components of some of a bucket's rows: edges of stars, fewer than there are rows."""
+    if rows["component"].nunique() < 2:
+        return
     chance, low = 2.0**-BITS, np.uint64(_LOW)
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        a = pdf[pdf["block"] == i].drop_duplicates("label")
-        b = pdf[pdf["block"] == j].drop_duplicates("label")
-        ca, cb = (np.stack(x["cells"].to_numpy()).view(np.uint64) if len(x) else np.zeros((0, LONGS), np.uint64) for x in (a, b))
-        differing = np.zeros((len(a), len(b)), np.int64)
-        for k in range(LONGS):
-            x = ca[:, k][:, None] ^ cb[:, k][None, :]
-            x |= x >> np.uint64(2)
-            x = (x | (x >> np.uint64(1))) & low
-            differing += np.bitwise_count(x)
-        close = ((1 - differing / (BANDS * ROWS)) - chance) / (1 - chance) >= percent / 100 - SLACK
-        na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
-        close &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-        close &= a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :]
-        la, lb = a["label"].to_numpy()[:, None], b["label"].to_numpy()[None, :]
-        close &= (la < lb) if i == j else (la != lb)
-        x, y = np.nonzero(close)
-        p, q = a["label"].to_numpy()[x], b["label"].to_numpy()[y]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
-
-    return pairs
+    cells, n, component = np.stack(rows["cells"].to_numpy()).view(np.uint64), rows["n"].to_numpy(), rows["component"].to_numpy()
+    differing = np.zeros((len(rows), len(rows)), np.int64)
+    for k in range(LONGS):
+        x = cells[:, k][:, None] ^ cells[:, k][None, :]
+        x |= x >> np.uint64(2)
+        differing += np.bitwise_count((x | (x >> np.uint64(1))) & low)
+    near = ((1 - differing / (BANDS * ROWS)) - chance) / (1 - chance) >= percent / 100 - SLACK
+    near &= (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)) & (component[:, None] != component)
+    some = np.flatnonzero(near.any(axis=1))
+    if len(some):
+        shared = _shared([rows["members"].iat[i] for i in some])
+        union = n[some][:, None] + n[some] - shared
+        label = rows["label"].to_numpy()[some]
+        for reached in _reached(near[np.ix_(some, some)] & (100 * shared >= percent * union)):
+            for other in reached[1:]:
+                yield label[reached[0]], label[other]
+
+
+def _links(percent: int):
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = {e for _, rows in pdf.groupby("key", sort=False) for e in _bucket_links(rows.drop_duplicates("label"), percent)}
+        return pd.DataFrame(sorted(edges), columns=["a", "b"], dtype="int64")
+
+    return links
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     classes = cut(classes.select("node", "label", "x.*"))
 
     keyed = classes.select("label", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("label").alias("rep"), F.count("*").alias("members")).filter("members > 1")
+    shared = keyed.groupBy("key").agg(F.min("label").alias("rep"), F.count("*").alias("rows"), F.sum("n").alias("shingles")).filter("rows > 1")
     members = cut(keyed.join(shared, "key"))
     cells = classes.select("label", "n", "cells")
     side = lambda s: cells.select(F.col("label").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}"))
@@ -199,20 +236,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     links = cut(_confirm(star, sets, percent))
     first = components(links)
 
-    placed = members.select("key", "label", "n", "members").join(first, "label", "left").withColumn("component", F.coalesce("component", "label"))
+    placed = members.select("key", "label", "n", "rows", "shingles").join(first, "label", "left").withColumn("component", F.coalesce("component", "label"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    placed = cut(placed.join(mixed, "key", "left_semi").join(cells.drop("n"), "label"))
-    few = placed.filter(F.col("members") <= SMALL)
-    left = few.select("key", *(F.col(c).alias(f"{c}_a") for c in ("label", "n", "component", "cells")))
-    right = few.select("key", *(F.col(c).alias(f"{c}_b") for c in ("label", "n", "component", "cells")))
-    near = left.join(right, (left["key"] == right["key"]) & (F.col("label_a") < F.col("label_b")) & (F.col("component_a") != F.col("component_b")) & _alike(percent))
-    near = near.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    many = placed.filter(F.col("members") > SMALL).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    many = many.withColumn("block", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    far = many.select("key", "i", "j", "block", "label", "n", "component", "cells").groupBy("key", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long")
-    rest = near.union(far).distinct().join(star, ["a", "b"], "left_anti")
-    found = components(links.union(_confirm(rest, sets, percent)))
+    placed = cut(placed.join(mixed, "key", "left_semi"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("shingles") / GROUP)).cast("int")
+    placed = placed.withColumn("blocks", blocks)
+    groups = max(1, -(-(placed.filter("blocks = 1").agg(F.sum("n")).first()[0] or 0) // GROUP))
+    placed = placed.join(classes.select("label", "cells"), "label").join(sets, "label")
+    columns = ("key", "label", "n", "component", "cells", "members")
+    few = placed.filter("blocks = 1").select(*columns, F.pmod(F.xxhash64("key"), F.lit(groups)).alias("of"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    many = placed.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select(*columns, F.col("key").alias("of"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rest = few.union(many).groupBy("of", "i", "j").applyInPandas(_links(percent), "a long, b long")
+    found = components(links.union(rest))
 
     names = classes.select("node", "label").join(found, "label", "left").select(F.col("node").alias("of"), F.coalesce("component", "label").alias("component"))
     own = (F.col("node") == F.col("of")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
