@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm import decontaminate, minhash, pii, secrets, warc
+from quakeframe.llm import decontaminate, minhash, pii, quality, rules, secrets, warc
 from quakeframe.llm.common import shared_folder, table
 
 
@@ -26,16 +26,26 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_warc": op2_warc,
     "op3_pii": op3_pii,
     "op4_minhash": op4_minhash,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
+    "op8_rules": op8_rules,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
