@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm import decontaminate, minhash, pii, quality, rules, secrets, warc
+from quakeframe.llm import decontaminate, minhash, pii, quality, rules, secrets, toxicity, warc
 from quakeframe.llm.common import shared_folder, table
 
 
@@ -38,6 +38,10 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_warc": op2_warc,
@@ -46,6 +50,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op8_rules": op8_rules,
+    "op9_toxicity": op9_toxicity,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
