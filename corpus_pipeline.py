@@ -5,17 +5,40 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quakeframe.llm import minhash
+from quakeframe.llm import decontaminate, minhash, packing, secrets, toxicity
 from quakeframe.llm.common import shared_folder, table
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be toxic go, all rows of their id with them."""
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    rejected = scored.filter("predicted = 1").select(F.col("doc_id").alias("rejected_doc_id")).distinct()
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("rejected_doc_id")), "left_anti")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return minhash.keep_one(docs)
 
 
-STAGES = [("minhash", dedup)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in them are blotted out, but for widely copied examples."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's tokens go in training sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", reject_toxic), ("minhash", drop_near_copies), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("packing", pack)]
 
 #: SQL can't express the learnt score of the first stage; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm import decontaminate, minhash, pii, quality, rules, secrets, toxicity, warc
+from quakeframe.llm import decontaminate, lengths, minhash, packing, pii, quality, rules, secrets, toxicity, warc
 from quakeframe.llm.common import shared_folder, table
 
 
@@ -34,6 +34,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_warc": op2_warc,
@@ -49,8 +57,10 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_counts": op7_token_counts,
     "op8_rules": op8_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_packing": op10_packing,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
