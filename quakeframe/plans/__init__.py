@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quakeframe.plans import scoring
+from quakeframe.plans import scoring, waveforms
 
-MODULES = (scoring,)
+MODULES = (scoring, waveforms)
 
 
 def queries():
