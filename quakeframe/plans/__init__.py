@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quakeframe.plans import scoring, waveforms
+from quakeframe.plans import corpus, scoring, waveforms
 
-MODULES = (scoring, waveforms)
+MODULES = (scoring, waveforms, corpus)
 
 
 def queries():
