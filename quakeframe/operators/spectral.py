@@ -114,7 +114,7 @@ def butterworth_response(freq: np.ndarray, low: float, high: float, corners: int
     if high:
         h = h / (1 + (freq / high) ** (2 * corners))
     if low:
-        with np.errstate(divide="ignore"):
+        with np.errstate(over="ignore"):  # at frequency 0 the response is 0
             h = h / (1 + (low / np.where(freq > 0, freq, 1e-300)) ** (2 * corners))
     return h
 
@@ -279,12 +279,11 @@ def stacked(predictions: np.ndarray, at: np.ndarray, n: int, weights: np.ndarray
 
 
 def predict_trace(x: np.ndarray, predict: Predictor, window: int, step: int, batch_size: int, weights: np.ndarray) -> np.ndarray:
-    """Curves of one trace (n, channels): padded short traces in one window; long ones padded by a window at both ends."""
+    """Curves of one trace (n, channels): traces up to 100 samples longer than a window are only padded to a window,
+    longer ones by a window at both ends."""
     n = len(x)
     front = 0 if n <= window + 100 else window
     length = max(window, n + 2 * front)
-    if n <= window + 100:
-        length = max(window, n)
     wide = np.zeros((length, x.shape[1]))
     wide[front : front + n] = x
     at = starts(length, window, step)

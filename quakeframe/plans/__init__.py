@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quakeframe.plans import corpus, scoring, waveforms
+from quakeframe.plans import arrow_and_streams, corpus, scoring, waveforms
 
-MODULES = (scoring, waveforms, corpus)
+MODULES = (scoring, waveforms, corpus, arrow_and_streams)
 
 
 def queries():
