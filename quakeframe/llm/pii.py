@@ -26,11 +26,12 @@ LABELERS = ("form", "gazetteer", "context", "company")
 ROUNDS = 10
 
 # Where a match can only start at the start of a run, a look-behind keeps long runs from being tried at each place;
-# \G lets a match start right after the last.
+# \G lets a match start right after the last. Repeated groups are possessive: they match the same, and the JVM takes them
+# in a loop, where it would recurse once for each repetition of others and overflow its stack on long runs.
 _PATTERNS = (
-    r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    r"[0-9]([\x20-]?[0-9])+",
+    r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
     r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
