@@ -61,7 +61,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
         kinds = sum(bool(re.search(p, v)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
         if kinds >= 2 and re.search("[0-9]", v) and _live(v) and not any(a < m.end() and m.start() < b for a, b in taken):
             found.append((m.start(), m.end(), 3, v))
-    return sorted(found)
+    return sorted(found, key=lambda x: (x[0], x[2]))
 
 
 def joined(spans) -> str:
