@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Strings that mean nothing, whatever their case.
@@ -76,3 +78,29 @@ def _years(token: Column) -> Column:
     last = F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0))).try_cast("int")
     good = token.rlike(r"^[0-9]{4}(-[0-9]{4})?$") & (last >= first)
     return F.when(good, F.sequence(F.when(good, first), F.when(good, last))).otherwise(F.raise_error(F.concat(F.lit("not a year or range: "), token)).cast("array<int>"))
+
+
+def true_picks(df: DataFrame, columns: Mapping[str, str] | None = None, key: str = "trace_name") -> DataFrame:
+    """(key, phase, time) of arrival-time strings, one column each; times that can't be read are left out."""
+    columns = {"P": "trace_p_arrival_time", "S": "trace_s_arrival_time"} if columns is None else columns
+    pairs = F.array(*(F.struct(F.lit(p).alias("phase"), clean(F.col(c).cast("string")).alias("text")) for p, c in columns.items()))
+    out = df.select(key, F.explode(pairs).alias("x"))
+    time = F.try_to_timestamp(F.regexp_replace("x.text", "Z$", "")).cast("timestamp_ntz")
+    return out.select(key, F.col("x.phase").alias("phase"), time.alias("time")).filter("time IS NOT NULL")
+
+
+def scaled(value: Column, factor: float = 100.0, digits: int = 3) -> Column:
+    """A unit change for reports, such as m/s² to cm/s², rounded."""
+    return F.round(value * factor, digits)
+
+
+def curve_offset(curve_start_micros: Column, trace_start_micros: Column, rate: float) -> Column:
+    """Samples by which a curve starts later than its trace."""
+    return F.round((curve_start_micros - trace_start_micros) / F.lit(1e6) * rate).cast("int")
+
+
+def filter_label(low: float, high: float) -> str:
+    """How a filter is named in reports; a leg of 0 is off."""
+    if low and high:
+        return f"band-pass {low:g}-{high:g} Hz"
+    return f"high-pass {low:g} Hz" if low else f"low-pass {high:g} Hz" if high else "unfiltered"

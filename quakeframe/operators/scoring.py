@@ -48,15 +48,17 @@ def residual_stats(residuals: DataFrame, by: Sequence[str], iqr: str = "index")
     """
     by = list(by)
     mid = residuals.groupBy(*by).agg(F.percentile("residual_s", 0.5).alias("median_s"))
-    with_mid = residuals.join(mid, by)
-    if iqr == "index":
-        sorted_ = F.array_sort(F.collect_list("residual_s"))  # of one model and phase
-        n = F.size(sorted_)
-        iqr_s = F.get(sorted_, F.floor(n * 0.75).cast("int")) - F.get(sorted_, F.floor(n * 0.25).cast("int"))
-    else:
-        iqr_s = F.percentile("residual_s", 0.75) - F.percentile("residual_s", 0.25)
     x = F.col("residual_s")
-    return with_mid.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(x)).alias("mae_s"), F.sqrt(F.avg(x * x)).alias("rmse_s"), F.stddev_pop(x).alias("std_s"), F.first("median_s").alias("median_s"), F.percentile(F.abs(x - F.col("median_s")), 0.5).alias("mad_s"), iqr_s.alias("iqr_s"))
+    quartiles = F.percentile(x, 0.75) - F.percentile(x, 0.25)
+    out = residuals.join(mid, by).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(x)).alias("mae_s"), F.sqrt(F.avg(x * x)).alias("rmse_s"), F.stddev_pop(x).alias("std_s"), F.first("median_s").alias("median_s"), F.percentile(F.abs(x - F.col("median_s")), 0.5).alias("mad_s"), quartiles.alias("iqr_s"))
+    if iqr != "index":
+        return out
+    # Elements of the sorted residuals, from running counts over distinct values: picks lie on samples, so these are few.
+    values = residuals.groupBy(*by, "residual_s").agg(F.count("*").alias("n_here"))
+    upto = F.sum("n_here").over(Window.partitionBy(*by).orderBy("residual_s"))
+    values = values.withColumn("upto", upto).join(out.select(*by, "n"), by)
+    element = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), x))
+    return out.drop("iqr_s").join(values.groupBy(*by).agg((element(0.75) - element(0.25)).alias("iqr_s")), by)
 
 
 def residuals_or_fallback(summary: DataFrame) -> DataFrame:
@@ -209,3 +211,13 @@ def picking_report(picks: DataFrame, truth: DataFrame, tol, by: Sequence[str] =
     return stats.join(F.broadcast(n), "phase").select(*by, "phase", "n_true", "n_hits", ratio("n_hits", "n_true").alias("recall"), "median_s", "mad_s")
 
 
+def coda_t1(events: DataFrame, coda: DataFrame, threshold: float, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Event traces against coda windows by their largest detection value: AUC, and F1 at a threshold.
+
+    Both tables: (by, trace_name, m). Coda overlaps what detectors are trained to find, so the AUC is a hint only.
+    """
+    one = lambda df, y: df.select(*by, F.lit(y).alias("label"), F.coalesce(F.array_max("m"), F.lit(0.0)).alias("score"))
+    both = one(events, 1).unionByName(one(coda, 0))
+    hit = F.col("score") >= threshold
+    n = both.groupBy(*by).agg(F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") == 0)).alias("fp"), F.count_if(~hit & (F.col("label") == 1)).alias("fn"))
+    return auc(both, by=by).join(n.select(*by, "tp", "fp", "fn", *(c.alias(k) for k, c in prf("tp", "fp", "fn").items())), list(by))

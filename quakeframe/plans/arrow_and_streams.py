@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quakeframe.functions import arrays as A
-from quakeframe.operators import match, spectral
+from quakeframe.functions import tables
+from quakeframe.operators import match, models, scoring, spectral
 from quakeframe.plans import views as v
 from quakeframe.plans.scoring import rounded
 from quakeframe.plans.views import EVENTS_SQL, TRACES_SQL
@@ -94,7 +95,29 @@ def t3_incremental_score(s, d):
     return s.read.parquet(f"{at}/results")
 
 
+def _coda(s, d):
+    """Curves of event traces, and the later half of each as coda."""
+    whole = _curves(s, d).select("model", "trace_name", "m")
+    return whole, whole.filter("cast(trace_name as bigint) % 3 <> 0").withColumn("m", F.slice("m", 33, 32))
+
+
+def x8_pick_curve(s, d):
+    """Peaks by the SQL table function."""
+    tables.register(s)
+    _curves(s, d).createOrReplaceTempView("x8_curves")
+    return rounded(s.sql("SELECT trace_name, k.sample, k.value FROM x8_curves, LATERAL pick_curve(p, 0.3D, 4) k"))
+
+
+def x6_registered(s, d):
+    """A model run by its name, with the table of models beside it."""
+    models.register("demo", demo_predict, has_detection_head=False, window=32, step=8, batch_size=4)
+    return models.run(_three(s, d), "demo").join(models.table(s), "model").select("model", "trace_name", "has_detection_head", F.round(F.array_max("p"), 5).alias("top"))
+
+
 QUERIES = {
+    "a20_coda_t1": lambda s, d: rounded(scoring.coda_t1(*_coda(s, d), 0.8)),
+    "x6_registered": x6_registered,
+    "x8_pick_curve": x8_pick_curve,
     "w9_peaks": lambda s, d: rounded(spectral.peaks(_curves(s, d), 0.1, 5)),
     "w16_fill_flat": lambda s, d: _filtered_summary(spectral.fill_flat(_traces(s, d), 8, 7, 1)),
     "w18_matching_noise": lambda s, d: _filtered_summary(spectral.pad_with_noise(_traces(s, d), 128)),
@@ -114,6 +137,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "a20_coda_t1": f"""WITH {TRACES_SQL},
+b AS (SELECT 1 AS y, max(abs(v) * 2) AS sc FROM long GROUP BY trace_name UNION ALL SELECT 0, max(abs(v) * 2) FROM long WHERE i >= 32 AND trace_name::BIGINT % 3 <> 0 GROUP BY trace_name),
+r AS (SELECT *, rank() OVER (ORDER BY sc) + (count(*) OVER (PARTITION BY sc) - 1) / 2 AS rk FROM b),
+n AS (SELECT count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, sum(rk) FILTER (y = 1) AS s, count(*) FILTER (y = 1 AND sc >= 0.8) AS tp, count(*) FILTER (y = 0 AND sc >= 0.8) AS fp, count(*) FILTER (y = 1 AND sc < 0.8) AS fn FROM r)
+SELECT 'm0' AS model, n_pos, n_neg, round((s - n_pos * (n_pos + 1) / 2) / (n_pos::DOUBLE * n_neg), 6) AS auc, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM n""",
     "x1_annotate": f"""WITH {TRACES_SQL},
 win AS (SELECT trace_name, a, samples[a + 1:a + 16] AS x FROM traces, (SELECT unnest([0, 8, 16, 24, 32, 40, 48]) AS a)),
 std AS (SELECT trace_name, a, unnest(range(16)) AS j, unnest(list_transform(x, lambda q: (q - list_avg(x)) / CASE WHEN list_stddev_pop(x) < 1e-10 THEN 1 ELSE list_stddev_pop(x) END / 2)) AS q FROM win)

@@ -115,6 +115,20 @@ QUERIES = {
     "r1_ranking": lambda s, d: rounded(leaderboard.rank_models(leaderboard.picking_leaderboard(_sweep(s, d), _noise(s, d)), 0.3).select("model", "total", "rank")),
     "u2_distinct_channels": lambda s, d: rounded(inventory.merge_channels(_epochs(s, d))),
     "a25_merge_stations": lambda s, d: inventory.merge_stations(_epochs(s, d)),
+    "a5_fallback": lambda s, d: rounded(scoring.residuals_or_fallback(scoring.score_picking(v.picks(s, d), v.truth(s, d), TOL, v.models(s, d)).withColumn("std_s", F.lit(None).cast("double")).withColumn("mad_s", F.lit(None).cast("double"))).select("model", "phase", "std_s", "mad_s")),
+    "a17_full_leaderboard": lambda s, d: rounded(leaderboard.full_leaderboard(_sweep(s, d), scoring.residual_stats(match.match_picks(v.picks(s, d), v.truth(s, d), TOL), ["model", "phase"]), scoring.score_t1(v.event_traces(s, d), v.noise(s, d), v.picks(s, d), v.THRESHOLDS, v.models(s, d)))),
+    "r2_display_slice": lambda s, d: rounded(_sweep(s, d).filter("threshold = 0.3").select("model", "phase", "f1")),
+    "k4_report": lambda s, d: leaderboard.to_report(_sweep(s, d).select("model", "phase", F.col("threshold").cast("string").alias("threshold"), "precision", "recall")),
+    "j12_with_noise": lambda s, d: leaderboard.with_noise(_sweep(s, d).select("model", "phase", "threshold", "tp"), _noise(s, d).select("model", "threshold", "n_p"), {"m0": "m1"}),
+    "j15_wide": lambda s, d: leaderboard.phases_wide(_sweep(s, d), ("model", "threshold"), ("tp", "fn")),
+    "p9_true_picks": lambda s, d: attrs.true_picks(v.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("trace_name"), F.when(F.col("o_orderkey") % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("nan").alias("trace_p_arrival_time"), F.when(F.col("o_orderkey") % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("not a time").alias("trace_s_arrival_time"))),
+    "p10_sample_time": lambda s, d: v.events(s, d).select("emit_order", attrs.time_of_sample(F.col("emit_order") * 1000000, F.col("emit_order") % 977, 0.01).alias("micros"), attrs.sample_of_time(F.lit(0).cast("bigint"), (F.col("offset_s") * 1e6).cast("bigint"), 10.0).alias("sample")),
+    "p11_tolerance": lambda s, d: v.truth(s, d).select("trace_name", "phase", match.tolerance({"P": 0.3}).alias("tol")),
+    "p19_scaled": lambda s, d: v.table(s, d, "supplier").select("s_suppkey", attrs.scaled(F.col("s_suppkey") / 8, 100.0, 1).alias("x")),
+    "p23_curve_offset": lambda s, d: v.events(s, d).select("emit_order", attrs.curve_offset((F.col("emit_order") + 250) * 10000, F.col("emit_order") * 10000, 100.0).alias("shift")),
+    "f4_event_subset": lambda s, d: _orders(s, d).filter("source_id = 'Customer#000000007'").select("trace_name"),
+    "f5_split_subset": lambda s, d: splits.hash_split(_orders(s, d).select("trace_name", "source_id"), "source_id", "split-v1", algo="sha2").filter("split = 'train'").select("trace_name"),
+    "m3_single": lambda s, d: splits.sample_n(_orders(s, d).select("trace_name"), 1, "trace_name", seed=7),
     "u1_union": lambda s, d: v.event_traces(s, d).withColumn("pool", F.lit("event")).unionByName(v.noise(s, d).withColumn("pool", F.lit("noise"))),
     "u4_intersect": lambda s, d: v.picks(s, d).filter("phase = 'P'").select("trace_name").intersect(v.picks(s, d).filter("phase = 'S'").select("trace_name")),
 }
@@ -149,8 +163,11 @@ def _with(body: str, *ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + "\n" + body
 
 
-def _leader(body: str) -> str:
-    from quakeframe.plans.scoring import _NOISE, _SWEPT_M, _TRUE, _scores
+def _leader(body: str, plain: bool = False) -> str:
+    from quakeframe.plans.scoring import _M, _NOISE, _SWEPT_M, _TRUE, _scores
+
+    if plain:
+        return _with(body.replace("FROM c2", "FROM c"), EVENTS_SQL, _M, _TRUE, _scores("picks", "m", "model", "models"))
 
     tall = "nz AS (SELECT model, threshold, count(*) AS n_noise, count(*) FILTER (n > 0) AS hits, sum(p)::BIGINT AS n_p, sum(s)::BIGINT AS n_s FROM nn GROUP BY 1, 2)"
     board = """
@@ -202,6 +219,19 @@ FROM (SELECT *, model <> 'm2' AS h, tp / greatest(tp + fp, 1) AS p, tp / greates
 SELECT model, threshold, n_noise, hits AS fp, round_even(coalesce(nd, 0) / ne * 120, 0)::BIGINT AS tp FROM nz LEFT JOIN (SELECT model, threshold, count(DISTINCT trace_name) AS nd FROM boxes JOIN thresholds ON peak_value >= threshold WHERE trace_name IN (SELECT trace_name FROM tb) GROUP BY 1, 2) USING (model, threshold), (SELECT count(*) AS ne FROM tb))))"""),
     "u2_distinct_channels": _with("SELECT source_file, network, station, location, channel, start_date, end_date, CASE WHEN freq_end IS NOT NULL THEN round(freq_start, 6) END AS freq_start, round(freq_end, 6) AS freq_end, CASE WHEN freq_end IS NOT NULL THEN round(freq_db, 6) END AS freq_db FROM (SELECT *, row_number() OVER (PARTITION BY network, station, channel, location, start_date, end_date ORDER BY source_file, freq_start, freq_end NULLS FIRST, freq_db) AS rn FROM ep) WHERE rn = 1", _EPO),
     "a25_merge_stations": _with("SELECT network, station, count(DISTINCT source_file) AS n_sources, count(DISTINCT channel || '|' || location) AS n_channels, array_to_string(list_sort(list(DISTINCT source_file)), ',') AS sources, count(DISTINCT source_file) > 1 AS is_duplicate FROM ep GROUP BY 1, 2", _EPO),
+    "a5_fallback": _leader("SELECT model, phase, round(sqrt(greatest(0, rmse_s * rmse_s - median_s * median_s)), 6) AS std_s, round(iqr_s / 2, 6) AS mad_s FROM c2", True),
+    "r2_display_slice": _leader("SELECT model, phase, f1 FROM scores WHERE threshold = 0.3"),
+    "k4_report": _leader("SELECT model, phase, CAST(threshold AS VARCHAR) AS threshold, coalesce(printf('%.4f', p), '') AS precision, coalesce(printf('%.4f', r), '') AS recall FROM pr"),
+    "j12_with_noise": _leader("SELECT c.model, phase, c.threshold, tp, n_p FROM c JOIN nz ON nz.model = CASE c.model WHEN 'm0' THEN 'm1' ELSE c.model END AND nz.threshold = c.threshold"),
+    "j15_wide": _leader("SELECT model, threshold, max(tp) FILTER (phase = 'P') AS p_tp, max(fn) FILTER (phase = 'P') AS p_fn, max(tp) FILTER (phase = 'S') AS s_tp, max(fn) FILTER (phase = 'S') AS s_fn FROM c GROUP BY 1, 2"),
+    "p9_true_picks": "SELECT o_orderkey::VARCHAR AS trace_name, 'P' AS phase, o_orderdate::TIMESTAMP AS time FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey::VARCHAR, 'S', o_orderdate::TIMESTAMP FROM orders WHERE o_orderkey % 5 <> 0",
+    "p10_sample_time": _with("SELECT emit_order, emit_order * 1000000 + emit_order % 977 * 10000 AS micros, trunc(trunc(offset_s * 1e6) / 1e6 * 10)::BIGINT AS sample FROM ev", EVENTS_SQL),
+    "p11_tolerance": _with("SELECT trace_name, phase, CASE phase WHEN 'P' THEN 0.3 ELSE 0.5 END::DOUBLE AS tol FROM truth", EVENTS_SQL),
+    "p19_scaled": "SELECT s_suppkey, round(s_suppkey / 8 * 100, 1) AS x FROM supplier",
+    "p23_curve_offset": "SELECT event_id AS emit_order, 250 AS shift FROM events",
+    "f4_event_subset": _with("SELECT trace_name FROM ord WHERE source_id = 'Customer#000000007'", _ORD),
+    "f5_split_subset": _with(f"SELECT trace_name FROM (SELECT trace_name, source_id, {_SHA}) WHERE split = 'train'", _ORD),
+    "m3_single": _with("SELECT trace_name FROM ord ORDER BY md5('7|' || trace_name), trace_name LIMIT 1", _ORD),
     "u1_union": _with("SELECT trace_name, 'event' AS pool FROM event_traces UNION ALL SELECT trace_name, 'noise' FROM noise", EVENTS_SQL),
     "u4_intersect": _with("SELECT trace_name FROM picks WHERE phase = 'P' INTERSECT SELECT trace_name FROM picks WHERE phase = 'S'", EVENTS_SQL),
 }
