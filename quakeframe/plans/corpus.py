@@ -237,3 +237,18 @@ SELECT model, threshold, n_noise, hits AS fp, round_even(coalesce(nd, 0) / ne *
 }
 _TB = "tb AS (SELECT p.trace_name FROM truth p JOIN truth s ON p.trace_name = s.trace_name AND p.phase = 'P' AND s.phase = 'S' WHERE s.true_s > p.true_s)"
 ORACLE_SQL["a16_detection_leaderboard"] = ORACLE_SQL["a16_detection_leaderboard"].replace("swept AS (", _TB + ",\nswept AS (", 1)
+
+
+def _full_sql() -> str:
+    from quakeframe.plans.scoring import _M, _SWEPT_M, _T1, _TRUE, _scores
+
+    rs = "rs AS (SELECT model, phase, stddev_pop(residual_s) AS sd, quantile_cont(abs(residual_s - med), 0.5) AS mad FROM m JOIN (SELECT model, phase, quantile_cont(residual_s, 0.5) AS med FROM m GROUP BY 1, 2) USING (model, phase) GROUP BY 1, 2)"
+    lb = "lb AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) END AS f1 FROM (SELECT model, threshold, phase, tp, fp, fn, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r, sd, mad FROM c LEFT JOIN rs USING (model, phase)))"
+    columns = (("tp", "tp"), ("fp", "fp"), ("fn", "fn"), ("p", "precision"), ("r", "recall"), ("f1", "f1"), ("sd", "std_s"), ("mad", "mad_s"))
+    wide = ", ".join(f"round(max({c}) FILTER (phase = '{ph}'), 6) AS {ph.lower()}_{n}" if c not in ("tp", "fp", "fn") else f"max({c}) FILTER (phase = '{ph}') AS {ph.lower()}_{n}" for ph in "PS" for c, n in columns)
+    t1 = "round(any_value(CASE WHEN t.p + t.r > 0 THEN 2 * t.p * t.r / (t.p + t.r) ELSE 0 END), 6) AS t1_f1, round(any_value(CASE WHEN d > 0 THEN (t.tp::DOUBLE * tn - t.fp::DOUBLE * t.fn) / d END), 6) AS t1_mcc"
+    wide = wide.replace("max(", "max(lb.")
+    return _with(f"SELECT lb.model, lb.threshold, {wide}, any_value(n_event) AS n_event, any_value(n_noise) AS n_noise, {t1} FROM lb JOIN t1p t ON t.model = lb.model AND t.threshold = lb.threshold GROUP BY 1, 2", EVENTS_SQL, _M, _SWEPT_M, _TRUE, _scores("swept", "sm", "model, threshold", "grid"), rs, lb, _T1)
+
+
+ORACLE_SQL["a17_full_leaderboard"] = _full_sql()
