@@ -129,16 +129,15 @@ def parse_warc(blob: bytes) -> Iterator[tuple[dict, bytes]]:
 # --- Spark jobs --------------------------------------------------------------------------------------------------
 
 
-def pages_to_arc(pages: DataFrame, date: str = "20240101000000", ip: str = "0.0.0.0") -> DataFrame:
-    """ARC archives of pages, as rows (name, blob) of BLOB_BYTES or one record; versions 1 and 2 take turns.
+_ARC = pa.schema([("name", pa.string()), ("blob", pa.binary())])
 
-    The page's id travels in its HTTP headers; a null URL is written as `-`, null html as an empty payload.
-    """
 
-    def pack(batches):
+def _packer(date: str, ip: str):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         version, name, parts, size = 1, None, [], 0
         for batch in batches:
-            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+            for page_id, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html"))):
+                page_id, url, html = page_id.as_py(), url.as_py(), html.as_py()
                 if not parts:
                     name = f"{uuid.uuid5(_SPACE, f'{page_id} {url}').hex}.arc"
                     parts = [arc_version_block(name, version, date)]
@@ -148,35 +147,47 @@ def pages_to_arc(pages: DataFrame, date: str = "20240101000000", ip: str = "0.0.
                 parts.append(arc_record(version, url or "", ip, date, "text/html", content, size, name))
                 size += len(parts[-1])
                 if size >= BLOB_BYTES:
-                    yield pa.RecordBatch.from_pydict({"name": [name], "blob": [b"".join(parts)]}, pa.schema([("name", pa.string()), ("blob", pa.binary())]))
+                    yield pa.RecordBatch.from_pydict({"name": [name], "blob": [b"".join(parts)]}, _ARC)
                     version, parts = 3 - version, []
         if parts:
-            yield pa.RecordBatch.from_pydict({"name": [name], "blob": [b"".join(parts)]}, pa.schema([("name", pa.string()), ("blob", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"name": [name], "blob": [b"".join(parts)]}, _ARC)
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(pack, "name string, blob binary")
+    return pack
+
+
+def pages_to_arc(pages: DataFrame, date: str = "20240101000000", ip: str = "0.0.0.0") -> DataFrame:
+    """ARC archives of pages, as rows (name, blob) of BLOB_BYTES or one record; versions 1 and 2 take turns.
+
+    The page's id travels in its HTTP headers; a null URL is written as `-`, null html as an empty payload.
+    """
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_packer(date, ip), "name string, blob binary")
 
 
 _CONVERTED = "page_id long, record_id string, date string, uri string, ip string, record_type string, media_type string, head binary, payload binary, payload_digest string, block_digest string, payload_bytes long"
+_TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+_RECORDS = pa.schema([(x.split(" ")[0], _TYPES[x.split(" ")[1]]) for x in _CONVERTED.split(", ")])
+
+
+def _convert_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column("blob"):
+            rows = []
+            for record in parse_arc(blob.as_py()):
+                x = convert(record)
+                page = x["head"].partition(b"X-Page-Id: ")[2].partition(b"\r\n")[0]
+                rows.append(x | {"page_id": int(page) if page else None, "payload_bytes": len(x["payload"])})
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in _RECORDS], schema=_RECORDS)
 
 
 def arc_to_records(archives: DataFrame) -> DataFrame:
     """WARC records of ARC archives (column blob), one row each; page_id is that of an X-Page-Id header, else null."""
+    return archives.select("blob").mapInArrow(_convert_archives, _CONVERTED)
 
-    names = [x.split(" ")[0] for x in _CONVERTED.split(", ")]
-    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    schema = pa.schema([(x.split(" ")[0], types[x.split(" ")[1]]) for x in _CONVERTED.split(", ")])
-
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column("blob"):
-                rows = []
-                for record in parse_arc(blob.as_py()):
-                    x = convert(record)
-                    page = x["head"].partition(b"X-Page-Id: ")[2].partition(b"\r\n")[0]
-                    rows.append(x | {"page_id": int(page) if page else None, "payload_bytes": len(x["payload"])})
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], schema.field(n).type) for n in names], schema=schema)
 
-    return archives.select("blob").mapInArrow(run, _CONVERTED)
+def pages_to_records(pages: DataFrame, date: str = "20240101000000", ip: str = "0.0.0.0") -> DataFrame:
+    """`arc_to_records` of `pages_to_arc` in one pass: an archive is converted where it was packed, one at a time."""
+    pack = _packer(date, ip)
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(lambda batches: _convert_archives(pack(batches)), _CONVERTED)
 
 
 def write_warc(records: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -239,7 +250,7 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFram
     share the largest page_id are all responses (repeated rows), null page_ids counting as smallest. Columns other than
     page_id, url and html don't matter. An empty table gives an empty result.
     """
-    write_warc(arc_to_records(pages_to_arc(pages)), path, least_bytes)
+    write_warc(pages_to_records(pages), path, least_bytes)
     held = cut(read_warc(pages.sparkSession, path).drop("payload"))
     whole = held.filter("refers_to_record IS NULL").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")).dropDuplicates(["refers_to_record"])
     return held.join(whole, "refers_to_record", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")

@@ -111,6 +111,11 @@ def test_arc_versions(version):
         list(warc.parse_arc(blob[:-6]))
 
 
+def test_archives_convert_alike_in_one_pass_or_two(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    assert sorted(map(str, warc.arc_to_records(warc.pages_to_arc(pages)).collect())) == sorted(map(str, warc.pages_to_records(pages).collect()))
+
+
 def test_archive_of_an_empty_table(spark, tmp_path):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w")).collect() == []
 
