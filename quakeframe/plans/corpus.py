@@ -219,7 +219,7 @@ FROM (SELECT *, model <> 'm2' AS h, tp / greatest(tp + fp, 1) AS p, tp / greates
 SELECT model, threshold, n_noise, hits AS fp, round_even(coalesce(nd, 0) / ne * 120, 0)::BIGINT AS tp FROM nz LEFT JOIN (SELECT model, threshold, count(DISTINCT trace_name) AS nd FROM boxes JOIN thresholds ON peak_value >= threshold WHERE trace_name IN (SELECT trace_name FROM tb) GROUP BY 1, 2) USING (model, threshold), (SELECT count(*) AS ne FROM tb))))"""),
     "u2_distinct_channels": _with("SELECT source_file, network, station, location, channel, start_date, end_date, CASE WHEN freq_end IS NOT NULL THEN round(freq_start, 6) END AS freq_start, round(freq_end, 6) AS freq_end, CASE WHEN freq_end IS NOT NULL THEN round(freq_db, 6) END AS freq_db FROM (SELECT *, row_number() OVER (PARTITION BY network, station, channel, location, start_date, end_date ORDER BY source_file, freq_start, freq_end NULLS FIRST, freq_db) AS rn FROM ep) WHERE rn = 1", _EPO),
     "a25_merge_stations": _with("SELECT network, station, count(DISTINCT source_file) AS n_sources, count(DISTINCT channel || '|' || location) AS n_channels, array_to_string(list_sort(list(DISTINCT source_file)), ',') AS sources, count(DISTINCT source_file) > 1 AS is_duplicate FROM ep GROUP BY 1, 2", _EPO),
-    "a5_fallback": _leader("SELECT model, phase, round(sqrt(greatest(0, rmse_s * rmse_s - median_s * median_s)), 6) AS std_s, round(iqr_s / 2, 6) AS mad_s FROM c2", True),
+    "a5_fallback": _leader("SELECT model, phase, CASE WHEN median_s IS NOT NULL THEN round(sqrt(greatest(0, rmse_s * rmse_s - median_s * median_s)), 6) END AS std_s, round(iqr_s / 2, 6) AS mad_s FROM c2", True),
     "r2_display_slice": _leader("SELECT model, phase, f1 FROM scores WHERE threshold = 0.3"),
     "k4_report": _leader("SELECT model, phase, CAST(threshold AS VARCHAR) AS threshold, coalesce(printf('%.4f', p), '') AS precision, coalesce(printf('%.4f', r), '') AS recall FROM pr"),
     "j12_with_noise": _leader("SELECT c.model, phase, c.threshold, tp, n_p FROM c JOIN nz ON nz.model = CASE c.model WHEN 'm0' THEN 'm1' ELSE c.model END AND nz.threshold = c.threshold"),
