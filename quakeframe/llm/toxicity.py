@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine (operator 9).
 
 Terms are runs of GRAM bytes of the text with A-Z lower-cased and each run of anything but letters made one space, so
-that word starts and ends count. A bounded sample of labelled rows picks the terms whose presence goes with the label
-most; term frequencies of these are then taken from every whole text, and document frequencies from all documents.
+that word starts and ends count. A bounded sample of labelled rows picks all terms whose presence goes with the label
+by LEAST_DEVIATIONS, however many these are, where copies count as one text or where each of them counts: a group of
+copies neither hides the terms of other texts nor loses its own. As an example it is one text. Term frequencies of these are then taken from every whole text, and document frequencies from all documents.
 
 Examples with equal vectors become one, with its numbers of labels. Their inverted index holds, for each term, the
-largest weight in each block of BLOCK examples. For a text, blocks are taken by their bounds (the sum over its terms),
+blocks of BLOCK examples that have it, and the largest weight in each. For a text, blocks are taken by their bounds (the sum over its terms),
 until no block left can beat the NEIGHBOURS-th best cosine: results are exactly those of scoring all examples.
 Votes are weighted by cosine; isotonic regression of the examples' own votes, with each left out of its own,
 calibrates them.
@@ -23,8 +24,8 @@ from quakeframe.llm.quality import pool, remainder, single_labels
 from quakeframe.llm.tokens import LOWER, distinct, rows_of
 
 GRAM = 5
-#: Labelled rows that serve as examples at most, and terms at most.
-SAMPLE, TERMS = 20_000, 512
+#: Labelled rows that serve as examples at most.
+SAMPLE = 20_000
 LEAST_DEVIATIONS, LEAST_ROWS = 6.0, 3
 NEIGHBOURS, BLOCK = 15, 64
 PRIOR_WEIGHT = 0.25  # of the share of labels among all examples, against the neighbours' cosines
@@ -59,18 +60,16 @@ def terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _present(batches):
-    """Distinct terms of the labelled examples, counted by label within a batch before anything is shuffled."""
-    schema = pa.schema([("term", pa.int64()), ("yes", pa.int64()), ("no", pa.int64())])
+    """Distinct terms of the examples, counted by label within a batch before anything is shuffled: texts, and rows."""
+    schema = pa.schema([(c, pa.int64()) for c in ("term", "yes", "no", "yes_rows", "no_rows")])
     for batch in batches:
-        y = batch.column("y").to_numpy(zero_copy_only=False)
+        y, yes_rows, no_rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "yes_rows", "no_rows"))
         for lo, hi, raw, off in text_chunks(batch.column("text"), 4 << 20):
             values, at = terms(raw, off)
             v, at = distinct(values.view(np.uint64), at)
             unique, inverse = np.unique(v, return_inverse=True)
-            toxic = y[lo:hi][rows_of(at)] == 1
-            yes = np.bincount(inverse[toxic], minlength=len(unique))
-            no = np.bincount(inverse[~toxic], minlength=len(unique))
-            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(yes), pa.array(no)], schema=schema)
+            counts = [np.bincount(inverse, weights=x[lo:hi][rows_of(at)], minlength=len(unique)).astype(np.int64) for x in (y, 1 - y, yes_rows, no_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *map(pa.array, counts)], schema=schema)
 
 
 def _vectors(vocabulary: np.ndarray):
@@ -104,6 +103,11 @@ def weights(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / length if length > 0 else w
 
 
+def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+
+
 class Index:
     """Examples with distinct vectors, in blocks, with the largest weight of each term in each block."""
 
@@ -112,11 +116,26 @@ class Index:
         self.idf, self.prior = idf, prior
         self.n, self.yes, self.ids = n[order].astype(float), yes[order].astype(float), ids[order]
         self.vectors = [vectors[i] for i in order]
-        blocks = -(-len(order) // BLOCK)
-        self.dense = np.zeros((blocks * BLOCK, len(idf)), np.float32)
-        for row, (t, c) in enumerate(self.vectors):
-            self.dense[row, list(t)] = weights(np.array(t), np.array(c), idf)
-        self.most = self.dense.reshape(blocks, BLOCK, len(idf)).max(axis=1)
+        # Each example's terms and weights, one after the other.
+        lens = np.array([len(t) for t, _ in self.vectors], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(lens)])
+        self.term = np.array([x for t, _ in self.vectors for x in t], np.int64)
+        self.weight = np.concatenate([np.zeros(0), *(weights(np.array(t), np.array(c), idf) for t, c in self.vectors)]).astype(np.float32)
+        # Each term's blocks, and the largest weight in each.
+        self.blocks = -(-len(order) // BLOCK)
+        place = self.term * max(self.blocks, 1) + np.repeat(np.arange(len(lens)), lens) // BLOCK
+        by_place = np.argsort(place, kind="stable")
+        place, first = np.unique(place[by_place], return_index=True)
+        self.most = np.maximum.reduceat(self.weight[by_place], first) if len(first) else self.weight
+        self.block = place % max(self.blocks, 1)
+        self.block_at = np.searchsorted(place, np.arange(len(idf) + 1) * max(self.blocks, 1))
+
+    @property
+    def dense(self) -> np.ndarray:
+        """All weights, examples by terms: for comparisons, the search doesn't use it."""
+        full = np.zeros((self.blocks * BLOCK, len(self.idf)), np.float32)
+        full[rows_of(self.at), self.term] = self.weight
+        return full
 
     def nearest(self, term: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, best first, ties by the order of their vectors.
@@ -124,17 +143,24 @@ class Index:
         Cosines are rounded to six places, so that the order of addition doesn't break ties.
         """
         w = w.astype(np.float32)
-        bound = self.most[:, term] @ w
+        lens = self.block_at[term + 1] - self.block_at[term]
+        there = _ranges(self.block_at[term], lens)
+        bound = np.bincount(self.block[there], self.most[there] * np.repeat(w, lens), minlength=self.blocks)
+        asked = np.zeros(len(self.idf))
+        asked[term] = w
         order = np.argsort(-bound, kind="stable")
         places, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for lo in range(0, len(order), 8):
-            some = order[lo : lo + 8]
+        lo = 0
+        while lo < len(order):
+            lo, some = 2 * lo + 8, order[lo : 2 * lo + 8]  # 8 blocks, then 16, 32
             some = some[(bound[some] > 1e-6) & (bound[some] >= least - 2e-6)]
             if not len(some):
                 break
             rows = (some[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
             rows = rows[rows < len(self.ids)]
-            score = np.round((self.dense[rows][:, term] @ w).astype(float), 6)
+            lens = self.at[rows + 1] - self.at[rows]
+            there = _ranges(self.at[rows], lens)
+            score = np.round(np.bincount(np.repeat(np.arange(len(rows)), lens), self.weight[there] * asked[self.term[there]], minlength=len(rows)), 6)
             rows, score = np.concatenate([places, rows[score > 0]]), np.concatenate([cosines, score[score > 0]])
             best = np.lexsort((rows, -score))[:k]
             places, cosines = rows[best], score[best]
@@ -179,12 +205,20 @@ def _build(rows, n_docs: int, df: dict[int, int], n_terms: int):
     return index, np.array(votes)[order], fitted, float(none)
 
 
+def _plain(text: str):
+    """A text as its terms see it: A-Z lower-cased, and a space for each run of anything but letters."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.trim(F.regexp_replace(low, r"[\x00-\x60\x7B-\x7F]+", " "))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """Scores every whole text by its nearest labelled examples: one row per input row.
 
     Labels are learnt only from ids whose crc32 leaves a remainder other than 0 by 5, and of those from `sample` rows at
-    most, the ones with the smallest hashes of doc_id. Returns doc_id, held_out (that remainder is 0; false for null
-    ids), score (0 to 1), predicted, evidence (nearest examples as doc_id:cosine, best first).
+    most, the ones with the smallest hashes of doc_id. Labelled texts that differ only in case or in what is no letter
+    are one example, with the label that most of them have (a tie counts as the label). Returns doc_id, held_out (that
+    remainder is 0; false for null ids), score (0 to 1), predicted, evidence (nearest examples as doc_id:cosine, best
+    first).
     Null and empty texts, and others without any chosen term, score the share of the label among such examples. Ties
     between examples go by their vectors, not ids. Repeated rows score alike; repeated labels count once, the largest.
     Columns other than doc_id, text and the label don't matter. An empty table gives an empty result; without labels
@@ -192,19 +226,27 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     chosen = cut(single_labels(labels, label).filter(remainder(5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    examples = docs.join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
-    by_label = chosen.agg(F.sum("y"), F.count("*")).first()
-    n_yes, n_no = by_label[0] or 0, by_label[1] - (by_label[0] or 0)
-    counted = examples.select("text", "y").mapInArrow(_present, "term long, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    a, b = F.col("yes") / max(n_yes, 1), F.col("no") / max(n_no, 1)
-    share = (F.col("yes") + F.col("no")) / max(n_yes + n_no, 1)
-    deviations = (a - b) / F.sqrt(share * F.greatest(1 - share, F.lit(1e-9)) * (1 / max(n_yes, 1) + 1 / max(n_no, 1)))
-    picked = counted.filter(F.col("yes") >= LEAST_ROWS).withColumn("z", deviations).filter(F.col("z") >= LEAST_DEVIATIONS).orderBy(F.desc("z"), "term").limit(TERMS)
-    vocabulary = np.sort(np.array([r["term"] for r in picked.select("term").collect()], np.int64))  # TERMS at most
+    # `sample` rows at most are broadcast. Copies become one before anything is counted.
+    examples = docs.join(F.broadcast(chosen), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    examples = examples.groupBy(F.xxhash64(_plain("text")).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), (F.avg("y") >= 0.5).cast("int").alias("y"), F.sum("y").alias("yes_rows"), F.sum(1 - F.col("y")).alias("no_rows"))
+    examples = cut(examples)
+    kinds = (("yes", "no"), ("yes_rows", "no_rows"))
+    n = examples.agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"), *(F.sum(c).alias(c) for c in kinds[1])).first().asDict()
+    counted = examples.select("text", "y", *kinds[1]).mapInArrow(_present, "term long, yes long, no long, yes_rows long, no_rows long")
+    counted = counted.groupBy("term").agg(*(F.sum(c).alias(c) for kind in kinds for c in kind))
+    goes_with = F.lit(False)
+    for yes, no in kinds:
+        n_yes, n_no = n[yes] or 0, n[no] or 0
+        share = (F.col(yes) + F.col(no)) / max(n_yes + n_no, 1)
+        deviations = (F.col(yes) / max(n_yes, 1) - F.col(no) / max(n_no, 1)) / F.sqrt(share * F.greatest(1 - share, F.lit(1e-9)) * (1 / max(n_yes, 1) + 1 / max(n_no, 1)))
+        goes_with |= (F.col(yes) >= LEAST_ROWS) & (deviations >= LEAST_DEVIATIONS)
+    picked = counted.filter(goes_with)
+    vocabulary = np.sort(np.array([r["term"] for r in picked.select("term").collect()], np.int64))  # terms of `sample` texts
 
     vectors = cut(docs.mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, counts array<int>"))
-    df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # TERMS at most
-    rows = vectors.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()  # `sample` at most
+    df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # a row for each term of the vocabulary
+    known = examples.select(F.col("key").alias("doc_id"), "text").mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, counts array<int>").withColumnRenamed("doc_id", "key")
+    rows = known.join(examples.select("key", "doc_id", "y"), "key").select("doc_id", "terms", "counts", "y").collect()  # `sample` at most
     index, votes, fitted, none = _build(rows, vectors.count(), df, len(vocabulary))
     shared = docs.sparkSession.sparkContext.broadcast(index)
 

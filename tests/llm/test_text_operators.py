@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quakeframe.llm import decontaminate, lengths, minhash, packing, pii, quality, rules, secrets, toxicity, warc
 from quakeframe.llm import queries as Q
@@ -456,6 +457,22 @@ def test_toxicity_is_learnt_without_held_out_labels(spark):
     assert len(held) > 500 and sum(held) / len(held) > 0.95  # some labels of this table have no word to go by
 
 
+def test_toxic_copies_take_no_terms_from_others(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "toxic")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(191))
+    copies = spark.range(10**6, 10**6 + 2000)  # a third of all labelled rows
+    more = docs.union(copies.select("id", F.lit(text))), labels.union(copies.select("id", F.lit(1).cast(dict(labels.dtypes)["toxic"])))
+    rows = [r for r in toxicity.score_toxicity(*more).collect()]
+    assert len(rows) == docs.count() + 2000 and all(r.predicted == 1 for r in rows if r.doc_id >= 10**6)
+    held = [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in truth]
+    toxic = [p for y, p in held if y]
+    print(f"held out {len(held)}, right {sum(y == p for y, p in held)}, toxic {len(toxic)}, caught {sum(toxic)}")
+    assert sum(y == p for y, p in held) / len(held) > 0.95 and sum(toxic) / len(toxic) > 0.6
+
+
 def test_block_max_search_is_exact():
     import numpy as np
 
