@@ -65,7 +65,8 @@ def _noise(s, d):
 
 def _detections(s, d):
     swept = scoring.threshold_sweep(v.boxes(s, d), v.THRESHOLDS)
-    return scoring.detection_stats(swept, v.truth(s, d), v.grid(s, d), by=("model", "threshold")).select("model", "threshold", "det_recall", F.lit(120).cast("bigint").alias("n_event"))
+    n = v.event_traces(s, d).groupBy().agg(F.count("*").alias("n_event"))
+    return scoring.detection_stats(swept, v.truth(s, d), v.grid(s, d), by=("model", "threshold")).select("model", "threshold", "det_recall").crossJoin(F.broadcast(n))  # one row
 
 
 def _heads(s, d):

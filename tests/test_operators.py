@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quakeframe.functions import arrays as A
 from quakeframe.functions import attrs
 from quakeframe.operators import build, curves, filters, labels, leaderboard, match, motion, qc, scoring, signal, spectral, splits
+from quakeframe.plans import corpus
 from quakeframe.sources import inventory
 from quakeframe.sources import tables as io
 
@@ -392,3 +393,13 @@ def test_incremental_scoring_adds_each_key_once(spark, tmp_path):
     for k in range(2):  # another checkpoint: everything comes again
         jobs.incremental_score(spark.readStream.schema(schema).parquet(source), at, str(tmp_path / f"c{k}"), lambda b: b).awaitTermination()
     assert spark.read.parquet(at).count() == 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_detection_leaderboard_counts_the_event_traces_of_its_table(spark, sf):
+    d = f"/root/testdata/{sf}"
+    ids = {r.user_id for r in spark.read.parquet(f"{d}/events.parquet").select("user_id").collect()}
+    n = len([i for i in ids if i % 5])
+    rows = corpus.QUERIES["a16_detection_leaderboard"](spark, d).collect()
+    print(sf, n, [tuple(r) for r in rows][:2])
+    assert rows and {r.n_event for r in rows} == {n} and all(r.tp + r.fn == n and r.tp <= n for r in rows)
