@@ -1,275 +1,295 @@
-"""Toxicity by the nearest labelled examples under TF-IDF cosine (operator 9).
-
-Terms are runs of GRAM bytes of the text with A-Z lower-cased and each run of anything but letters made one space, so
-that word starts and ends count. A bounded sample of labelled rows picks all terms whose presence goes with the label
-by LEAST_DEVIATIONS, however many these are, where copies count as one text or where each of them counts: a group of
-copies neither hides the terms of other texts nor loses its own. As an example it is one text. Term frequencies of these are then taken from every whole text, and document frequencies from all documents.
-
-Examples with equal vectors become one, with its numbers of labels. Their inverted index holds, for each term, the
-blocks of BLOCK examples that have it, and the largest weight in each. For a text, blocks are taken by their bounds (the sum over its terms),
-until no block left can beat the NEIGHBOURS-th best cosine: results are exactly those of scoring all examples.
-Votes are weighted by cosine; isotonic regression of the examples' own votes, with each left out of its own,
-calibrates them.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine (operator 9).
+
+Terms are all words of a text, A-Z lower-cased and cut to their first STEM code points, a stemmer that needs no language.
+The space has a dimension for every term that any example holds: none is picked by its label and there is no cap. Term
+frequencies are dampened by logarithm; document frequencies count all documents.
+
+The examples are a bounded sample of distinct labelled texts. Their inverted index holds, for each term, the blocks of
+BLOCK examples that have it, with the largest weight in each, and below those the postings themselves. A text's blocks are
+bounded by the sums of these maxima; the postings of the most promising are added up first, then those of every block
+whose bound reaches the NEIGHBOURS-th best cosine. What is left out can't be among the nearest: results are exactly those
+of scoring all examples. Votes are weighted by closeness; isotonic regression of the examples' own votes, with each left
+out of its own, calibrates them, and the neighbours with their cosines are the evidence.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.llm.common import cut, text_chunks
 from quakeframe.llm.quality import pool, remainder, single_labels
-from quakeframe.llm.tokens import LOWER, distinct, rows_of
-
-GRAM = 5
-#: Labelled rows that serve as examples at most.
-SAMPLE = 20_000
-LEAST_DEVIATIONS, LEAST_ROWS = 6.0, 3
-NEIGHBOURS, BLOCK = 15, 64
-PRIOR_WEIGHT = 0.25  # of the share of labels among all examples, against the neighbours' cosines
+from quakeframe.llm.tokens import LOWER, row_reduce, rows_of, run_hashes, spans
+
+#: Code points of a word that make its term.
+STEM = 4
+#: Distinct labelled texts that serve as examples at most.
+SAMPLE = 8_000
+NEIGHBOURS, BLOCK = 25, 32
+#: Share of the blocks that are scored before bounds are compared with what has been found.
+FIRST = 1 / 8
+#: Every how many examples a term's list has to hold to be kept as a full row, and how many texts such rows are multiplied with at once.
+LONG, BATCH = 16, 128
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All GRAM-byte terms of each row, as integers with repeats, and the rows' offsets into them."""
+    """Hashes of all terms of each row, with repeats, and the rows' offsets into them."""
     low = LOWER[raw]
-    letter = _LETTER[low]
-    kept = letter.copy()
-    if len(low):
-        kept[1:] |= letter[:-1]  # the first of a run of other bytes stays, as a space
-    low = np.where(letter, low, 32)[kept]
-    at = np.concatenate([[0], np.cumsum(kept)])[off]
-    # Each row starts and ends with a space of its own.
-    rows = len(off) - 1
-    wide = np.full(len(low) + 2 * rows, 32, np.uint8)
-    wide[np.arange(len(low)) + 2 * rows_of(at) + 1] = low
-    at = at + 2 * np.arange(rows + 1)
-    n = len(wide) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
-    value = np.zeros(n, np.int64)
-    for j in range(GRAM):
-        value = value << 8 | wide[j : j + n]
-    row = rows_of(at)
-    inside = row[:n] == row[GRAM - 1 :]
-    return value[inside], np.concatenate([[0], np.cumsum(inside)])[np.minimum(at, n)]
+    starts, ends, at = spans(low, off, _LETTER[low])
+    if not len(starts):
+        return np.zeros(0, np.int64), at
+    first = np.flatnonzero((low & 0xC0) != 0x80)  # bytes that begin a code point
+    beyond = np.append(first, np.full(STEM, len(low)))[np.searchsorted(first, starts) + STEM]
+    return run_hashes(low, starts, np.minimum(ends, beyond)).view(np.int64), at
 
 
-def _present(batches):
-    """Distinct terms of the examples, counted by label within a batch before anything is shuffled: texts, and rows."""
-    schema = pa.schema([(c, pa.int64()) for c in ("term", "yes", "no", "yes_rows", "no_rows")])
+def counted(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of each row in order, how often each occurs, and the rows' offsets into them."""
+    row = rows_of(at)
+    order = np.lexsort((values, row))
+    v, r = values[order], row[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
+    begins = np.flatnonzero(new)
+    return v[new], np.diff(np.append(begins, len(v))), np.searchsorted(r[new], np.arange(len(at)))
+
+
+def vectors(raw: np.ndarray, off: np.ndarray, vocabulary: np.ndarray):
+    """Places in the (sorted) vocabulary of the terms of each row that it holds, their counts, and the rows' offsets."""
+    values, at = terms(raw, off)
+    if not len(vocabulary) or not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    place = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
+    known = vocabulary[place] == values
+    held = np.sort(rows_of(at)[known] * len(vocabulary) + place[known])
+    begins = np.flatnonzero(np.append(True, held[1:] != held[:-1])[: len(held)])
+    row, term = np.divmod(held[begins], len(vocabulary))
+    return term, np.diff(np.append(begins, len(held))), np.searchsorted(row, np.arange(len(off)))
+
+
+def _read_examples(batches):
+    kinds = {"key": pa.int64(), "doc_id": pa.int64(), "share": pa.float64()}
+    schema = pa.schema([*kinds.items(), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
     for batch in batches:
-        y, yes_rows, no_rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "yes_rows", "no_rows"))
-        for lo, hi, raw, off in text_chunks(batch.column("text"), 4 << 20):
-            values, at = terms(raw, off)
-            v, at = distinct(values.view(np.uint64), at)
-            unique, inverse = np.unique(v, return_inverse=True)
-            counts = [np.bincount(inverse, weights=x[lo:hi][rows_of(at)], minlength=len(unique)).astype(np.int64) for x in (y, 1 - y, yes_rows, no_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *map(pa.array, counts)], schema=schema)
-
-
-def _vectors(vocabulary: np.ndarray):
-    """Counts of vocabulary terms in each text: a small bit table rules most terms out before the exact look-up."""
-    table = np.zeros(1 << 16, bool)
-    spread = lambda v: ((v * np.int64(-7046029254386353131)) >> np.int64(40)) & 0xFFFF
-    table[spread(vocabulary)] = True
-    schema = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+        for lo, hi, raw, off in text_chunks(batch.column("text")):
+            t, n, at = counted(*terms(raw, off))
+            lists = (pa.ListArray.from_arrays(at.astype(np.int32), pa.array(x)) for x in (t, n))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in kinds), *lists], schema=schema)
+
+
+def _document_frequencies(vocabulary):
+    """How many texts of a partition hold each term: one small table for each partition."""
 
     def count(batches):
+        total = np.zeros(len(vocabulary.value), np.int64)
         for batch in batches:
-            for lo, hi, raw, off in text_chunks(batch.column("text")):
-                values, at = terms(raw, off)
-                maybe = np.flatnonzero(table[spread(values)])
-                found = np.searchsorted(vocabulary, values[maybe])
-                found[found == len(vocabulary)] = 0
-                hit = vocabulary[found] == values[maybe] if len(vocabulary) else np.zeros(0, bool)
-                row = np.searchsorted(at, maybe[hit], "right") - 1
-                pairs, n = np.unique(row * np.int64(max(len(vocabulary), 1)) + found[hit], return_counts=True)
-                r, t = pairs // max(len(vocabulary), 1), pairs % max(len(vocabulary), 1)
-                offsets = np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.ListArray.from_arrays(offsets, pa.array(t.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32)))], schema=schema)
+            for _, _, raw, off in text_chunks(batch.column("text")):
+                total += np.bincount(vectors(raw, off, vocabulary.value)[0], minlength=len(total))
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["term", "n"])
 
     return count
 
 
-def weights(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF weights of one text, with frequencies dampened by logarithm."""
-    w = (1 + np.log(count)) * idf[term]
-    length = np.sqrt((w**2).sum())
-    return w / length if length > 0 else w
-
-
 def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The places of all ranges, one after the other."""
     return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
 
 
 class Index:
-    """Examples with distinct vectors, in blocks, with the largest weight of each term in each block."""
-
-    def __init__(self, vectors: list[tuple[tuple[int, ...], tuple[int, ...]]], idf: np.ndarray, n: np.ndarray, yes: np.ndarray, ids: np.ndarray, prior: float):
-        order = sorted(range(len(vectors)), key=lambda i: vectors[i])
-        self.idf, self.prior = idf, prior
-        self.n, self.yes, self.ids = n[order].astype(float), yes[order].astype(float), ids[order]
-        self.vectors = [vectors[i] for i in order]
-        # Each example's terms and weights, one after the other.
-        lens = np.array([len(t) for t, _ in self.vectors], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(lens)])
-        self.term = np.array([x for t, _ in self.vectors for x in t], np.int64)
-        self.weight = np.concatenate([np.zeros(0), *(weights(np.array(t), np.array(c), idf) for t, c in self.vectors)]).astype(np.float32)
-        # Each term's blocks, and the largest weight in each.
-        self.blocks = -(-len(order) // BLOCK)
-        place = self.term * max(self.blocks, 1) + np.repeat(np.arange(len(lens)), lens) // BLOCK
-        by_place = np.argsort(place, kind="stable")
-        place, first = np.unique(place[by_place], return_index=True)
-        self.most = np.maximum.reduceat(self.weight[by_place], first) if len(first) else self.weight
+    """Inverted lists of examples: terms, their blocks with the largest weight in each, and the blocks' postings.
+
+    Examples are put in order by the commonest term that they hold and by their number of terms, so that a block's
+    examples are of one language and length and its bounds are close. Lists of every LONG-th example or more are kept
+    as full rows: they reach into every block.
+    """
+
+    def __init__(self, term: np.ndarray, count: np.ndarray, at: np.ndarray, df: np.ndarray, n_docs: int, share: np.ndarray, keys: np.ndarray, ids: np.ndarray):
+        self.idf = np.log((1 + n_docs) / (1 + np.minimum(df, n_docs)))
+        lens = np.diff(at)
+        common = np.empty(len(df), np.int64)
+        common[np.argsort(df, kind="stable")] = np.arange(len(df))
+        order = np.lexsort((keys, lens, row_reduce(np.maximum, common[term], at, -1)))
+        self.share, self.keys, self.ids, self.size = share[order], keys[order], ids[order], len(order)
+        self.width, self.blocks = BLOCK, -(-self.size // BLOCK)
+        taken = _ranges(at[:-1][order], lens[order])
+        term, row = term[taken], np.repeat(np.arange(self.size), lens[order])
+        w = self.weights(term, count[taken], row, self.size)
+        long = np.bincount(term, minlength=len(df)) * LONG >= max(self.size, 1)
+        self.long = np.where(long, np.cumsum(long) - 1, -1)
+        self.full = np.zeros((int(long.sum()), self.blocks * self.width))
+        self.full[self.long[term[long[term]]], row[long[term]]] = w[long[term]]
+        # Other postings by term, then by row: a term's blocks are runs of them.
+        listed = np.lexsort((row, term))
+        listed = listed[~long[term[listed]]]
+        term, self.row, self.weight = term[listed], row[listed], w[listed]
+        place, begins = np.unique(term * max(self.blocks, 1) + self.row // self.width, return_index=True)
+        self.posting_at = np.append(begins, len(term))
+        self.most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0)
         self.block = place % max(self.blocks, 1)
-        self.block_at = np.searchsorted(place, np.arange(len(idf) + 1) * max(self.blocks, 1))
+        self.block_at = np.searchsorted(place, np.arange(len(df) + 1) * max(self.blocks, 1))
 
-    @property
-    def dense(self) -> np.ndarray:
-        """All weights, examples by terms: for comparisons, the search doesn't use it."""
-        full = np.zeros((self.blocks * BLOCK, len(self.idf)), np.float32)
-        full[rows_of(self.at), self.term] = self.weight
-        return full
+    def weights(self, term: np.ndarray, count: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """TF-IDF weights, frequencies dampened by logarithm, of unit length for each row."""
+        w = (1 + np.log(count)) * self.idf[term]
+        length = np.sqrt(np.bincount(row, w**2, minlength=rows))[row]
+        return np.divide(w, length, out=np.zeros(len(w)), where=length > 0)
 
-    def nearest(self, term: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, best first, ties by the order of their vectors.
+    def search(self, term: np.ndarray, count: np.ndarray, at: np.ndarray, rows, k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of `rows` of the given vectors, the places and cosines of the k nearest examples, best first.
 
-        Cosines are rounded to six places, so that the order of addition doesn't break ties.
+        Cosines are rounded to six places, so that the order of addition doesn't break ties; these go by the index's
+        order. Examples without a common term are never neighbours.
         """
-        w = w.astype(np.float32)
+        row = rows_of(at)
+        w = self.weights(term, count, row, len(at) - 1)
+        for lo in range(0, len(rows), BATCH):
+            some = rows[lo : lo + BATCH]
+            asked = np.zeros((len(some), len(self.full)))
+            for i, r in enumerate(some):
+                t = self.long[term[at[r] : at[r + 1]]]
+                asked[i, t[t >= 0]] = w[at[r] : at[r + 1]][t >= 0]
+            sums = asked @ self.full
+            for r, part in zip(some, sums):
+                t = term[at[r] : at[r + 1]]
+                short = self.long[t] < 0
+                yield self._nearest(part, t[short], w[at[r] : at[r + 1]][short], k)
+
+    def _nearest(self, part: np.ndarray, term: np.ndarray, w: np.ndarray, k: int):
+        """`part`: what the long lists add up to. The others are looked at by blocks."""
         lens = self.block_at[term + 1] - self.block_at[term]
         there = _ranges(self.block_at[term], lens)
-        bound = np.bincount(self.block[there], self.most[there] * np.repeat(w, lens), minlength=self.blocks)
-        asked = np.zeros(len(self.idf))
-        asked[term] = w
-        order = np.argsort(-bound, kind="stable")
-        places, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        lo = 0
-        while lo < len(order):
-            lo, some = 2 * lo + 8, order[lo : 2 * lo + 8]  # 8 blocks, then 16, 32
-            some = some[(bound[some] > 1e-6) & (bound[some] >= least - 2e-6)]
-            if not len(some):
-                break
-            rows = (some[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            rows = rows[rows < len(self.ids)]
-            lens = self.at[rows + 1] - self.at[rows]
-            there = _ranges(self.at[rows], lens)
-            score = np.round(np.bincount(np.repeat(np.arange(len(rows)), lens), self.weight[there] * asked[self.term[there]], minlength=len(rows)), 6)
-            rows, score = np.concatenate([places, rows[score > 0]]), np.concatenate([cosines, score[score > 0]])
-            best = np.lexsort((rows, -score))[:k]
-            places, cosines = rows[best], score[best]
-            least = cosines[-1] if len(cosines) == k else 0.0
+        weight, block = np.repeat(w, lens), self.block[there]
+        bound = part.reshape(-1, self.width).max(axis=1) + np.bincount(block, weight * self.most[there], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        n = max(int(len(order) * FIRST), -(-k // self.width))
+        places, cosines = self._score(order[:n], part, there, block, weight, k)
+        least = cosines[-1] if len(cosines) == k else 0.0
+        rest = order[n:]
+        rest = rest[bound[rest] >= least - 2e-6]
+        if len(rest):
+            more, other = self._score(rest, part, there, block, weight, k)
+            places, cosines = np.concatenate([places, more]), np.concatenate([cosines, other])
+            best = np.lexsort((places, -cosines))[:k]
+            places, cosines = places[best], cosines[best]
         return places, cosines
 
-    def vote(self, places: np.ndarray, cosines: np.ndarray, without: tuple[int, int] | None = None) -> float:
-        """Share of the label among the neighbours, weighted by cosine; `without` takes one example's own label out."""
-        n, yes = self.n[places].copy(), self.yes[places].copy()
-        if without is not None:
-            own = places == without[0]
-            n[own] -= 1
-            yes[own] -= without[1]
-        return float((cosines @ yes + PRIOR_WEIGHT * self.prior) / (cosines @ n + PRIOR_WEIGHT))
-
-
-def _build(rows, n_docs: int, df: dict[int, int], n_terms: int):
-    """Index of the examples, and the calibration (votes, probabilities), both of bounded size."""
-    idf = np.array([np.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in range(n_terms)]) if n_terms else np.zeros(1)
-    grouped: dict[tuple, list[int]] = {}
-    for r in rows:
-        seen = grouped.setdefault((tuple(r["terms"]), tuple(r["counts"])), [0, 0, r["doc_id"]])
-        seen[0] += 1
-        seen[1] += r["y"]
-        seen[2] = min(seen[2], r["doc_id"])
-    empty = grouped.pop(((), ()), [0, 0, 0])
-    total = sum(g[0] for g in grouped.values()) + empty[0]
-    prior = (sum(g[1] for g in grouped.values()) + empty[1]) / total if total else 0.5
-    index = Index(list(grouped), idf, *(np.array([g[i] for g in grouped.values()], np.int64) for i in range(3)), prior)
-    votes, ys, ns = [], [], []
-    for place, (t, c) in enumerate(index.vectors):
-        near = index.nearest(np.array(t), weights(np.array(t), np.array(c), idf))
-        yes, n = index.yes[place], index.n[place]
-        for y, m in ((1, yes), (0, n - yes)):
-            if m:
-                votes.append(index.vote(*near, without=(place, y)))
-                ys.append(float(y))
-                ns.append(m)
-    order = np.argsort(votes, kind="stable")
-    fitted = pool(np.array(votes)[order], np.array(ys)[order], np.array(ns)[order]) if votes else np.zeros(0)
-    none = empty[1] / empty[0] if empty[0] else prior
-    return index, np.array(votes)[order], fitted, float(none)
-
-
-def _plain(text: str):
-    """A text as its terms see it: A-Z lower-cased, and a space for each run of anything but letters."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(low, r"[\x00-\x60\x7B-\x7F]+", " "))
+    def _score(self, blocks, part, there, block, weight, k):
+        """The k best of the given blocks' examples, from their postings."""
+        chosen = np.zeros(self.blocks, bool)
+        chosen[blocks] = True
+        some = chosen[block]
+        runs, w = there[some], weight[some]
+        lens = self.posting_at[runs + 1] - self.posting_at[runs]
+        postings = _ranges(self.posting_at[runs], lens)
+        listed = np.bincount(self.row[postings], np.repeat(w, lens) * self.weight[postings], minlength=len(part))
+        rows = np.flatnonzero(np.repeat(chosen, self.width))
+        total = np.round(part[rows] + listed[rows], 6)
+        if len(rows) > 4 * k:
+            enough = total >= np.partition(total, len(rows) - k)[len(rows) - k]
+            rows, total = rows[enough], total[enough]
+        best = np.lexsort((rows, -total))[:k]
+        best = best[total[best] > 0]
+        return rows[best], total[best]
+
+    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
+        """Share of the label among the neighbours, weighted by the squares of their cosines."""
+        w = cosines**2
+        return float(w @ self.share[places] / w.sum())
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and the rows' offsets into them."""
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)])
+
+
+def _own_votes(shared):
+    """The vote of each example's nearest others; null where it has none."""
+
+    def votes(batches):
+        index, vocabulary = shared.value
+        place = {key: i for i, key in enumerate(index.keys.tolist())}
+        for batch in batches:
+            (t, at), (n, _) = _flat(batch.column("terms")), _flat(batch.column("counts"))
+            got = []
+            for key, (near, cosines) in zip(batch.column("key").to_pylist(), index.search(np.searchsorted(vocabulary, t), n, at, range(batch.num_rows), NEIGHBOURS + 1)):
+                other = np.flatnonzero(near != place[key])[:NEIGHBOURS]
+                got.append(index.vote(near[other], cosines[other]) if len(other) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), batch.column("share")], names=["vote", "share"])
+
+    return votes
+
+
+def _scorer(shared, calibration):
+    """Scores and evidence of texts. Texts with equal vectors within a task are searched for once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.string())])
+
+    def score(batches):
+        (index, vocabulary), (votes, fitted, none), known = shared.value, calibration, {}
+        for batch in batches:
+            for lo, hi, raw, off in text_chunks(batch.column("text")):
+                term, count, at = vectors(raw, off, vocabulary)
+                keys = [hash((term[a:b].tobytes(), count[a:b].tobytes())) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                if len(known) > 50_000:
+                    known.clear()
+                new = {key: r for r, key in enumerate(keys) if key not in known}
+                for key, (near, cosines) in zip(new, index.search(term, count, at, list(new.values()))):
+                    evidence = ",".join(f"{i}:{c:.4f}" for i, c in zip(index.ids[near].tolist(), cosines.tolist()))
+                    known[key] = (float(np.interp(index.vote(near, cosines), votes, fitted)), evidence) if len(near) else (none, "")
+                got = [known[key] for key in keys]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.string())], schema=schema)
+
+    return score
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """Scores every whole text by its nearest labelled examples: one row per input row.
 
-    Labels are learnt only from ids whose crc32 leaves a remainder other than 0 by 5, and of those from `sample` rows at
-    most, the ones with the smallest hashes of doc_id. Labelled texts that differ only in case or in what is no letter
-    are one example, with the label that most of them have (a tie counts as the label). Returns doc_id, held_out (that
-    remainder is 0; false for null ids), score (0 to 1), predicted, evidence (nearest examples as doc_id:cosine, best
-    first).
-    Null and empty texts, and others without any chosen term, score the share of the label among such examples. Ties
-    between examples go by their vectors, not ids. Repeated rows score alike; repeated labels count once, the largest.
+    Labels are learnt only from ids whose crc32 leaves a remainder other than 0 by 5. Labelled rows with equal texts are
+    one example with the share of them that have the label, whatever their number; of these texts `sample` at most are
+    used, those with the smallest hashes. Returns doc_id, held_out (that remainder is 0; false for null ids), score (0 to
+    1), predicted, evidence (nearest examples as doc_id:cosine, best first).
+    Null and empty texts, and others without any term of an example, score the share of the label among such examples,
+    or among all if there are none. Very long texts are read whole, in runs of about a megabyte or one text. Ties between
+    examples go by the index's order, not ids. Repeated rows score alike; repeated labels count once, the largest.
     Columns other than doc_id, text and the label don't matter. An empty table gives an empty result; without labels
     every score is 0.5.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    chosen = cut(single_labels(labels, label).filter(remainder(5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    # `sample` rows at most are broadcast. Copies become one before anything is counted.
-    examples = docs.join(F.broadcast(chosen), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-    examples = examples.groupBy(F.xxhash64(_plain("text")).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), (F.avg("y") >= 0.5).cast("int").alias("y"), F.sum("y").alias("yes_rows"), F.sum(1 - F.col("y")).alias("no_rows"))
-    examples = cut(examples)
-    kinds = (("yes", "no"), ("yes_rows", "no_rows"))
-    n = examples.agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"), *(F.sum(c).alias(c) for c in kinds[1])).first().asDict()
-    counted = examples.select("text", "y", *kinds[1]).mapInArrow(_present, "term long, yes long, no long, yes_rows long, no_rows long")
-    counted = counted.groupBy("term").agg(*(F.sum(c).alias(c) for kind in kinds for c in kind))
-    goes_with = F.lit(False)
-    for yes, no in kinds:
-        n_yes, n_no = n[yes] or 0, n[no] or 0
-        share = (F.col(yes) + F.col(no)) / max(n_yes + n_no, 1)
-        deviations = (F.col(yes) / max(n_yes, 1) - F.col(no) / max(n_no, 1)) / F.sqrt(share * F.greatest(1 - share, F.lit(1e-9)) * (1 / max(n_yes, 1) + 1 / max(n_no, 1)))
-        goes_with |= (F.col(yes) >= LEAST_ROWS) & (deviations >= LEAST_DEVIATIONS)
-    picked = counted.filter(goes_with)
-    vocabulary = np.sort(np.array([r["term"] for r in picked.select("term").collect()], np.int64))  # terms of `sample` texts
-
-    vectors = cut(docs.mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, counts array<int>"))
-    df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # a row for each term of the vocabulary
-    known = examples.select(F.col("key").alias("doc_id"), "text").mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, counts array<int>").withColumnRenamed("doc_id", "key")
-    rows = known.join(examples.select("key", "doc_id", "y"), "key").select("doc_id", "terms", "counts", "y").collect()  # `sample` at most
-    index, votes, fitted, none = _build(rows, vectors.count(), df, len(vocabulary))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def score(batches):
-        index, known = shared.value, {}
-        for batch in batches:
-            scores, evidence = [], []
-            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                key = (tuple(t), tuple(c))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    near = index.nearest(np.array(t), weights(np.array(t), np.array(c), index.idf)) if t and len(index.ids) else ((), ())
-                    if len(near[0]):
-                        p = float(np.interp(index.vote(*near), votes, fitted))
-                        known[key] = p, ",".join(f"{index.ids[i]}:{s:.4f}" for i, s in zip(*near))
-                    else:
-                        known[key] = none, ""
-                p, e = known[key]
-                scores.append(p)
-                evidence.append(e)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.string())], names=["doc_id", "score", "evidence"])
-
-    scored = vectors.mapInArrow(score, "doc_id long, score double, evidence string")
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    sc, key = docs.sparkSession.sparkContext, F.xxhash64("text").alias("key")
+    marked = docs.filter(remainder(5) != 0).select("doc_id", key).join(single_labels(labels, label), "doc_id")
+    texts = marked.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.avg("y").alias("share"))
+    chosen = cut(texts.orderBy(F.xxhash64("key"), "key").limit(sample))
+    # `sample` rows at most are broadcast, and come to the driver as vectors.
+    examples = docs.select("doc_id", "text", key).join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["key"])
+    examples = cut(examples.mapInArrow(_read_examples, "key long, doc_id long, share double, terms array<long>, counts array<long>"))
+    held = examples.toArrow().combine_chunks()
+    column = lambda c: held.column(c).combine_chunks() if held.num_rows else pa.array([], held.schema.field(c).type)
+    (term, at), (count, _) = _flat(column("terms")), _flat(column("counts"))
+    share = np.asarray(column("share"), float)
+    vocabulary = np.unique(term)
+
+    frequent = docs.select("text").mapInArrow(_document_frequencies(sc.broadcast(vocabulary)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary), np.int64)
+    df[np.asarray(frequent.column("term").combine_chunks())] = np.asarray(frequent.column("n").combine_chunks())
+    index = Index(np.searchsorted(vocabulary, term), count, at, df, docs.count(), share, np.asarray(column("key")), np.asarray(column("doc_id")))
+    shared = sc.broadcast((index, vocabulary))
+
+    own = examples.mapInArrow(_own_votes(shared), "vote double, share double").collect()  # `sample` at most
+    voted = sorted((r["vote"], r["share"]) for r in own if r["vote"] is not None)
+    alone = [r["share"] for r in own if r["vote"] is None]
+    prior = float(share.mean()) if len(share) else 0.5
+    votes, ys = np.array([v for v, _ in voted] or [0.0]), np.array([y for _, y in voted] or [prior])
+    calibration = votes, pool(votes, ys, np.ones(len(ys))), float(np.mean(alone)) if alone else prior
+
+    scored = docs.mapInArrow(_scorer(shared, calibration), "doc_id long, score double, evidence string")
     held_out = F.coalesce(remainder(5) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -455,9 +456,12 @@ def test_toxicity_is_learnt_without_held_out_labels(spark):
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (crc(r.doc_id, 5) == 0) for r in rows)
     held = [r.predicted == truth[r.doc_id] for r in rows if r.held_out and r.doc_id in truth]
     assert len(held) > 500 and sum(held) / len(held) > 0.95  # some labels of this table have no word to go by
+    toxic = [r.predicted for r in rows if r.held_out and truth.get(r.doc_id) == 1]
+    assert sum(toxic) / len(toxic) > 0.73
+    assert all(r.evidence for r in rows)
 
 
-def test_toxic_copies_take_no_terms_from_others(spark):
+def test_toxic_copies_outweigh_no_other_examples(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "toxic")
     truth = {r.doc_id: r.toxic for r in labels.collect()}
@@ -473,21 +477,54 @@ def test_toxic_copies_take_no_terms_from_others(spark):
     assert sum(y == p for y, p in held) / len(held) > 0.95 and sum(toxic) / len(toxic) > 0.6
 
 
-def test_block_max_search_is_exact():
+def stems(t):
+    return collections.Counter(w[:4] for w in re.findall(r"[^\x00-\x60\x7B-\x7F]+", (t or "").translate(LOWER)))
+
+
+def isotonic(y):
+    """The largest of the least means around each place."""
+    mean = lambda a, b: sum(y[a : b + 1]) / (b + 1 - a)
+    return [max(min(mean(a, b) for b in range(i, len(y))) for a in range(i + 1)) for i in range(len(y))]
+
+
+@pytest.mark.parametrize("block", [1, 4, 32])
+def test_toxicity_against_cosines_of_all_examples(spark, sf_docs, sf_dir, monkeypatch, block):
     import numpy as np
 
-    rng = np.random.default_rng(3)
-    vectors = list({tuple(sorted(rng.choice(40, rng.integers(1, 6), replace=False).tolist())) for _ in range(600)})
-    counts = [tuple(int(x) for x in rng.integers(1, 5, len(t))) for t in vectors]
-    n = np.ones(len(vectors), int)
-    index = toxicity.Index(list(zip(vectors, counts)), np.linspace(1, 3, 40), n, n, np.arange(len(vectors)), 0.5)
-    for t, c in index.vectors[:50] + [((1, 2, 3), (1, 1, 4))]:
-        w = toxicity.weights(np.array(t), np.array(c), index.idf).astype(np.float32)
-        every = np.round((index.dense[:, list(t)] @ w).astype(float), 6)[: len(vectors)]
-        order = np.lexsort((np.arange(len(every)), -every))[: toxicity.NEIGHBOURS]
-        order = order[every[order] > 0]
-        places, cosines = index.nearest(np.array(t), w)
-        assert np.allclose(cosines, every[order], atol=2e-6) and set(places) == set(order) or np.allclose(np.sort(cosines), np.sort(every[order]), atol=2e-6)
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "LONG", block)
+    docs, truth = sf_docs.collect(), {r.doc_id: r.toxic for r in table(spark, sf_dir, "labels").collect()}
+    counts = {r.doc_id: stems(r.text) for r in docs}
+    given = collections.defaultdict(list)
+    for r in docs:
+        if r.doc_id in truth and crc(r.doc_id, 5):
+            given[r.text or ""].append((r.doc_id, truth[r.doc_id]))
+    examples = {min(i for i, _ in g): sum(y for _, y in g) / len(g) for g in given.values()}
+    vocabulary = {t for i in examples for t in counts[i]}
+    df = collections.Counter(t for c in counts.values() for t in c)
+
+    def vector(c):
+        w = {t: (1 + math.log(n)) * math.log((1 + len(docs)) / (1 + df[t])) for t, n in c.items() if t in vocabulary}
+        length = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {t: x / length for t, x in w.items()}
+
+    vectors = {i: vector(c) for i, c in counts.items()}
+
+    def nearest(i, others):
+        cosines = [(round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), 6), j) for j in others]
+        return sorted((c for c in cosines if c[0] > 0), reverse=True)
+
+    vote = lambda near: sum(c * c * examples[j] for c, j in near) / sum(c * c for c, _ in near)
+    own = sorted((vote(near[: toxicity.NEIGHBOURS]), y) for i, y in examples.items() if (near := nearest(i, examples.keys() - {i})))
+    fitted = isotonic([y for _, y in own])
+    for r in toxicity.score_toxicity(sf_docs, table(spark, sf_dir, "labels")).collect():
+        near = nearest(r.doc_id, examples)
+        got = [e.split(":") for e in r.evidence.split(",") if e]
+        assert [float(c) for _, c in got] == pytest.approx([c for c, _ in near[: toxicity.NEIGHBOURS]], abs=1e-4)
+        sure = {j for c, j in near[: toxicity.NEIGHBOURS] if len(near) <= toxicity.NEIGHBOURS or c > near[toxicity.NEIGHBOURS][0] + 1e-5}
+        assert sure <= {int(i) for i, _ in got}
+        if len(sure) == len(got) > 0:
+            assert r.score == pytest.approx(float(np.interp(vote(near[: toxicity.NEIGHBOURS]), [v for v, _ in own], fitted)), abs=0.02)
 
 
 def test_toxicity_of_odd_tables(spark):
