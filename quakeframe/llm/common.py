@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The given names, lengthened until none is a column of `df`, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """A column by its plain name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; only where none is named (tests) a temporary one is set."""
+    """The checkpoint folder that the session names: tasks and driver write and read there, so it has to be shared.
+
+    A local session, whose only machine shares everything, gets one in its warehouse where none is named.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/checkpoints")
     return sc.getCheckpointDir()
 
 

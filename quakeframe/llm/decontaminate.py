@@ -1,10 +1,10 @@
 """Benchmark decontamination with DataFrame functions only (operator 6).
 
-A document is scanned in two steps. First, blocks of words at a stride are looked up in a constant set of the hashes of
-all blocks that benchmark windows hold; stride and block are such that no occurrence of a window can lie between the
-blocks. Only documents with such a hit have all their windows made and joined, by the words themselves, with the windows
-of the benchmark. Set and join side go to every task only while they are below stated sizes; beyond, every document's
-windows are made and an ordinary join is left to Spark.
+One path at any size. Blocks of a document's words at a stride, such that every window of the benchmark's size holds
+exactly one, are hashed with the few words around them and looked up in a table of the bits of the hashes of all blocks
+that benchmark windows hold. That table has CELLS rows at most, whatever the benchmark's size, and is broadcast; a fuller
+one lets more blocks through. Windows are made around the blocks that pass, joined by hash and words with those of the
+benchmark, by whatever join Spark takes for their sizes, and so verified. Text never is shuffled to find hits.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import cut
+from quakeframe.llm.common import cut, fresh, quoted
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-#: Most block hashes that are put into the plan as a set, and most benchmark windows that are broadcast.
-SET_LIMIT, BROADCAST_LIMIT = 60_000, 500_000
+#: Rows of 64 bits each that the broadcast table of block hashes has at most: 16 MB of cells and bits.
+CELLS = 1 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -28,19 +28,45 @@ def lower_words(text: Column) -> Column:
     return F.array_remove(F.split(low, SEPARATORS), "")
 
 
-def _grams(words: Column, size: Column | int, step: int = 1) -> Column:
-    """Runs of `size` words at every `step`-th place, as (place from 1, words)."""
-    last = F.size(words) - size + 1
-    size = F.lit(size) if isinstance(size, int) else size
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step)), lambda i: F.struct(i.alias("place"), F.slice(words, i, size).alias("gram")))).otherwise(F.array().cast("array<struct<place:int,gram:array<string>>>"))
+def _block(size: int) -> tuple[int, int]:
+    """Words of a block, and the stride at which any `size` words in a row hold exactly one."""
+    block = (size + 1) // 2
+    return block, size - block + 1
 
 
-def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """Distinct windows of all items: (size, gram, items)."""
+def _cell(h: str) -> Column:
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(CELLS - 1))
+
+
+def _bit(h: str) -> Column:
+    return F.col(h).bitwiseAND(F.lit(63)).cast("int")
+
+
+def benchmark_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows of all items, (size, gram, gram_hash, set_id), and the items that hold them, (set_id, items).
+
+    Windows of the same items share a set, so that what travels with a hit is a number, however many items these are.
+    """
     words = benchmark.select("item_id", lower_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     words = words.withColumn("size", F.least(F.lit(window), F.size("words")))
-    each = words.select("item_id", "size", F.explode(_grams(F.col("words"), F.col("size"))["gram"]).alias("gram"))
-    return each.groupBy("size", "gram").agg(F.collect_set("item_id").alias("items"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1), lambda i: F.slice("words", i, F.col("size")))
+    held = words.select("item_id", "size", F.explode(grams).alias("gram"))
+    held = cut(held.groupBy("size", "gram").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
+    sets = cut(held.select("items").distinct().select(F.monotonically_increasing_id().alias("set_id"), "items"))
+    return cut(held.join(sets, "items").select("size", "gram", F.xxhash64("gram").alias("gram_hash"), "set_id")), sets
+
+
+def _blocks(words: Column, size: int) -> Column:
+    """Blocks of a text with the words around them that windows of `size` with the block need."""
+    block, stride = _block(size)
+    n = F.size(words)
+    kind = "array<struct<size:int,place:int,first:int,near:array<string>>>"
+
+    def around(p: Column) -> Column:
+        first = F.greatest(p - (stride - 1), F.lit(1))
+        return F.struct(F.lit(size).alias("size"), p.alias("place"), first.alias("first"), F.slice(words, first, F.least(n, p + size - 1) - first + 1).alias("near"))
+
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - block + 1, F.lit(stride)), around)).otherwise(F.array().cast(kind))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -48,31 +74,35 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
 
     One row for all rows with the same doc_id and text; copies is their number.
     """
-    windows = cut(benchmark_windows(benchmark, window))
-    sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # window at most
-    n_windows = windows.count()
+    windows, sets = benchmark_windows(benchmark, window)
+    sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # `window` at most
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lower_words(F.col("text")).alias("words"))
-    parts = [F.array(F.struct(F.lit(0).alias("place"), F.lit(None).cast("array<string>").alias("gram")))]
+    own = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("place"), F.lit(0).alias("first"), F.lit(None).cast("array<string>").alias("near")))
+    rows = base.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.explode(F.concat(own, *(_blocks(F.col("words"), size) for size in sizes))).alias("x"))
+    rows = rows.select("doc_id", "text_hash", "n_words", "x.*")
+
+    seeds = None
     for size in sizes:
-        block = (size + 1) // 2
-        stride = size - block + 1
-        made = _grams(F.col("words"), size)
-        if n_windows <= SET_LIMIT:
-            blocks = windows.filter(F.col("size") == size).select(F.explode(_grams(F.col("gram"), block)["gram"]).alias("g"))
-            seeds = [r["h"] for r in blocks.select(F.xxhash64("g").alias("h")).distinct().limit(SET_LIMIT + 1).collect()]
-            if len(seeds) <= SET_LIMIT:
-                last = F.size("words") - block + 1
-                places = F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(stride))
-                seeded = F.exists(places, lambda i: F.xxhash64(F.slice("words", i, block)).isin(seeds))  # noqa: B023
-                made = F.when(seeded, made).otherwise(F.array().cast("array<struct<place:int,gram:array<string>>>"))
-        parts.append(made)
-    rows = base.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(*parts)).alias("x")).select("doc_id", "text_hash", "n_words", "x.*")
-    windows = F.broadcast(windows) if n_windows <= BROADCAST_LIMIT else windows
-    found = rows.join(windows, "gram", "left").filter("place = 0 OR size IS NOT NULL")
-    places = F.collect_set(F.when(F.col("place") > 0, F.struct("place", "size")))
-    grouped = found.groupBy("doc_id", "text_hash", "n_words").agg(F.count_if(F.col("place") == 0).alias("copies"), places.alias("at"), F.collect_set("items").alias("items"))
-    covered = F.flatten(F.transform("at", lambda h: F.sequence(h["place"], h["place"] + h["size"] - 1)))
-    return grouped.select("doc_id", "text_hash", "n_words", "copies", F.array_distinct(covered).alias("places"), F.array_distinct(F.flatten("items")).alias("items"))
+        block, stride = _block(size)
+        each = windows.filter(F.col("size") == size).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda i: F.slice("gram", i, block))).alias("block"))  # noqa: B023
+        seeds = each if seeds is None else seeds.union(each)
+    if seeds is not None:
+        table = seeds.select(F.xxhash64("block").alias("h")).groupBy(_cell("h").alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit("h"))).alias("bits"))
+        rows = rows.withColumn("h", F.xxhash64(F.slice("near", F.col("place") - F.col("first") + 1, F.floor((F.col("size") + 1) / 2).cast("int"))))
+        rows = rows.withColumn("cell", F.when(F.col("place") > 0, _cell("h")))
+        rows = rows.join(F.broadcast(table), "cell", "left").filter((F.col("place") == 0) | (F.bit_get("bits", _bit("h")) == 1))  # CELLS rows at most
+    made = F.transform(F.sequence("first", F.least(F.col("place"), F.col("n_words") - F.col("size") + 1)), lambda q: F.struct(q.alias("at"), F.slice("near", q - F.col("first") + 1, F.col("size")).alias("gram")))
+    none = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<string>").alias("gram")))
+    each = rows.select("doc_id", "text_hash", "n_words", F.explode(F.when(F.col("place") > 0, made).otherwise(none)).alias("x"))
+    spread = F.when(F.col("x.at") > 0, F.xxhash64("x.gram")).otherwise(F.xxhash64("doc_id", "text_hash"))  # a text's own row joins nothing
+    each = each.select("doc_id", "text_hash", "n_words", "x.at", "x.gram", spread.alias("gram_hash"))
+    found = each.join(windows, ["gram_hash", "gram"], "left").filter("at = 0 OR size IS NOT NULL")
+    places = F.collect_set(F.when(F.col("at") > 0, F.struct("at", "size")))
+    grouped = found.groupBy("doc_id", "text_hash", "n_words").agg(F.count_if(F.col("at") == 0).alias("copies"), places.alias("found"), F.collect_set("set_id").alias("ids"))
+    covered = F.array_distinct(F.flatten(F.transform("found", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1))))
+    grouped = grouped.select("doc_id", "text_hash", "n_words", "copies", covered.alias("places"), F.explode_outer("ids").alias("set_id"))
+    named = grouped.join(sets, "set_id", "left").groupBy("doc_id", "text_hash", "n_words").agg(F.first("copies").alias("copies"), F.first("places").alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return named.withColumn("n_words", F.col("n_words").cast("long"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -83,7 +113,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     a window), n_items, items_sha256 (of the item ids sorted as strings), contaminated.
     Null and empty texts have no words and no hits. Rows with the same doc_id and text are counted, worked on once and
     returned as often as they came; null ids are kept. An item without an id hits words but isn't counted as an item;
-    repeated items count once. Either table may be empty. Other columns don't matter.
+    repeated items count once. Either table may be empty. Very long texts are one row until blocks are cut from them.
+    Other columns, whatever their names, don't matter.
     """
     found = hits(docs, benchmark, window)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -95,14 +126,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, remove: str = "documents") -> DataFrame:
     """`docs` without contaminated documents, or, with remove='spans', without the hit words of any.
 
-    All columns stay; a clean document is never changed. Removed words leave the text between them as it was.
+    All columns stay, also ones named like those used here; a clean document is never changed. Removed words leave the
+    text between them as it was. Null, empty and repeated texts are handled as by `contamination`.
     """
-    found = hits(docs, benchmark, window).filter(F.size("places") > 0).select(F.col("doc_id").alias("hit_doc_id"), F.col("text_hash").alias("hit_text_hash"), F.col("places").alias("hit_places"))
-    same = F.col("doc_id").eqNullSafe(F.col("hit_doc_id")) & (F.xxhash64("text") == F.col("hit_text_hash"))
+    doc_id, text_hash, places = fresh(docs, "doc_id", "text_hash", "places")
+    found = hits(docs, benchmark, window).filter(F.size("places") > 0).select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash), F.col("places").alias(places))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(text_hash))
     if remove == "documents":
         return docs.join(found, same, "left_anti")
     between, words = F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    kept = F.transform(words, lambda w, i: F.concat(F.when(F.array_contains("hit_places", i + 1), "").otherwise(w), F.get(between, i + 1)))
-    text = F.when(F.col("hit_places").isNull(), F.col("text")).otherwise(F.concat(F.get(between, F.lit(0)), F.array_join(kept, "")))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("hit_places").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))} if "n_chars" in docs.columns else {})
-    return docs.join(found, same, "left").select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    kept = F.transform(words, lambda w, i: F.concat(F.when(F.array_contains(places, i + 1), "").otherwise(w), F.get(between, i + 1)))
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.concat(F.get(between, F.lit(0)), F.array_join(kept, "")))
+    changed = {"text": text} | ({"n_chars": F.when(F.col(places).isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))} if "n_chars" in docs.columns else {})
+    return docs.join(found, same, "left").select(*(changed[c].alias(c) if c in changed else quoted(c) for c in docs.columns))
