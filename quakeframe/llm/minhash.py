@@ -5,10 +5,12 @@ keys, and of each minimum only the low `BITS` bits are kept, packed in longs. Ca
 similarity is first estimated from the counts of equal packed cells, corrected for chance collisions of BITS-bit cells,
 and whatever the estimate can't rule out by SLACK is confirmed on the full sets.
 
-No bucket is ever expanded into all its pairs. Texts with equal sets are one class from the start. In each bucket, every
-class is first compared with one representative. Only buckets whose classes are then still in different components are
-looked at again: whole, or in blocks of BLOCK rows where they are large, and tasks return no pairs but the edges of stars
-that join components, fewer than the rows they got.
+Texts with equal sets are one class from the start. In each bucket, every class is first compared with one representative.
+Only buckets whose classes are then still in different components are looked at again: tasks get packed signatures only,
+whole buckets or pairs of blocks of BLOCK rows, and return the pairs that these leave as possible if they are few for the
+rows, else just the rows. Sets are made for what has been named by then. Pairs are confirmed by joins; rows are compared in
+tasks that return the edges of stars that join components, fewer than the rows they got. So no bucket is ever expanded into
+all its pairs, and a set travels for candidates only.
 At the default similarity 0.8, 24 bands of 4 rows miss a linking pair with probability (1 - 0.8^4)^24 = 3e-6
 (2e-8 at 0.85).
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import cut, text_chunks
+from quakeframe.llm.common import cut, fresh, quoted, text_chunks
 from quakeframe.llm.tokens import distinct, mix, row_reduce, windows, words
 
 BANDS, ROWS, BITS = 24, 4, 4
@@ -32,6 +34,8 @@ LONGS = BANDS * ROWS * BITS // 64
 SLACK = 0.22  # six standard deviations of the estimate from 96 cells
 BLOCK = 512  # rows of a large bucket that are compared in one task with another such block
 GROUP = 1 << 20  # shingles of small buckets, or of a block, that a task holds at once
+PAIRS = 2  # possible pairs for each row up to which a bucket's pairs are returned
+CELLS = 1 << 20  # rows of 64 bits each that the broadcast table of wanted ids has at most
 _LOW = 0x1111111111111111
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -52,12 +56,11 @@ def _node(values, at):
 
 
 def _signer(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("cells", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("cells", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, column = batch.column("doc_id"), batch.column("text")
-            for lo, hi, raw, off in text_chunks(column):
+            for lo, hi, raw, off in text_chunks(batch.column("text")):
                 values, at = _sets(raw, off, size)
                 minima = np.empty((hi - lo, BANDS * ROWS), np.uint64)
                 for k in range(BANDS * ROWS):
@@ -70,7 +73,7 @@ def _signer(size: int):
                 packed = np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(BITS)), axis=2)
                 node = _node(values, at)
                 flat = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(m).reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(np.diff(at)), pa.array([x.tobytes() for x in node], pa.binary()), flat(keys), flat(packed)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], pa.array(np.diff(at)), pa.array([x.tobytes() for x in node], pa.binary()), flat(keys), flat(packed)], schema=schema)
 
     return sign
 
@@ -84,14 +87,14 @@ def mix_light(values: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
 
 
 def _set_maker(size: int):
-    schema = pa.schema([("node", pa.binary()), ("made", pa.binary()), ("members", pa.list_(pa.int64()))])
+    schema = pa.schema([("label", pa.int64()), ("node", pa.binary()), ("made", pa.binary()), ("members", pa.list_(pa.int64()))])
 
     def make(batches):
         for batch in batches:
             for lo, hi, raw, off in text_chunks(batch.column("text")):
                 values, at = _sets(raw, off, size)
                 made = pa.array([x.tobytes() for x in _node(values, at)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("node")[lo:hi], made, pa.ListArray.from_arrays(at.astype(np.int32), pa.array(values.view(np.int64)))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("label")[lo:hi], batch.column("node")[lo:hi], made, pa.ListArray.from_arrays(at.astype(np.int32), pa.array(values.view(np.int64)))], schema=schema)
 
     return make
 
@@ -146,10 +149,8 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
-def _bucket_links(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
-    """What links the components of some of a bucket's rows: edges of stars, fewer than there are rows."""
-    if rows["component"].nunique() < 2:
-        return
+def _possible(rows: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which rows of a bucket, in different components, may be alike by their sizes and signatures."""
     chance, low = 2.0**-BITS, np.uint64(_LOW)
     cells, n, component = np.stack(rows["cells"].to_numpy()).view(np.uint64), rows["n"].to_numpy(), rows["component"].to_numpy()
     differing = np.zeros((len(rows), len(rows)), np.int64)
@@ -158,7 +159,41 @@ def _bucket_links(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]
         x |= x >> np.uint64(2)
         differing += np.bitwise_count((x | (x >> np.uint64(1))) & low)
     near = ((1 - differing / (BANDS * ROWS)) - chance) / (1 - chance) >= percent / 100 - SLACK
-    near &= (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)) & (component[:, None] != component)
+    return near & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)) & (component[:, None] != component)
+
+
+def _candidates(percent: int, most: int):
+    """What signatures leave as possible in buckets: pairs (a, b), or rows (a, null) where pairs are more than `most` a row.
+
+    Pairs with a bucket's representative have been looked at before.
+    """
+
+    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+        of, i, j = (int(pdf[c].iloc[0]) for c in ("of", "i", "j"))
+        pairs, named = set(), []
+        for key, rows in pdf.groupby("key", sort=False):
+            rows = rows.drop_duplicates("label")
+            if rows["component"].nunique() < 2:
+                continue
+            near, label = _possible(rows, percent), rows["label"].to_numpy()
+            first = rows["first"].to_numpy(bool)
+            near[first] = near[:, first] = False
+            if near.sum() <= 2 * most * len(rows):
+                a, b = np.nonzero(np.triu(near))
+                pairs |= {(min(x, y), max(x, y)) for x, y in zip(label[a].tolist(), label[b].tolist())}
+            else:
+                named += [(x, None, key, of, i, j) for x in label[near.any(axis=1)].tolist()]
+        got = pd.DataFrame([(a, b, None, None, None, None) for a, b in sorted(pairs)] + named, columns=["a", "b", "key", "of", "i", "j"])
+        return got.astype({"a": "Int64", "b": "Int64", "key": "Int64", "of": "Int64", "i": "Int32", "j": "Int32"})
+
+    return candidates
+
+
+def _bucket_links(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
+    """What links the components of some of a bucket's rows: edges of stars, fewer than there are rows."""
+    if rows["component"].nunique() < 2:
+        return
+    near, n = _possible(rows, percent), rows["n"].to_numpy()
     some = np.flatnonzero(near.any(axis=1))
     if len(some):
         shared = _shared([rows["members"].iat[i] for i in some])
@@ -204,22 +239,23 @@ def components(edges: DataFrame) -> DataFrame:
             return state.toDF("label", "component")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """Groups documents whose sets of `size`-word shingles overlap by `percent` of their union or more.
+def _sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Sets (label, members) of the wanted labels, made again from the texts of one document of each.
 
-    Reads doc_id and text; other columns, whatever their names, don't matter. Returns doc_id, n_shingles, component_id
-    (the smallest doc_id reachable over links), kept (doc_id = component_id): one row per input row. Words are runs of
-    anything but ASCII white space, A-Z lower-cased; a text of fewer than `size` words has its whole sequence as its
-    shingle. Null and empty texts have no shingles and are linked with nothing. Rows with a null doc_id stand alone,
-    with component_id null and kept true. Repeated rows are equal sets, hence one component; each is returned.
-    An empty table gives an empty result.
+    A broadcast table of the bits of wanted ids, of CELLS rows at most, lets hardly any other text into the shuffle while
+    there are fewer than some ten million; beyond that more texts pass it, and the join decides.
     """
-    docs = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, node binary, bands array<long>, cells array<long>"
-    signed = cut(docs.mapInArrow(_signer(size), schema))
-    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("label"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "bands", "cells"), "doc_id").alias("x"))
-    classes = cut(classes.select("node", "label", "x.*"))
+    ids = cut(classes.select("label", "node", F.col("id").alias("doc_id")).join(wanted, "label", "left_semi"))
+    h = F.xxhash64("doc_id")
+    cell, bit = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(CELLS - 1)), h.bitwiseAND(F.lit(63)).cast("int")
+    table = ids.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
+    texts = docs.withColumn("cell", cell).join(F.broadcast(table), "cell").filter(F.bit_get("bits", bit) == 1).select("doc_id", "text")
+    made = texts.join(ids, "doc_id").select("label", "node", "text").mapInArrow(_set_maker(size), "label long, node binary, made binary, members array<long>")
+    return cut(made.filter("node = made").groupBy("label").agg(F.first("members").alias("members")))  # all of a label are equal
+
 
+def _linked(classes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Edges (a, b) between labels of classes that join what links join: each confirmed on full sets."""
     keyed = classes.select("label", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("label").alias("rep"), F.count("*").alias("rows"), F.sum("n").alias("shingles")).filter("rows > 1")
     members = cut(keyed.join(shared, "key"))
@@ -227,44 +263,84 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     side = lambda s: cells.select(F.col("label").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}"))
     star = members.filter("label <> rep").select(F.col("rep").alias("a"), F.col("label").alias("b")).distinct()
     star = cut(star.join(side("a"), "a").join(side("b"), "b").filter(_alike(percent)).select("a", "b"))
-
-    wanted = classes.select("node", "label").join(members.select("label").distinct(), "label", "left_semi")
-    texts = docs.join(wanted.withColumnRenamed("label", "doc_id"), "doc_id")
-    sets = texts.select("node", "text").mapInArrow(_set_maker(size), "node binary, made binary, members array<long>").filter("node = made")
-    sets = cut(sets.join(wanted, "node").groupBy("label").agg(F.first("members").alias("members")))
-
+    named = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("label")).filter("label IS NOT NULL").distinct()
+    sets = _sets_of(named(star), classes, docs, size)
     links = cut(_confirm(star, sets, percent))
     first = components(links)
 
-    placed = members.select("key", "label", "n", "rows", "shingles").join(first, "label", "left").withColumn("component", F.coalesce("component", "label"))
+    placed = members.join(first, "label", "left").withColumn("component", F.coalesce("component", "label"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
     placed = cut(placed.join(mixed, "key", "left_semi"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("shingles") / GROUP)).cast("int")
     placed = placed.withColumn("blocks", blocks)
     groups = max(1, -(-(placed.filter("blocks = 1").agg(F.sum("n")).first()[0] or 0) // GROUP))
-    placed = placed.join(classes.select("label", "cells"), "label").join(sets, "label")
-    columns = ("key", "label", "n", "component", "cells", "members")
+    placed = placed.join(classes.select("label", "cells"), "label").withColumn("first", F.col("label") == F.col("rep"))
+    columns = ("key", "label", "n", "component", "cells", "first")
     few = placed.filter("blocks = 1").select(*columns, F.pmod(F.xxhash64("key"), F.lit(groups)).alias("of"), F.lit(0).alias("i"), F.lit(0).alias("j"))
     many = placed.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select(*columns, F.col("key").alias("of"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rest = few.union(many).groupBy("of", "i", "j").applyInPandas(_links(percent), "a long, b long")
-    found = components(links.union(rest))
+    rest = few.union(many).groupBy("of", "i", "j").applyInPandas(_candidates(percent, PAIRS), "a long, b long, key long, of long, i int, j int")
+    rest = cut(rest)
+
+    more = named(rest).join(sets.select("label"), "label", "left_anti")
+    sets = sets.union(_sets_of(more, classes, docs, size))
+    pairs = rest.filter("b IS NOT NULL").select("a", "b").distinct()
+    dense = rest.filter("b IS NULL").select(F.col("a").alias("label"), "key", "of", "i", "j").distinct()
+    dense = dense.join(classes.select("label", "n", "cells"), "label").join(first, "label", "left").withColumn("component", F.coalesce("component", "label")).join(sets, "label")
+    dense = dense.groupBy("of", "i", "j").applyInPandas(_links(percent), "a long, b long")
+    return links.union(_confirm(pairs, sets, percent)).union(dense)
+
+
+def _grouped(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Every row's doc_id, text_hash and n_shingles, with its component's label and smallest doc_id, null where alone."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    schema = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, cells array<long>"
+    signed = cut(docs.mapInArrow(_signer(size), schema))
+    placed = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = placed.groupBy("node").agg(F.min("doc_id").alias("id"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "bands", "cells"), "doc_id").alias("x"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("label"), "node", "id", "x.*"))
+
+    # A doc_id on texts with different sets joins their classes.
+    several = placed.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("doc_id")
+    own = placed.select("doc_id", "node").join(several, "doc_id", "left_semi").join(classes.select("node", "label"), "node").select("doc_id", F.col("label").alias("b")).distinct()
+    own = own.join(own.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").filter("a <> b").select("a", "b")
+
+    found = components(_linked(classes, docs.select("doc_id", "text"), percent, size).union(own))
+    names = classes.select("node", "id", "label").join(found, "label", "left").withColumn("component", F.coalesce("component", "label"))
+    least = names.groupBy("component").agg(F.min("id").alias("component_id"))
+    names = names.join(least, "component").select(F.col("node").alias("of"), "component", "component_id")
+    mine = (F.col("node") == F.col("of")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return signed.select("doc_id", "text_hash", "n_shingles", "node").join(names, mine, "left").drop("node", "of")
 
-    names = classes.select("node", "label").join(found, "label", "left").select(F.col("node").alias("of"), F.coalesce("component", "label").alias("component"))
-    own = (F.col("node") == F.col("of")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = signed.select("doc_id", "n_shingles", "node").join(names, own, "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """Groups documents whose sets of `size`-word shingles overlap by `percent` of their union or more.
+
+    Reads doc_id and text; other columns, whatever their names, don't matter. Returns doc_id, n_shingles, component_id
+    (the smallest doc_id reachable over links), kept (doc_id = component_id): one row per input row. Words are runs of
+    anything but ASCII white space, A-Z lower-cased; a text of fewer than `size` words has its whole sequence as its
+    shingle. Null and empty texts have no shingles and are linked with nothing. Rows with a null doc_id stand alone,
+    with component_id null and kept true. Repeated rows are equal sets, hence one component; each is returned. Rows that
+    share a doc_id but not their text are one document: what either is linked with is one component. Very long texts are
+    hashed whole. An empty table gives an empty result.
+    """
+    component = F.coalesce("component_id", "doc_id")
+    return _grouped(docs, percent, size).select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps, once each where a row is repeated, with all their columns.
+    """One row of each group that `near_duplicates` finds, with all its columns, whatever their names.
 
-    Of rows with one doc_id the first by text, then by the other columns, stays; rows with a null doc_id all stay.
+    It is that of the smallest doc_id, of several texts the one with the smallest hash, of repeated rows the first by the
+    other columns. Rows without words stay once for each doc_id and text; rows with a null doc_id all stay.
     """
-    kept = near_duplicates(docs, percent, size).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    order = [c for c, kind in named.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *(F.col(f"`{c}`") for c in order)))
-    named = named.withColumn("near_duplicate_rank", first).filter("near_duplicate_rank = 1")
-    return named.select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    found = _grouped(docs, percent, size).filter("doc_id IS NOT NULL")
+    kept = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.*")
+    kept = kept.union(found.filter("component IS NULL").select("doc_id", "text_hash").distinct())
+    doc_id, text_hash, rank = fresh(docs, "doc_id", "text_hash", "rank")
+    kept = kept.toDF(doc_id, text_hash)
+    named = docs.join(kept, (F.col("doc_id") == F.col(doc_id)) & (F.xxhash64("text") == F.col(text_hash)), "left_semi")
+    order = [quoted(c) for c, kind in named.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]
+    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*order, "text"))
+    named = named.withColumn(rank, first).filter(quoted(rank) == 1).drop(rank)
+    return named.union(docs.filter("doc_id IS NULL"))

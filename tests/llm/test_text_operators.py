@@ -217,8 +217,10 @@ def test_near_duplicates_against_all_pairs(spark, sf_docs, percent):
         assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
-def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("pairs", [0, 2])
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, pairs):
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "PAIRS", pairs)
     docs = documents(spark, near_texts())
     want = groups([(r.doc_id, r.text) for r in docs.collect()], 85)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 85).collect()} == {i: c for i, (_, c) in want.items()}
@@ -232,6 +234,23 @@ def test_repeated_rows_and_null_ids(spark):
     assert minhash.near_duplicates(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_one_id_on_two_texts_joins_what_they_are_linked_with(spark, swap):
+    a, b = prose(200, 21), prose(200, 22)
+    near = lambda t: t + " one more word"
+    rows = [(7, a), (7, b), (3, near(b)), (9, near(a))]
+    rows = [rows[i] for i in ((1, 0, 2, 3) if swap else (0, 1, 2, 3))]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    assert {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()} == {(7, 3, False), (3, 3, True), (9, 3, False)}
+    assert [(r.doc_id, r.text) for r in minhash.keep_one(docs).collect()] == [(3, near(b))]
+
+
+def test_kept_rows_keep_columns_of_any_name(spark):
+    docs = documents(spark, ["a b c d e f", "a b c d e f", "", None, "x"], [4, 2, 5, 6, 6]).withColumns({c: F.lit(c) for c in ("rank", "TEXT_HASH", "component", "near_duplicate_rank", "a.b")})
+    got = minhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r["rank"], r["near_duplicate_rank"]) for r in got.collect()) == [(i, "rank", "near_duplicate_rank") for i in (2, 5, 6, 6)]
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 180)] + [(500, 600)], "a long, b long")
     got = {r.label: r.component for r in minhash.components(edges).collect()}
@@ -242,7 +261,7 @@ def test_packed_cells_estimate_similarity(spark):
     a, b = prose(2000, 1).split(), prose(2000, 1).split()
     b[:200] = [f"other{i}" for i in range(200)]
     docs = documents(spark, [" ".join(a), " ".join(b)])
-    x, y = docs.select("doc_id", "text").mapInArrow(minhash._signer(5), "doc_id long, n_shingles long, node binary, bands array<long>, cells array<long>").orderBy("doc_id").collect()
+    x, y = docs.select("doc_id", F.lit(0).cast("long").alias("text_hash"), "text").mapInArrow(minhash._signer(5), "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, cells array<long>").orderBy("doc_id").collect()
     sa, sb = shingles(" ".join(a)), shingles(" ".join(b))
     got = spark.createDataFrame([(x.cells, y.cells)], "a array<long>, b array<long>").select(minhash.estimate("a", "b")).first()[0]
     assert abs(got - len(sa & sb) / len(sa | sb)) < 0.15
@@ -308,10 +327,9 @@ def contaminated(texts, items, window=10):
 ITEMS = [(1, prose(25, 50)), (2, "Short item"), (3, None), (4, ""), (20, prose(25, 50)), (5, prose(10, 51)), (None, prose(12, 52)), (1, prose(25, 50)), (6, "ünïcode É")]
 
 
-@pytest.mark.parametrize("limits", [(60_000, 500_000), (0, 0)])
-def test_decontamination_against_brute_force(spark, monkeypatch, limits):
-    monkeypatch.setattr(decontaminate, "SET_LIMIT", limits[0])
-    monkeypatch.setattr(decontaminate, "BROADCAST_LIMIT", limits[1])
+@pytest.mark.parametrize("cells", [1 << 20, 1])
+def test_decontamination_against_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(decontaminate, "CELLS", cells)  # with one, most blocks pass and windows alone decide
     texts = [None, "", prose(40, 60), f"{prose(7, 61)} {ITEMS[0][1]}, {prose(7, 62)}", "a SHORT,item!", " ".join(ITEMS[0][1].split()[3:14]), " ".join(ITEMS[0][1].split()[3:12]), ITEMS[5][1].upper(), f"x {ITEMS[6][1]} y", "ünïcode é", "ünïcode É", prose(8000, 63) + " short item", "short item short item"]
     docs = documents(spark, texts + texts[3:5], [*range(len(texts)), 3, None])
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -326,6 +344,14 @@ def test_decontamination_against_brute_force(spark, monkeypatch, limits):
     assert by_text[4] == "a ,!" and by_text[2] == texts[2] and by_text[0] is None
 
 
+def test_decontamination_keeps_columns_named_like_its_own(spark):
+    docs = documents(spark, [prose(40, 60), ITEMS[0][1]]).withColumns({c: F.lit(c) for c in ("DOC_ID_", "text_hash", "places", "copies", "a.b")})
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for remove, n in (("documents", 1), ("spans", 2)):
+        got = decontaminate.decontaminate(docs, items, remove=remove)
+        assert got.columns == docs.columns and [(r["text_hash"], r["places"], r["a.b"]) for r in got.collect()] == [("text_hash", "places", "a.b")] * n
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, items = documents(spark, ["a b"]), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contamination(docs.limit(0), items).collect() == []
