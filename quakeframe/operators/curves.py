@@ -82,18 +82,21 @@ def mask_curves(curves: DataFrame, boxes: DataFrame, margin: int = 50, by: Seque
     return out.withColumns({"p": kept("p", margin), "s": kept("s", margin), "m": kept("m", 0)}).drop("mine")
 
 
-def dual_pass(fast: Column, slow: Column, threshold: float, least: int, coverage: float = 0.7) -> Column:
-    """The fast curve, filled by the slow one: in runs of `least` samples or more above the threshold in the slow curve of
-    which less than `coverage` is above it in the fast one, samples below it become the larger of both."""
-    above = lambda v: v > threshold
+def fill_mask(fast: Column, slow: Column, fast_threshold: float, slow_threshold: float, least: int, coverage: float = 0.7) -> Column:
+    """Where to fill, by the detection curves of two passes: inside runs of `least` samples or more at which the slow one
+    reaches its threshold, if the fast one reaches its own on less than `coverage` of the run, those on which it doesn't."""
 
     def thin(f: Column, r: Column) -> Column:
         part = F.slice(f, r["start"] + 1, r["end"] - r["start"] + 1)
-        return F.size(F.filter(part, above)) / (r["end"] - r["start"] + 1) < coverage
+        return F.size(F.filter(part, lambda v: v >= fast_threshold)) / (r["end"] - r["start"] + 1) < coverage
 
-    bad = F.filter(A.runs(F.transform(slow, above), least), lambda r: thin(fast, r))
-    pairs = F.arrays_zip(fast.alias("f"), slow.alias("s"))
-    return A.let(bad, lambda b: F.transform(pairs, lambda x, i: F.when(~above(x["f"]) & F.exists(b, lambda r: i.between(r["start"], r["end"])), F.greatest(x["f"], x["s"])).otherwise(x["f"])))
+    bad = F.filter(A.runs(F.transform(slow, lambda v: v >= slow_threshold), least), lambda r: thin(fast, r))
+    return A.let(bad, lambda b: F.transform(fast, lambda v, i: (v < fast_threshold) & F.exists(b, lambda r: i.between(r["start"], r["end"]))))
+
+
+def dual_pass(fast: Column, slow: Column, mask: Column) -> Column:
+    """The fast curve, and the larger of both where `mask` says so: one mask serves P, S and detection."""
+    return F.transform(F.arrays_zip(fast.alias("f"), slow.alias("s"), mask.alias("m")), lambda x: F.when(x["m"], F.greatest(x["f"], x["s"])).otherwise(x["f"]))
 
 
 def pick_near_label(peaks: DataFrame, labels: DataFrame, radius: int, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -101,7 +104,9 @@ def pick_near_label(peaks: DataFrame, labels: DataFrame, radius: int, by: Sequen
     keys = [*by, "trace_name", "phase"]
     near = peaks.join(labels.select("trace_name", "phase", F.col("sample").alias("label_sample")), ["trace_name", "phase"]).filter(F.abs(F.col("sample") - F.col("label_sample")) < radius)
     best = near.groupBy(*keys, "label_sample").agg(F.min_by(F.struct("sample", "prob"), F.struct(-F.col("prob"), "sample")).alias("x"))
-    all_ = labels.select("trace_name", "phase", F.col("sample").alias("label_sample")).join(peaks.select(*by).distinct()) if by else labels.select("trace_name", "phase", F.col("sample").alias("label_sample"))
+    all_ = labels.select("trace_name", "phase", F.col("sample").alias("label_sample"))
+    if by:  # a row for each model: few, and Spark checks the size before it broadcasts them
+        all_ = all_.crossJoin(peaks.select(*by).distinct())
     return all_.join(best, [*keys, "label_sample"], "left").select(*keys, "label_sample", F.col("x.sample").alias("sample"), F.col("x.prob").alias("prob"))
 
 

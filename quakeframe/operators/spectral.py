@@ -81,6 +81,8 @@ def peaks(curves: DataFrame, height: float, distance: int, columns: dict[str, st
             for row in pdf.itertuples(index=False):
                 order = 0
                 for phase, c in columns.items():
+                    if getattr(row, c) is None:  # a trace that failed
+                        continue
                     x = np.asarray(getattr(row, c), float)
                     for i in find_peaks(x, height, distance):
                         rows.append((row.model, row.trace_name, phase, order, int(i), float(x[i])))
@@ -167,47 +169,81 @@ def _generator(seed: int, *names: str) -> np.random.Generator:
 
 
 def matching_noise(reference: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """n samples of noise with the reference's amplitude spectrum, mean and deviation; plain normal under 50 samples."""
+    """n samples of noise with the reference's amplitude spectrum, mean and deviation; plain normal under 50 samples.
+
+    White noise gives the phases only: each of its frequencies is brought to the reference's amplitude.
+    """
     mean, deviation = (reference.mean(), reference.std()) if len(reference) else (0.0, 1.0)
     white = rng.standard_normal(n)
     if len(reference) < 50 or n < 2:
-        return mean + deviation * white
-    amplitude = np.abs(np.fft.rfft(reference - mean))
-    wanted = np.interp(np.linspace(0, 1, n // 2 + 1), np.linspace(0, 1, len(amplitude)), amplitude)
-    shaped = np.fft.irfft(np.fft.rfft(white) * wanted, n)
-    return mean + deviation * (shaped - shaped.mean()) / (shaped.std() or 1.0)
+        return mean + max(deviation, 1e-6) * white
+    amplitude = np.abs(np.fft.rfft(reference))
+    phases = np.fft.rfft(white)
+    wanted = np.interp(np.linspace(0, 1, len(phases)), np.linspace(0, 1, len(amplitude)), amplitude)
+    shaped = np.fft.irfft(phases / (np.abs(phases) + 1e-10) * wanted, n)
+    shaped -= shaped.mean()
+    spread = shaped.std()
+    return mean + (shaped / spread * deviation if spread > 1e-10 else shaped)
+
+
+def _rich(x: np.ndarray, at: int, window: int, digits: int = 4) -> int:
+    """Distinct values of a window, rounded."""
+    return len(np.unique(np.round(x[at : at + window], digits)))
+
+
+def noise_reference(x: np.ndarray, window: int = 500, most: int = 5000, distinct: int = 300) -> np.ndarray:
+    """The first window, every 100 samples and not beyond `most`, with more than `distinct` values; else the first one."""
+    for at in range(0, min(len(x) - window, most), 100):
+        if _rich(x, at, window) > distinct:
+            return x[at : at + window]
+    return x[:window]
 
 
 def pad_with_noise(traces: DataFrame, n: int, seed: int = 42, component: str = "Z", column: str = "samples") -> DataFrame:
-    """Cut to n samples, or filled up behind with noise like the trace's own."""
-    return _map_arrays(traces, column, column, lambda x, r: x[:n] if len(x) >= n else np.concatenate([x, matching_noise(x, n - len(x), _generator(seed, r["trace_name"], component))]), ("trace_name",))
+    """Cut to n samples, or filled up behind with noise like the trace's reference window."""
+    return _map_arrays(traces, column, column, lambda x, r: x[:n] if len(x) >= n else np.concatenate([x, matching_noise(noise_reference(x), n - len(x), _generator(seed, r["trace_name"], component))]), ("trace_name",))
 
 
 def boundary_pads(traces: DataFrame, front: int, back: int, rate: float = 100.0, seed: int = 42, component: str = "Z", column: str = "samples") -> DataFrame:
-    """In front, noise like the first second; behind, the median."""
-    return _map_arrays(traces, column, column, lambda x, r: np.concatenate([matching_noise(x[: int(rate)], front, _generator(seed, r["trace_name"], component)), x, np.full(back, np.median(x) if len(x) else 0.0)]), ("trace_name",))
+    """In front, noise like the first second (ten samples at least); behind, the median."""
+    first = max(10, round(rate))
+    return _map_arrays(traces, column, column, lambda x, r: np.concatenate([matching_noise(x[:first], front, _generator(seed, r["trace_name"], component)), x, np.full(back, np.median(x) if len(x) else 0.0)]), ("trace_name",))
+
+
+def _flat_reference(x: np.ndarray, window: int, distinct: int, digits: int) -> np.ndarray:
+    """What surrounds the first window that isn't flat, by a window on either side; else the middle two windows."""
+    if len(x) < window:
+        return x
+    for at in range(0, len(x) - window, max(window // 2, 1)):
+        if _rich(x, at, window, digits) >= distinct:
+            return x[max(0, at - window) : at + 2 * window]
+    return x[max(0, len(x) // 2 - window) : len(x) // 2 + window]
 
 
 def fill_flat(traces: DataFrame, window: int = 100, distinct: int = 50, digits: int = 4, fade: int = 20, seed: int = 42, component: str = "Z", column: str = "samples") -> DataFrame:
-    """Flat stretches replaced by noise like the rest, faded in and out over at most `fade` samples."""
+    """Flat stretches replaced by noise like the first stretch that isn't, faded in and out over at most `fade` samples.
+
+    Fades take a quarter of a stretch at most, and none is needed at the trace's own ends.
+    """
 
     def fill(x: np.ndarray, r: dict) -> np.ndarray:
         flat = np.zeros(len(x), bool)
-        rounded = np.round(x, digits)
-        for a in range(0, max(len(x) - window, 0) + 1, max(window // 2, 1)):
-            if len(np.unique(rounded[a : a + window])) < distinct:
-                flat[a : a + window] = True
+        for at in range(0, len(x) - window + 1, max(window // 2, 1)):
+            if _rich(x, at, window, digits) < distinct:
+                flat[at : at + window] = True
         if not flat.any():
             return x
-        reference = x[~flat]
-        noise = matching_noise(reference if len(reference) else x, len(x), _generator(seed, r["trace_name"], component))
+        reference, rng, out = _flat_reference(x, window, distinct, digits), _generator(seed, r["trace_name"], component), x.copy()
         steps = np.flatnonzero(np.diff(np.concatenate([[False], flat, [False]]).astype(int)))
-        share = flat.astype(float)
         for a, b in zip(steps[::2], steps[1::2]):
-            k = min(fade, (b - a) // 2)
-            if k:
-                share[a : a + k], share[b - k : b] = np.linspace(0, 1, k), np.linspace(1, 0, k)
-        return x * (1 - share) + noise * share
+            k = min(fade, (b - a) // 4)
+            share = np.ones(b - a)
+            if a > 0:
+                share[:k] = np.linspace(0, 1, k)
+            if b < len(x):
+                share[len(share) - k :] = np.linspace(1, 0, k)
+            out[a:b] = x[a:b] * (1 - share) + matching_noise(reference, b - a, rng) * share
+        return out
 
     return _map_arrays(traces, column, column, fill, ("trace_name",))
 
@@ -229,13 +265,10 @@ def envelope(x: np.ndarray) -> np.ndarray:
 
 
 def coda_end(x: np.ndarray, s_sample: int, rate: float, share: float = 0.05, smooth_s: float = 1.0) -> int:
-    """First sample after S at which the smoothed envelope is below `share` of its largest value after S; else the last."""
+    """First sample from S on at which the smoothed envelope is below `share` of its largest value from S on; else the last."""
     width = max(int(smooth_s * rate), 1)
-    e = np.convolve(envelope(x), np.ones(width) / width, mode="same")
-    after = e[s_sample:]
-    if not len(after):
-        return len(x) - 1
-    low = np.flatnonzero((after < share * after.max()) & (np.arange(len(after)) > int(after.argmax())))
+    after = np.convolve(envelope(x), np.ones(width) / width, mode="same")[s_sample:]
+    low = np.flatnonzero(after < share * after.max()) if len(after) else np.zeros(0, int)
     return int(s_sample + low[0]) if len(low) else len(x) - 1
 
 
@@ -250,6 +283,25 @@ def envelope_coda(traces: DataFrame, rate: float = 100.0, share: float = 0.05, s
     return traces.select("trace_name", "samples", F.col("s_sample").cast("int").alias("s_sample")).mapInPandas(run, "trace_name string, s_sample int, coda_end int")
 
 
+def coda_window(traces: DataFrame, method: str = "arias", rate: float = 100.0) -> DataFrame:
+    """Where the coda of the stronger horizontal begins and ends: (trace_name, start_s, end_s), seconds from the start.
+
+    arias: from 5 to 95 % of the energy of its derivative. envelope: from S, or the start without one, to the envelope's
+    end. Needs trace_name, e, n, z, s_sample; a trace without samples has neither.
+    """
+    from quakeframe.operators.motion import best_horizontal, gradient, husid_d5_95
+
+    best = traces.select("trace_name", best_horizontal(F.col("e"), F.col("n"), F.col("z")).alias("samples"), "s_sample").filter(F.size("samples") > 0)
+    if method == "arias":
+        spans = best.select("trace_name", husid_d5_95(gradient(F.col("samples"), 1 / rate)).alias("x"))
+        return spans.select("trace_name", (F.col("x.i5") / rate).alias("start_s"), (F.col("x.i95") / rate).alias("end_s"))
+    if method != "envelope":
+        raise ValueError("method is 'arias' or 'envelope'")
+    s = F.greatest(F.least(F.coalesce("s_sample", F.lit(0)), F.size("samples") - 1), F.lit(0))
+    spans = envelope_coda(best.withColumn("s_sample", s), rate)
+    return spans.select("trace_name", (F.col("s_sample") / rate).alias("start_s"), (F.col("coda_end") / rate).alias("end_s"))
+
+
 # --- prediction --------------------------------------------------------------------------------------------------
 
 Predictor = Callable[[np.ndarray], np.ndarray]
@@ -269,83 +321,234 @@ def standardized(windows: np.ndarray) -> np.ndarray:
     return (windows - windows.mean(axis=1, keepdims=True)) / np.where(d < 1e-10, 1.0, d)
 
 
-def stacked(predictions: np.ndarray, at: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
-    """Weighted mean of what windows say about each sample; (n, channels)."""
-    total, weight = np.zeros((n, predictions.shape[2])), np.zeros(n)
-    for p, a in zip(predictions, at):
-        total[a : a + len(p)] += p * weights[:, None]
-        weight[a : a + len(p)] += weights
-    return total / np.maximum(weight, 1e-8)[:, None]
-
+def laid_out(x: np.ndarray, window: int, step: int, tolerance: int, noise: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """What is predicted for a trace (n, channels): samples, window starts, and where the trace begins in the samples.
 
-def predict_trace(x: np.ndarray, predict: Predictor, window: int, step: int, batch_size: int, weights: np.ndarray) -> np.ndarray:
-    """Curves of one trace (n, channels): traces up to 100 samples longer than a window are only padded to a window,
-    longer ones by a window at both ends."""
+    Up to `tolerance` samples more than a window: its first window, followed by zeros where it is shorter. Longer traces
+    get a window of noise like their own at both ends.
+    """
     n = len(x)
-    front = 0 if n <= window + 100 else window
-    length = max(window, n + 2 * front)
-    wide = np.zeros((length, x.shape[1]))
-    wide[front : front + n] = x
-    at = starts(length, window, step)
-    out = [predict(standardized(np.stack([wide[a : a + window] for a in at[lo : lo + batch_size]]))) for lo in range(0, len(at), batch_size)]
-    return stacked(np.concatenate(out), at, length, weights)[front : front + n]
+    if n <= window + tolerance:
+        return np.concatenate([x[:window], np.zeros((max(window - n, 0), x.shape[1]))]), np.zeros(1, int), 0
+    front, back = zip(*(noise(x[:, c], c) for c in range(x.shape[1])))
+    wide = np.concatenate([np.stack(front, axis=1), x, np.stack(back, axis=1)])
+    return wide, starts(len(wide), window, step), window
+
+
+def _ones_for_detection(y: np.ndarray) -> np.ndarray:
+    return y if y.shape[2] > 2 else np.concatenate([y[:, :, :2], np.ones((*y.shape[:2], 1))], axis=2)
 
 
-def annotate(traces: DataFrame, predict: Predictor, window: int = 6000, step: int = 1000, batch_size: int = 32, model: str = "model", order: str = "ENZ", weights: np.ndarray | None = None) -> DataFrame:
-    """P, S and detection curves by sliding-window prediction: (model, trace_name, p, s, m), arrays as long as the trace.
+class Batches:
+    """Windows of many traces, predicted in full batches; a failing batch is tried again window by window.
+
+    `add` takes a trace's windows, `results` gives each trace's weighted mean of what its windows say, or the error that
+    the predictor raised on one of them.
+    """
+
+    def __init__(self, predict: Predictor, size: int, weights: np.ndarray):
+        self.predict, self.size, self.weights = predict, size, weights
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+        self.errors: list[str | None] = []
+        self.waiting: list[tuple[int, int, np.ndarray]] = []
+
+    def add(self, wide: np.ndarray, at: np.ndarray) -> None:
+        self.sums.append((np.zeros((len(wide), 3)), np.zeros(len(wide))))
+        self.errors.append(None)
+        for a in at.tolist():
+            self.waiting.append((len(self.sums) - 1, a, wide[a : a + len(self.weights)]))
+            if len(self.waiting) == self.size:
+                self._run()
+
+    def fail(self, error: Exception) -> None:
+        self.sums.append((np.zeros((0, 3)), np.zeros(0)))
+        self.errors.append(f"{type(error).__name__}: {error}")
+
+    def _run(self) -> None:
+        batch, self.waiting = self.waiting, []
+        if not batch:
+            return
+        try:
+            self._take(batch)
+        except Exception as error:  # a predictor may raise anything, and only the trace it can't do is lost
+            if len(batch) == 1:
+                self.errors[batch[0][0]] = f"{type(error).__name__}: {error}"
+            else:
+                for one in batch:
+                    self.waiting = [one]
+                    self._run()
+
+    def _take(self, batch: list[tuple[int, int, np.ndarray]]) -> None:
+        predicted = _ones_for_detection(np.asarray(self.predict(standardized(np.stack([x for _, _, x in batch]))), float))
+        for (trace, a, _), y in zip(batch, predicted):
+            total, weight = self.sums[trace]
+            total[a : a + len(y)] += y * self.weights[:, None]
+            weight[a : a + len(y)] += self.weights
+
+    def results(self) -> list[tuple[np.ndarray, str | None]]:
+        self._run()
+        return [(total / np.maximum(weight, 1e-8)[:, None], error) for (total, weight), error in zip(self.sums, self.errors)]
+
+
+def _predicted(rows: list[tuple[str, np.ndarray | Exception]], predict: Predictor, window: int, step: int, batch_size: int, weights: np.ndarray, tolerance: int, seed: int) -> list[tuple[np.ndarray | None, str | None]]:
+    """Curves (n, 3), or an error, of named traces (n, channels). Samples where any curve isn't finite are 0 in all."""
+    batches, placed = Batches(predict, batch_size, weights), []
+    for name, x in rows:
+        if isinstance(x, Exception):
+            batches.fail(x)
+            placed.append((0, 0))
+            continue
+
+        def noise(channel: np.ndarray, c: int, name: str = name) -> tuple[np.ndarray, np.ndarray]:
+            reference, rng = noise_reference(channel), _generator(seed, name, str(c))
+            return matching_noise(reference, window, rng), matching_noise(reference, window, rng)
+
+        wide, at, front = laid_out(x, window, step, tolerance, noise)
+        batches.add(wide, at if len(x) else at[:0])
+        placed.append((front, len(x)))
+    out = []
+    for (front, n), (y, error) in zip(placed, batches.results()):
+        if error is None:
+            y = y[front : front + n]
+            y = np.concatenate([y, np.zeros((n - len(y), 3))])
+            y[~np.isfinite(y).all(axis=1)] = 0.0
+        out.append((None if error else y, error))
+    return out
+
+
+def _channels(row, order: str, prefix: str = "") -> np.ndarray | Exception:
+    """A row's components (n, channels), or what is wrong with them."""
+    try:
+        return np.stack([np.asarray(getattr(row, prefix + c), float) for c in order.lower()], axis=1)
+    except (TypeError, ValueError) as error:
+        return error
+
+
+CURVES = "p array<double>, s array<double>, m array<double>, error string"
+
+
+def _curve_schema(df: DataFrame, keep: tuple[str, ...]) -> str:
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep]
+    return ", ".join(["model string, trace_name string", *kept, CURVES])
+
+
+def _curve_row(y: np.ndarray | None, error: str | None) -> tuple:
+    return (None, None, None, error) if y is None else (y[:, 0], y[:, 1], y[:, 2], None)
+
+
+def annotate(traces: DataFrame, predict: Predictor, window: int = 6000, step: int = 1000, batch_size: int = 32, model: str = "model", order: str = "ENZ", weights: np.ndarray | None = None, tolerance: int = 100, seed: int = 42, keep: tuple[str, ...] = ("trace_start_time",)) -> DataFrame:
+    """P, S and detection curves by sliding-window prediction: (model, trace_name, p, s, m, error), arrays as long as the trace.
 
     predict: batches (n, window, 3) to (n, window, 3) or (n, window, 2), in which case the missing detection is 1. It is
-    sent to the workers; windows of a trace are cut, predicted in batches and stacked inside one task, without a shuffle.
+    sent to the workers; windows of all traces of an Arrow batch share prediction batches and are stacked inside the task,
+    without a shuffle. A trace on which the predictor raises, or whose components are missing or of unequal lengths, has
+    null curves and the error; the others keep theirs. Of `keep`, columns that the traces have come along: by the start
+    time, curves are placed in time.
     """
     w = np.ones(window) if weights is None else np.asarray(weights, float)
+    keep = tuple(c for c in traces.columns if c in keep)
+    names = ["model", "trace_name", *keep, "p", "s", "m", "error"]
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                x = np.stack([np.asarray(getattr(row, c), float) for c in order.lower()], axis=1)
-                y = predict_trace(x, predict, window, step, batch_size, w) if len(x) else np.zeros((0, 3))
-                m = y[:, 2] if y.shape[1] > 2 else np.ones(len(y))
-                rows.append((model, row.trace_name, y[:, 0], y[:, 1], m))
-            yield pd.DataFrame(rows, columns=["model", "trace_name", "p", "s", "m"])
+            rows = [(row.trace_name, _channels(row, order)) for row in pdf.itertuples(index=False)]
+            got = [_curve_row(*r) for r in _predicted(rows, predict, window, step, batch_size, w, tolerance, seed)]
+            yield pd.DataFrame([(model, name, *(pdf[c].iat[i] for c in keep), *r) for i, ((name, _), r) in enumerate(zip(rows, got))], columns=names)
+
+    return traces.select("trace_name", *keep, *order.lower()).mapInPandas(run, _curve_schema(traces, keep))
 
-    return traces.select("trace_name", *order.lower()).mapInPandas(run, "model string, trace_name string, p array<double>, s array<double>, m array<double>")
 
+def failures(curves: DataFrame, stage: str = "classify") -> DataFrame:
+    """Traces that prediction gave up on: (model, trace_name, stage, error), what summaries and failure tallies take."""
+    return curves.filter("error IS NOT NULL").select("model", "trace_name", F.lit(stage).alias("stage"), "error")
 
-def refine(curves: DataFrame, traces: DataFrame, predict: Predictor, on: float, off: float, window: int = 6000, lead: int = 500, order: str = "ENZ") -> DataFrame:
-    """Predicts again from `lead` samples before each trigger; takes the new [on, off) where its mean detection is lower."""
+
+def smoothed(x: np.ndarray, width: int) -> np.ndarray:
+    """Centred moving average; near the ends, of the samples that are there."""
+    if width <= 1 or not len(x):
+        return x
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    i = np.arange(len(x))
+    lo, hi = np.maximum(i - width // 2, 0), np.minimum(i + width - width // 2, len(x))
+    return (total[hi] - total[lo]) / (hi - lo)
+
+
+def refine(curves: DataFrame, traces: DataFrame, predict: Predictor, on: float = 0.3, off: float = 0.3, window: int = 6000, lead_s: float = 5.0, smooth_s: float = 0.1, rate: float = 100.0, order: str = "ENZ", keep_if_lower: bool = True) -> DataFrame:
+    """Predicts again from lead_s before each trigger of the smoothed detection and takes the new curves for [on, off).
+
+    With keep_if_lower, a stretch stays as it was where the new mean detection is lower than the old. Triggers and old
+    means are those of the given curves, whatever has been replaced before. A trace whose prediction raises has its error
+    and null curves. Curves and traces meet in one join by trace_name.
+    """
+    lead, width = round(lead_s * rate), max(1, round(smooth_s * rate))
 
     def run(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                y = np.stack([np.array(row.p, float), np.array(row.s, float), np.array(row.m, float)], axis=1)
-                x = np.stack([np.asarray(getattr(row, f"x_{c}"), float) for c in order.lower()], axis=1)
-                for a, b in trigger_onsets(y[:, 2].copy(), on, off):
-                    lo = max(a - lead, 0)
-                    part = np.zeros((window, x.shape[1]))
-                    part[: len(x[lo : lo + window])] = x[lo : lo + window]
-                    new = predict(standardized(part[None]))[0]
-                    hi = min(b, lo + window, len(y))
-                    if hi > a and new[a - lo : hi - lo, 2].mean() < y[a:hi, 2].mean():
-                        y[a:hi] = new[a - lo : hi - lo]
-                out.append((row.model, row.trace_name, y[:, 0], y[:, 1], y[:, 2]))
-            yield pd.DataFrame(out, columns=["model", "trace_name", "p", "s", "m"])
-
-    wide = curves.join(traces.select("trace_name", *(F.col(c).alias(f"x_{c}") for c in order.lower())), "trace_name")
-    return wide.select("model", "trace_name", "p", "s", "m", *(f"x_{c}" for c in order.lower())).mapInPandas(run, "model string, trace_name string, p array<double>, s array<double>, m array<double>")
-
-
-def dual_pass(traces: DataFrame, predict: Predictor, threshold: float = 0.3, window: int = 6000, step: int = 1000, rate: float = 100.0, slow_rate: float = 50.0, least_s: float = 8.0, coverage: float = 0.7, model: str = "dual") -> DataFrame:
-    """Curves at full rate, filled where a pass at the slow rate sees a long arrival that the fast one covers thinly."""
-    from quakeframe.operators.curves import dual_pass as fill
-    from quakeframe.operators.curves import interpolate
-
-    slow_traces = traces
-    for c in ("e", "n", "z"):
-        slow_traces = resample(slow_traces, rate, slow_rate, c)
-    fast = annotate(traces, predict, window, step, model=model)
-    slow = annotate(slow_traces, predict, window, step, model=model).select("trace_name", *(F.col(c).alias(f"slow_{c}") for c in ("p", "s", "m")))
-    both = fast.join(slow, "trace_name")
-    both = both.withColumns({f"slow_{c}": interpolate(F.col(f"slow_{c}"), F.size(c)) for c in ("p", "s", "m")})
-    return both.select("model", "trace_name", *(fill(F.col(c), F.col(f"slow_{c}"), threshold, int(least_s * rate), coverage).alias(c) for c in ("p", "s", "m")))
+                x = _channels(row, order, "x_")
+                if row.error is not None or isinstance(x, Exception):
+                    out.append((row.model, row.trace_name, None, None, None, row.error or f"{type(x).__name__}: {x}"))
+                    continue
+                old = np.stack([np.array(row.p, float), np.array(row.s, float), np.array(row.m, float)], axis=1)
+                new, error = old.copy(), None
+                try:
+                    for a, b in trigger_onsets(smoothed(old[:, 2], width), on, off):
+                        lo = max(a - lead, 0)
+                        hi = min(b, lo + window, len(old))
+                        if hi <= a:
+                            continue
+                        part = np.zeros((1, window, x.shape[1]))
+                        part[0, : len(x[lo : lo + window])] = x[lo : lo + window]
+                        y = _ones_for_detection(np.asarray(predict(standardized(part)), float))[0, a - lo : hi - lo]
+                        if not keep_if_lower or y[:, 2].mean() >= old[a:hi, 2].mean():
+                            new[a:hi] = y
+                except Exception as raised:  # as in prediction: only this trace is lost
+                    new, error = None, f"{type(raised).__name__}: {raised}"
+                out.append((row.model, row.trace_name, *_curve_row(new, error)))
+            yield pd.DataFrame(out, columns=["model", "trace_name", "p", "s", "m", "error"])
+
+    error = F.col("error") if "error" in curves.columns else F.lit(None).cast("string")
+    wide = curves.select("model", "trace_name", "p", "s", "m", error.alias("error")).join(traces.select("trace_name", *(F.col(c).alias(f"x_{c}") for c in order.lower())), "trace_name")
+    return wide.mapInPandas(run, f"model string, trace_name string, {CURVES}")
+
+
+def fill_places(fast: np.ndarray, slow: np.ndarray, fast_threshold: float, slow_threshold: float, least: int, coverage: float) -> np.ndarray:
+    """Samples to fill, by the two detection curves: inside runs of `least` samples or more at which the slow one reaches
+    its threshold, if the fast one reaches its own on less than `coverage` of the run, those on which it doesn't."""
+    there, seen = fast >= fast_threshold, np.concatenate([[False], slow >= slow_threshold, [False]])
+    fill = np.zeros(len(fast), bool)
+    steps = np.flatnonzero(seen[1:] != seen[:-1])
+    for a, b in zip(steps[::2], steps[1::2]):
+        if b - a >= least and there[a:b].mean() < coverage:
+            fill[a:b] = ~there[a:b]
+    return fill
+
+
+def dual_pass(traces: DataFrame, predict: Predictor, fast_threshold: float = 0.3, slow_threshold: float = 0.25, window: int = 6000, step: int = 1000, rate: float = 100.0, slow_rate: float = 50.0, least_s: float = 8.0, coverage: float = 0.7, batch_size: int = 32, model: str = "dual", order: str = "ENZ", tolerance: int = 100, seed: int = 42) -> DataFrame:
+    """Curves at full rate, with all three filled where a pass at the slow rate sees a long event that the fast one misses.
+
+    Both passes run in the same Arrow step: one row in, one out. Where to fill is decided by the detection curves alone,
+    and there each curve becomes the larger of both. `step` is in samples of either pass.
+    """
+    from fractions import Fraction
+
+    ratio = Fraction(slow_rate / rate).limit_denominator(MAX_DENOMINATOR)
+    w, least = np.ones(window), max(1, round(least_s * rate))
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(row.trace_name, _channels(row, order)) for row in pdf.itertuples(index=False)]
+            slower = [(n, x if isinstance(x, Exception) else np.stack([resample_array(x[:, c], ratio.numerator, ratio.denominator) for c in range(x.shape[1])], axis=1)) for n, x in rows]
+            passes = (_predicted(r, predict, window, step, batch_size, w, tolerance, seed) for r in (rows, slower))
+            out = []
+            for (name, _), (fast, error), (slow, other) in zip(rows, *passes):
+                if error is None and other is None and len(slow):
+                    at = np.linspace(0, len(fast) - 1, len(slow))
+                    slow = np.stack([np.interp(np.arange(len(fast)), at, slow[:, c]) for c in range(3)], axis=1)
+                    fill = fill_places(fast[:, 2], slow[:, 2], fast_threshold, slow_threshold, least, coverage)
+                    fast[fill] = np.maximum(fast[fill], slow[fill])
+                out.append((model, name, *_curve_row(None if other else fast, error or other)))
+            yield pd.DataFrame(out, columns=["model", "trace_name", "p", "s", "m", "error"])
+
+    return traces.select("trace_name", *order.lower()).mapInPandas(run, f"model string, trace_name string, {CURVES}")

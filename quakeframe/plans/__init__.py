@@ -15,7 +15,7 @@ MODULES = (scoring, waveforms, corpus, arrow_and_streams)
 NUMBERS = {
     "w8_smooth": ("x",), "w10_windows": ("x",), "w11_standardize": ("x",), "w12_overlap_add": ("curve",), "w13_median_stack": ("curve",), "w15_padding": ("zero", "last", "median"), "w19_stream_standardize": ("x",),
     "w21_dual_pass": ("x",), "w22_interpolate": ("x",), "w26_mask_curves": ("p", "s", "m"), "w31_detrend": ("demeaned", "detrended"), "w36_labels": ("p", "n"), "w37_detection_label": ("d",), "w41_guard": ("p", "s", "m"),
-    "w43_f6_coda": ("x",), "j16_best_horizontal": ("x",), "p5_physical": ("z", "e"), "p20_stack": ("z", "n", "e"), "x1_annotate": ("p",),
+    "w43_f6_coda": ("x",), "j16_best_horizontal": ("x",), "p5_physical": ("z", "e"), "p20_stack": ("z", "n", "e"), "x1_annotate": ("p",), "x1_short": ("p",), "x1_cut": ("p",),
 }
 WORDS = {"p7_years": ("years",), "a13_profile": ("years",)}
 

@@ -14,7 +14,8 @@ from quakeframe.operators import match, models, scoring, spectral
 from quakeframe.plans import views as v
 from quakeframe.plans.scoring import rounded
 from quakeframe.plans.views import EVENTS_SQL, TRACES_SQL
-from quakeframe.plans.waveforms import _curves, _picked, _round, _traces
+from quakeframe.plans.waveforms import _CURVES, _HUSID_GRADIENT, _PICKED, _curves, _islands, _picked, _round, _traces
+from quakeframe.sources.tables import arrival_times
 from quakeframe.streaming import jobs
 
 
@@ -39,8 +40,16 @@ def linear_predict(batch: np.ndarray) -> np.ndarray:
     return batch / 2
 
 
-def _annotated(s, d, predict=demo_predict):
-    return spectral.annotate(_three(s, d), predict, window=32, step=8, batch_size=4, model="m0")
+def _annotated(s, d, predict=linear_predict):
+    """Curves of one window over the whole trace: nothing is padded."""
+    return spectral.annotate(_three(s, d), predict, window=64, step=16, batch_size=4, model="m0", tolerance=0)
+
+
+def picky_predict(batch: np.ndarray) -> np.ndarray:
+    """A stand-in predictor that gives up on windows that begin loud."""
+    if (batch[:, 0, 0] > 1.5).any():
+        raise ValueError("loud")
+    return batch / 2
 
 
 def _filtered_summary(df, column="samples"):
@@ -110,7 +119,7 @@ def x8_pick_curve(s, d):
 
 def x6_registered(s, d):
     """A model run by its name, with the table of models beside it."""
-    models.register("demo", demo_predict, has_detection_head=False, window=32, step=8, batch_size=4)
+    models.register("demo", demo_predict, has_detection_head=False, window=64, step=16, batch_size=4)
     return models.run(_three(s, d), "demo").join(models.table(s), "model").select("model", "trace_name", "has_detection_head", F.round(F.array_max("p"), 5).alias("top"))
 
 
@@ -122,30 +131,76 @@ QUERIES = {
     "w16_fill_flat": lambda s, d: _filtered_summary(spectral.fill_flat(_traces(s, d), 8, 7, 1)),
     "w18_matching_noise": lambda s, d: _filtered_summary(spectral.pad_with_noise(_traces(s, d), 128)),
     "w18_boundary_pads": lambda s, d: _filtered_summary(spectral.boundary_pads(_traces(s, d), 30, 20)),
-    "w20_refine": lambda s, d: _filtered_summary(spectral.refine(_annotated(s, d), _three(s, d), demo_predict, 0.6, 0.3, window=32, lead=4), "m"),
+    "w20_refine": lambda s, d: _filtered_summary(spectral.refine(_curves(s, d), _three(s, d), linear_predict, 0.35, 0.15, window=24, lead_s=4.0, smooth_s=3.0, rate=1.0), "m"),
+    "w29_coda_window": lambda s, d: rounded(spectral.coda_window(_three(s, d).withColumn("s_sample", F.lit(None).cast("int")), "arias", 100.0), 9),
     "w23_resample": lambda s, d: _filtered_summary(spectral.resample(_traces(s, d), 100.0, 50.0)),
     "w28_envelope_coda": lambda s, d: spectral.envelope_coda(_picked(s, d), rate=4.0, share=0.4),
     "w31_bandpass": lambda s, d: _filtered_summary(spectral.bandpass(_traces(s, d), 2.0, 20.0)),
-    "x1_annotate": lambda s, d: spectral.annotate(_three(s, d), linear_predict, window=16, step=8, model="m0").select("trace_name", _round("p").alias("p")),
+    "f12_failures": lambda s, d: spectral.failures(_annotated(s, d, picky_predict)),
+    "s7_arrivals": lambda s, d: arrival_times(_picked(s, d).withColumn("position", F.col("trace_name").cast("bigint")), 4.0),
+    # Samples that no window with padding reaches; the padding is noise.
+    "x1_annotate": lambda s, d: spectral.annotate(_three(s, d), linear_predict, window=16, step=8, model="m0", tolerance=8).select("trace_name", F.slice(_round("p"), 9, 48).alias("p")),
+    "x1_short": lambda s, d: spectral.annotate(_three(s, d), linear_predict, window=80, step=8, batch_size=7).select("trace_name", _round("p").alias("p")),
+    "x1_cut": lambda s, d: spectral.annotate(_three(s, d), linear_predict, window=60, step=8, tolerance=4).select("trace_name", _round("p").alias("p")),
+    "x3_start_times": lambda s, d: spectral.annotate(_three(s, d).withColumn("trace_start_time", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(trace_name as int))")), linear_predict, window=64).select("trace_name", "trace_start_time", F.size("p").alias("n")),
     "x2_classify_picks": lambda s, d: rounded(spectral.classify(_annotated(s, d), 0.5, 0.6, 0.5, distance=5)[0]),
     "x2_classify_boxes": lambda s, d: rounded(spectral.classify(_annotated(s, d), 0.5, 0.6, 0.5, distance=5)[1]),
-    "x5_dual_pass": lambda s, d: _filtered_summary(spectral.dual_pass(_three(s, d), demo_predict, 0.5, window=32, step=8, least_s=0.05), "m"),
+    "x5_dual_pass": lambda s, d: _filtered_summary(spectral.dual_pass(_three(s, d), linear_predict, window=64, step=16, least_s=0.03, tolerance=0), "p"),
     "a19_t3": lambda s, d: rounded(match.closest_match(spectral.peaks(_curves(s, d), 0.1, 5).withColumn("offset_s", F.col("sample").cast("double")), _picked(s, d).filter("p_sample IS NOT NULL").select("trace_name", F.lit("P").alias("phase"), F.col("p_sample").cast("double").alias("true_s")), 10.0)),
     "t1_stream_windows": t1_stream_windows,
     "t2_stream_gate": t2_stream_gate,
     "t3_incremental_score": t3_incremental_score,
 }
 
+_Z = """
+zf AS (SELECT trace_name, i, (v - avg(v) OVER w) / stddev_pop(v) OVER w / 2 AS z FROM long WINDOW w AS (PARTITION BY trace_name))"""
+#: Every second sample of a windowed sinc of half the band, edges continued.
+_HALVED = """
+kernel AS (SELECT k, CASE WHEN k = 0 THEN 1 ELSE sin(pi() * k / 2) / (pi() * k / 2) END * (0.5 + 0.5 * cos(pi() * k / 32)) AS w FROM (SELECT unnest(range(-32, 33)) AS k)),
+rs AS (SELECT trace_name, t AS i, sum(w * samples[greatest(least(2 * t + k, 63), 0) + 1]) / sum(w) AS v FROM traces, (SELECT unnest(range(32)) AS t), kernel GROUP BY 1, 2)"""
+_SUMMED = "SELECT trace_name, count(*)::INT AS n, round(max(abs({0})), 5) AS top, round(sum({0} * {0}), 5) AS energy FROM {1} GROUP BY 1"
+
 ORACLE_SQL = {
     "a20_coda_t1": f"""WITH {TRACES_SQL},
 b AS (SELECT 1 AS y, max(abs(v) * 2) AS sc FROM long GROUP BY trace_name UNION ALL SELECT 0, max(abs(v) * 2) FROM long WHERE i >= 32 AND trace_name::BIGINT % 3 <> 0 GROUP BY trace_name),
 r AS (SELECT *, rank() OVER (ORDER BY sc) + (count(*) OVER (PARTITION BY sc) - 1) / 2 AS rk FROM b),
 n AS (SELECT count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, sum(rk) FILTER (y = 1) AS s, count(*) FILTER (y = 1 AND sc >= 0.8) AS tp, count(*) FILTER (y = 0 AND sc >= 0.8) AS fp, count(*) FILTER (y = 1 AND sc < 0.8) AS fn FROM r)
 SELECT 'm0' AS model, n_pos, n_neg, round((s - n_pos * (n_pos + 1) / 2) / (n_pos::DOUBLE * n_neg), 6) AS auc, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM n""",
+    "f12_failures": f"""WITH {TRACES_SQL}, {_Z} SELECT 'm0' AS model, trace_name, 'classify' AS stage, 'ValueError: loud' AS error FROM zf WHERE i = 0 AND 2 * z > 1.5""",
+    "s7_arrivals": f"""WITH {TRACES_SQL}, {_PICKED}
+SELECT trace_name, phase, TIMESTAMP '2000-01-01' + to_microseconds(id * 1000000000 + x * 250000) AS true_time FROM (SELECT trace_name, id, 'P' AS phase, p_sample AS x FROM picked UNION ALL SELECT trace_name, id, 'S', s_sample FROM picked) WHERE x IS NOT NULL""",
+    "w20_refine": f"""WITH {TRACES_SQL}, {_CURVES},
+sm AS (SELECT trace_name, i, m, avg(m) OVER (PARTITION BY trace_name ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS q FROM cl),
+{_islands("sm", "q > 0.15")},
+trg AS (SELECT isl.trace_name, min(i) AS a, b FROM isl JOIN sm ON isl.trace_name = sm.trace_name AND i BETWEEN isl.a AND b AND q > 0.35 GROUP BY isl.trace_name, isl.a, b),
+win AS (SELECT trace_name, a, greatest(a - 4, 0) AS lo, least(b, greatest(a - 4, 0) + 24, 64) AS hi, list_resize(samples[greatest(a - 4, 0) + 1:greatest(a - 4, 0) + 24], 24, 0.0) AS x FROM trg JOIN traces USING (trace_name)),
+new AS (SELECT trace_name, a, i, -(x[i - lo + 1] - list_avg(x)) / list_stddev_pop(x) / 2 AS y FROM (SELECT *, unnest(range(a, hi)) AS i FROM win WHERE hi > a)),
+taken AS (SELECT trace_name, a FROM new JOIN cl USING (trace_name, i) GROUP BY 1, 2 HAVING avg(y) >= avg(m)),
+done AS (SELECT cl.trace_name, cl.i, coalesce(r.y, cl.m) AS m FROM cl LEFT JOIN (SELECT new.* FROM new JOIN taken USING (trace_name, a)) r ON r.trace_name = cl.trace_name AND r.i = cl.i)
+{_SUMMED.format("m", "done")}""",
+    "w23_resample": f"WITH {TRACES_SQL}, {_HALVED} {_SUMMED.format('v', 'rs')}",
+    "w29_coda_window": f"WITH {TRACES_SQL}, {_HUSID_GRADIENT} SELECT trace_name, round(i5 / 100, 9) AS start_s, round(i95 / 100, 9) AS end_s FROM hu",
     "x1_annotate": f"""WITH {TRACES_SQL},
 win AS (SELECT trace_name, a, samples[a + 1:a + 16] AS x FROM traces, (SELECT unnest([0, 8, 16, 24, 32, 40, 48]) AS a)),
 std AS (SELECT trace_name, a, unnest(range(16)) AS j, unnest(list_transform(x, lambda q: (q - list_avg(x)) / CASE WHEN list_stddev_pop(x) < 1e-10 THEN 1 ELSE list_stddev_pop(x) END / 2)) AS q FROM win)
-SELECT trace_name, list(round(c, 6) + 0.0 ORDER BY i) AS p FROM (SELECT trace_name, a + j AS i, avg(q) AS c FROM std GROUP BY 1, 2) GROUP BY 1""",
+SELECT trace_name, list(round(c, 6) + 0.0 ORDER BY i) AS p FROM (SELECT trace_name, a + j AS i, avg(q) AS c FROM std GROUP BY 1, 2) WHERE i BETWEEN 8 AND 55 GROUP BY 1""",
+    "x1_short": f"""WITH {TRACES_SQL}, m AS (SELECT trace_name, sum(v) / 80 AS mean, sqrt(sum(v * v) / 80 - (sum(v) / 80) ** 2) AS dev FROM long GROUP BY 1)
+SELECT trace_name, list(round((v - mean) / dev / 2, 6) + 0.0 ORDER BY i) AS p FROM long JOIN m USING (trace_name) GROUP BY 1""",
+    "x1_cut": f"""WITH {TRACES_SQL}, m AS (SELECT trace_name, avg(v) AS mean, stddev_pop(v) AS dev FROM long WHERE i < 60 GROUP BY 1)
+SELECT trace_name, list(CASE WHEN i < 60 THEN round((v - mean) / dev / 2, 6) ELSE 0 END + 0.0 ORDER BY i) AS p FROM long JOIN m USING (trace_name) GROUP BY 1""",
+    "x2_classify_boxes": f"""WITH {TRACES_SQL}, {_Z}, {_islands("zf", "-z > 0.5")}
+SELECT 'm0' AS model, trace_name, (row_number() OVER (PARTITION BY trace_name ORDER BY a) - 1)::INT AS emit_order, round(a / 100, 6) AS start_s, round(b / 100, 6) AS end_s, round(top, 6) AS peak_value
+FROM (SELECT isl.trace_name, a, b, max(-z) AS top FROM isl JOIN zf ON isl.trace_name = zf.trace_name AND i BETWEEN a AND b GROUP BY 1, 2, 3)""",
+    "x3_start_times": f"WITH {TRACES_SQL} SELECT trace_name, TIMESTAMP '2024-01-01' + to_seconds(trace_name::BIGINT) AS trace_start_time, 64 AS n FROM traces",
+    "x5_dual_pass": f"""WITH {TRACES_SQL}, {_Z}, {_HALVED},
+m AS (SELECT trace_name, sum(v) / 64 AS mean, sqrt(sum(v * v) / 64 - (sum(v) / 64) ** 2) AS dev FROM rs GROUP BY 1),
+sl AS (SELECT trace_name, list((v - mean) / dev / 2 ORDER BY i) AS s FROM rs JOIN m USING (trace_name) GROUP BY 1),
+duo AS (SELECT trace_name, i, z, s[floor(i * 31 / 63)::INT + 1] * (1 - (i * 31 / 63 - floor(i * 31 / 63))) + coalesce(s[floor(i * 31 / 63)::INT + 2], 0) * (i * 31 / 63 - floor(i * 31 / 63)) AS u FROM zf JOIN sl USING (trace_name)),
+{_islands("duo", "-u >= 0.25", least=3)},
+thin AS (SELECT isl.trace_name, a, b FROM isl JOIN duo ON duo.trace_name = isl.trace_name AND i BETWEEN a AND b GROUP BY 1, 2, 3 HAVING count(*) FILTER (-z >= 0.3) / count(*) < 0.7),
+done AS (SELECT CASE WHEN -z < 0.3 AND EXISTS (SELECT 1 FROM thin WHERE thin.trace_name = duo.trace_name AND i BETWEEN a AND b) THEN greatest(z, u) ELSE z END AS p, trace_name FROM duo)
+{_SUMMED.format("p", "done")}""",
+    "x6_registered": f"WITH {TRACES_SQL}, {_Z} SELECT 'demo' AS model, trace_name, FALSE AS has_detection_head, round(max(tanh(abs(2 * z))), 5) AS top FROM zf GROUP BY 2",
     "t1_stream_windows": """WITH w AS (SELECT user_id, value, unnest([0, 1, 2]) AS k, time_bucket(INTERVAL 2 HOURS, ts) AS b FROM events)
 SELECT b - k * INTERVAL 2 HOURS AS start, b - k * INTERVAL 2 HOURS + INTERVAL 6 HOURS AS "end", user_id, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(max(abs(value)), 5) AS peak FROM w GROUP BY ALL""",
     "t2_stream_gate": f"""WITH {EVENTS_SQL}

@@ -80,7 +80,7 @@ QUERIES = {
     "w16_flat_regions": lambda s, d: _traces(s, d).select("trace_name", F.explode(signal.flat_regions(F.col("samples"), 8, 7, 1)).alias("x")).select("trace_name", "x.*"),
     "w17_reference": lambda s, d: _traces(s, d).select("trace_name", signal.reference_start(F.transform("samples", lambda q: F.round(q, 1)), 16, 4, 6, 64).alias("start")),
     "w19_stream_standardize": lambda s, d: _traces(s, d).select("trace_name", _round(signal.standardize_stream(F.transform("samples", lambda q: F.when(q > 0.25, F.lit(float("nan"))).otherwise(q)), 70)).alias("x")),
-    "w21_dual_pass": lambda s, d: _curves(s, d).select("trace_name", _round(curves.dual_pass(F.col("s"), F.col("p"), 0.1, 3)).alias("x")),
+    "w21_dual_pass": lambda s, d: _curves(s, d).select("trace_name", _round(curves.dual_pass(F.col("s"), F.col("p"), curves.fill_mask(F.col("s"), F.col("p"), 0.1, 0.08, 3))).alias("x")),
     "w22_interpolate": lambda s, d: _traces(s, d).select("trace_name", _round(curves.interpolate(F.col("samples"), 41)).alias("x")),
     "w24_pairs": lambda s, d: rounded(_pairs(s, d)),
     "w25_extract": lambda s, d: rounded(curves.extract_pairs(_pairs(s, d), _refs(s, d), rate=10.0)),
@@ -163,6 +163,9 @@ gm AS (SELECT trace_name, any_value(station) AS station, max(abs(a)) AS pga, max
 _HUSID = """
 cu AS (SELECT trace_name, i, sum(v * v) OVER (PARTITION BY trace_name ORDER BY i) AS c, sum(v * v) OVER (PARTITION BY trace_name) AS e FROM long),
 hu AS (SELECT trace_name, min(i) FILTER (c >= 0.05 * e)::INT AS i5, min(i) FILTER (c >= 0.95 * e)::INT AS i95, any_value(e) AS e FROM cu GROUP BY 1)"""
+_HUSID_GRADIENT = """
+nb AS (SELECT trace_name, i, v, lag(v) OVER w AS b, lead(v) OVER w AS c FROM long WINDOW w AS (PARTITION BY trace_name ORDER BY i)),
+gra AS (SELECT trace_name, i, CASE WHEN b IS NULL THEN (c - v) / 0.01 WHEN c IS NULL THEN (v - b) / 0.01 ELSE (c - b) / 0.02 END AS v FROM nb),""" + _HUSID.replace("FROM long", "FROM gra")
 _R = "list_transform({}, lambda q: round(q, 6) + 0.0)"
 _LAB = "list_transform(range(64), lambda i: CASE WHEN {0} IS NULL THEN 0.0 ELSE exp(-((i - {0}) * (i - {0})) / 32.0) END)"
 
@@ -189,7 +192,7 @@ FROM long JOIN w USING (i) CROSS JOIN (SELECT avg(g) AS mg, avg(t) AS mt, avg(c)
     "w16_flat_regions": _sql("SELECT trace_name, a::INT AS start, b::INT AS \"end\" FROM isl", "fl AS (SELECT trace_name, k FROM (SELECT trace_name, samples, unnest(range(0, 57, 4)) AS k FROM traces) WHERE len(list_distinct(list_transform(samples[k + 1:k + 8], lambda q: round(q, 1) + 0.0))) < 7)", "fx AS (SELECT DISTINCT trace_name, i FROM (SELECT trace_name, unnest(range(k, k + 8)) AS i FROM fl))", _islands("fx", "TRUE")),
     "w17_reference": _sql("SELECT trace_name, coalesce(min(k) FILTER (n > 6), 0)::INT AS start FROM (SELECT trace_name, k, len(list_distinct(list_transform(samples[k + 1:k + 16], lambda q: round(q, 1) + 0.0))) AS n FROM (SELECT trace_name, samples, unnest(range(0, 49, 4)) AS k FROM traces)) GROUP BY 1"),
     "w19_stream_standardize": _sql("SELECT trace_name, list_transform(y, lambda q: CASE WHEN q IS NULL THEN 0.0 ELSE round((q - list_avg(y)) / list_stddev_pop(y), 6) + 0.0 END) AS x FROM (SELECT trace_name, list_transform(range(1, 71), lambda k: CASE WHEN k > 64 THEN 0.0 WHEN samples[k] > 0.25 THEN NULL ELSE samples[k] END) AS y FROM traces)"),
-    "w21_dual_pass": _sql("""SELECT trace_name, list(round(CASE WHEN s <= 0.1 AND EXISTS (SELECT 1 FROM thin WHERE thin.trace_name = cl.trace_name AND i BETWEEN a AND b) THEN greatest(s, p) ELSE s END, 6) + 0.0 ORDER BY i) AS x FROM cl GROUP BY 1""", _CURVES, _islands("cl", "p > 0.1", least=3), "thin AS (SELECT isl.trace_name, a, b FROM isl JOIN cl ON cl.trace_name = isl.trace_name AND i BETWEEN a AND b GROUP BY ALL HAVING count(*) FILTER (s > 0.1) / count(*) < 0.7)"),
+    "w21_dual_pass": _sql("""SELECT trace_name, list(round(CASE WHEN s < 0.1 AND EXISTS (SELECT 1 FROM thin WHERE thin.trace_name = cl.trace_name AND i BETWEEN a AND b) THEN greatest(s, p) ELSE s END, 6) + 0.0 ORDER BY i) AS x FROM cl GROUP BY 1""", _CURVES, _islands("cl", "p >= 0.08", least=3), "thin AS (SELECT isl.trace_name, a, b FROM isl JOIN cl ON cl.trace_name = isl.trace_name AND i BETWEEN a AND b GROUP BY ALL HAVING count(*) FILTER (s >= 0.1) / count(*) < 0.7)"),
     "w22_interpolate": _sql("SELECT trace_name, list_transform(range(41), lambda k: round(samples[floor(k * 63 / 40)::INT + 1] * (1 - (k * 63 / 40 - floor(k * 63 / 40))) + coalesce(samples[floor(k * 63 / 40)::INT + 2], samples[64]) * (k * 63 / 40 - floor(k * 63 / 40)), 6) + 0.0) AS x FROM traces"),
     "w24_pairs": _sql("SELECT * REPLACE (round(p_prob, 6) AS p_prob, round(s_prob, 6) AS s_prob) FROM pairs", _CURVES, _PEAKS, _BOXES, _pw(100, "off_sample - on_sample >= 2"), _PAIRS),
     "w25_extract": _sql("""SELECT model, trace_name, pair_id, pair_seq, phase, sample, floor(sample / 10.0 * 1000) / 1000 AS offset_s, round(prob, 2) AS prob, round((SELECT max(abs(v)) FROM long l WHERE l.trace_name = q.trace_name AND i >= sample AND i < sample + span), 6) AS amplitude

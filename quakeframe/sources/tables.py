@@ -121,12 +121,24 @@ def read_array_pool(spark: SparkSession, path: str, components: int = 3) -> Data
                     rows.append((name, None, None, None, "failed"))
                 else:
                     x = np.frombuffer(raw, "<f4").reshape(-1, components)
-                    rows.append((name, x[:, 0].tolist(), x[:, 1].tolist(), x[:, 2].tolist(), "ok"))
+                    rows.append((name, *(np.ascontiguousarray(x[:, c]) for c in range(3)), "ok"))
             yield pd.DataFrame(rows, columns=["trace_name", "e", "n", "z", "status"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "trace_name string, e array<float>, n array<float>, z array<float>, status string")
 
 
+def arrival_times(index: DataFrame, rate: float = 100.0, spacing_s: int = 1000) -> DataFrame:
+    """True times of an array pool's picks: (trace_name, phase, true_time), start + sample / rate; missing picks are left out.
+
+    Arrays have no time of their own, and only offsets matter: the one at `position` starts spacing_s times that after
+    the year 2000, unless the index has a trace_start_time.
+    """
+    start = F.col("trace_start_time") if "trace_start_time" in index.columns else F.expr(f"timestamp_ntz'2000-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(position * {spacing_s} as decimal(18, 6)))")
+    picks = F.explode(F.array(*(F.struct(F.lit(phase).alias("phase"), F.col(f"{phase.lower()}_sample").alias("sample")) for phase in ("P", "S"))))
+    each = index.select("trace_name", start.alias("start"), picks.alias("x")).filter("x.sample IS NOT NULL")
+    return each.select("trace_name", "x.phase", F.expr(f"start + make_dt_interval(0, 0, 0, cast(x.sample / {float(rate)}D as decimal(18, 6)))").alias("true_time"))
+
+
 def write_split(df: DataFrame, path: str, audit_path: str) -> None:
     """Metadata with its split as a new version, and the audit of counts per year and split."""
     from quakeframe.operators.splits import split_counts
