@@ -273,7 +273,8 @@ def _linked(classes: DataFrame, docs: DataFrame, percent: int, size: int) -> Dat
     placed = cut(placed.join(mixed, "key", "left_semi"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("shingles") / GROUP)).cast("int")
     placed = placed.withColumn("blocks", blocks)
-    groups = max(1, -(-(placed.filter("blocks = 1").agg(F.sum("n")).first()[0] or 0) // GROUP))
+    small = placed.filter("blocks = 1").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
+    groups = max(1, -(-(small["n"] or 0) // GROUP), -(-small["rows"] // (2 * BLOCK)))
     placed = placed.join(classes.select("label", "cells"), "label").withColumn("first", F.col("label") == F.col("rep"))
     columns = ("key", "label", "n", "component", "cells", "first")
     few = placed.filter("blocks = 1").select(*columns, F.pmod(F.xxhash64("key"), F.lit(groups)).alias("of"), F.lit(0).alias("i"), F.lit(0).alias("j"))
