@@ -1,6 +1,6 @@
 """Quality rules: fixed limits on counts, then a hashed n-gram classifier (operator 8).
 
-Word and character n-grams are hashed into a fixed number of cells. Logistic regression on a bounded sample of labelled
+Words, pairs of words and trigrams of characters are hashed into a fixed number of cells each. Logistic regression on a bounded sample of labelled
 rows is trained in shards, each from the same weights; the shards' weights are averaged, for a few rounds. Platt's
 method calibrates it on sampled rows that no shard saw. All texts are then scored in Arrow batches, together with the
 counts of the rules.
@@ -17,30 +17,52 @@ from pyspark.sql import functions as F
 from quakeframe.llm.common import cut, text_chunks
 from quakeframe.llm.quality import single_labels
 from quakeframe.llm.statistics import counts
+from quakeframe.llm.tokens import mix, rows_of
 
-CELLS = 1 << 14  # of words, and as many of characters
+CELLS = 1 << 15  # of words, as many of pairs, and as many of trigrams
 #: Labelled rows that are sampled at most; each is trained on whole.
 SAMPLE = 6000
 SHARDS, ROUNDS, EPOCHS, RATE = 8, 3, 4, 0.5
 MIN_WORDS, MAX_REPEATED, LEAST = 50, 50, 0.5
 
 
-def hashed(raw: np.ndarray, off: np.ndarray, hashes: np.ndarray, at: np.ndarray):
-    """Cells of word unigrams, and of character trigrams, of each row: (cells, offsets) twice, with repeats."""
-    word = (hashes >> np.uint64(40)).astype(np.int64) % CELLS
-    if len(raw) < 3:
-        return word, at, np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    a, b, c = (raw[i : len(raw) - 2 + i].astype(np.uint32) for i in range(3))
-    gram = ((a << 16 | b << 8 | c) * np.uint32(2654435761)) >> np.uint32(18)
-    row = np.searchsorted(off, np.arange(len(gram)), "right") - 1
-    inside = np.arange(len(gram)) + 2 < off[row + 1]
-    return word, at, gram[inside].astype(np.int64) + CELLS, np.concatenate([[0], np.cumsum(inside)])[np.minimum(off, len(gram))]
+def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each code point of valid UTF-8 begins, and its number."""
+    begins = np.flatnonzero((raw & 0xC0) != 0x80)
+    padded = np.append(raw, np.zeros(3, np.uint8)).astype(np.uint32)
+    lead = padded[begins]
+    value = lead.copy()
+    for least, mask in ((0xC0, 0x1F), (0xE0, 0x0F), (0xF0, 0x07)):
+        value = np.where(lead >= least, lead & mask, value)
+    for j, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        value = np.where(lead >= least, value << 6 | padded[begins + j] & 0x3F, value)
+    return begins, value
+
+
+def hashed(raw: np.ndarray, off: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Cells of each row's word unigrams, word bigrams and character trigrams: (cells, offsets) of each, with repeats.
+
+    Characters are code points. A word followed by itself is one bigram, whatever the word. Each kind has CELLS cells.
+    """
+    cells = lambda h, kind: (h >> np.uint64(40)).astype(np.int64) % CELLS + kind * CELLS
+    row = rows_of(at)
+    together = row[:-1] == row[1:]
+    pairs = np.where(hashes[:-1] == hashes[1:], np.uint64(0), mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]))[together]
+    pairs_at = np.concatenate([[0], np.cumsum(together)])[np.minimum(at, len(together))]
+    begins, points = code_points(raw)
+    n = np.searchsorted(begins, off)
+    last = max(len(points) - 2, 0)
+    a, b, c = (points[i : i + last].astype(np.uint64) for i in range(3))
+    trigrams = mix(a << np.uint64(42) | b << np.uint64(21) | c)
+    place = rows_of(n)
+    inside = place[:last] == place[2 : 2 + last]
+    return [(cells(hashes, 0), at), (cells(pairs, 1), pairs_at), (cells(trigrams[inside], 2), np.concatenate([[0], np.cumsum(inside)])[np.minimum(n, last)])]
 
 
 def raw_scores(weights: np.ndarray, bias: float, grams) -> np.ndarray:
-    """bias plus the mean weight of a row's words plus that of its character trigrams; no words, no part."""
-    total = np.full(len(grams[1]) - 1, bias)
-    for cells, at in (grams[:2], grams[2:]):
+    """bias plus the mean weights of a row's words, of its word pairs and of its character trigrams; none, no part."""
+    total = np.full(len(grams[0][1]) - 1, bias)
+    for cells, at in grams:
         sums = np.concatenate([[0.0], np.cumsum(weights[cells])])
         total += (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
     return total
@@ -51,9 +73,8 @@ def _examples(batches):
     for batch in batches:
         for lo, hi, raw, off in text_chunks(batch.column("text")):
             c = counts(raw, off)
-            grams = hashed(raw, off, c["hashes"], c["at"])
             cells, shares = [[] for _ in range(hi - lo)], [[] for _ in range(hi - lo)]
-            for values, at in (grams[:2], grams[2:]):
+            for values, at in hashed(raw, off, c["hashes"], c["at"]):
                 for r in range(hi - lo):
                     if at[r + 1] > at[r]:
                         v, n = np.unique(values[at[r] : at[r + 1]], return_counts=True)
@@ -119,7 +140,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     marked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
     marked = marked.select("text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int").alias("part"))
     rows = cut(marked.mapInArrow(_examples, "y int, part int, cells array<long>, shares array<double>"))
-    weights, bias, slope, offset = np.zeros(2 * CELLS), 0.0, 1.0, 0.0
+    weights, bias, slope, offset = np.zeros(3 * CELLS), 0.0, 1.0, 0.0
     seen = {r["y"] for r in rows.select("y").distinct().collect()}
     if seen == {0, 1}:
         shards = rows.filter("part > 0").withColumn("shard", F.pmod(F.xxhash64("cells"), F.lit(SHARDS)))
