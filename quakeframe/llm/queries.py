@@ -69,7 +69,7 @@ _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee
 
 
 def _found(kind: int, pattern: str, group: int) -> str:
-    return f"SELECT rid, owner, {kind} AS kind, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS g FROM d"
+    return f"SELECT rid, owner, repository, {kind} AS kind, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS g FROM d"
 
 
 #: Five hexadecimal digits of a SHA-1 are four letters in base 32.
@@ -77,19 +77,20 @@ _BASE32 = "array_to_string(list_transform(range(8), lambda k: array_to_string(li
 
 ORACLE_SQL = {
     "op1_secrets": f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(source, '') || chr(31) || coalesce(lang, '') AS repository FROM documents),
 raw AS ({_found(0, _ASSIGN, 2)} UNION ALL {_found(1, "AKIA[A-Z0-9]+", 0)} UNION ALL {_found(2, "[0-9a-f]{24,}", 0)} UNION ALL {_found(3, "[A-Za-z0-9+/_=-]{24,}", 0)}),
 e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw WHERE len(m) > 0),
-c0 AS (SELECT rid, owner, kind, m[i] AS s, v[i] AS v, (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM e),
+c0 AS (SELECT rid, owner, repository, kind, m[i] AS s, v[i] AS v, (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM e),
 c1 AS (SELECT *, a + length(s) AS b, list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -((length(v) - length(replace(v, c, ''))) / length(v)) * log2((length(v) - length(replace(v, c, ''))) / length(v)))) >= {secrets.LIVE_BITS} AS live FROM c0),
 base AS (SELECT * FROM c1 WHERE (kind = 0 AND length(v) >= 6) OR (kind = 1 AND length(s) >= 20) OR kind = 2),
 own AS (SELECT * FROM c1 WHERE kind = 3 AND live AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base WHERE base.rid = c1.rid AND base.a < c1.b AND c1.a < base.b)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM own),
-held AS (SELECT v, count(DISTINCT owner) AS owners FROM every GROUP BY v),
-cl AS (SELECT rid, kind, a, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || b AS span, CASE WHEN owners >= {secrets.EXAMPLE_OWNERS} THEN 'example' WHEN live THEN 'live' ELSE 'plain' END AS class FROM every JOIN held USING (v)),
+held AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM every GROUP BY v),
+cl AS (SELECT rid, kind, a, owners, repositories, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || b AS span, CASE WHEN owners >= {secrets.EXAMPLE_OWNERS} OR owners > 1 AND repositories >= {secrets.EXAMPLE_REPOSITORIES} THEN 'example' WHEN live THEN 'live' ELSE 'plain' END AS class FROM every JOIN held USING (v)),
 agg AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3) AS bs,
-  string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3 OR class = 'live') AS spans, count(*) FILTER (kind < 3 AND class = 'example') AS n_example, count(*) FILTER (class = 'live') AS n_live FROM cl GROUP BY rid)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live
+  string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3 OR class = 'live') AS spans, count(*) FILTER (kind < 3 AND class = 'example') AS n_example, count(*) FILTER (class = 'live') AS n_live,
+  max(owners) FILTER (kind < 3 OR class = 'live') AS max_owners, max(repositories) FILTER (kind < 3 OR class = 'live') AS max_repositories FROM cl GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live, coalesce(max_owners, 0) AS max_owners, coalesce(max_repositories, 0) AS max_repositories
 FROM d LEFT JOIN agg USING (rid)""",
     "op2_warc": f"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),

@@ -2,7 +2,8 @@
 
 Every text is scanned once for candidates: assignments, access keys, long hexadecimal runs, and other long mixed tokens.
 Candidate values are hashed, and the hashes are counted by distinct repositories and owners over the whole corpus.
-A value that many owners hold is a widely copied example; one that few hold and that looks random is live-looking.
+A value that many owners hold, or a few owners in many repositories, is a widely copied example; one of an owner's own,
+in however many of its repositories, that looks random is live-looking.
 Of the mixed tokens, only the owner-specific live-looking ones become spans; the three pattern kinds always are spans
 and are only classed.
 """
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import cut
+from quakeframe.llm.common import cut, fresh, quoted
 
 KINDS = ("assign", "access", "hex", "owned")
-#: From this many owners on, a value is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: From this many owners on, a value is a widely copied example; two owners are enough where they hold it in this many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 5
 #: Bits a character that a live-looking value has at least; a value of one repeated character has none.
 LIVE_BITS = 2.5
 
@@ -86,7 +87,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> tuple[DataFrame, DataFrame]:
     """One row per document with what it holds, and one row per candidate: (row, start, kind, end, class).
 
-    Classes: `example` (held by EXAMPLE_OWNERS owners or more), `live` (held by fewer and random-looking), `plain`.
+    Classes: `example` (held by EXAMPLE_OWNERS owners, or by two in EXAMPLE_REPOSITORIES repositories, or more), `live`
+    (any other that looks random), `plain`.
     """
     name = lambda cols: F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), name(repository).alias("repository"), name((owner,)).alias("owner"), "text")
@@ -96,7 +98,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     held = each.groupBy("value", "owner", "repository").agg(F.count("*").alias("copies"))
     held = held.groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.sum("copies").alias("copies"))
     held = held.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("copies").alias("copies"))
-    classed = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when(F.col("live"), "live").otherwise("plain")
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("owners") > 1) & (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    classed = F.when(copied, "example").when(F.col("live"), "live").otherwise("plain")
     return rows.drop("found"), each.join(held, "value").select("row", "start", "kind", "end", "value", "owners", "repositories", "copies", classed.alias("class"))
 
 
@@ -104,49 +107,59 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str,
     """Secrets of every whole text: one row per input row.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256 (of the pattern spans, joined as kind:start:end), spans (these
-    and the owner-specific live-looking tokens, kind `owned`), and the numbers of spans classed example and live.
-    Null and empty texts have no spans. Rows are told apart by position, so repeated rows and null ids are kept as they
+    and the owner-specific live-looking tokens, kind `owned`), the numbers of spans classed example and live, and by how
+    many owners and in how many repositories the most widely held of the spans' values is held (0 without spans).
+    Very long texts are scanned whole. Null and empty texts have no spans. Rows are told apart by position, so repeated rows and null ids are kept as they
     are; a null owner or repository counts as one more, unnamed one. Columns other than doc_id, text and those named are
     not looked at. An empty table gives an empty result.
     """
     rows, each = scan(docs, owner, repository)
-    taken = each.filter("kind < 3 OR class = 'live'").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("x"), F.count_if(F.col("class") == "example").alias("n_example"), F.count_if(F.col("class") == "live").alias("n_live"))
+    taken = each.filter("kind < 3 OR class = 'live'").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("x"), F.count_if(F.col("class") == "example").alias("n_example"), F.count_if(F.col("class") == "live").alias("n_live"), F.max("owners").alias("max_owners"), F.max("repositories").alias("max_repositories"))
     kind = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)
     spans = F.array_join(F.transform("x", lambda x: F.concat_ws(":", kind(x), x["start"], x["end"])), ",")
     out = rows.join(taken, "row", "left")
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(spans, F.lit("")).alias("spans"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_example", "n_live")))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(spans, F.lit("")).alias("spans"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_example", "n_live", "max_owners", "max_repositories")))
 
 
 MARK = "[SECRET]"
 
 
-def _blot(batches):
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        lengths = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * len(texts)
-        for i, named in enumerate(batch.column("secret_values").to_pylist()):
-            if named:
-                parts, at = [], 0
-                for a, b, _, v in candidates(texts[i]):
-                    if b > at and hashlib.blake2b(v.encode(), digest_size=16).hexdigest() in named:
-                        parts += [texts[i][at : max(a, at)], MARK if a >= at else ""]
-                        at = b
-                texts[i] = "".join([*parts, texts[i][at:]])
-                lengths[i] = len(texts[i])
-        new = {"text": texts, "n_chars": lengths}
-        kept = [n for n in batch.schema.names if n != "secret_values"]
-        yield pa.RecordBatch.from_arrays([pa.array(new[n], batch.column(n).type) if n in new else batch.column(n) for n in kept], names=kept)
+def _blotter(text: str, n_chars: str | None, values: str):
+    """Replaces in the column `text` what has a hash in the column `values`, and drops that one."""
+
+    def blot(batches):
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            lengths = batch.column(n_chars).to_pylist() if n_chars else [None] * len(texts)
+            for i, named in enumerate(batch.column(values).to_pylist()):
+                if named:
+                    parts, at = [], 0
+                    for a, b, _, v in candidates(texts[i]):
+                        if b > at and hashlib.blake2b(v.encode(), digest_size=16).hexdigest() in named:
+                            parts += [texts[i][at : max(a, at)], MARK if a >= at else ""]
+                            at = b
+                    texts[i] = "".join([*parts, texts[i][at:]])
+                    lengths[i] = len(texts[i])
+            new = {text: texts, n_chars: lengths}
+            kept = [n for n in batch.schema.names if n != values]
+            yield pa.RecordBatch.from_arrays([pa.array(new[n], batch.column(n).type) if n in new else batch.column(n) for n in kept], names=kept)
+
+    return blot
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """`docs` with every secret replaced by MARK, but for widely copied examples; no row is dropped.
 
-    Keeps all columns; n_chars, where there is one, is brought up to date for redacted rows. What to redact is found by
-    (doc_id, hash of the text), so that rows that share a doc_id each get their own.
+    Keeps all columns, also ones named like those used here; n_chars, where there is one, is brought up to date for
+    redacted rows. What to redact is found by (doc_id, hash of the text), so that rows that share a doc_id each get their
+    own. Null and empty texts stay as they are.
     """
     rows, each = scan(docs, owner, repository)
-    named = each.filter("class = 'live' OR class = 'plain' AND kind < 3").groupBy("row").agg(F.collect_set("value").alias("secret_values"))
-    named = rows.join(named, "row").select(F.col("doc_id").alias("secret_doc_id"), F.col("text_hash").alias("secret_text_hash"), "secret_values").dropDuplicates(["secret_doc_id", "secret_text_hash"])
-    at = F.col("doc_id").eqNullSafe(F.col("secret_doc_id")) & (F.xxhash64("text") == F.col("secret_text_hash"))
-    out = docs.join(named, at, "left").drop("secret_doc_id", "secret_text_hash")
-    return out.mapInArrow(_blot, docs.schema)
+    doc_id, text_hash, values = fresh(docs, "doc_id", "text_hash", "values")
+    named = each.filter("class = 'live' OR class = 'plain' AND kind < 3").groupBy("row").agg(F.collect_set("value").alias("found"))
+    named = rows.join(named, "row").select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash), F.col("found").alias(values)).dropDuplicates([doc_id, text_hash])
+    at = F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(text_hash))
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that Arrow functions can take
+    out = docs.join(named, at, "left").select(*(quoted(c).alias(plain[c]) for c in docs.columns), F.col(values).alias("values"))
+    blot = _blotter(plain["text"], plain.get("n_chars"), "values")
+    return out.mapInArrow(blot, out.drop("values").schema).toDF(*docs.columns)
