@@ -3,16 +3,17 @@
 ARC archives, of version 1 or 2, are parsed by their header lines and declared lengths, never by searching for
 delimiters, and each record is turned into a WARC record: a deterministic identifier, an ISO timestamp from the 14-digit
 one, the record type and media type, and SHA-1 digests in base 32. Records with equal payloads are written once;
-the others become revisit records. Archives are text files of whole records written by Spark, so any store that
-Spark can write will do; they are read back by their content lengths.
+the others become revisit records. Archives are written by Spark, so any store that it can write will do: files of about
+FILE_BYTES, a warcinfo record first, and each record a gzip member of its own, so that readers can seek to it. They are
+read back member by member, and in each by its content length.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,10 +24,9 @@ from quakeframe.llm.common import cut
 
 #: Bytes after which the writer of ARC blobs begins another; one record may be larger.
 BLOB_BYTES = 4 << 20
-#: Rows a WARC file holds at most; with BLOB_BYTES it bounds what a task reads at once.
-FILE_RECORDS = 1000
-#: Digests with copies that are broadcast, of some 200 bytes each.
-BROADCAST_LIMIT = 200_000
+#: Compressed bytes after which the writer begins another WARC file, and plain ones after which a reader hands on rows;
+#: one record may be larger. With BLOB_BYTES these bound what a task holds at once.
+FILE_BYTES, BATCH_BYTES = 8 << 20, 8 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the namespace of URLs
 
 
@@ -110,7 +110,38 @@ def record_text(x: dict, refers_to: str | None) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
 
 
+def info_text(first: str, date: str) -> bytes:
+    """The warcinfo record of a file, named by its first record."""
+    block = b"software: quakeframe\r\nformat: WARC File Format 1.1\r\n"
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, f'info {first}')}>"), ("WARC-Date", date), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block
+
+
+def member(record: bytes) -> bytes:
+    """A record with its final blank lines as a gzip member without a time."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(record + b"\r\n\r\n") + packer.flush()
+
+
+def members(blob: bytes) -> Iterator[bytes]:
+    """What the gzip members of a file hold, one after the other; zero bytes between and after them are padding."""
+    view, at = memoryview(blob), 0
+    while at < len(blob):
+        if blob[at] == 0:
+            at += 1
+            continue
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if at >= len(blob):
+                raise ValueError("a gzip member is cut off")
+            some = view[at : at + 65536]
+            parts.append(unpacker.decompress(some))
+            at += len(some) - len(unpacker.unused_data)
+        yield b"".join(parts)
+
+
 def parse_warc(blob: bytes) -> Iterator[tuple[dict, bytes]]:
+    """Fields and blocks of the records of plain WARC bytes."""
     at = 0
     while at < len(blob):
         if blob[at] in b"\r\n":
@@ -122,6 +153,8 @@ def parse_warc(blob: bytes) -> Iterator[tuple[dict, bytes]]:
             raise ValueError(f"no WARC record at byte {at}")
         fields = dict(line.split(": ", 1) for line in lines[1:])
         size = int(fields["Content-Length"])
+        if end + 4 + size > len(blob):
+            raise ValueError(f"{fields.get('WARC-Record-ID')}: the block is shorter than it declares")
         yield fields, blob[end + 4 : end + 4 + size]
         at = end + 4 + size
 
@@ -193,25 +226,35 @@ def pages_to_records(pages: DataFrame, date: str = "20240101000000", ip: str = "
 def write_warc(records: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Writes records as gzipped WARC archives; of equal payloads of least_bytes or more, that of the largest page_id stays whole.
 
-    Which one that is comes from a maximum by digest, combined before the shuffle. Only digests with copies are joined;
-    their table is broadcast while it has BROADCAST_LIMIT rows or fewer, and beyond that the join is Spark's, which may
-    split a digest that has very many copies.
+    Which one that is comes from a maximum by digest, combined before the shuffle. Only digests with copies are joined, by
+    whatever join Spark takes for their number; a digest with very many copies may be split.
     """
     big = records.filter(F.col("payload_bytes") >= least_bytes)
     first = big.groupBy(F.col("payload_digest").alias("of_digest")).agg(F.max(F.struct("page_id", "record_id")).alias("of"), F.count("*").alias("copies")).filter("copies > 1")
     first = cut(first.select("of_digest", F.col("of.page_id").alias("of_page"), F.col("of.record_id").alias("of_record")))
-    first = F.broadcast(first) if first.count() <= BROADCAST_LIMIT else first
     same = (F.col("payload_digest") == F.col("of_digest")) & (F.col("payload_bytes") >= least_bytes)
     repeated = F.col("of_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("of_page"))
     marked = records.join(first, same, "left").withColumn("refers_to", F.when(repeated, F.col("of_record"))).drop("of_digest", "of_page", "of_record")
 
     def write(batches):
+        parts, size = [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 100):
-                yield pa.RecordBatch.from_arrays([pa.array([record_text(x, x["refers_to"]) for x in batch.slice(lo, 100).to_pylist()], pa.binary())], names=["record"])
+                for x in batch.slice(lo, 100).to_pylist():
+                    if not parts:
+                        parts = [member(info_text(x["record_id"], x["date"]))]
+                        size = len(parts[0])
+                    parts.append(member(record_text(x, x["refers_to"])))
+                    size += len(parts[-1])
+                    if size >= FILE_BYTES:
+                        yield pa.RecordBatch.from_pydict({"file": [b"".join(parts)]})
+                        parts = []
+        if parts:
+            yield pa.RecordBatch.from_pydict({"file": [b"".join(parts)]})
 
-    texts = marked.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value"))
-    texts.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    # One row is one file. The text writer ends it with a zero byte, which gzip readers pass over as padding.
+    files = marked.mapInArrow(write, "file binary").select(F.col("file").cast("string").alias("value"))
+    files.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -222,20 +265,32 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to_record", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
+    def row(fields, block):
+        http = fields["Content-Type"].startswith("application/http")
+        split = block.find(b"\r\n\r\n") + 4 if http else 0
+        page = block[:split].partition(b"X-Page-Id: ")[2].partition(b"\r\n")[0]
+        whole, said = fields["WARC-Type"] != "revisit", fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        if whole and digest(block[split:]) != said:
+            raise ValueError(f"{fields['WARC-Record-ID']}: the payload isn't what its digest says")
+        return int(page) if page else None, fields["WARC-Record-ID"][1:-1], fields["WARC-Type"], None if whole else fields["WARC-Refers-To"][1:-1], len(block) - split if whole else int(fields["X-Payload-Length"]), said, block[split:] if whole else None
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)
+
     def parse(batches):
+        rows, size = [], 0
         for batch in batches:
-            for blob in batch.column("content"):
-                raw, rows = blob.as_py(), []
-                for fields, block in parse_warc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
-                    http = fields["Content-Type"].startswith("application/http")
-                    split = block.find(b"\r\n\r\n") + 4 if http else 0
-                    page = block[:split].partition(b"X-Page-Id: ")[2].partition(b"\r\n")[0]
-                    whole, said = fields["WARC-Type"] != "revisit", fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if whole and digest(block[split:]) != said:
-                        raise ValueError(f"{fields['WARC-Record-ID']}: the payload isn't what its digest says")
-                    rows.append((int(page) if page else None, fields["WARC-Record-ID"][1:-1], fields["WARC-Type"], None if whole else fields["WARC-Refers-To"][1:-1], len(block) - split if whole else int(fields["X-Payload-Length"]), said, block[split:] if whole else None))
-                columns = list(zip(*rows)) or [()] * len(schema)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            for file in batch.column("content"):
+                raw = file.as_py()
+                for part in members(raw) if raw[:2] == b"\x1f\x8b" else (raw,):
+                    for fields, block in parse_warc(part):
+                        if fields["WARC-Type"] != "warcinfo":
+                            rows.append(row(fields, block))
+                            size += len(block)
+                        if size >= BATCH_BYTES:
+                            yield made(rows)
+                            rows, size = [], 0
+        yield made(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(parse, "page_id long, record_id string, record_type string, refers_to_record string, payload_bytes long, payload_digest string, payload binary")
@@ -247,8 +302,9 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFram
     One row per page: page_id, payload_bytes, payload_digest (bare base 32 SHA-1), record_type, refers_to (the page_id
     of the response that a revisit repeats, else null), record_id.
     Null html is an empty payload, equal to other empty ones; a null url is allowed. Of equal payloads, the rows that
-    share the largest page_id are all responses (repeated rows), null page_ids counting as smallest. Columns other than
-    page_id, url and html don't matter. An empty table gives an empty result.
+    share the largest page_id are all responses (repeated rows), null page_ids counting as smallest. Very long pages are
+    records, and files, of their own size. Columns other than page_id, url and html don't matter. An empty table gives an
+    empty result.
     """
     write_warc(pages_to_records(pages), path, least_bytes)
     held = cut(read_warc(pages.sparkSession, path).drop("payload"))

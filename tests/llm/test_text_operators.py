@@ -113,6 +113,37 @@ def test_archive_round_trip(spark, sf_dir, tmp_path):
     assert ("é" * 100000).encode() in {bytes(r.payload) for r in read}
 
 
+def test_archive_files_are_bounded_and_seekable(spark, tmp_path):
+    import gzip
+    import zlib as z
+
+    noise = random.Random(4)
+    rows = [(i, f"u{i}", "".join(noise.choices("abcdefghijklmnop", k=20000))) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    before = warc.FILE_BYTES
+    warc.FILE_BYTES = 50_000
+    try:
+        warc.write_warc(warc.pages_to_records(pages), str(tmp_path / "w"))
+    finally:
+        warc.FILE_BYTES = before
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("part-*")]
+    assert len(files) > 5 and all(len(f) < 80_000 for f in files)
+    kinds = collections.Counter()
+    for f in files:
+        assert b"".join(warc.members(f)) == gzip.decompress(f)
+        first, *others = [next(warc.parse_warc(m))[0] for m in warc.members(f)]
+        assert first["WARC-Type"] == "warcinfo" and all(x["WARC-Type"] == "response" for x in others)
+        kinds["records"] += len(others)
+        # Any member can be read by itself from where it begins.
+        one = z.decompressobj(31)
+        one.decompress(f)
+        at = len(f) - len(one.unused_data)
+        assert next(warc.parse_warc(z.decompressobj(31).decompress(f[at:])))[0]["WARC-Record-ID"] == others[0]["WARC-Record-ID"]
+    assert kinds["records"] == 40 and {r.page_id for r in warc.read_warc(spark, str(tmp_path / "w")).collect()} == set(range(40))
+    with pytest.raises(ValueError):
+        list(warc.members(files[0][:-200]))
+
+
 def test_small_payloads_are_not_revisits(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in warc.archive_pages(pages, str(tmp_path / "w"), least_bytes=4).collect()}
