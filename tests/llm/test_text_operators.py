@@ -203,15 +203,69 @@ def test_personal_data_against_brute_force(spark, sf_docs):
             assert [x for x in r.spans.split(",") if x.split(":")[0] in pii.KINDS[: pii.BASE]] == named
 
 
-def test_labelers_reliabilities_follow_votes(spark):
+def vote_rows(rows):
+    return [dict(zip(("form", "gazetteer", "context", "company", "n"), r), kind=k % 7, length=k % 3, digits=k % 2) for k, r in enumerate(rows)]
+
+
+def test_labelers_reliabilities_follow_votes():
     # The form labeler agrees with two others; the company labeler votes at random.
-    rows = [(1, 1, 1, 1, 40), (1, 1, 1, 0, 40), (0, 0, 0, 1, 20), (0, 0, 0, 0, 20), (1, 0, 1, 1, 3)]
-    share, rates = pii.reliabilities(spark.createDataFrame(rows, "form int, gazetteer int, context int, company int, n long"))
+    rows = vote_rows([(1, 1, 1, 1, 40), (1, 1, 1, 0, 40), (0, 0, 0, 1, 20), (0, 0, 0, 0, 20), (1, 0, 1, 1, 3)])
+    share, rates = pii.reliabilities(rows)
     assert 0.6 < share < 0.75
     assert rates["form"][0] > 0.9 and rates["form"][1] < 0.1
     assert abs(rates["company"][0] - rates["company"][1]) < 0.2
 
 
+def test_expectation_maximisation_and_classifier_against_single_votes(spark):
+    rng = random.Random(6)
+    rows = vote_rows([(rng.choice([0, 1]), rng.choice([-1, 0, 1]), rng.choice([-1, 1]), rng.choice([-1, 1]), rng.randrange(1, 6)) for _ in range(25)])
+    single = [r for r in rows for _ in range(r["n"])]
+    share, rates = 0.7, {k: [0.8, 0.2] for k in pii.LABELERS}
+
+    def post(r):
+        yes, no = share, 1 - share
+        for k, (a, b) in rates.items():
+            yes *= a if r[k] == 1 else 1 - a if r[k] == 0 else 1
+            no *= b if r[k] == 1 else 1 - b if r[k] == 0 else 1
+        return yes / (yes + no)
+
+    for _ in range(pii.ROUNDS):
+        p = [post(r) for r in single]
+        new = {}
+        for k in pii.LABELERS:
+            voted = [(r[k], q) for r, q in zip(single, p) if r[k] >= 0]
+            new[k] = [(sum(q for v, q in voted if v) + 0.8) / (sum(q for _, q in voted) + 1), (sum(1 - q for v, q in voted if v) + 0.2) / (sum(1 - q for _, q in voted) + 1)]
+        share, rates = (sum(p) + 1) / (len(p) + 2), new
+    got_share, got_rates = pii.reliabilities(rows)
+    assert got_share == pytest.approx(share) and {k: list(v) for k, v in got_rates.items()} == {k: pytest.approx(v) for k, v in rates.items()}
+
+    p = [post(r) for r in single]
+    yes, no = sum(p), sum(1 - q for q in p)
+
+    def odds(r):
+        total = math.log((yes + 1) / (no + 1))
+        for k, values in pii.FEATURES.items():
+            a, b = sum(q for x, q in zip(single, p) if x[k] == r[k]), sum(1 - q for x, q in zip(single, p) if x[k] == r[k])
+            total += math.log((a + 1) / (yes + len(values))) - math.log((b + 1) / (no + len(values)))
+        return 1 / (1 + math.exp(-total))
+
+    offset, weights = pii.train(rows, got_share, got_rates)
+    df = spark.createDataFrame(rows)
+    assert [r.p for r in df.select(pii.score(offset, weights, F.col).alias("p")).collect()] == pytest.approx([odds(r) for r in df.collect()])
+
+
+def test_labelers_vote_in_four_languages(spark):
+    texts = {
+        "Please call +44 20 7946 0958": ("phone", 1, 1), "Bitte schreiben Sie an anna@firma.de": ("email", 1, 1), "Appelez le +33 1 42 68 53 00": ("phone", 1, 1), "tarjeta de crédito 4539148803436467": ("card", 1, 1), "versión 10.1.2.3": ("ip", 0, 0),
+        "Fassung 93.184.216.34": ("ip", -1, 0), "nothing here a.b@example.org": ("email", 0, -1), "zahl 4111111111111111": ("card", 0, -1), "+999 123456789": ("phone", -1, -1), "signed Dr. Anna Müller": ("name", 1, 1), "id 123-45-6789": ("identity", 0, 1), "(212) 736-5000": ("national", 1, -1),
+    }
+    df = spark.createDataFrame([(t, *v) for t, v in texts.items()], "text string, kind string, gazetteer int, context int")
+    found = F.concat(*(pii._candidates(F.col("text"), k) for k in range(len(pii.KINDS))))
+    for r in df.withColumn("x", found).collect():
+        mine = [c for c in r.x if pii.KINDS[c.kind] == r.kind]
+        assert [(c.gazetteer, c.context) for c in mine] == [(r.gazetteer, r.context)], r.text
+
+
 def test_personal_data_of_empty_tables(spark):
     assert pii.find_personal_data(documents(spark, [])).collect() == []
     assert [r.spans for r in pii.find_personal_data(documents(spark, ["nothing here", None])).collect()] == ["", ""]
