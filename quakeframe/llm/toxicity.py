@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import cut, text_chunks
+from quakeframe.llm.common import cut, fresh, text_chunks
 from quakeframe.llm.quality import pool, remainder, single_labels
 from quakeframe.llm.tokens import LOWER, row_reduce, rows_of, run_hashes, spans
 
@@ -230,7 +230,7 @@ def _own_votes(shared):
 
 def _scorer(shared, calibration):
     """Scores and evidence of texts. Texts with equal vectors within a task are searched for once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("score", pa.float64()), ("evidence", pa.string())])
 
     def score(batches):
         (index, vocabulary), (votes, fitted, none), known = shared.value, calibration, {}
@@ -245,24 +245,13 @@ def _scorer(shared, calibration):
                     evidence = ",".join(f"{i}:{c:.4f}" for i, c in zip(index.ids[near].tolist(), cosines.tolist()))
                     known[key] = (float(np.interp(index.vote(near, cosines), votes, fitted)), evidence) if len(near) else (none, "")
                 got = [known[key] for key in keys]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("key")[lo:hi], pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.string())], schema=schema)
 
     return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """Scores every whole text by its nearest labelled examples: one row per input row.
-
-    Labels are learnt only from ids whose crc32 leaves a remainder other than 0 by 5. Labelled rows with equal texts are
-    one example with the share of them that have the label, whatever their number; of these texts `sample` at most are
-    used, those with the smallest hashes. Returns doc_id, held_out (that remainder is 0; false for null ids), score (0 to
-    1), predicted, evidence (nearest examples as doc_id:cosine, best first).
-    Null and empty texts, and others without any term of an example, score the share of the label among such examples,
-    or among all if there are none. Very long texts are read whole, in runs of about a megabyte or one text. Ties between
-    examples go by the index's order, not ids. Repeated rows score alike; repeated labels count once, the largest.
-    Columns other than doc_id, text and the label don't matter. An empty table gives an empty result; without labels
-    every score is 0.5.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """Every row's doc_id, text_hash, score and evidence."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     sc, key = docs.sparkSession.sparkContext, F.xxhash64("text").alias("key")
     marked = docs.filter(remainder(5) != 0).select("doc_id", key).join(single_labels(labels, label), "doc_id")
@@ -290,6 +279,31 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
     votes, ys = np.array([v for v, _ in voted] or [0.0]), np.array([y for _, y in voted] or [prior])
     calibration = votes, pool(votes, ys, np.ones(len(ys))), float(np.mean(alone)) if alone else prior
 
-    scored = docs.mapInArrow(_scorer(shared, calibration), "doc_id long, score double, evidence string")
+    return docs.select("doc_id", key, "text").mapInArrow(_scorer(shared, calibration), "doc_id long, text_hash long, score double, evidence string")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """Scores every whole text by its nearest labelled examples: one row per input row.
+
+    Labels are learnt only from ids whose crc32 leaves a remainder other than 0 by 5. Labelled rows with equal texts are
+    one example with the share of them that have the label, whatever their number; of these texts `sample` at most are
+    used, those with the smallest hashes. Returns doc_id, held_out (that remainder is 0; false for null ids), score (0 to
+    1), predicted, evidence (nearest examples as doc_id:cosine, best first).
+    Null and empty texts, and others without any term of an example, score the share of the label among such examples,
+    or among all if there are none. Very long texts are read whole, in runs of about a megabyte or one text. Ties between
+    examples go by the index's order, not ids. Repeated rows score alike; repeated labels count once, the largest.
+    Columns other than doc_id, text and the label don't matter. An empty table gives an empty result; without labels
+    every score is 0.5.
+    """
     held_out = F.coalesce(remainder(5) == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    return _scored(docs, labels, label, sample).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """`docs` without the rows that score `threshold` or more, with all columns, whatever their names.
+
+    Rows are told apart by doc_id and text, null ones among them; learning and edge cases are those of `score_toxicity`.
+    """
+    doc_id, text_hash = fresh(docs, "doc_id", "text_hash")
+    rejected = _scored(docs, labels, label, sample).filter(F.col("score") >= threshold).select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash)).distinct()
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(text_hash)), "left_anti")

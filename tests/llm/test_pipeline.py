@@ -57,5 +57,29 @@ def test_spans_can_be_removed_instead(spark):
     assert decontaminate.contamination(cut, items).filter("contaminated").count() == 0
 
 
-def test_run_matches_stage_by_stage(spark):
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+def test_run_is_the_stages_one_after_the_other(spark):
+    docs, sf = table(spark, "/root/testdata/sf0.001", "documents"), "/root/testdata/sf0.001"
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    want = collections.Counter(map(str, docs.collect()))
+    got = corpus_pipeline.run(spark, sf)
+    assert collections.Counter(map(str, got.collect())) == want and sum(want.values()) > 50
+
+
+def test_stages_take_clashing_columns_nulls_and_repeats(spark):
+    names = ("rejected_doc_id", "near_duplicate_rank", "hit_doc_id", "secret_doc_id", "text_hash", "doc_id_", "places", "values", "rank", "component")
+    text = " ".join(f"word{i % 37}x{i % 11}" for i in range(120))
+    rows = [(1, text), (2, text), (None, text), (None, None), (3, ""), (3, ""), (4, text.replace("word", "other") + " token: Zz9Yy8Xx7Ww6Vv5Uu4 end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["x"] * len(names)) for i, t in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"{c} string" for c in names)]))
+    sf = "/root/testdata/sf0.001"
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns[5:] == list(names)
+    got = docs.collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "3", "4", "None", "None"] and all(r[c] == "x" for r in got for c in names)
+    assert all("Zz9Yy8Xx7Ww6Vv5Uu4" not in (r.text or "") for r in got)
+    assert {str(r.doc_id) for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()} == {"1", "3", "4", "None"}
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf)
+        assert empty.count() == 0
