@@ -5,17 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quakeframe.llm import decontaminate, minhash, packing, secrets, toxicity
 from quakeframe.llm.common import shared_folder, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be toxic go, all rows of their id with them."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.filter("predicted = 1").select(F.col("doc_id").alias("rejected_doc_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("rejected_doc_id")), "left_anti")
+    """Documents that the classifier predicts to be toxic go; rows of one id but different texts are judged each."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -20,8 +19,11 @@ from quakeframe.streaming import jobs
 
 
 def _folder(s) -> str:
-    """A new folder in the cluster's shared one; a temporary one only where none is named."""
-    named = s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder in the shared one that the session names; a local session without one takes its warehouse."""
+    named = s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None)
+    if named is None and not s.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    named = named or s.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/streams"
     return f"{named}/stream-{uuid.uuid4().hex}"
 
 

@@ -22,13 +22,14 @@ def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert not plans.queries()[name](spark, sf_dir).isEmpty()
 
 
-def test_entry_works_without_the_text_operators():
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "quakeframe.llm", "tiktoken"])
+def test_entry_works_without_the_text_operators(gone):
     root = Path(__file__).resolve().parent.parent
     code = (
         "import sys\n"
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name in ('corpus_pipeline', 'quakeframe.llm'):\n"
+        f"        if name == {gone!r}:\n"
         "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
