@@ -78,8 +78,13 @@ def match_detections(boxes: DataFrame, truth: DataFrame, factor: float = 1.4, by
 
     A trace counts as detected by having boxes; where none overlaps, iou and residuals are NULL.
     """
+    return match_boxes(boxes, truth_boxes(truth, factor), by)
+
+
+def match_boxes(boxes: DataFrame, targets: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """`match_detections` with the truth boxes (trace_name, true_start_s, true_end_s) given."""
     keys = [*by, "trace_name"]
-    both = boxes.join(truth_boxes(truth, factor), "trace_name")
+    both = boxes.join(targets, "trace_name")
     overlap = F.greatest(F.lit(0.0), F.least("end_s", "true_end_s") - F.greatest("start_s", "true_start_s"))
     hull = F.greatest("end_s", "true_end_s") - F.least("start_s", "true_start_s")
     both = both.withColumn("iou", F.when(hull > 0, overlap / F.nullif(hull, F.lit(0.0))).otherwise(0.0))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.functions.metrics import mcc, prf, ratio, residual_aggregates, spread
-from quakeframe.operators.match import gate, match_cross_phase, match_detections, match_picks, truth_boxes
+from quakeframe.operators.match import gate, match_boxes, match_picks, tolerance, truth_boxes
 
 PHASES = ("P", "S")
+#: Ranges that a group's values are counted in before any are sorted.
+RANGES = 1024
 
 
 def threshold_sweep(predictions: DataFrame, thresholds: Sequence[float]) -> DataFrame:
@@ -25,40 +29,80 @@ def _grid(truth: DataFrame, models: DataFrame) -> DataFrame:
     return models.crossJoin(F.broadcast(per_phase))  # two rows
 
 
-def tally(picks: DataFrame, truth: DataFrame, tol, models: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """tp, fp, fn per (by, phase). fp: all unmatched predictions on traces with truth; fn: true picks without a match."""
-    picks = picks.join(truth.select("trace_name"), "trace_name", "left_semi")
-    hit = match_picks(picks, truth, tol, by).groupBy(*by, "phase").agg(F.count("*").alias("tp"))
-    all_ = picks.groupBy(*by, "phase").agg(F.count("*").alias("n_pred"))
-    out = _grid(truth, models).join(hit, [*by, "phase"], "left").join(all_, [*by, "phase"], "left").fillna(0, ["tp", "n_pred"])
-    return out.select(*by, "phase", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_true") - F.col("tp")).alias("fn"))
+def _per_trace(picks: DataFrame, truth: DataFrame, tol, by: Sequence[str]) -> DataFrame:
+    """Per (by, trace, phase), of traces with truth: the number of predictions, and the residual of the match, if any.
+
+    Predictions meet their trace's arrivals, a few for each, in one join, and everything is counted in one aggregation.
+    """
+    arrivals = truth.groupBy("trace_name").agg(F.collect_list(F.struct("phase", "true_s")).alias("arrivals"))
+    both = picks.join(arrivals, "trace_name")
+    own = F.transform(F.filter("arrivals", lambda t: t["phase"] == F.col("phase")), lambda t: F.struct(F.abs(F.col("offset_s") - t["true_s"]).alias("distance"), (F.col("offset_s") - t["true_s"]).alias("residual_s")))
+    near = both.select(*by, "trace_name", "phase", "emit_order", F.array_min(own).alias("x"))
+    order = F.when(F.col("x.distance") <= tolerance(tol), F.struct("x.distance", "emit_order"))
+    return near.groupBy(*by, "trace_name", "phase").agg(F.count("*").alias("n_pred"), F.min_by(F.col("x.residual_s"), order).alias("residual_s"))
 
 
 def score_picking(picks: DataFrame, truth: DataFrame, tol, models: DataFrame, by: Sequence[str] = ("model",), zero: str = "null") -> DataFrame:
-    """Tallies with precision, recall, F1 and residual statistics per (by, phase)."""
-    stats = match_picks(picks, truth, tol, by).groupBy(*by, "phase").agg(*(c.alias(n) for n, c in residual_aggregates("residual_s").items()))
-    out = tally(picks, truth, tol, models, by).join(stats, [*by, "phase"], "left").fillna(0, ["n_residuals"])
+    """tp, fp, fn with precision, recall, F1 and residual statistics per (by, phase).
+
+    fp: all unmatched predictions on traces with truth; fn: true picks without a match.
+    """
+    per = _per_trace(picks, truth, tol, by).groupBy(*by, "phase").agg(F.sum("n_pred").alias("n_pred"), *(c.alias(n) for n, c in residual_aggregates("residual_s").items()))
+    out = _grid(truth, models).join(per, [*by, "phase"], "left").fillna(0, ["n_pred", "n_residuals"])
+    tp = F.col("n_residuals")
+    out = out.withColumns({"tp": tp, "fp": F.col("n_pred") - tp, "fn": F.col("n_true") - tp})
     return out.select(*by, "phase", "tp", "fp", "fn", *(c.alias(n) for n, c in prf("tp", "fp", "fn", zero).items()), *residual_aggregates("residual_s"))
 
 
+def tally(picks: DataFrame, truth: DataFrame, tol, models: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """The counts of `score_picking` alone."""
+    return score_picking(picks, truth, tol, models, by).select(*by, "phase", "tp", "fp", "fn")
+
+
+def ordered_elements(values: DataFrame, x: str, n: str, by: Sequence[str], shares: Mapping[str, float], linear: bool = True) -> DataFrame:
+    """Elements of sorted values, from how often each occurs: (by, one column for each share), exact whatever the numbers.
+
+    values: (by, x, n) with n occurrences of each distinct x. linear: interpolated at share * (total - 1), else the element
+    at int(share * total). Counts are summed over RANGES ranges of each group's values first, so that only a range's own
+    distinct values are ever sorted in one task.
+    """
+    by, width = list(by), (F.col("hi") - F.col("lo")) / RANGES
+    ends = values.groupBy(*by).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum(n).alias("total"))
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
+    placed = values.alias("v").join(F.broadcast(ends).alias("e"), reduce(and_, same, F.lit(True)))  # a row for each group
+    placed = placed.select(*(F.col(f"v.{c}") for c in by), F.col(x).alias("x"), F.col(n).alias("n"), "lo", "hi", "total")
+    placed = placed.withColumn("range", F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(RANGES - 1))).otherwise(0))
+    sums = placed.groupBy(*by, "range").agg(F.sum("n").alias("m"))
+    below = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    sums = sums.withColumn("before", F.coalesce(F.sum("m").over(below), F.lit(0)))
+    inside = Window.partitionBy(*by, "range").orderBy("x")
+    ranked = placed.alias("p").join(sums.alias("s"), reduce(and_, [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "range")]))
+    ranked = ranked.select(*(F.col(f"p.{c}") for c in by), F.col("p.range").alias("range"), "x", "n", "total", "before")
+    ranked = ranked.withColumn("upto", F.sum("n").over(inside) + F.col("before"))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
+    parts = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("total") - 1) if linear else F.floor(F.lit(share) * F.col("total"))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        parts.append((low + (high - low) * F.max(place - F.floor(place)) if linear else low).alias(name))
+    return ranked.groupBy(*by).agg(*parts)
+
+
 def residual_stats(residuals: DataFrame, by: Sequence[str], iqr: str = "index") -> DataFrame:
     """n, MAE, RMSE, population deviation, median, exact MAD and IQR of residual_s.
 
-    iqr='index' takes the elements of the sorted residuals at int(.75 n) and int(.25 n); 'linear' interpolates.
+    iqr='index' takes the elements of the sorted residuals at int(.75 n) and int(.25 n); 'linear' interpolates. Order
+    statistics come from counts of distinct values, so that no task holds a group's residuals.
     """
-    by = list(by)
-    mid = residuals.groupBy(*by).agg(F.percentile("residual_s", 0.5).alias("median_s"))
-    x = F.col("residual_s")
-    quartiles = F.percentile(x, 0.75) - F.percentile(x, 0.25)
-    out = residuals.join(mid, by).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(x)).alias("mae_s"), F.sqrt(F.avg(x * x)).alias("rmse_s"), F.stddev_pop(x).alias("std_s"), F.first("median_s").alias("median_s"), F.percentile(F.abs(x - F.col("median_s")), 0.5).alias("mad_s"), quartiles.alias("iqr_s"))
-    if iqr != "index":
-        return out
-    # Elements of the sorted residuals, from running counts over distinct values: picks lie on samples, so these are few.
+    by, x = list(by), F.col("residual_s")
+    sums = residuals.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(x)).alias("mae_s"), F.sqrt(F.avg(x * x)).alias("rmse_s"), F.stddev_pop(x).alias("std_s"))
     values = residuals.groupBy(*by, "residual_s").agg(F.count("*").alias("n_here"))
-    upto = F.sum("n_here").over(Window.partitionBy(*by).orderBy("residual_s"))
-    values = values.withColumn("upto", upto).join(out.select(*by, "n"), by)
-    element = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), x))
-    return out.drop("iqr_s").join(values.groupBy(*by).agg((element(0.75) - element(0.25)).alias("iqr_s")), by)
+    mid = ordered_elements(values, "residual_s", "n_here", by, {"median_s": 0.5})
+    quartiles = ordered_elements(values, "residual_s", "n_here", by, {"q3": 0.75, "q1": 0.25}, linear=iqr != "index")
+    away = values.join(F.broadcast(mid), by).groupBy(*by, F.abs(x - F.col("median_s")).alias("away")).agg(F.sum("n_here").alias("n_here"))  # a row for each group
+    mad = ordered_elements(away, "away", "n_here", by, {"mad_s": 0.5})
+    out = sums.join(mid, by).join(mad, by).join(quartiles, by)
+    return out.select(*by, "n", "mae_s", "rmse_s", "std_s", "median_s", "mad_s", (F.col("q3") - F.col("q1")).alias("iqr_s"))
 
 
 def residuals_or_fallback(summary: DataFrame) -> DataFrame:
@@ -83,14 +127,21 @@ def phase_identification(matches: DataFrame, by: Sequence[str] = ("model",)) ->
 def auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by average ranks; NULL for one class only or where every score is 0.
 
-    Scores are first counted by value; ranks come from running sums over distinct values of one group.
+    Scores are first counted by value, then by RANGES ranges of a group's scores: running sums go over the ranges, and
+    inside each over its own distinct values, so that no task sorts a group's scores.
     """
     by = list(by)
-    v = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    v = df.groupBy(*by, F.col(score).cast("double").alias("x")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    ends = v.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    v = v.join(F.broadcast(ends), by) if by else v.crossJoin(F.broadcast(ends))  # a row for each group
+    width = (F.col("hi") - F.col("lo")) / RANGES
+    v = v.withColumn("range", F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(RANGES - 1))).otherwise(0))
+    below = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = v.groupBy(*by, "range").agg(F.sum("neg").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(below), F.lit(0)))  # RANGES rows a group
+    inside = Window.partitionBy(*by, "range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    v = v.join(sums.drop("m"), [*by, "range"]).withColumn("neg_below", F.coalesce(F.sum("neg").over(inside), F.lit(0)) + F.col("before"))
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
-    out = v.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.max(F.abs(score)).alias("m"), wins.alias("w"))
+    out = v.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.max(F.abs("x")).alias("m"), wins.alias("w"))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("m") > 0)
     return out.select(*by, "n_pos", "n_neg", F.when(ok, F.col("w") / F.nullif(F.col("n_pos").cast("double") * F.col("n_neg"), F.lit(0.0))).alias("auc"))
 
@@ -111,14 +162,26 @@ def score_t1(events: DataFrame, noise: DataFrame, picks: DataFrame, thresholds:
 def noise_tallies(noise: DataFrame, picks: DataFrame, thresholds: Sequence[float], models: DataFrame) -> DataFrame:
     """Per (model, threshold) over all noise traces: traces with picks, picks by phase, mean, largest, median per trace.
 
-    Traces are counted first, then reduced by model; traces without picks count as zeros in mean and median.
+    Only traces with picks are rows; how many have none follows from the number of noise traces, and they are the zeros
+    in mean and median. The median comes from how many traces have each number of picks.
     """
-    swept = threshold_sweep(picks, thresholds).join(noise.select("trace_name"), "trace_name", "left_semi")
-    per = swept.groupBy("model", "threshold", "trace_name").agg(F.count_if(F.col("phase") == "P").alias("p"), F.count_if(F.col("phase") == "S").alias("s"))
-    grid = models.select("model").crossJoin(models.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
-    per = grid.crossJoin(noise.select("trace_name").distinct()).join(per, ["model", "threshold", "trace_name"], "left").fillna(0, ["p", "s"]).withColumn("n", F.col("p") + F.col("s"))
-    out = per.groupBy("model", "threshold").agg(F.count("*").alias("n_noise"), F.count_if(F.col("n") > 0).alias("n_traces_with_pick"), F.sum("p").alias("n_p"), F.sum("s").alias("n_s"), F.sum("n").alias("n_total"), F.avg("n").alias("mean_per_trace"), F.max("n").alias("max_per_trace"), F.percentile("n", 0.5).alias("median_per_trace"))
-    return out.withColumn("fp_rate", F.col("n_traces_with_pick") / F.col("n_noise"))
+    keys = ["model", "threshold"]
+    quiet = noise.select("trace_name").distinct()
+    swept = threshold_sweep(picks, thresholds).join(quiet, "trace_name", "left_semi")
+    per = swept.groupBy(*keys, "trace_name").agg(F.count_if(F.col("phase") == "P").alias("p"), F.count_if(F.col("phase") == "S").alias("s"))
+    size = quiet.groupBy().agg(F.count("*").alias("n_noise"))
+    grid = models.select("model").crossJoin(models.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")).crossJoin(F.broadcast(size))  # one row
+    sums = per.groupBy(*keys).agg(F.count("*").alias("n_traces_with_pick"), F.sum("p").alias("n_p"), F.sum("s").alias("n_s"), F.max(F.col("p") + F.col("s")).alias("max_per_trace"))
+    held = per.groupBy(*keys, (F.col("p") + F.col("s")).alias("n")).agg(F.count("*").alias("traces"))
+    upto = F.sum("traces").over(Window.partitionBy(*keys).orderBy("n"))  # a row for each number of picks
+    held = held.join(F.broadcast(grid), keys).join(sums.select(*keys, "n_traces_with_pick"), keys).withColumn("upto", upto + F.col("n_noise") - F.col("n_traces_with_pick"))
+    zeros = F.max(F.col("n_noise") - F.col("n_traces_with_pick"))
+    lower, upper = F.floor((F.col("n_noise") - 1) / 2.0), F.ceil((F.col("n_noise") - 1) / 2.0)
+    element = lambda place: F.when(zeros > F.max(place), 0).otherwise(F.min(F.when(F.col("upto") > place, F.col("n"))))
+    medians = held.groupBy(*keys).agg(((element(lower) + element(upper)) / 2.0).alias("median_per_trace"))
+    counts = ["n_traces_with_pick", "n_p", "n_s", "max_per_trace"]
+    out = grid.join(sums, keys, "left").join(medians, keys, "left").fillna(0, [*counts, "median_per_trace"]).withColumn("n_total", F.col("n_p") + F.col("n_s"))
+    return out.select(*keys, "n_noise", "n_traces_with_pick", "n_p", "n_s", "n_total", (F.col("n_total") / F.col("n_noise")).alias("mean_per_trace"), "max_per_trace", "median_per_trace", (F.col("n_traces_with_pick") / F.col("n_noise")).alias("fp_rate"))
 
 
 def noise_trace_maxima(noise: DataFrame, picks: DataFrame) -> DataFrame:
@@ -134,13 +197,22 @@ def noise_audit(noise: DataFrame, picks: DataFrame, thresholds: Sequence[float])
     return wide.select("model", "trace_name", *(F.col(f"`{float(t)}`").alias(f"n_at_{round(t * 100):03d}") for t in thresholds))
 
 
+def _detection_sums(boxes: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
+    return match_boxes(boxes, targets, by).groupBy(*by).agg(F.count("*").alias("n_detected"), F.count("iou").alias("n_overlap"), F.avg(F.coalesce("iou", F.lit(0.0))).alias("det_iou_mean"), F.sum("n_boxes").alias("n_boxes"), F.avg(F.abs("start_residual_s")).alias("det_start_mae_s"), F.avg(F.abs("end_residual_s")).alias("det_end_mae_s"))
+
+
+def _detection_shares() -> list[Column]:
+    n = lambda c: F.coalesce(c, F.lit(0))
+    share = lambda c: ratio(n(c), "n_eligible")
+    return [F.col("n_eligible"), n("n_detected").alias("n_detected"), share("n_detected").alias("det_recall"), share("n_overlap").alias("det_recall_overlap"), F.col("det_iou_mean"), share("n_boxes").alias("det_per_trace_mean"), F.col("det_start_mae_s"), F.col("det_end_mae_s")]
+
+
 def detection_stats(boxes: DataFrame, truth: DataFrame, models: DataFrame, factor: float = 1.4, by: Sequence[str] = ("model",)) -> DataFrame:
     """Recall (any box, overlapping or not), recall with overlap, mean IoU, boxes per trace, and errors of both ends."""
-    eligible = truth_boxes(truth, factor).groupBy().agg(F.count("*").alias("n_eligible"))
-    m = match_detections(boxes, truth, factor, by).groupBy(*by).agg(F.count("*").alias("n_detected"), F.count("iou").alias("n_overlap"), F.avg(F.coalesce("iou", F.lit(0.0))).alias("det_iou_mean"), F.sum("n_boxes").alias("n_boxes"), F.avg(F.abs("start_residual_s")).alias("det_start_mae_s"), F.avg(F.abs("end_residual_s")).alias("det_end_mae_s"))
-    out = models.crossJoin(F.broadcast(eligible)).join(m, list(by), "left").fillna(0, ["n_detected", "n_overlap", "n_boxes"])  # one row
-    share = lambda c: ratio(c, "n_eligible")
-    return out.select(*by, "n_eligible", "n_detected", share("n_detected").alias("det_recall"), share("n_overlap").alias("det_recall_overlap"), "det_iou_mean", share("n_boxes").alias("det_per_trace_mean"), "det_start_mae_s", "det_end_mae_s")
+    targets = truth_boxes(truth, factor)
+    eligible = targets.groupBy().agg(F.count("*").alias("n_eligible"))
+    out = models.crossJoin(F.broadcast(eligible)).join(_detection_sums(boxes, targets, by), list(by), "left")  # one row
+    return out.select(*by, *_detection_shares())
 
 
 def trace_score(traces: DataFrame, boxes: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -156,12 +228,46 @@ def raw_and_gated(picks: DataFrame, boxes: DataFrame, truth: DataFrame, tol, mod
     return score_picking(both, truth, tol, modes, by=("model", "mode"))
 
 
-def summary(picks: DataFrame, boxes: DataFrame, truth: DataFrame, tol, models: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """Per model and phase: picking scores, phase identification, detection scores, n_evaluated and n_failed."""
-    out = score_picking(picks, truth, tol, models)
-    out = out.join(phase_identification(match_cross_phase(picks, truth, tol)), "model", "left").join(detection_stats(boxes, truth, models), "model", "left")
-    n = truth.groupBy().agg(F.countDistinct("trace_name").alias("n_evaluated"))
-    out = out.crossJoin(F.broadcast(n))  # one row
+def summary(picks: DataFrame, boxes: DataFrame, truth: DataFrame, tol, models: DataFrame, failed: DataFrame | None = None, factor: float = 1.4) -> DataFrame:
+    """Per model and phase: picking scores, phase identification, detection scores, n_evaluated and n_failed.
+
+    One pass over picks and one over boxes: each meets its trace's arrivals in a join, is reduced to a row for each model
+    and trace, and these to a row for each model. Of several arrivals of one phase on a trace, the first counts.
+    """
+    first = lambda phase: F.min(F.when(F.col("phase") == phase, F.col("true_s")))
+    arrivals = truth.groupBy("trace_name").agg(*(first(p).alias(f"true_{p}") for p in PHASES), *(F.count_if(F.col("phase") == p).alias(f"n_{p}") for p in PHASES))
+    targets = arrivals.filter("true_S > true_P").select("trace_name", F.col("true_P").alias("true_start_s"), (F.col("true_S") + factor * (F.col("true_S") - F.col("true_P"))).alias("true_end_s"))
+    totals = arrivals.agg(F.count("*").alias("n_evaluated"), F.count_if(F.col("true_S") > F.col("true_P")).alias("n_eligible"), *(F.coalesce(F.sum(f"n_{p}"), F.lit(0)).alias(f"n_true_{p}") for p in PHASES))
+
+    both = picks.join(arrivals, "trace_name")
+    distance = {p: F.abs(F.col("offset_s") - F.col(f"true_{p}")) for p in PHASES}
+    within = {p: distance[p] <= tolerance(tol, F.lit(p)) for p in PHASES}
+    order = {p: F.struct(distance[p], "emit_order") for p in PHASES}
+    pick = F.struct("phase", "emit_order")
+    aggregates = [F.min_by(pick, F.when(within["P"], order["P"])).alias("cross_P"), F.array_sort(F.collect_list(F.when(within["S"], F.struct(distance["S"].alias("d"), F.col("emit_order").alias("e"), pick.alias("pick"))))).alias("near_S")]
+    for p in PHASES:
+        own = F.col("phase") == p
+        aggregates += [F.count_if(own).alias(f"pred_{p}"), F.min_by(F.col("offset_s") - F.col(f"true_{p}"), F.when(own & within[p], order[p])).alias(f"residual_{p}")]
+    per = both.groupBy("model", "trace_name").agg(*aggregates)
+    # P has taken its pick; S takes the nearest of what is left.
+    rest = F.filter(F.transform("near_S", lambda x: x["pick"]), lambda x: ~F.coalesce(x == F.col("cross_P"), F.lit(False)))
+    per = per.withColumns({"as_P": F.col("cross_P.phase"), "as_S": F.get(rest, F.lit(0))["phase"]})
+    sums = []
+    for p in PHASES:
+        sums.append(F.struct(F.lit(p).alias("phase"), F.sum(f"pred_{p}").alias("n_pred"), *(c.alias(n) for n, c in residual_aggregates(f"residual_{p}").items())))
+    crossed = [F.count_if(F.col(f"as_{t}") == p).alias(f"{p}{t}".lower()) for t in PHASES for p in PHASES]
+    per = per.groupBy("model").agg(F.array(*sums).alias("scores"), *crossed)
+    right, wrong = F.col("pp") + F.col("ss"), F.col("ps") + F.col("sp")
+    classes = (F.col("pp") + F.col("sp") > 0) & (F.col("ps") + F.col("ss") > 0) & (F.col("pp") + F.col("ps") > 0) & (F.col("sp") + F.col("ss") > 0)
+    some = lambda c: F.when(right + wrong > 0, c)
+    per = per.select("model", "scores", some(right + wrong).alias("n_pairs"), some(wrong).alias("n_confusions"), F.when(classes, mcc("pp", "ps", "sp", "ss")).alias("mcc_phase_id"), ratio(right, right + wrong).alias("phase_accuracy"))
+
+    rows = models.select("model").crossJoin(F.broadcast(totals)).join(per, "model", "left").join(_detection_sums(boxes, targets, ("model",)), "model", "left")  # one row of totals
+    rows = rows.withColumn("phase", F.explode(F.array(*map(F.lit, PHASES)))).withColumn("n_true", F.when(F.col("phase") == "P", F.col("n_true_P")).otherwise(F.col("n_true_S"))).filter("n_true > 0")
+    x = F.get(F.filter("scores", lambda v: v["phase"] == F.col("phase")), F.lit(0))
+    rows = rows.withColumn("x", x).withColumn("tp", F.coalesce("x.n_residuals", F.lit(0))).withColumn("fp", F.coalesce("x.n_pred", F.lit(0)) - F.col("tp")).withColumn("fn", F.col("n_true") - F.col("tp"))
+    names = list(residual_aggregates("tp"))
+    out = rows.select("model", "phase", "tp", "fp", "fn", *(c.alias(n) for n, c in prf("tp", "fp", "fn").items()), F.col("tp").alias(names[0]), *(F.col(f"x.{n}").alias(n) for n in names[1:]), "n_pairs", "n_confusions", "mcc_phase_id", "phase_accuracy", *_detection_shares(), "n_evaluated")
     if failed is None:
         return out.withColumn("n_failed", F.lit(0).cast("long"))
     return out.join(failed.groupBy("model").agg(F.count("*").alias("n_failed")), "model", "left").fillna(0, ["n_failed"])
