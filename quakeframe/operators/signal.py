@@ -1,10 +1,12 @@
-"""Windows, stacking, padding and trend removal on sample arrays with array functions only."""
+"""Windows, stacking, padding and trend removal on sample arrays: array functions, but for stacking windows that were rows."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,20 +56,45 @@ def position_weights(window: int, kind: str = "gaussian") -> Column:
     return A.let(raw, lambda w: A.let(A.mean(w), lambda m: F.when(m == 0, w).otherwise(F.transform(w, lambda v: v / m))))
 
 
+def _stack(windows: list[tuple[int, np.ndarray]], weights: np.ndarray | None, how: str) -> np.ndarray:
+    """Windows (start, values) of one trace to the values of the samples that any covers, in order."""
+    first, end = min(a for a, _ in windows), max(a + len(x) for a, x in windows)
+    covered = np.zeros(end - first + 1, int)
+    for a, x in windows:
+        covered[a - first] += 1
+        covered[a - first + len(x)] -= 1
+    covered = np.cumsum(covered)[:-1]
+    if how == "median":
+        # Each window goes into the first layer that is free from its start on; there are as many as windows ever overlap.
+        layers, free = np.full((max(covered.max(initial=0), 1), end - first), np.nan), [first] * max(covered.max(initial=0), 1)
+        for a, x in sorted(windows, key=lambda w: w[0]):
+            k = next(k for k, at in enumerate(free) if at <= a)
+            layers[k, a - first : a - first + len(x)] = x
+            free[k] = a + len(x)
+        return np.nanmedian(layers[:, covered > 0], axis=0)
+    total, weight = np.zeros(end - first), np.zeros(end - first)
+    for a, x in windows:
+        w = np.ones(len(x)) if weights is None else weights[: len(x)]
+        total[a - first : a - first + len(x)] += x * w
+        weight[a - first : a - first + len(x)] += w
+    return (total / np.maximum(weight, 1e-8))[covered > 0]
+
+
 def overlap_add(predictions: DataFrame, how: str = "mean", weights: Column | None = None, x: str = "x") -> DataFrame:
     """Windows (trace_name, start, x) back to one curve per trace: weighted mean, or median, of what covers each sample.
 
-    Samples are combined before the shuffle for the mean; curves are returned as arrays in order of i.
+    Windows are shuffled whole, once, and stacked where a trace's have met; samples are never rows. Samples that no window
+    covers are left out.
     """
-    w = F.lit(1.0) if weights is None else F.get(weights, F.col("j"))
-    each = predictions.select("trace_name", "start", F.posexplode(x).alias("j", "v")).withColumn("w", w)
-    i = (F.col("start") + F.col("j")).alias("i")
-    if how == "median":
-        per = each.groupBy("trace_name", i).agg(F.percentile("v", 0.5).alias("v"))
-    else:
-        per = each.groupBy("trace_name", i).agg((F.sum(F.col("v") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-8))).alias("v"))
-    curve = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])  # of one trace
-    return per.groupBy("trace_name").agg(curve.alias("curve"))
+    w = F.lit(None).cast("array<double>") if weights is None else weights
+    met = predictions.groupBy("trace_name").agg(F.collect_list(F.struct("start", F.col(x).alias("x"))).alias("windows")).withColumn("w", w)  # of one trace
+
+    def run(batches):
+        for pdf in batches:
+            curves = [_stack([(v["start"], np.asarray(v["x"], float)) for v in windows], None if w is None else np.asarray(w, float), how) for windows, w in zip(pdf["windows"], pdf["w"])]
+            yield pd.DataFrame({"trace_name": pdf["trace_name"], "curve": curves})
+
+    return met.mapInPandas(run, "trace_name string, curve array<double>")
 
 
 def pad_samples(x: Column, n: int, mode: str = "zero") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quakeframe.functions import arrays as A
 from quakeframe.functions import tables
-from quakeframe.operators import match, models, scoring, spectral
+from quakeframe.operators import labels, match, models, scoring, spectral
 from quakeframe.plans import views as v
 from quakeframe.plans.scoring import rounded
 from quakeframe.plans.views import EVENTS_SQL, TRACES_SQL
@@ -71,45 +71,37 @@ def _is_folder(s, path: str) -> bool:
 
 
 def t1_stream_windows(s, d):
-    """Sliding windows of 6 hours every 2 over the events of each user, as a stream run to its end in complete mode."""
+    """Sliding windows of 6 hours every 2 over the events of each user, as a stream; those that the watermark has closed."""
     at = _folder(s)
     packets = _stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = jobs.stream_windows(packets, "user_id", window="6 hours", step="2 hours", late="40 days")
-    return rounded(_complete(out, at), 5)
-
-
-def _complete(df, at):
-    """Runs an aggregating stream over all there is; what it holds at the end, written once by its last batch."""
-    def keep(batch, _):
-        batch.write.mode("overwrite").parquet(f"{at}/result")
-
-    q = df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.read.parquet(f"{at}/result")
+    out = jobs.stream_windows(packets, "user_id", window="6 hours", step="2 hours", late="3 hours")
+    return rounded(jobs.drain(out, f"{at}/out", f"{at}/checkpoint"), 5)
 
 
 def t2_stream_gate(s, d):
-    """Clicks and views inside error boxes of at most 9 hours, as a stream-stream semi-join."""
+    """Clicks and views inside error boxes, as a stream-stream semi-join; state is kept as long as the longest box."""
     at = _folder(s)
     e = _stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     picks = e.filter("event_type IN ('click', 'view')").select("event_id", F.col("user_id").alias("trace_name"), "ts")
     boxes = _stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter("event_type = 'error'").select(F.col("user_id").alias("box_trace"), F.col("ts").alias("box_start"), F.expr("ts + make_dt_interval(0, 0, 0, value * 60)").alias("box_end"))
-    return jobs.drain(jobs.stream_gate(picks, boxes, "9 HOURS", late="40 days"), f"{at}/out", f"{at}/checkpoint").select("event_id", "trace_name")
+    longest = v.table(s, d, "events").filter("event_type = 'error'").agg(F.ceil(F.max("value"))).first()[0] or 0
+    return jobs.drain(jobs.stream_gate(picks, boxes, f"{longest} MINUTES", late="40 days"), f"{at}/out", f"{at}/checkpoint").select("event_id", "trace_name")
 
 
 def t3_incremental_score(s, d):
-    """Matches of streamed predictions, appended once for each (model, params, trace)."""
+    """Counts of streamed predictions, whole for each (model, params, trace)."""
     at = _folder(s)
     e = _stream(s, d, "events").filter("event_type IN ('click', 'view')").select(F.concat(F.lit("m"), F.col("event_id") % 3).alias("model"), F.lit("h1").alias("params_hash"), F.col("user_id").cast("string").alias("trace_name"), "value")
-    q = jobs.incremental_score(e, f"{at}/results", f"{at}/checkpoint", lambda b: b.groupBy("model", "params_hash", "trace_name").agg(F.count("*").alias("n"), F.max("value").alias("top")))
+    q = jobs.incremental_score(e, f"{at}/kept", f"{at}/checkpoint", lambda b: b.groupBy("model", "params_hash", "trace_name").agg(F.count("*").alias("n"), F.max("value").alias("top")))
     q.awaitTermination()
-    return s.read.parquet(f"{at}/results")
+    return jobs.scores(s, f"{at}/kept")
 
 
 def _coda(s, d):
-    """Curves of event traces, and the later half of each as coda."""
+    """Curves of event traces, and what follows S on those that have the room."""
     whole = _curves(s, d).select("model", "trace_name", "m")
-    return whole, whole.filter("cast(trace_name as bigint) % 3 <> 0").withColumn("m", F.slice("m", 33, 32))
+    room = whole.withColumnRenamed("m", "samples").join(_picked(s, d).select("trace_name", "s_sample"), "trace_name")
+    return whole, labels.coda_windows(room, 10, 20).select(F.lit("m0").alias("model"), "trace_name", F.col("x").alias("m"))
 
 
 def x8_pick_curve(s, d):
@@ -163,8 +155,8 @@ rs AS (SELECT trace_name, t AS i, sum(w * samples[greatest(least(2 * t + k, 63),
 _SUMMED = "SELECT trace_name, count(*)::INT AS n, round(max(abs({0})), 5) AS top, round(sum({0} * {0}), 5) AS energy FROM {1} GROUP BY 1"
 
 ORACLE_SQL = {
-    "a20_coda_t1": f"""WITH {TRACES_SQL},
-b AS (SELECT 1 AS y, max(abs(v) * 2) AS sc FROM long GROUP BY trace_name UNION ALL SELECT 0, max(abs(v) * 2) FROM long WHERE i >= 32 AND trace_name::BIGINT % 3 <> 0 GROUP BY trace_name),
+    "a20_coda_t1": f"""WITH {TRACES_SQL}, {_PICKED},
+b AS (SELECT 1 AS y, max(abs(v) * 2) AS sc FROM long GROUP BY trace_name UNION ALL SELECT 0, list_max(list_transform(samples[s_sample + 11:s_sample + 30], lambda q: abs(q) * 2)) FROM picked WHERE s_sample >= 0 AND 64 - s_sample >= 30),
 r AS (SELECT *, rank() OVER (ORDER BY sc) + (count(*) OVER (PARTITION BY sc) - 1) / 2 AS rk FROM b),
 n AS (SELECT count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, sum(rk) FILTER (y = 1) AS s, count(*) FILTER (y = 1 AND sc >= 0.8) AS tp, count(*) FILTER (y = 0 AND sc >= 0.8) AS fp, count(*) FILTER (y = 1 AND sc < 0.8) AS fn FROM r)
 SELECT 'm0' AS model, n_pos, n_neg, round((s - n_pos * (n_pos + 1) / 2) / (n_pos::DOUBLE * n_neg), 6) AS auc, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM n""",
@@ -204,8 +196,9 @@ done AS (SELECT CASE WHEN -z < 0.3 AND EXISTS (SELECT 1 FROM thin WHERE thin.tra
 {_SUMMED.format("p", "done")}""",
     "x6_registered": f"WITH {TRACES_SQL}, {_Z} SELECT 'demo' AS model, trace_name, FALSE AS has_detection_head, round(max(tanh(abs(2 * z))), 5) AS top FROM zf GROUP BY 2",
     "t1_stream_windows": """WITH w AS (SELECT user_id, value, unnest([0, 1, 2]) AS k, time_bucket(INTERVAL 2 HOURS, ts) AS b FROM events)
-SELECT b - k * INTERVAL 2 HOURS AS start, b - k * INTERVAL 2 HOURS + INTERVAL 6 HOURS AS "end", user_id, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(max(abs(value)), 5) AS peak FROM w GROUP BY ALL""",
+SELECT b - k * INTERVAL 2 HOURS AS start, b - k * INTERVAL 2 HOURS + INTERVAL 6 HOURS AS "end", user_id, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(max(abs(value)), 5) AS peak FROM w
+WHERE b - k * INTERVAL 2 HOURS + INTERVAL 6 HOURS <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 3 HOURS GROUP BY ALL""",
     "t2_stream_gate": f"""WITH {EVENTS_SQL}
-SELECT emit_order AS event_id, trace_name::BIGINT AS trace_name FROM picks p WHERE EXISTS (SELECT 1 FROM ev b WHERE event_type = 'error' AND b.trace_name = p.trace_name AND p.offset_s BETWEEN b.offset_s AND b.offset_s + value * 60 AND p.offset_s <= b.offset_s + 32400)""",
+SELECT emit_order AS event_id, trace_name::BIGINT AS trace_name FROM picks p WHERE EXISTS (SELECT 1 FROM ev b WHERE event_type = 'error' AND b.trace_name = p.trace_name AND p.offset_s BETWEEN b.offset_s AND b.offset_s + value * 60)""",
     "t3_incremental_score": f"WITH {EVENTS_SQL} SELECT model, 'h1' AS params_hash, trace_name, count(*) AS n, max(value) AS top FROM ev WHERE event_type IN ('click', 'view') GROUP BY ALL",
 }

@@ -76,7 +76,7 @@ QUERIES = {
     "w12_overlap_add": lambda s, d: signal.overlap_add(_windows(s, d), weights=signal.position_weights(16, "triangular")).select("trace_name", _round("curve").alias("curve")),
     "w13_median_stack": lambda s, d: signal.overlap_add(_windows(s, d).withColumn("x", F.transform("x", lambda q, i: q * i)), how="median").select("trace_name", _round("curve").alias("curve")),
     "w14_weights": lambda s, d: rounded(_traces(s, d).select("trace_name", *(A.total(F.zip_with("samples", signal.position_weights(64, k), lambda a, b: a * b)).alias(k) for k in ("gaussian", "triangular", "cosine")))),
-    "w15_padding": lambda s, d: _traces(s, d).select("trace_name", *(_round(signal.pad_samples(F.slice("samples", 1, (_id() % 9 + 1).cast("int")), 5, k)).alias(k) for k in ("zero", "last", "median"))),
+    "w15_padding": lambda s, d: _traces(s, d).select("trace_name", *(_round(signal.pad_samples(F.concat("samples", F.slice("samples", 1, (_id() % 9 + 1).cast("int"))), 69, k)).alias(k) for k in ("zero", "last", "median"))),
     "w16_flat_regions": lambda s, d: _traces(s, d).select("trace_name", F.explode(signal.flat_regions(F.col("samples"), 8, 7, 1)).alias("x")).select("trace_name", "x.*"),
     "w17_reference": lambda s, d: _traces(s, d).select("trace_name", signal.reference_start(F.transform("samples", lambda q: F.round(q, 1)), 16, 4, 6, 64).alias("start")),
     "w19_stream_standardize": lambda s, d: _traces(s, d).select("trace_name", _round(signal.standardize_stream(F.transform("samples", lambda q: F.when(q > 0.25, F.lit(float("nan"))).otherwise(q)), 70)).alias("x")),
@@ -94,11 +94,11 @@ QUERIES = {
     "w36_labels": lambda s, d: _picked(s, d).select("trace_name", _round(labels.gaussian_label(64, F.col("p_sample"), 4.0)).alias("p"), _round(labels.noise_label(labels.gaussian_label(64, F.col("p_sample"), 4.0), labels.gaussian_label(64, F.col("s_sample"), 4.0))).alias("n")),
     "w37_detection_label": lambda s, d: _picked(s, d).select("trace_name", labels.detection_label(64, F.col("p_sample"), F.col("s_sample")).alias("d")),
     "w38_pick_of_label": lambda s, d: _traces(s, d).select("trace_name", labels.pick_of_label(F.col("samples"), 0.25).alias("sample")),
-    "w40_validation": lambda s, d: _traces(s, d).select("trace_name", F.when(_id() % 5 != 0, F.slice("samples", 1, (_id() % 9).cast("int"))).alias("a"), F.slice("samples", 1, 4).alias("b")).select("trace_name", signal.validation_error(("a", "b"), 2).alias("error")),
+    "w40_validation": lambda s, d: _traces(s, d).select("trace_name", F.when(_id() % 5 != 0, F.flatten(F.array_repeat("samples", (_id() % 9).cast("int")))).alias("a"), F.flatten(F.array_repeat("samples", 4)).alias("b")).select("trace_name", signal.validation_error(("a", "b"), 128).alias("error")),
     "w41_guard": lambda s, d: curves.guard(_curves(s, d).withColumn("p", F.transform("p", lambda q: F.when(q > 0.3, F.lit(float("nan"))).otherwise(q)))).select("trace_name", _round("p").alias("p"), _round("s").alias("s"), _round("m").alias("m")),
     "w43_f6_coda": lambda s, d: labels.coda_windows(_picked(s, d), 10, 20).select("trace_name", _round("x").alias("x")),
     "j11_peaks_in_windows": lambda s, d: rounded(curves.peaks_in_windows(_peaks(s, d), _boxes(s, d), margin=2)),
-    "j16_best_horizontal": lambda s, d: _traces(s, d).select("trace_name", _round(motion.best_horizontal(F.slice("samples", 1, 10), F.slice("samples", 11, 10), F.slice("samples", 21, 10))).alias("x")),
+    "j16_best_horizontal": lambda s, d: _traces(s, d).select("trace_name", _round(motion.best_horizontal(F.slice("samples", 1, 22), F.slice("samples", 23, 21), F.slice("samples", 44, 21))).alias("x")),
     "a18_t2": lambda s, d: rounded(scoring.t2_phase_at_arrivals(_curves(s, d), _picked(s, d).select("trace_name", F.explode(F.array(F.struct(F.lit("P").alias("phase"), F.col("p_sample").alias("sample")), F.struct(F.lit("S").alias("phase"), F.col("s_sample").alias("sample")))).alias("x")).select("trace_name", "x.*").filter("sample IS NOT NULL"), 2, 0.05)),
     "a21_scoreboard": lambda s, d: rounded(qc.scoreboard(qc.quality_report(_picked(s, d).withColumn("sampling_rate_hz", F.lit(2.0)), "p_sample")), 5),
     "a22_motion_medians": lambda s, d: rounded(motion.motion_medians(_picked(s, d).filter("p_sample IS NOT NULL").select((F.col("station") % 3).alias("pick_source"), motion.ground_motion(F.col("samples"), F.col("p_sample"), F.col("p_sample") + 20, 0.1).alias("x"), motion.husid_d5_95(F.col("samples")).alias("h")).select("pick_source", "x.pga", "x.pgv", ((F.col("h.i95") - F.col("h.i5")) * 0.1).alias("duration_s")))),
@@ -187,8 +187,8 @@ ORACLE_SQL = {
     "w13_median_stack": _sql("SELECT trace_name, list(round(c, 6) + 0.0 ORDER BY i) AS curve FROM (SELECT trace_name, start + j AS i, quantile_cont(q * j, 0.5) AS c FROM (SELECT trace_name, start, unnest(range(16)) AS j, unnest(x) AS q FROM win) GROUP BY 1, 2) GROUP BY 1", _WIN),
     "w14_weights": _sql("""SELECT trace_name, round(sum(v * g) / any_value(mg), 6) AS gaussian, round(sum(v * t) / any_value(mt), 6) AS triangular, round(sum(v * c) / any_value(mc), 6) AS cosine
 FROM long JOIN w USING (i) CROSS JOIN (SELECT avg(g) AS mg, avg(t) AS mt, avg(c) AS mc FROM w) GROUP BY trace_name""", "w AS (SELECT i, exp(-((i - 31.5) * (i - 31.5)) / (2 * power(64 / 6, 2))) AS g, greatest(0.1, 1 - abs(i - 31.5) / 32) AS t, 0.5 * (1 - cos(2 * pi() * i / 63)) AS c FROM (SELECT unnest(range(64)) AS i))"),
-    "w15_padding": _sql("""SELECT trace_name, list_transform(range(1, 6), lambda k: round(CASE WHEN k <= len(x) THEN x[k] ELSE 0 END, 6) + 0.0) AS zero, list_transform(range(1, 6), lambda k: round(CASE WHEN k <= len(x) THEN x[k] ELSE x[len(x)] END, 6) + 0.0) AS last,
-  list_transform(range(1, 6), lambda k: round(CASE WHEN k <= len(x) THEN x[k] ELSE list_median(x) END, 6) + 0.0) AS median FROM (SELECT trace_name, samples[1:(id % 9 + 1)] AS x FROM picked)""", _PICKED),
+    "w15_padding": _sql("""SELECT trace_name, list_transform(range(1, 70), lambda k: round(CASE WHEN k <= len(x) THEN x[k] ELSE 0 END, 6) + 0.0) AS zero, list_transform(range(1, 70), lambda k: round(CASE WHEN k <= len(x) THEN x[k] ELSE x[len(x)] END, 6) + 0.0) AS last,
+  list_transform(range(1, 70), lambda k: round(CASE WHEN k <= len(x) THEN x[k] ELSE list_median(x) END, 6) + 0.0) AS median FROM (SELECT trace_name, list_concat(samples, samples[1:(id % 9 + 1)]) AS x FROM picked)""", _PICKED),
     "w16_flat_regions": _sql("SELECT trace_name, a::INT AS start, b::INT AS \"end\" FROM isl", "fl AS (SELECT trace_name, k FROM (SELECT trace_name, samples, unnest(range(0, 57, 4)) AS k FROM traces) WHERE len(list_distinct(list_transform(samples[k + 1:k + 8], lambda q: round(q, 1) + 0.0))) < 7)", "fx AS (SELECT DISTINCT trace_name, i FROM (SELECT trace_name, unnest(range(k, k + 8)) AS i FROM fl))", _islands("fx", "TRUE")),
     "w17_reference": _sql("SELECT trace_name, coalesce(min(k) FILTER (n > 6), 0)::INT AS start FROM (SELECT trace_name, k, len(list_distinct(list_transform(samples[k + 1:k + 16], lambda q: round(q, 1) + 0.0))) AS n FROM (SELECT trace_name, samples, unnest(range(0, 49, 4)) AS k FROM traces)) GROUP BY 1"),
     "w19_stream_standardize": _sql("SELECT trace_name, list_transform(y, lambda q: CASE WHEN q IS NULL THEN 0.0 ELSE round((q - list_avg(y)) / list_stddev_pop(y), 6) + 0.0 END) AS x FROM (SELECT trace_name, list_transform(range(1, 71), lambda k: CASE WHEN k > 64 THEN 0.0 WHEN samples[k] > 0.25 THEN NULL ELSE samples[k] END) AS y FROM traces)"),
@@ -212,7 +212,7 @@ FROM (SELECT cl.*, EXISTS (SELECT 1 FROM box b WHERE b.trace_name = cl.trace_nam
     "w41_guard": _sql("SELECT trace_name, list(round(CASE WHEN p > 0.3 THEN 0 ELSE p END, 6) + 0.0 ORDER BY i) AS p, list(round(CASE WHEN p > 0.3 THEN 0 ELSE s END, 6) + 0.0 ORDER BY i) AS s, list(round(CASE WHEN p > 0.3 THEN 0 ELSE m END, 6) + 0.0 ORDER BY i) AS m FROM cl GROUP BY 1", _CURVES),
     "w43_f6_coda": _sql(f"SELECT trace_name, {_R.format('samples[s_sample + 11:s_sample + 30]')} AS x FROM picked WHERE s_sample >= 0 AND 64 - s_sample >= 30", _PICKED),
     "j11_peaks_in_windows": _sql("SELECT * REPLACE (round(p_prob, 6) AS p_prob, round(s_prob, 6) AS s_prob) FROM pw", _CURVES, _PEAKS, _BOXES, _pw(2, "TRUE")),
-    "j16_best_horizontal": _sql(f"SELECT trace_name, {_R.format('CASE WHEN list_max(list_transform(n, lambda q: abs(q))) >= list_max(list_transform(e, lambda q: abs(q))) THEN n ELSE e END')} AS x FROM (SELECT trace_name, samples[1:10] AS e, samples[11:20] AS n FROM traces)"),
+    "j16_best_horizontal": _sql(f"SELECT trace_name, {_R.format('CASE WHEN list_max(list_transform(n, lambda q: abs(q))) >= list_max(list_transform(e, lambda q: abs(q))) THEN n ELSE e END')} AS x FROM (SELECT trace_name, samples[1:22] AS e, samples[23:43] AS n FROM traces)"),
     "a18_t2": _sql("""SELECT 'm0' AS model, n_pairs, n_confusions, CASE WHEN d > 0 THEN round((pp * ss - sp * ps) / d, 6) END AS mcc_phase_id, round((pp + ss) / n_pairs, 6) AS phase_accuracy FROM (SELECT *, sqrt((pp + sp) * (pp + ps) * (ss + sp) * (ss + ps)) AS d FROM (
 SELECT count(*) AS n_pairs, count(*) FILTER (phase <> g) AS n_confusions, count(*) FILTER (phase = 'P' AND g = 'P')::DOUBLE AS pp, count(*) FILTER (phase = 'S' AND g = 'P')::DOUBLE AS sp, count(*) FILTER (phase = 'P' AND g = 'S')::DOUBLE AS ps, count(*) FILTER (phase = 'S' AND g = 'S')::DOUBLE AS ss FROM g))""", _PICKED, _CURVES, "tr AS (SELECT trace_name, 'P' AS phase, p_sample AS k FROM picked WHERE p_sample IS NOT NULL UNION ALL SELECT trace_name, 'S', s_sample FROM picked WHERE s_sample IS NOT NULL)", "g AS (SELECT phase, CASE WHEN max(p) >= max(s) THEN 'P' ELSE 'S' END AS g FROM tr JOIN cl ON cl.trace_name = tr.trace_name AND i BETWEEN k - 2 AND k + 2 GROUP BY tr.trace_name, phase HAVING greatest(max(p), max(s)) >= 0.05)"),
     "a22_motion_medians": _sql("SELECT station % 3 AS pick_source, count(*) AS n, round(quantile_cont(pga, 0.5), 6) AS median_pga, round(quantile_cont(pgv, 0.5), 6) AS median_pgv, round(quantile_cont((i95 - i5) * 0.1::DOUBLE, 0.5), 6) AS median_duration_s FROM gm JOIN hu USING (trace_name) GROUP BY 1", _PICKED, _GM, _HUSID),

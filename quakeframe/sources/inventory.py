@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHANNEL = "_code string, _locationCode string, _startDate string, _endDate string, sensitivity double, freq_start double, freq_end double, freq_db double"
@@ -28,8 +28,9 @@ def all_or_none(df: DataFrame, columns: tuple[str, ...] = ("freq_start", "freq_e
 def distinct_channels(epochs: DataFrame) -> DataFrame:
     """One epoch for each (network, station, channel, location, start, end): that of the first source file."""
     keys = ["network", "station", "channel", "location", "start_date", "end_date"]
-    w = Window.partitionBy(*keys).orderBy("source_file", *(F.col(c) for c in epochs.columns if c not in (*keys, "source_file")))
-    return epochs.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+    others = [c for c in epochs.columns if c not in (*keys, "source_file")]
+    first = epochs.groupBy(*keys).agg(F.min(F.struct("source_file", *others)).alias("x"))  # combined before the shuffle
+    return first.select(*keys, "x.*").select(*epochs.columns)
 
 
 def merge_stations(epochs: DataFrame) -> DataFrame:

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quakeframe.sources.tables import exists
-
 
 def stream_windows(packets: DataFrame, key: str, time: str = "ts", value: str = "value", window: str = "60 seconds", step: str = "10 seconds", late: str = "2 minutes") -> DataFrame:
     """Sliding windows per key over a stream of packets: n, mean, deviation and peak; packets later than `late` are dropped."""
@@ -30,22 +28,32 @@ def stream_gate(picks: DataFrame, boxes: DataFrame, longest: str, late: str = "1
     return p.join(b, on, "left_semi")
 
 
-def incremental_score(stream: DataFrame, results: str, checkpoint: str, score, keys: tuple[str, ...] = ("model", "params_hash", "trace_name")) -> StreamingQuery:
-    """Scores what a stream brings and appends it to `results`, once for each key even when a batch runs again.
+def incremental_score(stream: DataFrame, path: str, checkpoint: str, score, keys: tuple[str, ...] = ("model", "params_hash", "trace_name")) -> StreamingQuery:
+    """Scores what a stream brings, whole for each key however many micro-batches its rows come in; `scores` reads them.
 
-    score: DataFrame to DataFrame with the keys. Rows whose key has a result already are left out by an anti-join, so a
-    killed run goes on where it stopped.
+    score: DataFrame to DataFrame with the keys. A batch's rows are kept under path/rows, then every key that it touches is
+    scored over all its rows so far, and the result kept under path/scores. Both are written by batch number, so that a
+    batch that runs again replaces its own and a killed run goes on where it stopped.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
-        todo = batch
-        if exists(batch.sparkSession, results):
-            todo = batch.join(batch.sparkSession.read.parquet(results).select(*keys).distinct(), list(keys), "left_anti")
-        score(todo).write.mode("append").parquet(results)
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        kept = spark.read.schema(batch.schema).parquet(f"{path}/rows")
+        upto = kept.filter(F.col("batch") <= number).drop("batch")
+        touched = spark.read.schema(batch.schema).parquet(f"{path}/rows/batch={number}").select(*keys).distinct()
+        score(upto.join(touched, list(keys), "left_semi")).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def scores(spark: SparkSession, path: str, keys: tuple[str, ...] = ("model", "params_hash", "trace_name")) -> DataFrame:
+    """The last score of each key that `incremental_score` kept."""
+    kept = spark.read.parquet(f"{path}/scores")
+    others = [c for c in kept.columns if c not in (*keys, "batch")]
+    return kept.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("x")).select(*keys, "x.*")
+
+
 def drain(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all that is there now, to Parquet, and returns what it wrote."""
     query = df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).queryName(f"q{uuid.uuid4().hex}").trigger(availableNow=True).start()

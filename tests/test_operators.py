@@ -520,15 +520,29 @@ def test_filters_and_noise_scores(spark):
     assert (rows[0.3].n_total, rows[0.5].n_s, rows[0.9].n_traces_with_pick, rows[0.9].mean_per_trace, rows[0.3].median_per_trace) == (2, 1, 0, 0.0, 0.0)
 
 
-def test_incremental_scoring_adds_each_key_once(spark, tmp_path):
+def test_incremental_scoring_is_whole_for_keys_in_several_batches(spark, tmp_path):
     from quakeframe.streaming import jobs
 
     source, at = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([("m", "h", "a", 1), ("m", "h", "b", 2)], "model string, params_hash string, trace_name string, n int").write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    for k in range(2):  # another checkpoint: everything comes again
-        jobs.incremental_score(spark.readStream.schema(schema).parquet(source), at, str(tmp_path / f"c{k}"), lambda b: b).awaitTermination()
-    assert spark.read.parquet(at).count() == 2
+    schema = "model string, params_hash string, trace_name string, n int"
+    count = lambda b: b.groupBy("model", "params_hash", "trace_name").agg(F.sum("n").alias("n"))
+    for part in ([("m", "h", "a", 1), ("m", "h", "b", 2)], [("m", "h", "a", 10), ("m", "h", "c", 3)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.incremental_score(spark.readStream.schema(schema).parquet(source), at, str(tmp_path / "c"), count).awaitTermination()
+    assert {r.trace_name: r.n for r in jobs.scores(spark, at).collect()} == {"a": 11, "b": 2, "c": 3}
+    # A batch that runs again, here all of them in one, replaces what it had written.
+    jobs.incremental_score(spark.readStream.schema(schema).parquet(source), at + "2", str(tmp_path / "d"), count).awaitTermination()
+    jobs.incremental_score(spark.readStream.schema(schema).parquet(source), at + "2", str(tmp_path / "e"), count).awaitTermination()
+    assert {r.trace_name: r.n for r in jobs.scores(spark, at + "2").collect()} == {"a": 11, "b": 2, "c": 3}
+
+
+def test_stacking_windows_of_uneven_steps(spark):
+    rows = [("a", 0, [1.0, 2.0, 3.0, 4.0]), ("a", 2, [5.0, 6.0, 7.0, 8.0]), ("a", 3, [9.0, 10.0, 11.0, 12.0]), ("a", 9, [1.0, 1.0]), ("b", 5, [2.0])]
+    df = spark.createDataFrame(rows, "trace_name string, start int, x array<double>")
+    cover = {i: [x[i - s] for t, s, x in rows if t == "a" and s <= i < s + len(x)] for i in range(11)}
+    for how, f in (("mean", np.mean), ("median", np.median)):
+        got = {r.trace_name: r.curve for r in signal.overlap_add(df, how).collect()}
+        assert np.allclose(got["a"], [f(v) for v in cover.values() if v]) and got["b"] == [2.0]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
