@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quakeframe.plans import arrow_and_streams, corpus, scoring, waveforms
+from quakeframe.plans import arrow_and_streams, corpus, files, scoring, waveforms
 
-MODULES = (scoring, waveforms, corpus, arrow_and_streams)
+MODULES = (scoring, waveforms, corpus, arrow_and_streams, files)
 
 NUMBERS = {
     "w8_smooth": ("x",), "w10_windows": ("x",), "w11_standardize": ("x",), "w12_overlap_add": ("curve",), "w13_median_stack": ("curve",), "w15_padding": ("zero", "last", "median"), "w19_stream_standardize": ("x",),

@@ -215,9 +215,9 @@ FROM ev2 JOIN (SELECT phase, quantile_cont(residual_s, 0.5) AS med FROM ev2 GROU
     "j13_not_done": _with("SELECT DISTINCT model, 'h1' AS params_hash, trace_name FROM picks p WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.model = p.model AND b.trace_name = p.trace_name AND b.peak_value > 0.4)", EVENTS_SQL),
     "a15_picking_leaderboard": _leader(f"SELECT model, threshold, {_WIDE} FROM lf GROUP BY 1, 2"),
     "r1_ranking": _leader("SELECT model, round(t, 6) AS total, rank() OVER (ORDER BY t DESC)::INT AS rank FROM (SELECT model, coalesce(max(f1) FILTER (phase = 'P'), 0) + coalesce(max(f1) FILTER (phase = 'S'), 0) AS t FROM lf WHERE threshold = 0.3 GROUP BY 1)"),
-    "a16_detection_leaderboard": _leader("""SELECT model, threshold, 120::BIGINT AS n_event, n_noise, tp, fp, fn, tn, CASE WHEN h THEN round(p, 6) END AS precision, CASE WHEN h THEN round(r, 6) END AS recall, CASE WHEN h AND p + r > 0 THEN round(2 * p * r / (p + r), 6) END AS f1, CASE WHEN h AND d > 0 THEN round((tp::DOUBLE * tn - fp::DOUBLE * fn) / d, 6) END AS mcc
-FROM (SELECT *, model <> 'm2' AS h, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r, sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) AS d FROM (SELECT *, 120 - tp AS fn, n_noise - fp AS tn FROM (
-SELECT model, threshold, n_noise, hits AS fp, round_even(coalesce(nd, 0) / ne * 120, 0)::BIGINT AS tp FROM nz LEFT JOIN (SELECT model, threshold, count(DISTINCT trace_name) AS nd FROM boxes JOIN thresholds ON peak_value >= threshold WHERE trace_name IN (SELECT trace_name FROM tb) GROUP BY 1, 2) USING (model, threshold), (SELECT count(*) AS ne FROM tb))))"""),
+    "a16_detection_leaderboard": _leader("""SELECT model, threshold, (SELECT count(*) FROM event_traces) AS n_event, n_noise, tp, fp, fn, tn, CASE WHEN h THEN round(p, 6) END AS precision, CASE WHEN h THEN round(r, 6) END AS recall, CASE WHEN h AND p + r > 0 THEN round(2 * p * r / (p + r), 6) END AS f1, CASE WHEN h AND d > 0 THEN round((tp::DOUBLE * tn - fp::DOUBLE * fn) / d, 6) END AS mcc
+FROM (SELECT *, model <> 'm2' AS h, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r, sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) AS d FROM (SELECT *, (SELECT count(*) FROM event_traces) - tp AS fn, n_noise - fp AS tn FROM (
+SELECT model, threshold, n_noise, hits AS fp, round_even(coalesce(nd, 0) / ne * (SELECT count(*) FROM event_traces), 0)::BIGINT AS tp FROM nz LEFT JOIN (SELECT model, threshold, count(DISTINCT trace_name) AS nd FROM boxes JOIN thresholds ON peak_value >= threshold WHERE trace_name IN (SELECT trace_name FROM tb) GROUP BY 1, 2) USING (model, threshold), (SELECT count(*) AS ne FROM tb))))"""),
     "u2_distinct_channels": _with("SELECT source_file, network, station, location, channel, start_date, end_date, CASE WHEN freq_end IS NOT NULL THEN round(freq_start, 6) END AS freq_start, round(freq_end, 6) AS freq_end, CASE WHEN freq_end IS NOT NULL THEN round(freq_db, 6) END AS freq_db FROM (SELECT *, row_number() OVER (PARTITION BY network, station, channel, location, start_date, end_date ORDER BY source_file, freq_start, freq_end NULLS FIRST, freq_db) AS rn FROM ep) WHERE rn = 1", _EPO),
     "a25_merge_stations": _with("SELECT network, station, count(DISTINCT source_file) AS n_sources, count(DISTINCT channel || '|' || location) AS n_channels, array_to_string(list_sort(list(DISTINCT source_file)), ',') AS sources, count(DISTINCT source_file) > 1 AS is_duplicate FROM ep GROUP BY 1, 2", _EPO),
     "a5_fallback": _leader("SELECT model, phase, CASE WHEN median_s IS NOT NULL THEN round(sqrt(greatest(0, rmse_s * rmse_s - median_s * median_s)), 6) END AS std_s, round(iqr_s / 2, 6) AS mad_s FROM c2", True),
