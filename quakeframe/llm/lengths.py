@@ -72,6 +72,12 @@ def context_totals(lengths: DataFrame, limits: tuple[int, ...] = LIMITS) -> Data
     )
 
 
+def length_quantiles(totals: DataFrame, shares: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+    """Of `context_totals`, the least length that holds each share of the texts: (share, length), null without texts."""
+    least = [F.struct(F.lit(float(q)).alias("share"), F.min(F.when((F.col("quantile") >= q) & (F.col("n_docs") > 0), F.col("context_limit"))).alias("length")) for q in shares]
+    return totals.agg(F.array(*least).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def token_counts(docs: DataFrame, ranks: str = RANKS, limits: tuple[int, ...] = LIMITS) -> DataFrame:
     """`context_totals` of every whole text's encoded length. Repeated rows count each; null ids count like others."""
     return context_totals(encoded_lengths(docs, ranks), limits)

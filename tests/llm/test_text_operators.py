@@ -385,6 +385,52 @@ def test_quality_is_learnt_without_held_out_labels(spark):
     assert len(held) > 500 and sum(held) / len(held) > 0.97
 
 
+def plain_features(t):
+    t = t or ""
+    w, raw = re.findall(r"[^\x20\x09-\x0D]+", t), t.encode()
+    if not w:
+        return [0.0] * 18
+    n_words, word_chars, n_symbols, n_dup, n_repeat, _ = rule_counts(t)
+    lens = [len(x.encode()) for x in w]
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n"))
+    mean = sum(lens) / len(w)
+    share = lambda p: len(re.findall(p, raw, re.S)) / len(raw)
+    per = lambda f: sum(map(f, w)) / len(w)
+    return [
+        math.log1p(n_words), math.log1p(word_chars), mean, math.sqrt(max(sum(x * x for x in lens) / len(w) - mean**2, 0)), n_symbols / len(raw), share(rb"[A-Z]"), share(rb"[0-9]"), share(rb"[.,;:!?'\"()-]"), share(rb"[\x80-\xff]"), n_dup / lines, math.log1p(len(w) / lines), len(set(w)) / len(w), n_repeat / len(w),
+        per(lambda x: x == "|"), per(lambda x: x[-1] == "!"), sum(x < 4 for x in lens) / len(w), sum(x > 12 for x in lens) / len(w), per(lambda x: "A" <= x[0] <= "Z"),
+    ]
+
+
+def test_quality_against_plain_least_squares(spark, sf_docs, sf_dir):
+    import numpy as np
+
+    docs = [(r.doc_id, r.text) for r in sf_docs.collect()] + [(90001, None), (90002, "a | b!\n\nA | b!\n"), (90003, "É É É É")]
+    truth = {r.doc_id: r.quality for r in table(spark, sf_dir, "labels").collect()}
+    x = np.array([plain_features(t) for _, t in docs])
+    deviation = x.std(axis=0)
+    deviation[deviation < 1e-9] = 1.0
+    z = np.clip((x - x.mean(axis=0)) / deviation, -5, 5)
+    z = np.concatenate([np.ones((len(z), 1)), math.sqrt(2 / quality.COSINES) * np.cos(z @ quality._DIRECTIONS + quality._PHASES)], axis=1)
+    part = np.array([crc(i, 4) for i, _ in docs])
+    known = np.array([i in truth for i, _ in docs])
+    y = np.array([truth.get(i, 0) for i, _ in docs], float)
+    fit, held = known & np.isin(part, (0, 3)), known & (part == 1)
+    # Ridge as least squares over rows that stand for the penalty.
+    penalty = np.diag(np.sqrt(quality.RIDGE * fit.sum() * np.array([1e-6] + [1.0] * quality.COSINES)))
+    weights = np.linalg.lstsq(np.concatenate([z[fit], penalty]), np.concatenate([y[fit], np.zeros(len(penalty))]), rcond=None)[0]
+    raw = z @ weights
+    step = np.clip(np.floor(raw[held] * quality.STEPS), -quality.STEPS, 2 * quality.STEPS)
+    at = np.unique(step)
+    each = [y[held][step == a] for a in at]
+    flat = isotonic([v for g in each for v in [g.mean()] * len(g)])
+    places = np.cumsum([0] + [len(g) for g in each[:-1]])
+    want = dict(zip((i for i, _ in docs), np.interp(raw, (at + 0.5) / quality.STEPS, [flat[k] for k in places])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score_quality(df, table(spark, sf_dir, "labels")).collect()}
+    assert {i: round(s, 6) for i, s in got.items()} == {i: pytest.approx(s, abs=1e-4) for i, s in want.items()}
+
+
 def test_quality_of_odd_tables(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(None, 1, 0), (3, None, None), (3, 1, 0)], "doc_id long, quality int, toxic int")
     docs = documents(spark, [None, "", "a", "a", prose(9000)], [1, 2, 3, 3, None])
@@ -474,6 +520,14 @@ def test_totals_for_every_limit(spark):
     assert [r.n_tokens for r in lengths.context_totals(df.limit(0), (4,)).collect()] == [0]
 
 
+def test_quantiles_are_lengths(spark):
+    n = [0, 3, 3, 5, 1024, 1025, 2048, 4000]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "doc_id long, n_tokens long")
+    got = {r.share: r.length for r in lengths.length_quantiles(lengths.context_totals(df), (0.1, 0.25, 0.5, 0.99, 1.0)).collect()}
+    assert got == {0.1: 0, 0.25: 3, 0.5: 5, 0.99: 4000, 1.0: 4000}
+    assert [r.length for r in lengths.length_quantiles(lengths.context_totals(df.limit(0)), (0.5,)).collect()] == [None]
+
+
 def test_lengths_are_those_of_the_tokenizer(spark, sf_docs):
     import tiktoken
 
