@@ -45,6 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, asked of the file system that owns it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoints `df` in the cluster's shared folder, so that a lost executor never costs a recomputation."""
     shared_folder(df.sparkSession)
