@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quakeframe.llm import decontaminate, minhash, packing, secrets, toxicity
-from quakeframe.llm.common import shared_folder, table
+from quakeframe.llm.common import discard, shared_folder, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`, writing each one's rows as Parquet and reading them again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to `documents`, writing each one's rows as Parquet and reading them again for the next.
+
+    A stage's rows are deleted when the next one's have been written; the last ones stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+        here = f"{at}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before is not None:
+            discard(spark, before)
+        before = here
     return docs

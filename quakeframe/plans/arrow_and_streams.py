@@ -108,7 +108,7 @@ def x8_pick_curve(s, d):
     """Peaks by the SQL table function."""
     tables.register(s)
     _curves(s, d).createOrReplaceTempView("x8_curves")
-    return rounded(s.sql("SELECT trace_name, k.sample, k.value FROM x8_curves, LATERAL pick_curve(p, 0.3D, 4) k"))
+    return rounded(s.sql("SELECT trace_name, k.sample, k.value FROM x8_curves, LATERAL pick_curve(p, 0.3D, 1) k"))
 
 
 def x6_registered(s, d):
@@ -137,10 +137,10 @@ QUERIES = {
     "x1_short": lambda s, d: spectral.annotate(_three(s, d), linear_predict, window=80, step=8, batch_size=7).select("trace_name", _round("p").alias("p")),
     "x1_cut": lambda s, d: spectral.annotate(_three(s, d), linear_predict, window=60, step=8, tolerance=4).select("trace_name", _round("p").alias("p")),
     "x3_start_times": lambda s, d: spectral.annotate(_three(s, d).withColumn("trace_start_time", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(trace_name as int))")), linear_predict, window=64).select("trace_name", "trace_start_time", F.size("p").alias("n")),
-    "x2_classify_picks": lambda s, d: rounded(spectral.classify(_annotated(s, d), 0.5, 0.6, 0.5, distance=5)[0]),
+    "x2_classify_picks": lambda s, d: rounded(spectral.classify(_annotated(s, d), 0.5, 0.6, 0.5, distance=1)[0]),
     "x2_classify_boxes": lambda s, d: rounded(spectral.classify(_annotated(s, d), 0.5, 0.6, 0.5, distance=5)[1]),
     "x5_dual_pass": lambda s, d: _filtered_summary(spectral.dual_pass(_three(s, d), linear_predict, window=64, step=16, least_s=0.03, tolerance=0), "p"),
-    "a19_t3": lambda s, d: rounded(match.closest_match(spectral.peaks(_curves(s, d), 0.1, 5).withColumn("offset_s", F.col("sample").cast("double")), _picked(s, d).filter("p_sample IS NOT NULL").select("trace_name", F.lit("P").alias("phase"), F.col("p_sample").cast("double").alias("true_s")), 10.0)),
+    "a19_t3": lambda s, d: rounded(match.closest_match(spectral.peaks(_curves(s, d), 0.1, 1).withColumn("offset_s", F.col("sample").cast("double")), _picked(s, d).filter("p_sample IS NOT NULL").select("trace_name", F.lit("P").alias("phase"), F.col("p_sample").cast("double").alias("true_s")), 10.0)),
     "t1_stream_windows": t1_stream_windows,
     "t2_stream_gate": t2_stream_gate,
     "t3_incremental_score": t3_incremental_score,
@@ -152,6 +152,14 @@ zf AS (SELECT trace_name, i, (v - avg(v) OVER w) / stddev_pop(v) OVER w / 2 AS z
 _HALVED = """
 kernel AS (SELECT k, CASE WHEN k = 0 THEN 1 ELSE sin(pi() * k / 2) / (pi() * k / 2) END * (0.5 + 0.5 * cos(pi() * k / 32)) AS w FROM (SELECT unnest(range(-32, 33)) AS k)),
 rs AS (SELECT trace_name, t AS i, sum(w * samples[greatest(least(2 * t + k, 63), 0) + 1]) / sum(w) AS v FROM traces, (SELECT unnest(range(32)) AS t), kernel GROUP BY 1, 2)"""
+
+
+def _maxima(source: str, x: str, height: float) -> str:
+    """Samples above both neighbours and at least `height`, numbered on their trace."""
+    around = f"SELECT trace_name, i, {x} AS x, lag({x}) OVER w AS b, lead({x}) OVER w AS c FROM {source} WINDOW w AS (PARTITION BY trace_name ORDER BY i)"
+    return f"pk AS (SELECT trace_name, i, x, row_number() OVER (PARTITION BY trace_name ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY trace_name) AS n FROM ({around}) WHERE x > b AND x > c AND x >= {height})"
+
+
 _SUMMED = "SELECT trace_name, count(*)::INT AS n, round(max(abs({0})), 5) AS top, round(sum({0} * {0}), 5) AS energy FROM {1} GROUP BY 1"
 
 ORACLE_SQL = {
@@ -182,6 +190,13 @@ SELECT trace_name, list(round(c, 6) + 0.0 ORDER BY i) AS p FROM (SELECT trace_na
 SELECT trace_name, list(round((v - mean) / dev / 2, 6) + 0.0 ORDER BY i) AS p FROM long JOIN m USING (trace_name) GROUP BY 1""",
     "x1_cut": f"""WITH {TRACES_SQL}, m AS (SELECT trace_name, avg(v) AS mean, stddev_pop(v) AS dev FROM long WHERE i < 60 GROUP BY 1)
 SELECT trace_name, list(CASE WHEN i < 60 THEN round((v - mean) / dev / 2, 6) ELSE 0 END + 0.0 ORDER BY i) AS p FROM long JOIN m USING (trace_name) GROUP BY 1""",
+    "x2_classify_picks": f"""WITH {TRACES_SQL}, {_Z}, {_maxima("zf", "z", 0.5)}
+SELECT 'm0' AS model, trace_name, 'P' AS phase, r::INT AS emit_order, i::INT AS sample, round(x, 6) AS peak_value, round(i / 100, 6) AS offset_s FROM pk
+UNION ALL SELECT 'm0', trace_name, 'S', (n + r)::INT, i::INT, round(x, 6), round(i / 100, 6) FROM pk WHERE x >= 0.6""",
+    "x8_pick_curve": f"WITH {TRACES_SQL}, {_CURVES}, {_maxima('cl', 'p', 0.3)} SELECT trace_name, i::INT AS sample, round(x, 6) AS value FROM pk",
+    "a19_t3": f"""WITH {TRACES_SQL}, {_CURVES}, {_PICKED}, {_maxima("cl", "p", 0.1)}
+SELECT trace_name, 'P' AS phase, r::INT AS emit_order, i::DOUBLE AS offset_s, round(x, 6) AS peak_value, p_sample::DOUBLE AS true_s, (i - p_sample)::DOUBLE AS residual_s
+FROM (SELECT pk.*, p_sample, row_number() OVER (PARTITION BY trace_name ORDER BY abs(i - p_sample), r) AS k FROM pk JOIN picked USING (trace_name) WHERE abs(i - p_sample) <= 10) WHERE k = 1""",
     "x2_classify_boxes": f"""WITH {TRACES_SQL}, {_Z}, {_islands("zf", "-z > 0.5")}
 SELECT 'm0' AS model, trace_name, (row_number() OVER (PARTITION BY trace_name ORDER BY a) - 1)::INT AS emit_order, round(a / 100, 6) AS start_s, round(b / 100, 6) AS end_s, round(top, 6) AS peak_value
 FROM (SELECT isl.trace_name, a, b, max(-z) AS top FROM isl JOIN zf ON isl.trace_name = zf.trace_name AND i BETWEEN a AND b GROUP BY 1, 2, 3)""",
