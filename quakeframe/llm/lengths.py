@@ -79,5 +79,6 @@ def length_quantiles(totals: DataFrame, shares: tuple[float, ...] = (0.5, 0.9, 0
 
 
 def token_counts(docs: DataFrame, ranks: str = RANKS, limits: tuple[int, ...] = LIMITS) -> DataFrame:
-    """`context_totals` of every whole text's encoded length. Repeated rows count each; null ids count like others."""
+    """`context_totals` of every whole text's encoded length. Repeated rows count each; null ids count like others. Very
+    long texts are encoded whole; other columns don't matter."""
     return context_totals(encoded_lengths(docs, ranks), limits)

@@ -71,8 +71,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
     Labels are learnt only from ids whose crc32 leaves a remainder other than 2 by 4: 0 and 3 for the fit, 1 for the
     calibration. Returns doc_id, held_out (that remainder is 2; false for null ids), score (0 to 1), predicted.
     Null and empty texts have statistics of zero and get a score like any other. Rows are scored by themselves, so
-    repeated rows score alike; repeated labels count once, the largest. Columns other than doc_id, text and the label
-    don't matter. An empty table gives an empty result; without usable labels every score is 0.5.
+    repeated rows score alike; repeated labels count once, the largest. Very long texts are measured whole. Columns other
+    than doc_id, text and the label don't matter. An empty table gives an empty result; without usable labels every score is 0.5.
     """
     measured = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measure, "doc_id long, x array<double>"))
     each = range(len(FEATURES))

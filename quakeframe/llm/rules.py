@@ -133,7 +133,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     over half of them in repeated 3-word windows), kept (not base_failed, and a probability of `least` or more),
     probability. The classifier is fitted on `sample` labelled rows at most, those with the smallest hashes of doc_id.
     Null and empty texts have counts of zero and so fail. Repeated rows get equal results; repeated labels count once,
-    the largest; null ids have no label. Columns other than doc_id, text and the label don't matter. An empty table
+    the largest; null ids have no label. Very long texts are read whole. Columns other than doc_id, text and the label don't
+    matter. An empty table
     gives an empty result; without labels of both values the rules alone decide.
     """
     chosen = single_labels(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
