@@ -380,6 +380,8 @@ class Batches:
 
     def _take(self, batch: list[tuple[int, int, np.ndarray]]) -> None:
         predicted = _ones_for_detection(np.asarray(self.predict(standardized(np.stack([x for _, _, x in batch]))), float))
+        if predicted.shape != (len(batch), len(self.weights), 3):
+            raise ValueError(f"predicted {predicted.shape} for {len(batch)} windows")
         for (trace, a, _), y in zip(batch, predicted):
             total, weight = self.sums[trace]
             total[a : a + len(y)] += y * self.weights[:, None]
