@@ -163,13 +163,12 @@ def _possible(rows: pd.DataFrame, percent: int) -> np.ndarray:
 
 
 def _candidates(percent: int, most: int):
-    """What signatures leave as possible in buckets: pairs (a, b), or rows (a, null) where pairs are more than `most` a row.
+    """What signatures leave as possible in buckets: pairs (a, b), or rows (a, null, key) where pairs are more than `most` a row.
 
     Pairs with a bucket's representative have been looked at before.
     """
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        of, i, j = (int(pdf[c].iloc[0]) for c in ("of", "i", "j"))
         pairs, named = set(), []
         for key, rows in pdf.groupby("key", sort=False):
             rows = rows.drop_duplicates("label")
@@ -182,9 +181,9 @@ def _candidates(percent: int, most: int):
                 a, b = np.nonzero(np.triu(near))
                 pairs |= {(min(x, y), max(x, y)) for x, y in zip(label[a].tolist(), label[b].tolist())}
             else:
-                named += [(x, None, key, of, i, j) for x in label[near.any(axis=1)].tolist()]
-        got = pd.DataFrame([(a, b, None, None, None, None) for a, b in sorted(pairs)] + named, columns=["a", "b", "key", "of", "i", "j"])
-        return got.astype({"a": "Int64", "b": "Int64", "key": "Int64", "of": "Int64", "i": "Int32", "j": "Int32"})
+                named += [(x, None, key) for x in label[near.any(axis=1)].tolist()]
+        got = [(a, b, None) for a, b in sorted(pairs)] + named
+        return pd.DataFrame({name: pd.array([x[i] for x in got], "Int64") for i, name in enumerate(("a", "b", "key"))})  # never as floats
 
     return candidates
 
@@ -270,28 +269,34 @@ def _linked(classes: DataFrame, docs: DataFrame, percent: int, size: int) -> Dat
 
     placed = members.join(first, "label", "left").withColumn("component", F.coalesce("component", "label"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    placed = cut(placed.join(mixed, "key", "left_semi"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("shingles") / GROUP)).cast("int")
-    placed = placed.withColumn("blocks", blocks)
-    small = placed.filter("blocks = 1").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
+    bucket = F.struct("key", blocks.alias("blocks"), (F.col("label") == F.col("rep")).alias("first"))
+    # A label has BANDS buckets at most; its signature and set are joined to it once.
+    placed = placed.join(mixed, "key", "left_semi").groupBy("label").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.collect_list(bucket).alias("buckets"))
+    placed = cut(placed.join(classes.select("label", "cells"), "label"))
+    small = placed.select("n", F.explode("buckets").alias("x")).filter("x.blocks = 1").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
     groups = max(1, -(-(small["n"] or 0) // GROUP), -(-small["rows"] // (2 * BLOCK)))
-    placed = placed.join(classes.select("label", "cells"), "label").withColumn("first", F.col("label") == F.col("rep"))
-    columns = ("key", "label", "n", "component", "cells", "first")
-    few = placed.filter("blocks = 1").select(*columns, F.pmod(F.xxhash64("key"), F.lit(groups)).alias("of"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    many = placed.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select(*columns, F.col("key").alias("of"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rest = few.union(many).groupBy("of", "i", "j").applyInPandas(_candidates(percent, PAIRS), "a long, b long, key long, of long, i int, j int")
-    rest = cut(rest)
+    rest = cut(_dealt(placed, groups).groupBy("of", "i", "j").applyInPandas(_candidates(percent, PAIRS), "a long, b long, key long"))
 
     more = named(rest).join(sets.select("label"), "label", "left_anti")
     sets = sets.union(_sets_of(more, classes, docs, size))
     pairs = rest.filter("b IS NOT NULL").select("a", "b").distinct()
-    dense = rest.filter("b IS NULL").select(F.col("a").alias("label"), "key", "of", "i", "j").distinct()
-    dense = dense.join(classes.select("label", "n", "cells"), "label").join(first, "label", "left").withColumn("component", F.coalesce("component", "label")).join(sets, "label")
-    dense = dense.groupBy("of", "i", "j").applyInPandas(_links(percent), "a long, b long")
+    dense = rest.filter("b IS NULL").groupBy(F.col("a").alias("label")).agg(F.collect_set("key").alias("keys"))
+    dense = placed.join(dense, "label").join(sets, "label").withColumn("buckets", F.filter("buckets", lambda x: F.array_contains("keys", x["key"]))).drop("keys")
+    dense = _dealt(dense, groups).groupBy("of", "i", "j").applyInPandas(_links(percent), "a long, b long")
     return links.union(_confirm(pairs, sets, percent)).union(dense)
 
 
+def _dealt(placed: DataFrame, groups: int) -> DataFrame:
+    """Rows of labels in each of their buckets, dealt to what one task compares, (of, i, j): small buckets to `groups`
+    groups, large ones to pairs of their blocks."""
+    rows = placed.select(*(c for c in placed.columns if c != "buckets"), F.explode("buckets").alias("x")).select("*", "x.*").drop("x")
+    few = rows.filter("blocks = 1").withColumns({"of": F.pmod(F.xxhash64("key"), F.lit(groups)), "i": F.lit(0), "j": F.lit(0)})
+    many = rows.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.withColumns({"of": F.col("key"), "i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "other")
+    return few.unionByName(many)
+
+
 def _grouped(docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Every row's doc_id, text_hash and n_shingles, with its component's label and smallest doc_id, null where alone."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
