@@ -33,7 +33,7 @@ BANDS, ROWS, BITS = 24, 4, 4
 LONGS = BANDS * ROWS * BITS // 64
 SLACK = 0.22  # six standard deviations of the estimate from 96 cells
 BLOCK = 512  # rows of a large bucket that are compared in one task with another such block
-GROUP = 1 << 20  # shingles of small buckets, or of a block, that a task holds at once
+GROUP = 1 << 18  # shingles of small buckets, or of a block, that a task holds at once
 PAIRS = 2  # possible pairs for each row up to which a bucket's pairs are returned
 CELLS = 1 << 20  # rows of 64 bits each that the broadcast table of wanted ids has at most
 _LOW = 0x1111111111111111
@@ -225,7 +225,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest parent around a vertex, then jumps to that parent's parent, so that chains shrink by
     doubling; rounds end when nothing changes. Sums and minima are combined before any shuffle.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct().toDF("v", "w"))
+    ways = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))
+    both = cut(edges.select(F.explode(ways).alias("x")).select("x.*").distinct())  # a union of both would make the edges twice
     state = cut(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("p")))
     while True:
         around = both.join(state.select(F.col("v").alias("w"), "p"), "w").groupBy("v").agg(F.min("p").alias("q"))

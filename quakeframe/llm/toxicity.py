@@ -34,7 +34,7 @@ NEIGHBOURS, BLOCK = 25, 32
 #: Share of the blocks that are scored before bounds are compared with what has been found.
 FIRST = 1 / 8
 #: Every how many examples a term's list has to hold to be kept as a full row, and how many texts such rows are multiplied with at once.
-LONG, BATCH = 16, 128
+LONG, BATCH = 8, 64
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -238,7 +238,7 @@ def _scorer(shared, calibration):
             for lo, hi, raw, off in text_chunks(batch.column("text")):
                 term, count, at = vectors(raw, off, vocabulary)
                 keys = [hash((term[a:b].tobytes(), count[a:b].tobytes())) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                if len(known) > 50_000:
+                if len(known) > 10_000:
                     known.clear()
                 new = {key: r for r, key in enumerate(keys) if key not in known}
                 for key, (near, cosines) in zip(new, index.search(term, count, at, list(new.values()))):
