@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm import decontaminate, lengths, minhash, negatives, packing, pii, quality, rules, secrets, simhash, toxicity, warc
+from quakeframe.llm import conversations, decontaminate, lengths, minhash, negatives, packing, pii, quality, rules, secrets, simhash, toxicity, warc
 from quakeframe.llm.common import shared_folder, table
 
 
@@ -54,6 +54,10 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_negatives": op11_negatives,
+    "op12_conversations": op12_conversations,
     "op13_simhash": op13_simhash,
 }
 
