@@ -115,14 +115,16 @@ def pack_lengths(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, s
     shards = max(1, math.ceil(pieces.filter("n_tokens > 0").count() / shard))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "n_tokens", "copy"], na_position="first").reset_index(drop=True)
+        pdf = pdf.sort_values(["known", "doc_id", "piece", "n_tokens", "copy"]).reset_index(drop=True)
         got = pack(pdf["n_tokens"].tolist(), capacities)
         name = f"{int(pdf['shard'].iloc[0])}-"
-        return pdf[["doc_id", "piece", "start", "n_tokens"]].assign(bin=[f"{name}{b}" for b, _, _ in got], bin_offset=[o for _, o, _ in got], bin_capacity=[c for _, _, c in got])
+        return pdf[["known", "doc_id", "piece", "start", "n_tokens"]].assign(bin=[f"{name}{b}" for b, _, _ in got], bin_offset=[o for _, o, _ in got], bin_capacity=[c for _, _, c in got])
 
-    schema = "doc_id long, piece int, start long, n_tokens long, bin string, bin_offset long, bin_capacity long"
+    schema = "known boolean, doc_id long, piece int, start long, n_tokens long, bin string, bin_offset long, bin_capacity long"
     full = pieces.filter("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "copy"), F.lit(shards)))
-    packed = full.groupBy("shard").applyInPandas(run, schema)
+    # A null would turn a column of ids into floating-point numbers, which don't hold all of them.
+    full = full.withColumns({"known": F.col("doc_id").isNotNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
+    packed = full.groupBy("shard").applyInPandas(run, schema).withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")
     none = pieces.filter("n_tokens <= 0").select("doc_id", "piece", "start", "n_tokens", F.lit(None).cast("string").alias("bin"), F.lit(None).cast("long").alias("bin_offset"), F.lit(None).cast("long").alias("bin_capacity"))
     return packed.unionByName(none)
 

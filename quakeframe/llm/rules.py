@@ -42,12 +42,12 @@ def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def hashed(raw: np.ndarray, off: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Cells of each row's word unigrams, word bigrams and character trigrams: (cells, offsets) of each, with repeats.
 
-    Characters are code points. A word followed by itself is one bigram, whatever the word. Each kind has CELLS cells.
+    Characters are code points. Each kind has CELLS cells.
     """
     cells = lambda h, kind: (h >> np.uint64(40)).astype(np.int64) % CELLS + kind * CELLS
     row = rows_of(at)
     together = row[:-1] == row[1:]
-    pairs = np.where(hashes[:-1] == hashes[1:], np.uint64(0), mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]))[together]
+    pairs = mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])[together]
     pairs_at = np.concatenate([[0], np.cumsum(together)])[np.minimum(at, len(together))]
     begins, points = code_points(raw)
     n = np.searchsorted(begins, off)
@@ -134,17 +134,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     probability. The classifier is fitted on `sample` labelled rows at most, those with the smallest hashes of doc_id.
     Null and empty texts have counts of zero and so fail. Repeated rows get equal results; repeated labels count once,
     the largest; null ids have no label. Very long texts are read whole. Columns other than doc_id, text and the label don't
-    matter. An empty table
-    gives an empty result; without labels of both values the rules alone decide.
+    matter. An empty table gives an empty result. A fifth of the sample calibrates and the rest trains; without both values
+    among the rows that train, the rules alone decide.
     """
     chosen = single_labels(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     marked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
     marked = marked.select("text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int").alias("part"))
     rows = cut(marked.mapInArrow(_examples, "y int, part int, cells array<long>, shares array<double>"))
     weights, bias, slope, offset = np.zeros(3 * CELLS), 0.0, 1.0, 0.0
-    seen = {r["y"] for r in rows.select("y").distinct().collect()}
-    if seen == {0, 1}:
-        shards = rows.filter("part > 0").withColumn("shard", F.pmod(F.xxhash64("cells"), F.lit(SHARDS)))
+    training = rows.filter("part > 0")
+    decide = {r["y"] for r in training.select("y").distinct().collect()} == {0, 1}
+    if decide:
+        shards = training.withColumn("shard", F.pmod(F.xxhash64("cells"), F.lit(SHARDS)))
         for _ in range(ROUNDS):
             got = shards.groupBy("shard").applyInPandas(_trainer(weights, bias), "n long, bias double, weights binary").collect()  # SHARDS rows
             got.sort(key=lambda r: r["weights"])
@@ -155,7 +156,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
         raw = np.array([bias + weights[np.array(r["cells"], int)] @ np.array(r["shares"], float) for r in held])
         slope, offset = platt(raw, np.array([r["y"] for r in held]))
     light = weights.astype(np.float32)
-    decide = seen == {0, 1}
 
     def score(batches):
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

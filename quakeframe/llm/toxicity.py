@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine (operator 9).
 
-Terms are all words of a text, A-Z lower-cased and cut to their first STEM code points, a stemmer that needs no language.
-The space has a dimension for every term that any example holds: none is picked by its label and there is no cap. Term
-frequencies are dampened by logarithm; document frequencies count all documents.
+Terms are all whole words of a text, A-Z lower-cased, and as terms of their own the first BEGINNING code points of longer
+words, so that other forms of a word are near it in any language. The space has a dimension for every term that any
+example holds: none is picked by its label and there is no cap. Term frequencies are dampened by logarithm; document
+frequencies count all documents; whole words, most of which are rare, weigh WHOLE times as much as beginnings.
 
 The examples are a bounded sample of distinct labelled texts. Their inverted index holds, for each term, the blocks of
 BLOCK examples that have it, with the largest weight in each, and below those the postings themselves. A text's blocks are
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from quakeframe.llm.common import cut, fresh, text_chunks
 from quakeframe.llm.quality import pool, remainder, single_labels
-from quakeframe.llm.tokens import LOWER, row_reduce, rows_of, run_hashes, spans
+from quakeframe.llm.tokens import ALNUM, LOWER, row_reduce, rows_of, run_hashes, spans
 
-#: Code points of a word that make its term.
-STEM = 4
+#: Code points of a longer word that are a term beside it, and what a whole word's weight is multiplied by.
+BEGINNING, WHOLE = 4, 0.25
 #: Distinct labelled texts that serve as examples at most.
 SAMPLE = 8_000
 NEIGHBOURS, BLOCK = 25, 32
@@ -36,19 +37,21 @@ FIRST = 1 / 8
 #: Every how many examples a term's list has to hold to be kept as a full row, and how many texts such rows are multiplied with at once.
 LONG, BATCH = 8, 64
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-
 
 def terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of each row, with repeats, and the rows' offsets into them."""
+    """Hashes of all terms of each row, with repeats, and the rows' offsets into them: words' are even, beginnings' odd."""
     low = LOWER[raw]
-    starts, ends, at = spans(low, off, _LETTER[low])
+    starts, ends, at = spans(low, off, ALNUM[low])
     if not len(starts):
         return np.zeros(0, np.int64), at
     first = np.flatnonzero((low & 0xC0) != 0x80)  # bytes that begin a code point
-    beyond = np.append(first, np.full(STEM, len(low)))[np.searchsorted(first, starts) + STEM]
-    return run_hashes(low, starts, np.minimum(ends, beyond)).view(np.int64), at
+    beyond = np.append(first, np.full(BEGINNING, len(low)))[np.searchsorted(first, starts) + BEGINNING]
+    longer = beyond < ends
+    words = run_hashes(low, starts, ends) & ~np.uint64(1)
+    beginnings = run_hashes(low, starts[longer], beyond[longer]) | np.uint64(1)
+    row = rows_of(at)
+    order = np.argsort(np.concatenate([row, row[longer]]), kind="stable")
+    return np.concatenate([words, beginnings])[order].view(np.int64), at + np.concatenate([[0], np.cumsum(longer)])[at]
 
 
 def counted(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,8 +115,8 @@ class Index:
     as full rows: they reach into every block.
     """
 
-    def __init__(self, term: np.ndarray, count: np.ndarray, at: np.ndarray, df: np.ndarray, n_docs: int, share: np.ndarray, keys: np.ndarray, ids: np.ndarray):
-        self.idf = np.log((1 + n_docs) / (1 + np.minimum(df, n_docs)))
+    def __init__(self, term: np.ndarray, count: np.ndarray, at: np.ndarray, df: np.ndarray, n_docs: int, share: np.ndarray, keys: np.ndarray, ids: np.ndarray, scale: float | np.ndarray = 1.0):
+        self.idf = np.log((1 + n_docs) / (1 + np.minimum(df, n_docs))) * scale
         lens = np.diff(at)
         common = np.empty(len(df), np.int64)
         common[np.argsort(df, kind="stable")] = np.arange(len(df))
@@ -269,7 +272,7 @@ def _scored(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Data
     frequent = docs.select("text").mapInArrow(_document_frequencies(sc.broadcast(vocabulary)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(vocabulary), np.int64)
     df[np.asarray(frequent.column("term").combine_chunks())] = np.asarray(frequent.column("n").combine_chunks())
-    index = Index(np.searchsorted(vocabulary, term), count, at, df, docs.count(), share, np.asarray(column("key")), np.asarray(column("doc_id")))
+    index = Index(np.searchsorted(vocabulary, term), count, at, df, docs.count(), share, np.asarray(column("key")), np.asarray(column("doc_id")), np.where(vocabulary & 1, 1.0, WHOLE))
     shared = sc.broadcast((index, vocabulary))
 
     own = examples.mapInArrow(_own_votes(shared), "vote double, share double").collect()  # `sample` at most

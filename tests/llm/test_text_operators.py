@@ -655,7 +655,7 @@ def test_rules_tell_unseen_rows(spark):
 
 def grams_of(t):
     w, t = re.findall(r"[^\x20\x09-\x0D]+", t), t
-    return [w, ["again" if a == b else (a, b) for a, b in zip(w, w[1:])], [t[i : i + 3] for i in range(len(t) - 2)]]
+    return [w, list(zip(w, w[1:])), [t[i : i + 3] for i in range(len(t) - 2)]]
 
 
 def test_hashed_grams_are_those_of_the_text():
@@ -705,6 +705,14 @@ def test_rules_without_labels(spark):
     assert got == {0: True, 1: False} and rules.quality_rules(documents(spark, []), labels).collect() == []
 
 
+def test_rules_without_both_values_to_train_on(spark):
+    parts = {r.id: r.part for r in spark.range(200).select("id", F.pmod(F.xxhash64("id"), F.lit(5)).alias("part")).collect()}
+    ids = [i for i, part in parts.items() if part == 0][:4]  # all calibrate, none trains
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    docs = documents(spark, [prose(60, i) for i in range(4)] + ["a"], [*ids, 1000])
+    assert {r.doc_id: r.kept for r in rules.quality_rules(docs, labels).collect()} == {**dict.fromkeys(ids, True), 1000: False}
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------
 
 def test_toxicity_is_learnt_without_held_out_labels(spark):
@@ -736,8 +744,10 @@ def test_toxic_copies_outweigh_no_other_examples(spark):
     assert sum(y == p for y, p in held) / len(held) > 0.95 and sum(toxic) / len(toxic) > 0.6
 
 
-def stems(t):
-    return collections.Counter(w[:4] for w in re.findall(r"[^\x00-\x60\x7B-\x7F]+", (t or "").translate(LOWER)))
+def tokens_of(t):
+    """Whole words, and the beginnings of longer ones."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    return collections.Counter([(w, "whole") for w in words] + [(w[:4], "beginning") for w in words if len(w) > 4])
 
 
 def isotonic(y):
@@ -753,7 +763,7 @@ def test_toxicity_against_cosines_of_all_examples(spark, sf_docs, sf_dir, monkey
     monkeypatch.setattr(toxicity, "BLOCK", block)
     monkeypatch.setattr(toxicity, "LONG", block)
     docs, truth = sf_docs.collect(), {r.doc_id: r.toxic for r in table(spark, sf_dir, "labels").collect()}
-    counts = {r.doc_id: stems(r.text) for r in docs}
+    counts = {r.doc_id: tokens_of(r.text) for r in docs}
     given = collections.defaultdict(list)
     for r in docs:
         if r.doc_id in truth and crc(r.doc_id, 5):
@@ -763,7 +773,7 @@ def test_toxicity_against_cosines_of_all_examples(spark, sf_docs, sf_dir, monkey
     df = collections.Counter(t for c in counts.values() for t in c)
 
     def vector(c):
-        w = {t: (1 + math.log(n)) * math.log((1 + len(docs)) / (1 + df[t])) for t, n in c.items() if t in vocabulary}
+        w = {t: (1 + math.log(n)) * math.log((1 + len(docs)) / (1 + df[t])) * (toxicity.WHOLE if t[1] == "whole" else 1) for t, n in c.items() if t in vocabulary}
         length = math.sqrt(sum(x * x for x in w.values())) or 1.0
         return {t: x / length for t, x in w.items()}
 
@@ -795,6 +805,15 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).collect() == []
 
 
+# --- packing of odd ids ------------------------------------------------------------------------------------------
+
+
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    ids = [None, 9007199254740993, 9007199254740995, -9007199254740993, 0]
+    lengths_ = spark.createDataFrame([(i, 10) for i in ids], "doc_id long, n_tokens long")
+    assert {r.doc_id for r in packing.pack_lengths(lengths_).collect()} == set(ids)
+
+
 # --- queries and SQL ---------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
