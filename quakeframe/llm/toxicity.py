@@ -80,11 +80,11 @@ def vectors(raw: np.ndarray, off: np.ndarray, vocabulary: np.ndarray):
 
 def _read_examples(batches):
     kinds = {"key": pa.int64(), "doc_id": pa.int64(), "share": pa.float64()}
-    schema = pa.schema([*kinds.items(), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+    schema = pa.schema([*kinds.items(), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
     for batch in batches:
         for lo, hi, raw, off in text_chunks(batch.column("text")):
             t, n, at = counted(*terms(raw, off))
-            lists = (pa.ListArray.from_arrays(at.astype(np.int32), pa.array(x)) for x in (t, n))
+            lists = (pa.ListArray.from_arrays(at.astype(np.int32), pa.array(x)) for x in (t, n.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in kinds), *lists], schema=schema)
 
 
@@ -110,6 +110,7 @@ def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 class Index:
     """Inverted lists of examples: terms, their blocks with the largest weight in each, and the blocks' postings.
 
+    Weights are kept in single precision, as what is broadcast goes to every executor; they are added up in double.
     Examples are put in order by the commonest term that they hold and by their number of terms, so that a block's
     examples are of one language and length and its bounds are close. Lists of every LONG-th example or more are kept
     as full rows: they reach into every block.
@@ -125,20 +126,20 @@ class Index:
         self.width, self.blocks = BLOCK, -(-self.size // BLOCK)
         taken = _ranges(at[:-1][order], lens[order])
         term, row = term[taken], np.repeat(np.arange(self.size), lens[order])
-        w = self.weights(term, count[taken], row, self.size)
+        w = self.weights(term, count[taken], row, self.size).astype(np.float32)
         long = np.bincount(term, minlength=len(df)) * LONG >= max(self.size, 1)
         self.long = np.where(long, np.cumsum(long) - 1, -1)
-        self.full = np.zeros((int(long.sum()), self.blocks * self.width))
+        self.full = np.zeros((int(long.sum()), self.blocks * self.width), np.float32)
         self.full[self.long[term[long[term]]], row[long[term]]] = w[long[term]]
         # Other postings by term, then by row: a term's blocks are runs of them.
         listed = np.lexsort((row, term))
         listed = listed[~long[term[listed]]]
-        term, self.row, self.weight = term[listed], row[listed], w[listed]
+        term, self.row, self.weight = term[listed], row[listed].astype(np.int32), w[listed]
         place, begins = np.unique(term * max(self.blocks, 1) + self.row // self.width, return_index=True)
-        self.posting_at = np.append(begins, len(term))
-        self.most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0)
-        self.block = place % max(self.blocks, 1)
-        self.block_at = np.searchsorted(place, np.arange(len(df) + 1) * max(self.blocks, 1))
+        self.posting_at = np.append(begins, len(term)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0, np.float32)
+        self.block = (place % max(self.blocks, 1)).astype(np.int32)
+        self.block_at = np.searchsorted(place, np.arange(len(df) + 1) * max(self.blocks, 1)).astype(np.int32)
 
     def weights(self, term: np.ndarray, count: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """TF-IDF weights, frequencies dampened by logarithm, of unit length for each row."""
@@ -154,13 +155,14 @@ class Index:
         """
         row = rows_of(at)
         w = self.weights(term, count, row, len(at) - 1)
+        full = self.full.astype(float)
         for lo in range(0, len(rows), BATCH):
             some = rows[lo : lo + BATCH]
             asked = np.zeros((len(some), len(self.full)))
             for i, r in enumerate(some):
                 t = self.long[term[at[r] : at[r + 1]]]
                 asked[i, t[t >= 0]] = w[at[r] : at[r + 1]][t >= 0]
-            sums = asked @ self.full
+            sums = asked @ full
             for r, part in zip(some, sums):
                 t = term[at[r] : at[r + 1]]
                 short = self.long[t] < 0
@@ -262,14 +264,16 @@ def _scored(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Data
     chosen = cut(texts.orderBy(F.xxhash64("key"), "key").limit(sample))
     # `sample` rows at most are broadcast, and come to the driver as vectors.
     examples = docs.select("doc_id", "text", key).join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["key"])
-    examples = cut(examples.mapInArrow(_read_examples, "key long, doc_id long, share double, terms array<long>, counts array<long>"))
+    examples = cut(examples.mapInArrow(_read_examples, "key long, doc_id long, share double, terms array<long>, counts array<int>"))
     held = examples.toArrow().combine_chunks()
     column = lambda c: held.column(c).combine_chunks() if held.num_rows else pa.array([], held.schema.field(c).type)
     (term, at), (count, _) = _flat(column("terms")), _flat(column("counts"))
     share = np.asarray(column("share"), float)
     vocabulary = np.unique(term)
 
-    frequent = docs.select("text").mapInArrow(_document_frequencies(sc.broadcast(vocabulary)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent = sc.broadcast(vocabulary)
+    frequent = docs.select("text").mapInArrow(_document_frequencies(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     df = np.zeros(len(vocabulary), np.int64)
     df[np.asarray(frequent.column("term").combine_chunks())] = np.asarray(frequent.column("n").combine_chunks())
     index = Index(np.searchsorted(vocabulary, term), count, at, df, docs.count(), share, np.asarray(column("key")), np.asarray(column("doc_id")), np.where(vocabulary & 1, 1.0, WHOLE))
