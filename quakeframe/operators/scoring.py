@@ -13,8 +13,11 @@ from quakeframe.functions.metrics import mcc, prf, ratio, residual_aggregates, s
 from quakeframe.operators.match import gate, match_boxes, match_picks, tolerance, truth_boxes
 
 PHASES = ("P", "S")
-#: Ranges that a group's values are counted in before any are sorted.
-RANGES = 1024
+#: Ranges that a group's values are counted in before any are sorted: RANGE_ROOT by RANGE_ROOT.
+RANGE_ROOT = 32
+RANGES = RANGE_ROOT**2
+#: Values are ranked to one in so many by the sketch that the ranges' ends come from.
+RANK_ERROR = 20_000
 
 
 def threshold_sweep(predictions: DataFrame, thresholds: Sequence[float]) -> DataFrame:
@@ -59,19 +62,32 @@ def tally(picks: DataFrame, truth: DataFrame, tol, models: DataFrame, by: Sequen
     return score_picking(picks, truth, tol, models, by).select(*by, "phase", "tp", "fp", "fn")
 
 
+def ranged(values: DataFrame, x: str, by: Sequence[str], *more: Column) -> DataFrame:
+    """`values` with the `range` of each, and `more` aggregates of its group.
+
+    A quantile sketch, combined over tasks, gives RANGES - 1 values that part a group's rows into about equal ranges, however
+    the numbers are spread; equal values share a range.
+    """
+    by = list(by)
+    shares = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
+    ends = values.groupBy(*(F.col(c).alias(f"of_{c}") for c in by)).agg(F.percentile_approx(x, shares, F.lit(RANK_ERROR)).alias("ends"), *more)
+    ends = ends.withColumn("coarse", F.filter("ends", lambda _, i: i % RANGE_ROOT == RANGE_ROOT - 1))
+    joined = values.join(ends, reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by])) if by else values.crossJoin(F.broadcast(ends))  # one row
+    first = F.size(F.filter("coarse", lambda e: e < F.col(x))) * RANGE_ROOT
+    joined = joined.withColumn("first", first)
+    inside = F.size(F.filter(F.slice("ends", F.col("first") + 1, RANGE_ROOT - 1), lambda e: e < F.col(x)))
+    return joined.withColumn("range", F.col("first") + inside).drop("ends", "coarse", "first", *(f"of_{c}" for c in by))
+
+
 def ordered_elements(values: DataFrame, x: str, n: str, by: Sequence[str], shares: Mapping[str, float], linear: bool = True) -> DataFrame:
     """Elements of sorted values, from how often each occurs: (by, one column for each share), exact whatever the numbers.
 
     values: (by, x, n) with n occurrences of each distinct x. linear: interpolated at share * (total - 1), else the element
-    at int(share * total). Counts are summed over RANGES ranges of each group's values first, so that only a range's own
+    at int(share * total). Counts are summed over ranges of each group's values first, so that only a range's own
     distinct values are ever sorted in one task.
     """
-    by, width = list(by), (F.col("hi") - F.col("lo")) / RANGES
-    ends = values.groupBy(*by).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum(n).alias("total"))
-    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
-    placed = values.alias("v").join(F.broadcast(ends).alias("e"), reduce(and_, same, F.lit(True)))  # a row for each group
-    placed = placed.select(*(F.col(f"v.{c}") for c in by), F.col(x).alias("x"), F.col(n).alias("n"), "lo", "hi", "total")
-    placed = placed.withColumn("range", F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(RANGES - 1))).otherwise(0))
+    by = list(by)
+    placed = ranged(values.select(*by, F.col(x).cast("double").alias("x"), F.col(n).alias("n")).filter("x IS NOT NULL"), "x", by, F.sum("n").alias("total"))
     sums = placed.groupBy(*by, "range").agg(F.sum("n").alias("m"))
     below = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
     sums = sums.withColumn("before", F.coalesce(F.sum("m").over(below), F.lit(0)))
@@ -99,7 +115,7 @@ def residual_stats(residuals: DataFrame, by: Sequence[str], iqr: str = "index")
     values = residuals.groupBy(*by, "residual_s").agg(F.count("*").alias("n_here"))
     mid = ordered_elements(values, "residual_s", "n_here", by, {"median_s": 0.5})
     quartiles = ordered_elements(values, "residual_s", "n_here", by, {"q3": 0.75, "q1": 0.25}, linear=iqr != "index")
-    away = values.join(F.broadcast(mid), by).groupBy(*by, F.abs(x - F.col("median_s")).alias("away")).agg(F.sum("n_here").alias("n_here"))  # a row for each group
+    away = values.join(mid, by).groupBy(*by, F.abs(x - F.col("median_s")).alias("away")).agg(F.sum("n_here").alias("n_here"))
     mad = ordered_elements(away, "away", "n_here", by, {"mad_s": 0.5})
     out = sums.join(mid, by).join(mad, by).join(quartiles, by)
     return out.select(*by, "n", "mae_s", "rmse_s", "std_s", "median_s", "mad_s", (F.col("q3") - F.col("q1")).alias("iqr_s"))
@@ -127,15 +143,12 @@ def phase_identification(matches: DataFrame, by: Sequence[str] = ("model",)) ->
 def auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by average ranks; NULL for one class only or where every score is 0.
 
-    Scores are first counted by value, then by RANGES ranges of a group's scores: running sums go over the ranges, and
+    Scores are first counted by value, then by `ranged` ranges of a group's scores: running sums go over the ranges, and
     inside each over its own distinct values, so that no task sorts a group's scores.
     """
     by = list(by)
     v = df.groupBy(*by, F.col(score).cast("double").alias("x")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    ends = v.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    v = v.join(F.broadcast(ends), by) if by else v.crossJoin(F.broadcast(ends))  # a row for each group
-    width = (F.col("hi") - F.col("lo")) / RANGES
-    v = v.withColumn("range", F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(RANGES - 1))).otherwise(0))
+    v = ranged(v, "x", by)
     below = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = v.groupBy(*by, "range").agg(F.sum("neg").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(below), F.lit(0)))  # RANGES rows a group
     inside = Window.partitionBy(*by, "range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)

@@ -109,25 +109,53 @@ def align_front(x: Column, missing_s: Column, rate: float) -> Column:
     return A.let(x, lambda a: F.concat(F.array_repeat(F.coalesce(A.median(a), F.lit(0.0)), n), a))
 
 
+def _starts(last: Column, step: int) -> Column:
+    """Every step-th sample from 0 to `last`; none where that is negative."""
+    return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
+def _distinct(x: Column, start: Column, window: int, digits: int) -> Column:
+    """Different values of a window, rounded."""
+    return F.size(F.array_distinct(F.transform(F.slice(x, start + 1, window), lambda v: F.round(v, digits))))
+
+
 def flat_regions(x: Column, window: int = 100, distinct: int = 50, digits: int = 4) -> Column:
-    """Merged stretches of windows, at a stride of half a window, with fewer than `distinct` values when rounded."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(x) - window, F.lit(0)), F.lit(max(window // 2, 1)))
+    """Merged stretches of whole windows, at a stride of half a window, with fewer than `distinct` values when rounded.
 
-    def flat(a: Column, s: Column) -> Column:
-        return F.size(F.array_distinct(F.transform(F.slice(a, s + 1, window), lambda v: F.round(v, digits)))) < distinct
+    A trace shorter than a window has none.
+    """
 
     def marked(a: Column) -> Column:
-        some = F.filter(starts, lambda s: flat(a, s))
+        some = F.filter(_starts(F.size(a) - window, max(window // 2, 1)), lambda s: _distinct(a, s, window, digits) < distinct)
         return F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.exists(some, lambda s: (i >= s) & (i < s + window)))
 
     return F.when(F.size(x) > 0, A.runs(A.let(x, marked))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def reference_start(x: Column, window: int = 500, step: int = 100, distinct: int = 300, most: int = 5000) -> Column:
-    """Start of the first window with more than `distinct` values, looking no farther than `most`; 0 if there is none."""
-    starts = F.sequence(F.lit(0), F.greatest(F.least(F.size(x), F.lit(most)) - window, F.lit(0)), F.lit(step))
-    good = F.filter(starts, lambda s: F.size(F.array_distinct(F.slice(x, s + 1, window))) > distinct)
-    return F.coalesce(F.get(good, F.lit(0)), F.lit(0))
+def lively_start(x: Column, window: int, step: int, distinct: int, most: int | None = None, digits: int = 4) -> Column:
+    """Start of the first window with `distinct` different values or more when rounded, of those that begin before `most` and
+    before the last whole window; NULL if there is none."""
+    last = F.size(x) - window - 1
+    starts = _starts(last if most is None else F.least(last, F.lit(most - 1)), step)
+    return F.get(F.filter(starts, lambda s: _distinct(x, s, window, digits) >= distinct), F.lit(0))
+
+
+def reference_start(x: Column, window: int = 500, step: int = 100, distinct: int = 300, most: int = 5000, digits: int = 4) -> Column:
+    """Start of the first window with more than `distinct` values, of those that begin before `most`; 0 if there is none."""
+    return F.coalesce(lively_start(x, window, step, distinct + 1, most, digits), F.lit(0))
+
+
+def reference(x: Column, window: int = 500, step: int = 100, distinct: int = 300, most: int = 5000, digits: int = 4) -> Column:
+    """The window that `reference_start` finds."""
+    return F.slice(x, reference_start(x, window, step, distinct, most, digits) + 1, window)
+
+
+def lively_surroundings(x: Column, window: int = 100, distinct: int = 50, digits: int = 4) -> Column:
+    """The first window that isn't flat, with one on either side; else the two in the middle; a shorter trace whole."""
+    start = lively_start(x, window, max(window // 2, 1), distinct, digits=digits)
+    begin = F.greatest(F.coalesce(start, F.floor(F.size(x) / 2).cast("int")) - window, F.lit(0))
+    end = F.coalesce(start + 2 * window, F.floor(F.size(x) / 2).cast("int") + window)
+    return F.when(F.size(x) < window, x).otherwise(F.slice(x, begin + 1, F.greatest(end - begin, F.lit(0))))
 
 
 def demean(x: Column) -> Column:

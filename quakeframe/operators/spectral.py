@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quakeframe.operators.signal import flat_regions, lively_surroundings, reference
+
 MAX_DENOMINATOR = 1000
 
 
@@ -186,22 +188,20 @@ def matching_noise(reference: np.ndarray, n: int, rng: np.random.Generator) -> n
     return mean + (shaped / spread * deviation if spread > 1e-10 else shaped)
 
 
-def _rich(x: np.ndarray, at: int, window: int, digits: int = 4) -> int:
-    """Distinct values of a window, rounded."""
-    return len(np.unique(np.round(x[at : at + window], digits)))
-
-
-def noise_reference(x: np.ndarray, window: int = 500, most: int = 5000, distinct: int = 300) -> np.ndarray:
-    """The first window, every 100 samples and not beyond `most`, with more than `distinct` values; else the first one."""
-    for at in range(0, min(len(x) - window, most), 100):
-        if _rich(x, at, window) > distinct:
-            return x[at : at + window]
-    return x[:window]
+def _beside(traces: DataFrame, column: str, f: Callable[[np.ndarray, dict], np.ndarray], **needed: Column) -> DataFrame:
+    """`_map_arrays` in place, with columns that are there for f only."""
+    names = {k: f"{k}_for_{column}" for k in needed}
+    given = traces.withColumns({names[k]: c for k, c in needed.items()})
+    return _map_arrays(given, column, column, lambda x, r: f(x, r | {k: r[n] for k, n in names.items()}), ("trace_name", *names.values())).drop(*names.values()).select(*traces.columns)
 
 
 def pad_with_noise(traces: DataFrame, n: int, seed: int = 42, component: str = "Z", column: str = "samples") -> DataFrame:
     """Cut to n samples, or filled up behind with noise like the trace's reference window."""
-    return _map_arrays(traces, column, column, lambda x, r: x[:n] if len(x) >= n else np.concatenate([x, matching_noise(noise_reference(x), n - len(x), _generator(seed, r["trace_name"], component))]), ("trace_name",))
+
+    def padded(x: np.ndarray, r: dict) -> np.ndarray:
+        return x[:n] if len(x) >= n else np.concatenate([x, matching_noise(np.asarray(r["like"], float), n - len(x), _generator(seed, r["trace_name"], component))])
+
+    return _beside(traces, column, padded, like=reference(F.col(column)))
 
 
 def boundary_pads(traces: DataFrame, front: int, back: int, rate: float = 100.0, seed: int = 42, component: str = "Z", column: str = "samples") -> DataFrame:
@@ -210,42 +210,27 @@ def boundary_pads(traces: DataFrame, front: int, back: int, rate: float = 100.0,
     return _map_arrays(traces, column, column, lambda x, r: np.concatenate([matching_noise(x[:first], front, _generator(seed, r["trace_name"], component)), x, np.full(back, np.median(x) if len(x) else 0.0)]), ("trace_name",))
 
 
-def _flat_reference(x: np.ndarray, window: int, distinct: int, digits: int) -> np.ndarray:
-    """What surrounds the first window that isn't flat, by a window on either side; else the middle two windows."""
-    if len(x) < window:
-        return x
-    for at in range(0, len(x) - window, max(window // 2, 1)):
-        if _rich(x, at, window, digits) >= distinct:
-            return x[max(0, at - window) : at + 2 * window]
-    return x[max(0, len(x) // 2 - window) : len(x) // 2 + window]
+def faded(n: int, fade: int, before: bool, behind: bool) -> np.ndarray:
+    """Shares of a filling of n samples: all of it, but for ramps of `fade` samples, a quarter of it at most, where something
+    stands before or behind it."""
+    k = min(fade, n // 4)
+    ramp = np.interp(np.arange(n), [0, max(k - 1, 0.5)], [0, 1]) if k else np.ones(n)
+    return (ramp if before else 1) * (ramp[::-1] if behind else 1) * np.ones(n)
 
 
 def fill_flat(traces: DataFrame, window: int = 100, distinct: int = 50, digits: int = 4, fade: int = 20, seed: int = 42, component: str = "Z", column: str = "samples") -> DataFrame:
-    """Flat stretches replaced by noise like the first stretch that isn't, faded in and out over at most `fade` samples.
-
-    Fades take a quarter of a stretch at most, and none is needed at the trace's own ends.
-    """
+    """The stretches of `flat_regions` replaced by noise like the first stretch that isn't flat, faded in and out."""
 
     def fill(x: np.ndarray, r: dict) -> np.ndarray:
-        flat = np.zeros(len(x), bool)
-        for at in range(0, len(x) - window + 1, max(window // 2, 1)):
-            if _rich(x, at, window, digits) < distinct:
-                flat[at : at + window] = True
-        if not flat.any():
-            return x
-        reference, rng, out = _flat_reference(x, window, distinct, digits), _generator(seed, r["trace_name"], component), x.copy()
-        steps = np.flatnonzero(np.diff(np.concatenate([[False], flat, [False]]).astype(int)))
-        for a, b in zip(steps[::2], steps[1::2]):
-            k = min(fade, (b - a) // 4)
-            share = np.ones(b - a)
-            if a > 0:
-                share[:k] = np.linspace(0, 1, k)
-            if b < len(x):
-                share[len(share) - k :] = np.linspace(1, 0, k)
-            out[a:b] = x[a:b] * (1 - share) + matching_noise(reference, b - a, rng) * share
+        like, rng, out = np.asarray(r["like"], float), _generator(seed, r["trace_name"], component), x.copy()
+        for run in r["flat"]:
+            part = slice(run["start"], run["end"] + 1)
+            share = faded(part.stop - part.start, fade, part.start > 0, part.stop < len(x))
+            out[part] += share * (matching_noise(like, len(share), rng) - x[part])
         return out
 
-    return _map_arrays(traces, column, column, fill, ("trace_name",))
+    x = F.col(column)
+    return _beside(traces, column, fill, flat=flat_regions(x, window, distinct, digits), like=lively_surroundings(x, window, distinct, digits))
 
 
 # --- envelopes ---------------------------------------------------------------------------------------------------

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 SPLITS = ("train", "val", "test")
+#: Names in a split column, by the names of draws.
+RENAMED = {"train": "train", "val": "dev", "test": "test"}
 
 
 def check_proportions(p_train: float, p_val: float) -> None:
@@ -60,7 +62,7 @@ def assign_split(df: DataFrame, key: str = "source_id", row_key: str = "trace_na
     hashed = hash_split(df, key, salt, p_train, p_val, algo, column)
     drawn = choose(bernoulli_unit(seed, F.col(row_key)), p_train, p_val)
     out = hashed.withColumn(column, F.when(F.coalesce(usable, F.lit(False)), F.col(column)).otherwise(drawn))
-    return out.replace({"val": "dev"}, subset=[column])
+    return out.replace({k: v for k, v in RENAMED.items() if k != v}, subset=[column])
 
 
 def year_split(year: Column, train, val, test) -> Column:

@@ -102,10 +102,12 @@ def s9_sweeps(s, d):
 def k3_write_split(s, d):
     at = _folder(s)
     df = _orders(s, d).select("trace_name", F.col("trace_chunk").alias("year"), splits.year_split(F.col("trace_chunk").cast("int"), range(1992, 1997), (1997, 1998), (1999, 2000)).alias("split")).filter("split IS NOT NULL")
-    io.write_split(df, f"{at}/split", f"{at}/audit")
+    io.write_split(df, f"{at}/split", f"{at}/audit", f"{at}/record", p_train=0.6, p_val=0.2)
     audit = s.read.option("header", True).schema("year string, split string, n bigint").csv(f"{at}/audit")
     rows = s.read.parquet(f"{at}/split").groupBy("split").agg(F.count("*").alias("written"))
-    return audit.join(rows, "split")
+    record = io.read_split_record(s, f"{at}/record").select("p_train", F.col("rename")["val"].alias("val"), F.explode("per_year").alias("year", "x"))
+    record = record.select("p_train", "val", "year", F.explode("x").alias("split", "recorded"))
+    return audit.join(rows, "split").join(record, ["year", "split"])
 
 
 def k7_publish(s, d):
@@ -126,8 +128,10 @@ def k8_by_station(s, d):
 
 
 def k9_channels(s, d):
-    at = f"{_folder(s)}/channels"
-    io.export_channels(build.event_channels(_built(s, d)), at)
+    """Events in two exports, and one of them once more: what the other has written stays."""
+    at, channels = f"{_folder(s)}/channels", build.event_channels(_built(s, d))
+    for odd in (0, 1, 0):
+        io.export_channels(channels.filter(F.pmod(F.xxhash64("source_id"), F.lit(2)) == odd), at)
     return s.read.parquet(at).groupBy("source_id", "station_code").agg(F.count("*").alias("n_channels"), F.sum(F.size("samples")).alias("n_samples")).withColumn("station_code", F.coalesce(F.col("station_code").cast("string"), F.lit("")))  # an empty partition value is read as NULL
 
 
@@ -150,6 +154,17 @@ def s11_inventory(s, d):
     return read.select("network", "station", "location", "channel", "start_date", "sensitivity")
 
 
+def s7_array_pool(s, d):
+    """Vectors as `.npy` files, some of them cut off, one column of three read again."""
+    at = _folder(s)
+    x = v.traces(s, d).select("trace_name", F.col("samples").alias("e"), F.transform("samples", lambda q: q * 2).alias("n"), F.transform("samples", lambda q: -q).alias("z"))
+    files = io.encode_arrays(x, kind="<f8").withColumn("content", F.when(F.col("path").startswith("1"), F.expr("substring(content, 1, length(content) - 8)")).otherwise(F.col("content")))
+    files.write.parquet(at)
+    read = io.decode_arrays(s.read.parquet(at), columns=("z", "n"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, q: a + q), 5)
+    return read.select("trace_name", "status", F.size("z").alias("n_z"), total("z").alias("z"), total("n").alias("n"))
+
+
 def p14_drawn(s, d):
     """Draws by key: how many of each split, alike under another partitioning."""
     one = lambda df: df.select("trace_name", splits.choose(splits.bernoulli_unit(42, F.col("trace_name")), 0.7, 0.15).alias("split"))
@@ -190,6 +205,7 @@ QUERIES = {
     "s8_s10_catalogues": s8_s10_catalogues,
     "s9_sweeps": s9_sweeps,
     "s11_inventory": s11_inventory,
+    "s7_array_pool": s7_array_pool,
     "k3_write_split": k3_write_split,
     "k7_publish": k7_publish,
     "k8_by_station": k8_by_station,
@@ -210,7 +226,9 @@ ORACLE_SQL = {
     "s8_s10_catalogues": _with("SELECT trace_name AS event_id, TIMESTAMP '2020-01-01' + to_seconds(key % 100000) AS time, ep AS depth, NULL::DOUBLE AS magnitude, station_code AS station_id, CASE WHEN key % 2 = 0 THEN 'P' ELSE 'S' END AS phase, p::INT AS p_sample, CASE WHEN key % 3 <> 0 THEN s::INT END AS s_sample, key % 5 = 0 AS is_noise FROM ord", _ORD),
     "s9_sweeps": f"SELECT *, 'missing' AS missing FROM ({SCORING_SQL['a29_threshold_sweep']})",
     "s11_inventory": _with("SELECT DISTINCT network, station, location, channel, TIMESTAMP '2020-01-01' AS start_date, 2.0::DOUBLE AS sensitivity FROM ep", _EPO),
-    "k3_write_split": _with(f"SELECT coalesce(y, '_total') AS year, split, count(*) AS n, any_value(w) AS written FROM (SELECT *, count(*) OVER (PARTITION BY split) AS w FROM (SELECT trace_chunk AS y, {_YS} AS split FROM ord)) WHERE split IS NOT NULL GROUP BY GROUPING SETS ((y, split), (split))", _ORD),
+    "k3_write_split": _with(f"SELECT coalesce(y, '_total') AS year, split, count(*) AS n, any_value(w) AS written, 0.6::DOUBLE AS p_train, 'dev' AS val, count(*) AS recorded FROM (SELECT *, count(*) OVER (PARTITION BY split) AS w FROM (SELECT trace_chunk AS y, {_YS} AS split FROM ord)) WHERE split IS NOT NULL GROUP BY GROUPING SETS ((y, split), (split))", _ORD),
+    "s7_array_pool": """SELECT vec_id::VARCHAR AS trace_name, CASE WHEN vec_id::VARCHAR LIKE '1%' THEN 'short' ELSE 'ok' END AS status, CASE WHEN vec_id::VARCHAR NOT LIKE '1%' THEN 64 END AS n_z,
+CASE WHEN vec_id::VARCHAR NOT LIKE '1%' THEN round(-list_sum(embedding::DOUBLE[]), 5) END AS z, CASE WHEN vec_id::VARCHAR NOT LIKE '1%' THEN round(2 * list_sum(embedding::DOUBLE[]), 5) END AS n FROM embeddings""",
     "k7_publish": _with("SELECT station_code, count(*) AS n, 'board.csv' AS published FROM ord GROUP BY 1", _ORD),
     "k8_by_station": _with("SELECT network, station, count(*) AS n, CASE WHEN bool_or(station::INT < 20) THEN 0 ELSE count(*) END AS n_again FROM ep GROUP BY 1, 2", _EPO),
     "k9_channels": _with("SELECT event_id AS source_id, code AS station_code, 3 * count(*) AS n_channels, (3 * sum(npts))::BIGINT AS n_samples FROM b GROUP BY 1, 2", _REC),

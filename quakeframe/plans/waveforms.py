@@ -78,7 +78,7 @@ QUERIES = {
     "w14_weights": lambda s, d: rounded(_traces(s, d).select("trace_name", *(A.total(F.zip_with("samples", signal.position_weights(64, k), lambda a, b: a * b)).alias(k) for k in ("gaussian", "triangular", "cosine")))),
     "w15_padding": lambda s, d: _traces(s, d).select("trace_name", *(_round(signal.pad_samples(F.concat("samples", F.slice("samples", 1, (_id() % 9 + 1).cast("int"))), 69, k)).alias(k) for k in ("zero", "last", "median"))),
     "w16_flat_regions": lambda s, d: _traces(s, d).select("trace_name", F.explode(signal.flat_regions(F.col("samples"), 8, 7, 1)).alias("x")).select("trace_name", "x.*"),
-    "w17_reference": lambda s, d: _traces(s, d).select("trace_name", signal.reference_start(F.transform("samples", lambda q: F.round(q, 1)), 16, 4, 6, 64).alias("start")),
+    "w17_reference": lambda s, d: _traces(s, d).select("trace_name", signal.reference_start(F.col("samples"), 16, 4, 6, 64, 1).alias("start")),
     "w19_stream_standardize": lambda s, d: _traces(s, d).select("trace_name", _round(signal.standardize_stream(F.transform("samples", lambda q: F.when(q > 0.25, F.lit(float("nan"))).otherwise(q)), 70)).alias("x")),
     "w21_dual_pass": lambda s, d: _curves(s, d).select("trace_name", _round(curves.dual_pass(F.col("s"), F.col("p"), curves.fill_mask(F.col("s"), F.col("p"), 0.1, 0.08, 3))).alias("x")),
     "w22_interpolate": lambda s, d: _traces(s, d).select("trace_name", _round(curves.interpolate(F.col("samples"), 41)).alias("x")),
@@ -190,7 +190,7 @@ FROM long JOIN w USING (i) CROSS JOIN (SELECT avg(g) AS mg, avg(t) AS mt, avg(c)
     "w15_padding": _sql("""SELECT trace_name, list_transform(range(1, 70), lambda k: round(CASE WHEN k <= len(x) THEN x[k] ELSE 0 END, 6) + 0.0) AS zero, list_transform(range(1, 70), lambda k: round(CASE WHEN k <= len(x) THEN x[k] ELSE x[len(x)] END, 6) + 0.0) AS last,
   list_transform(range(1, 70), lambda k: round(CASE WHEN k <= len(x) THEN x[k] ELSE list_median(x) END, 6) + 0.0) AS median FROM (SELECT trace_name, list_concat(samples, samples[1:(id % 9 + 1)]) AS x FROM picked)""", _PICKED),
     "w16_flat_regions": _sql("SELECT trace_name, a::INT AS start, b::INT AS \"end\" FROM isl", "fl AS (SELECT trace_name, k FROM (SELECT trace_name, samples, unnest(range(0, 57, 4)) AS k FROM traces) WHERE len(list_distinct(list_transform(samples[k + 1:k + 8], lambda q: round(q, 1) + 0.0))) < 7)", "fx AS (SELECT DISTINCT trace_name, i FROM (SELECT trace_name, unnest(range(k, k + 8)) AS i FROM fl))", _islands("fx", "TRUE")),
-    "w17_reference": _sql("SELECT trace_name, coalesce(min(k) FILTER (n > 6), 0)::INT AS start FROM (SELECT trace_name, k, len(list_distinct(list_transform(samples[k + 1:k + 16], lambda q: round(q, 1) + 0.0))) AS n FROM (SELECT trace_name, samples, unnest(range(0, 49, 4)) AS k FROM traces)) GROUP BY 1"),
+    "w17_reference": _sql("SELECT trace_name, coalesce(min(k) FILTER (n > 6), 0)::INT AS start FROM (SELECT trace_name, k, len(list_distinct(list_transform(samples[k + 1:k + 16], lambda q: round(q, 1) + 0.0))) AS n FROM (SELECT trace_name, samples, unnest(range(0, 48, 4)) AS k FROM traces)) GROUP BY 1"),
     "w19_stream_standardize": _sql("SELECT trace_name, list_transform(y, lambda q: CASE WHEN q IS NULL THEN 0.0 ELSE round((q - list_avg(y)) / list_stddev_pop(y), 6) + 0.0 END) AS x FROM (SELECT trace_name, list_transform(range(1, 71), lambda k: CASE WHEN k > 64 THEN 0.0 WHEN samples[k] > 0.25 THEN NULL ELSE samples[k] END) AS y FROM traces)"),
     "w21_dual_pass": _sql("""SELECT trace_name, list(round(CASE WHEN s < 0.1 AND EXISTS (SELECT 1 FROM thin WHERE thin.trace_name = cl.trace_name AND i BETWEEN a AND b) THEN greatest(s, p) ELSE s END, 6) + 0.0 ORDER BY i) AS x FROM cl GROUP BY 1""", _CURVES, _islands("cl", "p >= 0.08", least=3), "thin AS (SELECT isl.trace_name, a, b FROM isl JOIN cl ON cl.trace_name = isl.trace_name AND i BETWEEN a AND b GROUP BY ALL HAVING count(*) FILTER (s >= 0.1) / count(*) < 0.7)"),
     "w22_interpolate": _sql("SELECT trace_name, list_transform(range(41), lambda k: round(samples[floor(k * 63 / 40)::INT + 1] * (1 - (k * 63 / 40 - floor(k * 63 / 40))) + coalesce(samples[floor(k * 63 / 40)::INT + 2], samples[64]) * (k * 63 / 40 - floor(k * 63 / 40)), 6) + 0.0) AS x FROM traces"),

@@ -104,27 +104,72 @@ def read_noise_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("model", F.explode("thresholds").alias("threshold", "x")).select("model", F.col("threshold").cast("double").alias("threshold"), "x.*")
 
 
-def read_array_pool(spark: SparkSession, path: str, components: int = 3) -> DataFrame:
-    """Files of raw little-endian float32 samples, (T, components) in E, N, Z order: (trace_name, e, n, z, status).
+def decode_arrays(files: DataFrame, columns: Sequence[str] = ("e", "n", "z"), components: Sequence[str] = ("e", "n", "z")) -> DataFrame:
+    """Files (path, content) as traces: (trace_name, the wanted columns, status).
 
-    A file that isn't whole rows has status 'failed' and no samples; it is counted, not skipped.
+    `.npy` files say their type, order and shape, (T, components), in their header; whatever else is read as raw
+    little-endian float32 rows. status is 'ok'; 'header' where a header can't be read or names objects; 'shape' for
+    anything but T whole rows of as many numbers as components; 'short' for fewer samples than the header promises.
+    Only wanted columns are taken out of a file. A file that isn't 'ok' has null columns; it is counted, not skipped.
     """
+    import io
+
     import numpy as np
     import pandas as pd
 
+    places = [list(components).index(c) for c in columns]
+
+    def read(raw: bytes) -> tuple[np.ndarray | None, str]:
+        if not raw.startswith(np.lib.format.MAGIC_PREFIX):
+            return (None, "shape") if len(raw) == 0 or len(raw) % (4 * len(components)) else (np.frombuffer(raw, "<f4").reshape(-1, len(components)), "ok")
+        head = io.BytesIO(raw)
+        try:
+            version = np.lib.format.read_magic(head)
+            shape, fortran, kind = np.lib.format.read_array_header_1_0(head) if version == (1, 0) else np.lib.format.read_array_header_2_0(head)
+        except (ValueError, SyntaxError, TypeError):
+            return None, "header"
+        if kind.hasobject or kind.kind not in "fiu":
+            return None, "header"
+        if len(shape) != 2 or shape[1] != len(components) or shape[0] == 0:
+            return None, "shape"
+        if len(raw) - head.tell() < shape[0] * shape[1] * kind.itemsize:
+            return None, "short"
+        x = np.frombuffer(raw, kind, shape[0] * shape[1], head.tell())
+        return x.reshape(shape, order="F" if fortran else "C"), "ok"
+
     def decode(batches):
         for pdf in batches:
             rows = []
-            for name, raw in zip(pdf["path"], pdf["content"]):
-                name = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                if len(raw) == 0 or len(raw) % (4 * components):
-                    rows.append((name, None, None, None, "failed"))
-                else:
-                    x = np.frombuffer(raw, "<f4").reshape(-1, components)
-                    rows.append((name, *(np.ascontiguousarray(x[:, c]) for c in range(3)), "ok"))
-            yield pd.DataFrame(rows, columns=["trace_name", "e", "n", "z", "status"])
+            for path, raw in zip(pdf["path"], pdf["content"]):
+                x, status = read(raw or b"")
+                rows.append((path.rsplit("/", 1)[-1].rsplit(".", 1)[0], *(None if x is None else x[:, k].astype(np.float64) for k in places), status))
+            yield pd.DataFrame(rows, columns=["trace_name", *columns, "status"])
+
+    return files.select("path", "content").mapInPandas(decode, f"trace_name string, {''.join(f'{c} array<double>, ' for c in columns)}status string")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "trace_name string, e array<float>, n array<float>, z array<float>, status string")
+
+def read_array_pool(spark: SparkSession, path: str, columns: Sequence[str] = ("e", "n", "z"), components: Sequence[str] = ("e", "n", "z")) -> DataFrame:
+    """`decode_arrays` of the files at a path, in any file system that Spark reads; their sizes decide on partitions."""
+    return decode_arrays(spark.read.format("binaryFile").load(path), columns, components)
+
+
+def encode_arrays(traces: DataFrame, columns: Sequence[str] = ("e", "n", "z"), kind: str = "<f4") -> DataFrame:
+    """Traces as `.npy` files (path, content), of rows of `columns`."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def encode(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf[list(columns)].itertuples(index=False):
+                held = io.BytesIO()
+                np.save(held, np.stack([np.asarray(x, kind) for x in row], axis=1), allow_pickle=False)
+                out.append(held.getvalue())
+            yield pd.DataFrame({"path": pdf["trace_name"] + ".npy", "content": out})
+
+    return traces.select("trace_name", *columns).mapInPandas(encode, "path string, content binary")
 
 
 def arrival_times(index: DataFrame, rate: float = 100.0, spacing_s: int = 1000) -> DataFrame:
@@ -139,12 +184,29 @@ def arrival_times(index: DataFrame, rate: float = 100.0, spacing_s: int = 1000)
     return each.select("trace_name", "x.phase", F.expr(f"start + make_dt_interval(0, 0, 0, cast(x.sample / {float(rate)}D as decimal(18, 6)))").alias("true_time"))
 
 
-def write_split(df: DataFrame, path: str, audit_path: str) -> None:
-    """Metadata with its split as a new version, and the audit of counts per year and split."""
-    from quakeframe.operators.splits import split_counts
+def write_split(df: DataFrame, path: str, audit_path: str, record_path: str | None = None, salt: str = "split-v1", p_train: float = 0.7, p_val: float = 0.15, noise_seed: int = 42) -> None:
+    """Metadata with its split as a new version, the audit of counts per year and split, and the record of how it was made.
 
+    The record is one JSON object: salt, p_train, p_val, noise_seed, rename (names in the split column by names of draws)
+    and per_year, counts of each split by year, with `_total` over all years.
+    """
+    from quakeframe.operators.splits import RENAMED, split_counts
+
+    spark = df.sparkSession
     df.write.mode("overwrite").parquet(path)
-    split_counts(df).write.mode("overwrite").option("header", True).csv(audit_path)
+    split_counts(spark.read.schema(df.schema).parquet(path)).write.mode("overwrite").option("header", True).csv(audit_path)
+    if record_path is not None:
+        counts = spark.read.schema("year string, split string, n bigint").option("header", True).csv(audit_path)  # a row for each year and split
+        years = counts.groupBy("year").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", "n")))).alias("splits"))
+        per_year = F.map_from_entries(F.collect_list(F.struct("year", "splits")))
+        rename = F.create_map(*(F.lit(x) for pair in RENAMED.items() for x in pair))
+        fixed = {"salt": salt, "p_train": float(p_train), "p_val": float(p_val), "noise_seed": noise_seed}
+        years.groupBy().agg(per_year.alias("per_year")).select(*(F.lit(x).alias(k) for k, x in fixed.items()), rename.alias("rename"), "per_year").coalesce(1).write.mode("overwrite").json(record_path)
+
+
+def read_split_record(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON record of a split, one row."""
+    return spark.read.schema("salt string, p_train double, p_val double, noise_seed bigint, rename map<string,string>, per_year map<string,map<string,bigint>>").json(path)
 
 
 def test_index(df: DataFrame) -> DataFrame:
@@ -182,5 +244,5 @@ def write_by_station(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def export_channels(channels: DataFrame, path: str) -> None:
-    """One directory per event and station with a row for each channel."""
-    channels.write.mode("overwrite").partitionBy("source_id", "station_code").parquet(path)
+    """One directory per event and station with a row for each channel; those of other events and stations stay."""
+    channels.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id", "station_code").parquet(path)
