@@ -188,6 +188,16 @@ def matching_noise(reference: np.ndarray, n: int, rng: np.random.Generator) -> n
     return mean + (shaped / spread * deviation if spread > 1e-10 else shaped)
 
 
+def noise_reference(x: np.ndarray, window: int = 500, step: int = 100, distinct: int = 300, most: int = 5000, digits: int = 4) -> np.ndarray:
+    """`signal.reference` of an array that a task has at hand."""
+    begins = max(min(len(x) - window, most), 0)
+    if begins:
+        sorted_ = np.sort(np.lib.stride_tricks.sliding_window_view(np.round(x, digits), window)[:begins:step], axis=1)
+        lively = 1 + np.count_nonzero(np.diff(sorted_, axis=1), axis=1) > distinct
+        begins = step * int(np.argmax(lively))  # the first one, or 0
+    return x[begins : begins + window]
+
+
 def _beside(traces: DataFrame, column: str, f: Callable[[np.ndarray, dict], np.ndarray], **needed: Column) -> DataFrame:
     """`_map_arrays` in place, with columns that are there for f only."""
     names = {k: f"{k}_for_{column}" for k in needed}
@@ -306,13 +316,15 @@ def standardized(windows: np.ndarray) -> np.ndarray:
     return (windows - windows.mean(axis=1, keepdims=True)) / np.where(d < 1e-10, 1.0, d)
 
 
-def laid_out(x: np.ndarray, window: int, step: int, tolerance: int, noise: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, int]:
+def laid_out(x: np.ndarray, window: int, step: int, tolerance: int, noise: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]] | None) -> tuple[np.ndarray, np.ndarray, int]:
     """What is predicted for a trace (n, channels): samples, window starts, and where the trace begins in the samples.
 
     Up to `tolerance` samples more than a window: its first window, followed by zeros where it is shorter. Longer traces
-    get a window of noise like their own at both ends.
+    get a window of noise like their own at both ends, or none.
     """
     n = len(x)
+    if noise is None and n > window:
+        return x, starts(n, window, step), 0
     if n <= window + tolerance:
         return np.concatenate([x[:window], np.zeros((max(window - n, 0), x.shape[1]))]), np.zeros(1, int), 0
     front, back = zip(*(noise(x[:, c], c) for c in range(x.shape[1])))
@@ -377,7 +389,7 @@ class Batches:
         return [(total / np.maximum(weight, 1e-8)[:, None], error) for (total, weight), error in zip(self.sums, self.errors)]
 
 
-def _predicted(rows: list[tuple[str, np.ndarray | Exception]], predict: Predictor, window: int, step: int, batch_size: int, weights: np.ndarray, tolerance: int, seed: int) -> list[tuple[np.ndarray | None, str | None]]:
+def _predicted(rows: list[tuple[str, np.ndarray | Exception]], predict: Predictor, window: int, step: int, batch_size: int, weights: np.ndarray, tolerance: int, seed: int, pads: bool = True) -> list[tuple[np.ndarray | None, str | None]]:
     """Curves (n, 3), or an error, of named traces (n, channels). Samples where any curve isn't finite are 0 in all."""
     batches, placed = Batches(predict, batch_size, weights), []
     for name, x in rows:
@@ -390,7 +402,7 @@ def _predicted(rows: list[tuple[str, np.ndarray | Exception]], predict: Predicto
             reference, rng = noise_reference(channel), _generator(seed, name, str(c))
             return matching_noise(reference, window, rng), matching_noise(reference, window, rng)
 
-        wide, at, front = laid_out(x, window, step, tolerance, noise)
+        wide, at, front = laid_out(x, window, step, tolerance, noise if pads else None)
         batches.add(wide, at if len(x) else at[:0])
         placed.append((front, len(x)))
     out = []
@@ -423,13 +435,14 @@ def _curve_row(y: np.ndarray | None, error: str | None) -> tuple:
     return (None, None, None, error) if y is None else (y[:, 0], y[:, 1], y[:, 2], None)
 
 
-def annotate(traces: DataFrame, predict: Predictor, window: int = 6000, step: int = 1000, batch_size: int = 32, model: str = "model", order: str = "ENZ", weights: np.ndarray | None = None, tolerance: int = 100, seed: int = 42, keep: tuple[str, ...] = ("trace_start_time",)) -> DataFrame:
+def annotate(traces: DataFrame, predict: Predictor, window: int = 6000, step: int = 1000, batch_size: int = 32, model: str = "model", order: str = "ENZ", weights: np.ndarray | None = None, tolerance: int = 100, seed: int = 42, keep: tuple[str, ...] = ("trace_start_time",), pads: bool = True) -> DataFrame:
     """P, S and detection curves by sliding-window prediction: (model, trace_name, p, s, m, error), arrays as long as the trace.
 
     predict: batches (n, window, 3) to (n, window, 3) or (n, window, 2), in which case the missing detection is 1. It is
     sent to the workers; windows of all traces of an Arrow batch share prediction batches and are stacked inside the task,
     without a shuffle. A trace on which the predictor raises, or whose components are missing or of unequal lengths, has
-    null curves and the error; the others keep theirs. Of `keep`, columns that the traces have come along: by the start
+    null curves and the error; the others keep theirs. Longer traces get a window of noise at both ends, unless `pads` is
+    false. Of `keep`, columns that the traces have come along: by the start
     time, curves are placed in time.
     """
     w = np.ones(window) if weights is None else np.asarray(weights, float)
@@ -439,7 +452,7 @@ def annotate(traces: DataFrame, predict: Predictor, window: int = 6000, step: in
     def run(batches):
         for pdf in batches:
             rows = [(row.trace_name, _channels(row, order)) for row in pdf.itertuples(index=False)]
-            got = [_curve_row(*r) for r in _predicted(rows, predict, window, step, batch_size, w, tolerance, seed)]
+            got = [_curve_row(*r) for r in _predicted(rows, predict, window, step, batch_size, w, tolerance, seed, pads)]
             yield pd.DataFrame([(model, name, *(pdf[c].iat[i] for c in keep), *r) for i, ((name, _), r) in enumerate(zip(rows, got))], columns=names)
 
     return traces.select("trace_name", *keep, *order.lower()).mapInPandas(run, _curve_schema(traces, keep))

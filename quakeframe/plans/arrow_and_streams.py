@@ -79,13 +79,22 @@ def t1_stream_windows(s, d):
 
 
 def t2_stream_gate(s, d):
-    """Clicks and views inside error boxes, as a stream-stream semi-join; state is kept as long as the longest box."""
+    """Clicks and views inside error boxes, as a stream; a box is state until the watermark has passed its end."""
     at = _folder(s)
     e = _stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     picks = e.filter("event_type IN ('click', 'view')").select("event_id", F.col("user_id").alias("trace_name"), "ts")
     boxes = _stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter("event_type = 'error'").select(F.col("user_id").alias("box_trace"), F.col("ts").alias("box_start"), F.expr("ts + make_dt_interval(0, 0, 0, value * 60)").alias("box_end"))
-    longest = v.table(s, d, "events").filter("event_type = 'error'").agg(F.ceil(F.max("value"))).first()[0] or 0
-    return jobs.drain(jobs.stream_gate(picks, boxes, f"{longest} MINUTES", late="40 days"), f"{at}/out", f"{at}/checkpoint").select("event_id", "trace_name")
+    return jobs.drain(jobs.stream_gate(picks, boxes, late="1 hour"), f"{at}/out", f"{at}/checkpoint").select("event_id", "trace_name")
+
+
+def t1_stream_annotate(s, d):
+    """Vectors as packets of ten stations, one after the other in time, annotated as a stream: what is closed by the last packet."""
+    at = _folder(s)
+    x = _stream(s, d, "embeddings").filter("vec_id IS NOT NULL AND embedding IS NOT NULL").withColumn("samples", F.col("embedding").cast("array<double>"))
+    ts = F.timestamp_micros((F.col("vec_id") % 10 + 1) * F.lit(10**12) + F.floor(F.col("vec_id") / 10) * F.lit(64 * 10**6))
+    packets = x.select((F.col("vec_id") % 10).cast("string").alias("trace_name"), ts.alias("ts"), F.col("samples").alias("e"), F.transform("samples", lambda q: q * 2).alias("n"), F.transform("samples", lambda q: -q).alias("z"))
+    curves = jobs.drain(jobs.stream_annotate(packets, linear_predict, window=64, step=32, rate=1.0, late="0 seconds"), f"{at}/out", f"{at}/checkpoint")
+    return rounded(curves.select("trace_name", F.posexplode("p").alias("k", "p"), "start").select("trace_name", (F.col("start") + F.col("k")).alias("sample"), "p"), 6)
 
 
 def t3_incremental_score(s, d):
@@ -142,6 +151,7 @@ QUERIES = {
     "x5_dual_pass": lambda s, d: _filtered_summary(spectral.dual_pass(_three(s, d), linear_predict, window=64, step=16, least_s=0.03, tolerance=0), "p"),
     "a19_t3": lambda s, d: rounded(match.closest_match(spectral.peaks(_curves(s, d), 0.1, 1).withColumn("offset_s", F.col("sample").cast("double")), _picked(s, d).filter("p_sample IS NOT NULL").select("trace_name", F.lit("P").alias("phase"), F.col("p_sample").cast("double").alias("true_s")), 10.0)),
     "t1_stream_windows": t1_stream_windows,
+    "t1_stream_annotate": t1_stream_annotate,
     "t2_stream_gate": t2_stream_gate,
     "t3_incremental_score": t3_incremental_score,
 }
@@ -213,6 +223,12 @@ done AS (SELECT CASE WHEN -z < 0.3 AND EXISTS (SELECT 1 FROM thin WHERE thin.tra
     "t1_stream_windows": """WITH w AS (SELECT user_id, value, unnest([0, 1, 2]) AS k, time_bucket(INTERVAL 2 HOURS, ts) AS b FROM events)
 SELECT b - k * INTERVAL 2 HOURS AS start, b - k * INTERVAL 2 HOURS + INTERVAL 6 HOURS AS "end", user_id, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(max(abs(value)), 5) AS peak FROM w
 WHERE b - k * INTERVAL 2 HOURS + INTERVAL 6 HOURS <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 3 HOURS GROUP BY ALL""",
+    "t1_stream_annotate": """WITH pk AS (SELECT vec_id % 10 AS st, (vec_id % 10 + 1) * 1000000 + vec_id // 10 * 64 AS t0, embedding::DOUBLE[] AS x FROM embeddings),
+seg AS (SELECT st, min(t0) AS lo, max(t0) + 64 AS hi FROM pk WHERE t0 < (SELECT max(t0) FROM pk) GROUP BY 1),
+long AS (SELECT st, t0 + i - 1 AS k, x[i] AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM pk JOIN seg USING (st) WHERE t0 < hi)),
+win AS (SELECT st, lo, hi, unnest(range(lo, hi - 63, 32)) AS a FROM seg),
+std AS (SELECT st, a, k, (v - avg(v) OVER w) / stddev_pop(v) OVER w / 2 AS y FROM win JOIN long USING (st) WHERE k BETWEEN a AND a + 63 WINDOW w AS (PARTITION BY st, a))
+SELECT st::VARCHAR AS trace_name, k AS sample, round(avg(y), 6) AS p FROM std JOIN seg USING (st) WHERE k < hi - CASE WHEN hi < (SELECT max(t0) FROM pk) THEN 0 ELSE 64 END GROUP BY ALL""",
     "t2_stream_gate": f"""WITH {EVENTS_SQL}
 SELECT emit_order AS event_id, trace_name::BIGINT AS trace_name FROM picks p WHERE EXISTS (SELECT 1 FROM ev b WHERE event_type = 'error' AND b.trace_name = p.trace_name AND p.offset_s BETWEEN b.offset_s AND b.offset_s + value * 60)""",
     "t3_incremental_score": f"WITH {EVENTS_SQL} SELECT model, 'h1' AS params_hash, trace_name, count(*) AS n, max(value) AS top FROM ev WHERE event_type IN ('click', 'view') GROUP BY ALL",

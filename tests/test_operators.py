@@ -256,8 +256,18 @@ def test_sources(spark, tmp_path):
     pool.mkdir()
     (pool / "good.bin").write_bytes(np.arange(12, dtype="<f4").tobytes())
     (pool / "bad.bin").write_bytes(b"123")
+    x = np.arange(12.0).reshape(4, 3)
+    for name, array in {"single": x.astype("f4"), "double": x, "columns": np.asfortranarray(x), "whole": x.astype(">i2"), "turned": x.T, "empty": x[:0]}.items():
+        np.save(pool / f"{name}.npy", array)
+    (pool / "short.npy").write_bytes((pool / "double.npy").read_bytes()[:-1])
+    (pool / "garbled.npy").write_bytes((pool / "double.npy").read_bytes().replace(b"descr", b"descx"))
+    np.save(pool / "objects.npy", np.array([[None] * 3], object), allow_pickle=True)
     got = {r.trace_name: r for r in io.read_array_pool(spark, str(pool)).collect()}
-    assert got["good"].n == [1.0, 4.0, 7.0, 10.0] and got["bad"].status == "failed"
+    for name in ("good", "single", "double", "columns", "whole"):
+        assert (got[name].e, got[name].n, got[name].z, got[name].status) == ([0.0, 3.0, 6.0, 9.0], [1.0, 4.0, 7.0, 10.0], [2.0, 5.0, 8.0, 11.0], "ok")
+    assert {n: r.status for n, r in got.items() if r.status != "ok"} == {"bad": "shape", "turned": "shape", "empty": "shape", "short": "short", "garbled": "header", "objects": "header"}
+    assert all(r.e is None for r in got.values() if r.status != "ok")
+    assert io.read_array_pool(spark, str(pool), columns=("z",)).filter("trace_name = 'single'").first().z == [2.0, 5.0, 8.0, 11.0]
     with pytest.raises(ValueError):
         io.test_index(spark.range(1))
 
@@ -479,6 +489,36 @@ def test_flat_regions_are_filled(spark):
     assert any(r.start <= 450 and r.end >= 600 for r in found)
 
 
+def test_reference_windows_and_short_traces(spark):
+    x = np.concatenate([np.zeros(4850), rng(13).standard_normal(3000)])
+    short = rng(14).standard_normal(40)
+    got = trace(spark, x, short, np.zeros(600)).select(signal.reference_start(F.col("samples")).alias("at"), signal.flat_regions(F.col("samples")).alias("flat"), F.size(signal.lively_surroundings(F.col("samples"))).alias("n")).collect()
+    assert [r["at"] for r in got] == [4700, 0, 0] and [len(r["flat"]) for r in got] == [1, 0, 1] and [r["n"] for r in got] == [300, 40, 200]
+    for y in (x, short, np.zeros(600), rng(15).standard_normal(500), rng(16).standard_normal(501), np.round(rng(17).standard_normal(7000), 1)):
+        at = trace(spark, y).select(signal.reference(F.col("samples")).alias("r")).first().r
+        assert np.allclose(at, spectral.noise_reference(y))
+    assert np.allclose(trace(spark, short).transform(spectral.fill_flat).first().samples, short)
+    assert spectral.faded(8, 20, True, True).tolist() == [0, 1, 1, 1, 1, 1, 1, 0] and spectral.faded(3, 20, True, True).tolist() == [1, 1, 1]
+
+
+def test_exported_channels_of_other_events_stay(spark, tmp_path):
+    at = str(tmp_path / "channels")
+    for event in ("ev1", "ev2", "ev1"):
+        io.export_channels(spark.createDataFrame([(event, "A", "BHZ", [1.0])], "source_id string, station_code string, channel string, samples array<double>"), at)
+    assert sorted((r.source_id, r.channel) for r in spark.read.parquet(at).collect()) == [("ev1", "BHZ"), ("ev2", "BHZ")]
+
+
+def test_ranges_are_even_beside_an_outlier(spark):
+    n = 20_000
+    values = spark.range(n).select(F.lit("g").alias("g"), F.when(F.col("id") == 0, F.lit(1e9)).otherwise(F.rand(3)).alias("x"), F.lit(1).alias("n"))
+    values = spark.createDataFrame(values.toPandas())
+    largest = scoring.ranged(values, "x", ["g"]).groupBy("range").count().agg(F.max("count"), F.count("*")).first()
+    assert largest[0] <= 2 * n / scoring.RANGES + 1 and largest[1] > scoring.RANGES / 2
+    x = np.sort([r.x for r in values.collect()])
+    got = scoring.ordered_elements(values, "x", "n", ["g"], {"a": 0.25, "b": 0.5, "c": 1.0}).first()
+    assert np.allclose([got.a, got.b, got.c], np.quantile(x, [0.25, 0.5, 1.0]))
+
+
 def test_motion_and_coda(spark):
     x = np.concatenate([np.zeros(100), np.ones(100), np.zeros(100)])
     row = trace(spark, x, np.zeros(50), []).select("trace_name", motion.husid_d5_95(F.col("samples")).alias("h")).collect()
@@ -536,6 +576,105 @@ def test_incremental_scoring_is_whole_for_keys_in_several_batches(spark, tmp_pat
     assert {r.trace_name: r.n for r in jobs.scores(spark, at + "2").collect()} == {"a": 11, "b": 2, "c": 3}
 
 
+def test_runs_of_kept_batches():
+    from quakeframe.streaming import jobs
+
+    for n in range(1, 70):
+        runs = jobs.runs_upto(n)
+        assert runs[0][0] == 1 and runs[-1][1] == n and all(a[1] + 1 == b[0] for a, b in zip(runs, runs[1:])) and len(runs) <= n.bit_length()
+        assert set(runs[:-1]) <= set(jobs.runs_upto(n - 1))  # what isn't merged stays as it was
+
+
+def test_incremental_scoring_reads_the_buckets_of_its_keys_only(spark, tmp_path):
+    from quakeframe.streaming import jobs
+
+    source, at, read = str(tmp_path / "in"), str(tmp_path / "out"), []
+    schema = "model string, params_hash string, trace_name string, n int"
+
+    def count(df):
+        read.append(len(df.inputFiles()))
+        return df.groupBy("model", "params_hash", "trace_name").agg(F.sum("n").alias("n"))
+
+    spark.createDataFrame([("m", "h", f"t{i}", 1) for i in range(300)], schema).coalesce(1).write.mode("append").parquet(source)
+    want = {f"t{i}": 1 for i in range(300)}
+    for k in range(6):
+        if k:
+            spark.createDataFrame([("m", "h", f"t{k % 2}", 1)], schema).coalesce(1).write.mode("append").parquet(source)
+            want[f"t{k % 2}"] += 1
+        jobs.incremental_score(spark.readStream.schema(schema).parquet(source), at, str(tmp_path / "c"), count, buckets=16).awaitTermination()
+    assert {r.trace_name: r.n for r in jobs.scores(spark, at).collect()} == want
+    rows = {p.name: sum(f.stat().st_size for f in p.rglob("*.parquet")) for p in (tmp_path / "out" / "rows").iterdir()}
+    assert set(rows) >= {"1-4", "5-6"} and "1-2" not in rows  # runs that were merged are gone, but for the last batch's
+    schema_ = "model string, params_hash string, trace_name string, n int"
+    one = jobs.kept_rows(spark, at, jobs.runs_upto(6), schema_, [3])
+    assert {r.bucket for r in one.collect()} == {3} and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString().replace("PartitionFilters: [(", "PartitionFilters: [")
+
+
+@pytest.mark.parametrize("gap", [0, 30])
+def test_stream_annotation_equals_batch(spark, tmp_path, gap):
+    import datetime as dt
+
+    from quakeframe.streaming import jobs
+
+    def squash(x):
+        if (np.abs(x) > 99).any():
+            raise ValueError("never")
+        return np.tanh(x)
+
+    random, base = rng(21), 1_600_000_000
+    schema, packets, segments = "trace_name string, ts timestamp, e array<double>, n array<double>, z array<double>", [], []
+    for station in ("a", "b"):
+        for first, n in ((0, 203), (225, 17), (400, 64), (900, 150)):
+            x = random.standard_normal((n, 3))
+            if segments and segments[-1][0] == station and first - segments[-1][1] - len(segments[-1][2]) <= gap:
+                _, begin, before = segments.pop()
+                share = (np.arange(1, first - begin - len(before) + 1) / (first - begin - len(before) + 1))[:, None]
+                segments.append((station, begin, np.concatenate([before, before[-1] * (1 - share) + x[0] * share, x])))
+            else:
+                segments.append((station, first, x))
+            i = 0
+            while i < n:
+                k = int(random.integers(5, 60))
+                packets.append((station, first + i, x[i : i + k]))
+                i += k
+    packets = sorted([*packets, packets[3]], key=lambda p: p[1] + random.integers(0, 100)) + [("end", 100_000, np.zeros((1, 3)))]  # ten seconds out of order
+    for lo in range(0, len(packets), 12):
+        rows = [(name, dt.datetime.fromtimestamp(base + at / 10, dt.timezone.utc), *x.T.tolist()) for name, at, x in packets[lo : lo + 12]]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = jobs.stream_annotate(stream, squash, window=64, step=24, rate=10.0, gap=gap, late="20 seconds", batch_size=4)
+    pieces = jobs.drain(out, str(tmp_path / "out"), str(tmp_path / "c")).collect()
+    whole = spark.createDataFrame([(f"{s} {at}", *x.T.tolist()) for s, at, x in segments], "trace_name string, e array<double>, n array<double>, z array<double>")
+    for row in spectral.annotate(whole, squash, window=64, step=24, tolerance=0, pads=False).collect():
+        station, at = row.trace_name.split(" ")
+        at = 10 * base + int(at)
+        mine = sorted((p for p in pieces if p.trace_name == station and at <= p.start < at + len(row.p)), key=lambda p: p.start)
+        assert [p.start for p in mine] == [at + sum(len(q.p) for q in mine[:k]) for k in range(len(mine))]
+        for c in "psm":
+            assert np.allclose(np.concatenate([p[c] for p in mine]), row[c])
+    assert {p.trace_name for p in pieces} == {"a", "b"}
+
+
+def test_stream_gate_needs_no_longest_box(spark, tmp_path):
+    import datetime as dt
+
+    from quakeframe.streaming import jobs
+
+    random, day = rng(22), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    at = lambda s: day + dt.timedelta(seconds=float(s), microseconds=7)
+    boxes = [("a", 0.0, 4e5), ("b", 10.0, 20.0), ("b", 15.0, 18.0), ("b", 300.0, 300.0), ("b", 50.0, 40.0)]
+    picks = [("a", float(s), i) for i, s in enumerate(random.uniform(-100, 5e5, 60))] + [("b", float(s), 100 + s) for s in (9, 10, 19, 20, 21, 45, 299, 300, 301)] + [("c", 15.0, 999)]
+    for name, rows, schema, keys in (("picks", picks, "trace_name string, ts timestamp, n int", lambda r: (r[0], at(r[1]), int(r[2]))), ("boxes", boxes, "box_trace string, box_start timestamp, box_end timestamp", lambda r: (r[0], at(r[1]), at(r[2])))):
+        rows = sorted(rows, key=lambda r: r[1])
+        for lo in range(0, len(rows), 9):
+            spark.createDataFrame([keys(r) for r in rows[lo : lo + 9]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    gated = jobs.stream_gate(read("picks", "trace_name string, ts timestamp, n int"), read("boxes", "box_trace string, box_start timestamp, box_end timestamp"), late="30 days")
+    got = {(r.trace_name, r.n, r.ts) for r in jobs.drain(gated, str(tmp_path / "out"), str(tmp_path / "c")).collect()}
+    want = {(t, n) for t, s, n in picks if any(t == b and x <= s <= y for b, x, y in boxes)}
+    assert {x[:2] for x in got} == want and all(ts.microsecond for _, _, ts in got)
+
+
 def test_stacking_windows_of_uneven_steps(spark):
     rows = [("a", 0, [1.0, 2.0, 3.0, 4.0]), ("a", 2, [5.0, 6.0, 7.0, 8.0]), ("a", 3, [9.0, 10.0, 11.0, 12.0]), ("a", 9, [1.0, 1.0]), ("b", 5, [2.0])]
     df = spark.createDataFrame(rows, "trace_name string, start int, x array<double>")
