@@ -16,6 +16,7 @@ out of its own, calibrates them, and the neighbours with their cosines are the e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ BEGINNING, WHOLE = 4, 0.25
 SAMPLE = 8_000
 NEIGHBOURS, BLOCK = 25, 32
 #: Share of the blocks that are scored before bounds are compared with what has been found.
-FIRST = 1 / 8
+FIRST = 1 / 4
 #: Every how many examples a term's list has to hold to be kept as a full row, and how many texts such rows are multiplied with at once.
-LONG, BATCH = 8, 64
+LONG, BATCH = 24, 128
 
 
 def terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +130,9 @@ class Index:
         w = self.weights(term, count[taken], row, self.size).astype(np.float32)
         long = np.bincount(term, minlength=len(df)) * LONG >= max(self.size, 1)
         self.long = np.where(long, np.cumsum(long) - 1, -1)
-        self.full = np.zeros((int(long.sum()), self.blocks * self.width), np.float32)
-        self.full[self.long[term[long[term]]], row[long[term]]] = w[long[term]]
+        some = long[term]
+        self.shape = int(long.sum()), self.blocks * self.width
+        self.entries = self.long[term[some]].astype(np.int32), row[some].astype(np.int32), w[some]
         # Other postings by term, then by row: a term's blocks are runs of them.
         listed = np.lexsort((row, term))
         listed = listed[~long[term[listed]]]
@@ -141,6 +143,16 @@ class Index:
         self.block = (place % max(self.blocks, 1)).astype(np.int32)
         self.block_at = np.searchsorted(place, np.arange(len(df) + 1) * max(self.blocks, 1)).astype(np.int32)
 
+    @cached_property
+    def full(self) -> np.ndarray:
+        """Rows of the long lists, made where they are used."""
+        rows = np.zeros(self.shape)
+        rows[self.entries[0], self.entries[1]] = self.entries[2]
+        return rows
+
+    def __getstate__(self) -> dict:
+        return {k: x for k, x in vars(self).items() if k != "full"}
+
     def weights(self, term: np.ndarray, count: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """TF-IDF weights, frequencies dampened by logarithm, of unit length for each row."""
         w = (1 + np.log(count)) * self.idf[term]
@@ -155,14 +167,13 @@ class Index:
         """
         row = rows_of(at)
         w = self.weights(term, count, row, len(at) - 1)
-        full = self.full.astype(float)
         for lo in range(0, len(rows), BATCH):
             some = rows[lo : lo + BATCH]
             asked = np.zeros((len(some), len(self.full)))
             for i, r in enumerate(some):
                 t = self.long[term[at[r] : at[r + 1]]]
                 asked[i, t[t >= 0]] = w[at[r] : at[r + 1]][t >= 0]
-            sums = asked @ full
+            sums = asked @ self.full
             for r, part in zip(some, sums):
                 t = term[at[r] : at[r + 1]]
                 short = self.long[t] < 0
