@@ -33,7 +33,10 @@ def match_picks(picks: DataFrame, truth: DataFrame, tol, by: Sequence[str] = ("m
     On a tie the first emitted wins. Residual: prediction minus truth. Phases are disjoint, so no pick serves twice.
     """
     keys = [*by, "trace_name", "phase"]
-    near = picks.join(truth, ["trace_name", "phase"]).withColumn("residual_s", F.col("offset_s") - F.col("true_s"))
+    # Arrivals go to the bins, as wide as the tolerance, around them, so that a long record's picks meet near ones only.
+    bin_ = lambda x: F.floor(F.col(x) / F.greatest(tolerance(tol) * (1 + 1e-9), F.lit(1e-6)))
+    arrivals = truth.withColumn("near_bin", F.explode(F.array(*(bin_("true_s") + k for k in (-1, 0, 1)))))
+    near = picks.withColumn("near_bin", bin_("offset_s")).join(arrivals, ["trace_name", "phase", "near_bin"]).drop("near_bin").withColumn("residual_s", F.col("offset_s") - F.col("true_s"))
     near = near.filter(F.abs("residual_s") <= tolerance(tol))
     best = F.min_by(F.struct("emit_order", "offset_s", "peak_value", "true_s", "residual_s"), F.struct(F.abs("residual_s"), "emit_order"))
     return near.groupBy(*keys).agg(best.alias("x")).select(*keys, "x.*")
@@ -94,21 +97,45 @@ def match_boxes(boxes: DataFrame, targets: DataFrame, by: Sequence[str] = ("mode
     return out.select(*keys, "n_boxes", *(F.when(hit, F.col(f"x.{c}")).alias(c) for c in ("iou", "start_residual_s", "end_residual_s")))
 
 
-def gate(picks: DataFrame, boxes: DataFrame, by: Sequence[str] = ("model",), bin_s: float | None = None) -> DataFrame:
+#: A box is cut into intervals of FAN to the power of a level units each, of LEVELS levels: 16^8 seconds are 136 years.
+FAN, LEVELS = 16, 8
+
+
+def _nodes(low: Column, high: Column) -> Column:
+    """The fewest intervals (level, place) that fill the units low..high: at each level, what sticks out of whole parents."""
+    none = F.array().cast("array<struct<level:int,place:bigint>>")
+    named = lambda level, a, b: F.when(a <= b, F.transform(F.sequence(a, b), lambda p: F.struct(level.cast("int").alias("level"), p.alias("place")))).otherwise(none)
+
+    def up(state: Column, level: Column) -> Column:
+        a, b = state["a"], state["b"]
+        above, below = F.ceil(a / FAN), F.floor((b + 1) / FAN) - 1  # parents that are whole
+        split = (level < LEVELS - 1) & (above <= below)
+        both = F.concat(named(level, a, F.when(split, above * FAN - 1).otherwise(b)), F.when(split, named(level, (below + 1) * FAN, b)).otherwise(none))
+        return F.struct(F.when(split, above).otherwise(F.lit(0)).cast("bigint").alias("a"), F.when(split, below).otherwise(F.lit(-1)).cast("bigint").alias("b"), F.concat(state["found"], both).alias("found"))
+
+    begin = F.struct(low.cast("bigint").alias("a"), high.cast("bigint").alias("b"), none.alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), begin, lambda s, level: F.when(s["a"] <= s["b"], up(s, level)).otherwise(s), lambda s: s["found"])
+
+
+def gate(picks: DataFrame, boxes: DataFrame, by: Sequence[str] = ("model",), unit_s: float | None = None) -> DataFrame:
     """Picks inside any box of their trace, both ends inclusive; without boxes none stays.
 
-    With bin_s, boxes are spread over bins of that many seconds and the join also asks for the bin, which keeps long
-    traces with many boxes from comparing every pick with every box.
+    With unit_s, boxes are an index of intervals: a box is cut into at most 2 * (FAN - 1) nodes a level of 1, 16, 256, ...
+    units, whatever its length, and a pick asks for the one node of each level that it would be in. So a long trace compares
+    no pick with every box, and a box over years has some hundred rows.
     """
     keys = [*by, "trace_name"]
     b = boxes.select(*keys, F.col("start_s").alias("box_start"), F.col("end_s").alias("box_end"))
-    p = picks
-    if bin_s is not None:
-        p = p.withColumn("gate_bin", F.floor(F.col("offset_s") / bin_s))
-        b = b.filter("box_end >= box_start").withColumn("gate_bin", F.explode(F.sequence(F.floor(F.col("box_start") / bin_s), F.floor(F.col("box_end") / bin_s))))
-        keys = [*keys, "gate_bin"]
-    on = [p[k] == b[k] for k in keys] + [p["offset_s"].between(b["box_start"], b["box_end"])]
-    return p.join(b, on, "left_semi").drop("gate_bin")
+    if unit_s is None:
+        on = [picks[k] == b[k] for k in keys] + [picks["offset_s"].between(b["box_start"], b["box_end"])]
+        return picks.join(b, on, "left_semi")
+    unit = lambda x: F.floor(x / unit_s).cast("bigint")
+    b = b.filter("box_end >= box_start").withColumn("node", F.explode(_nodes(unit(F.col("box_start")), unit(F.col("box_end")))))
+    p = picks.withColumn("pick_row", F.monotonically_increasing_id())
+    probes = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(k.alias("level"), F.floor(unit(F.col("offset_s")) / F.pow(F.lit(float(FAN)), k)).cast("bigint").alias("place")))
+    p = p.withColumn("node", F.explode(probes))
+    on = [p[k] == b[k] for k in (*keys, "node")] + [p["offset_s"].between(b["box_start"], b["box_end"])]
+    return p.join(b, on, "left_semi").dropDuplicates([*keys, "pick_row"]).select(*picks.columns)  # found in several boxes
 
 
 def event_residuals(picks: DataFrame, stations: DataFrame, strict: Mapping[str, float] | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ Randomness depends on (seed, trace, component) only, so any partitioning gives t
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,54 @@ def trigger_onsets(x: np.ndarray, on: float, off: float) -> list[tuple[int, int]
     return out
 
 
+def nested_runs(x: np.ndarray, thresholds: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """Runs above each of rising thresholds, (threshold's place, first, last, peak), all in one pass over the curve.
+
+    A run above a threshold lies in one above each lower threshold: where the curve rises over thresholds, runs begin, and
+    where it falls, the innermost end first and hand their peaks on.
+    """
+    level = np.searchsorted(thresholds, np.where(np.isfinite(x), x, -np.inf), "left")  # thresholds below each sample
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], level, [0]])))
+    if not len(edges):
+        return []
+    top = np.maximum.reduceat(np.append(x, -np.inf), edges)
+    out, open_ = [], []
+    for at, peak in zip(edges.tolist(), top.tolist()):
+        here = int(level[at]) if at < len(x) else 0
+        while len(open_) > here:
+            first, highest = open_.pop()
+            out.append((len(open_), first, at - 1, highest))
+            if open_:
+                open_[-1][1] = max(open_[-1][1], highest)
+        open_ += [[at, peak] for _ in range(here - len(open_))]
+        if open_:
+            open_[-1][1] = max(open_[-1][1], peak)
+    return out
+
+
+def trigger_sweep(curves: DataFrame, thresholds: Sequence[float], curve: str = "m", by: Sequence[str] = ("model",)) -> DataFrame:
+    """The boxes that triggering at each threshold anew gives: (by, trace_name, threshold, box, on_sample, off_sample, peak_value).
+
+    Extents change with the threshold, unlike those of boxes that are only filtered by their peaks. Missing samples are
+    below every threshold; a null curve has no boxes.
+    """
+    levels = np.unique(np.asarray(thresholds, float))
+    names = [*by, "trace_name"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, x in zip(pdf[names].itertuples(index=False), pdf[curve]):
+                count: dict[int, int] = {}
+                for k, first, last, peak in sorted(nested_runs(np.asarray(x if x is not None else [], float), levels)):
+                    rows.append((*key, levels[k], count.setdefault(k, 0), first, last, peak))
+                    count[k] += 1
+            yield pd.DataFrame(rows, columns=[*names, "threshold", "box", "on_sample", "off_sample", "peak_value"])
+
+    kinds = ", ".join(f"`{c}` {curves.schema[c].dataType.simpleString()}" for c in names)
+    return curves.select(*names, curve).mapInPandas(run, f"{kinds}, threshold double, box int, on_sample int, off_sample int, peak_value double")
+
+
 PICKS = "phase string, emit_order int, sample int, peak_value double"
 
 
@@ -112,50 +161,146 @@ def classify(curves: DataFrame, p_threshold: float, s_threshold: float, detectio
 # --- filters and resampling --------------------------------------------------------------------------------------
 
 
-def butterworth_response(freq: np.ndarray, low: float, high: float, corners: int) -> np.ndarray:
-    """Magnitude of a Butterworth filter run forwards and backwards; a leg of 0 is off."""
-    h = np.ones_like(freq)
-    if high:
-        h = h / (1 + (freq / high) ** (2 * corners))
-    if low:
-        with np.errstate(over="ignore"):  # at frequency 0 the response is 0
-            h = h / (1 + (low / np.where(freq > 0, freq, 1e-300)) ** (2 * corners))
-    return h
+#: Samples of a block that a recursive filter takes at once.
+FILTER_BLOCK = 64
+
 
+def butterworth_sections(low: float, high: float, corners: int, rate: float) -> np.ndarray:
+    """Second-order sections (b0, b1, b2, a1, a2) of a digital Butterworth filter of `corners` poles for each edge.
 
-def zero_phase(x: np.ndarray, rate: float, low: float, high: float, corners: int = 4) -> np.ndarray:
-    """Demeaned and filtered in the frequency domain, with ends padded by odd reflection to keep them quiet."""
-    if len(x) < 2:
-        return x - x.mean() if len(x) else x
-    x = x - x.mean()
-    pad = min(len(x) - 1, int(rate * 10))
-    wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    spectrum = np.fft.rfft(wide) * butterworth_response(np.fft.rfftfreq(len(wide), 1 / rate), low, high, corners)
-    return np.fft.irfft(spectrum, len(wide))[pad : pad + len(x)]
+    Without `low` it is a low-pass, without `high`, or with one at half the rate or above, a high-pass. The analogue poles
+    on the unit circle are moved to the prewarped edges and brought to the z plane by the bilinear transform; conjugate pairs
+    make sections, and the gain is 1 in the middle of the band.
+    """
+    high = 0 if high >= rate / 2 else high
+    if not low and not high or low >= rate / 2 or high and low >= high:
+        raise ValueError(f"no band from {low} to {high} Hz at {rate} Hz")
+    warped = lambda f: 2 * np.tan(np.pi * f / rate)
+    poles = np.exp(1j * np.pi * (2 * np.arange(corners) + corners + 1) / (2 * corners))
+    if low and high:
+        half, centre = poles * (warped(high) - warped(low)) / 2, warped(low) * warped(high)
+        root = np.sqrt(half**2 - centre)
+        poles, zeros = np.concatenate([half + root, half - root]), np.repeat([1.0, -1.0], corners)
+        middle = 2 * np.arctan(np.sqrt(centre) / 2)
+    elif high:
+        poles, zeros, middle = poles * warped(high), np.full(corners, -1.0), 0.0
+    else:
+        poles, zeros, middle = warped(low) / poles, np.full(corners, 1.0), np.pi
+    poles = (2 + poles) / (2 - poles)
+    upper = sorted(poles[poles.imag > 1e-12], key=lambda p: (abs(p), p.real))
+    real = sorted(poles[np.abs(poles.imag) <= 1e-12].real)
+    pairs = [(2 * p.real, -(abs(p) ** 2)) for p in upper] + [(sum(two), -two[0] * two[1] if len(two) == 2 else 0.0) for two in (real[k : k + 2] for k in range(0, len(real), 2))]
+    left, out = sorted(zeros.tolist()), []
+    for k, (a1, a2) in enumerate(pairs):
+        single = k >= len(upper) and a2 == 0.0
+        mine = [left.pop(0)] if single else [left.pop(0), left.pop()]  # one of either kind where there are both
+        b = np.poly(mine)
+        out.append([*b, *[0.0] * (3 - len(b)), -a1, -a2])
+    out = np.array(out)
+    z = np.exp(-1j * middle)
+    out[:, :3] /= np.abs((out[:, :3] @ [1, z, z * z]) / (1 + out[:, 3:] @ [z, z * z]))[:, None]
+    return out
+
+
+def _run_section(x: np.ndarray, section: np.ndarray) -> np.ndarray:
+    """One section over rows of samples, from rest. Blocks of samples are products with the section's impulse responses to
+    a sample and to its two states; what a block leaves behind begins the next."""
+    b0, b1, b2, a1, a2 = section
+    step, into = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(FILTER_BLOCK):
+        powers.append(step @ powers[-1])
+    seen = np.array([p[0] for p in powers[:-1]])  # what the states say at each sample of a block
+    answer = np.concatenate([[b0], [p[0] @ into for p in powers[:-2]]])
+    lag = np.arange(FILTER_BLOCK)[:, None] - np.arange(FILTER_BLOCK)
+    forced = np.where(lag >= 0, answer[np.maximum(lag, 0)], 0.0)
+    kept = np.array([p @ into for p in powers[FILTER_BLOCK - 1 :: -1]])
+    n = x.shape[1]
+    wide = np.zeros((len(x), -(-n // FILTER_BLOCK) * FILTER_BLOCK))
+    wide[:, :n] = x
+    state = np.zeros((len(x), 2))
+    for k in range(0, wide.shape[1], FILTER_BLOCK):
+        part = wide[:, k : k + FILTER_BLOCK]
+        wide[:, k : k + FILTER_BLOCK], state = part @ forced.T + state @ seen.T, state @ powers[-1].T + part @ kept
+    return wide[:, :n]
+
+
+def zero_phase(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
+    """Rows of samples, demeaned, through all sections forwards, then backwards, from rest both times."""
+    x = x - x.mean(axis=1, keepdims=True)
+    for _ in range(2):
+        for section in sections:
+            x = _run_section(x, section)
+        x = x[:, ::-1]
+    return x
+
+
+def bridged(x: np.ndarray) -> np.ndarray:
+    """Samples with missing ones on straight lines between their neighbours, the ends held; zeros if none is there."""
+    there = np.isfinite(x)
+    if there.all() or not len(x):
+        return x
+    at = np.flatnonzero(there)
+    return np.interp(np.arange(len(x)), at, x[at]) if len(at) else np.zeros(len(x))
 
 
 def bandpass(traces: DataFrame, low: float, high: float, corners: int = 4, rate: float = 100.0, column: str = "samples") -> DataFrame:
-    """Band-, high- or low-pass, zero phase; agrees with a forward-backward filter inside, differs near the ends."""
-    return _map_arrays(traces, column, column, lambda x, _: zero_phase(x, rate, low, high, corners))
+    """Band-, high- or low-pass by a recursive Butterworth filter run forwards and backwards, from rest.
+
+    Traces of one length of an Arrow batch are filtered together. Missing samples are bridged first; an empty trace stays.
+    """
+    sections = butterworth_sections(low, high, corners, rate)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [None if x is None else bridged(np.asarray(x, float)) for x in pdf[column]]
+            lengths = np.array([0 if x is None else len(x) for x in rows])
+            for n in set(lengths.tolist()) - {0}:
+                some = np.flatnonzero(lengths == n)
+                for i, x in zip(some, zero_phase(np.stack([rows[i] for i in some]), sections)):
+                    rows[i] = x
+            yield pdf.assign(**{column: rows})
+
+    kept = [f"`{f.name}` {'array<double>' if f.name == column else f.dataType.simpleString()}" for f in traces.schema]
+    return traces.mapInPandas(run, ", ".join(kept))
+
+
+@lru_cache
+def polyphase_taps(up: int, down: int) -> np.ndarray:
+    """A low-pass at the lower of both rates' halves: a sinc of ten zeros on each side under a Kaiser window (5), of gain `up`."""
+    most = max(up, down)
+    k = np.arange(-10 * most, 10 * most + 1)
+    h = np.sinc(k / most) * np.kaiser(len(k), 5.0)
+    return up * h / h.sum()
 
 
 def resample_array(x: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Rational resampling by a windowed sinc; length round(n · up / down), ends continued by their edge values."""
+    """Rational resampling by polyphase branches; length round(n * up / down), zeros beyond the ends.
+
+    Every up-th output is the same branch of the filter: a few multiples of `x` at a stride of `down`, added up tap by tap, so
+    that memory is in proportion to the samples. One sample more than the branches give is the last one again.
+    """
+    common = int(np.gcd(up, down))
+    up, down = up // common, down // common
     n = int(round(len(x) * up / down))
     if len(x) == 0 or up == down:
         return x[:n]
-    width = 16
-    cut = min(1.0, up / down)
-    at = np.arange(n) * down / up
-    left = np.floor(at).astype(int)
-    taps = np.arange(-int(width / cut), int(width / cut) + 1)
-    d = at[:, None] - (left[:, None] + taps)
-    kernel = cut * np.sinc(cut * d) * np.where(np.abs(d) <= width / cut, 0.5 + 0.5 * np.cos(np.pi * np.clip(d * cut / width, -1, 1)), 0)
-    kernel /= kernel.sum(axis=1, keepdims=True)
-    return (kernel * x[np.clip(left[:, None] + taps, 0, len(x) - 1)]).sum(axis=1)
+    h, out = polyphase_taps(up, down), np.zeros(min(n, -(-len(x) * up // down)))
+    middle = len(h) // 2
+    for first in range(min(up, len(out))):  # outputs first, first + up, ...
+        at = first * down  # in samples of the filter
+        places = np.arange(len(out[first::up])) * down
+        total = np.zeros(len(places))
+        for back in range((at - middle + up - 1) // up, (at + middle) // up + 1):  # x[places + back] is under the filter
+            tap = h[at - back * up + middle]
+            lo, hi = np.searchsorted(places, (-back, len(x) - back))
+            total[lo:hi] += tap * x[places[lo:hi] + back]
+        out[first::up] = total
+    return np.concatenate([out, np.full(n - len(out), out[-1])]) if n > len(out) > 0 else out
 
 
 def resample(traces: DataFrame, rate_in: float, rate_out: float, column: str = "samples") -> DataFrame:
+    """Traces at another rate, by the nearest ratio of whole numbers up to MAX_DENOMINATOR."""
     from fractions import Fraction
 
     ratio = Fraction(rate_out / rate_in).limit_denominator(MAX_DENOMINATOR)

@@ -131,6 +131,7 @@ QUERIES = {
     "x6_registered": x6_registered,
     "x8_pick_curve": x8_pick_curve,
     "w9_peaks": lambda s, d: rounded(spectral.peaks(_curves(s, d), 0.1, 5)),
+    "a29_retriggered": lambda s, d: rounded(spectral.trigger_sweep(_curves(s, d), [0.05, 0.1, 0.2])),
     "w16_fill_flat": lambda s, d: _filtered_summary(spectral.fill_flat(_traces(s, d), 8, 7, 1)),
     "w18_matching_noise": lambda s, d: _filtered_summary(spectral.pad_with_noise(_traces(s, d), 128)),
     "w18_boundary_pads": lambda s, d: _filtered_summary(spectral.boundary_pads(_traces(s, d), 30, 20)),
@@ -158,10 +159,24 @@ QUERIES = {
 
 _Z = """
 zf AS (SELECT trace_name, i, (v - avg(v) OVER w) / stddev_pop(v) OVER w / 2 AS z FROM long WINDOW w AS (PARTITION BY trace_name))"""
-#: Every second sample of a windowed sinc of half the band, edges continued.
+#: Every second sample of a sinc of half the band under a Kaiser window, zeros beyond the ends.
 _HALVED = """
-kernel AS (SELECT k, CASE WHEN k = 0 THEN 1 ELSE sin(pi() * k / 2) / (pi() * k / 2) END * (0.5 + 0.5 * cos(pi() * k / 32)) AS w FROM (SELECT unnest(range(-32, 33)) AS k)),
-rs AS (SELECT trace_name, t AS i, sum(w * samples[greatest(least(2 * t + k, 63), 0) + 1]) / sum(w) AS v FROM traces, (SELECT unnest(range(32)) AS t), kernel GROUP BY 1, 2)"""
+kernel AS (SELECT k, CASE WHEN k = 0 THEN 1 ELSE sin(pi() * k / 2) / (pi() * k / 2) END * list_sum(list_transform(range(25), lambda j: pow(2.5 * sqrt(1 - (k / 20) ** 2), 2 * j) / pow(factorial(j::INT)::DOUBLE, 2))) AS w FROM (SELECT unnest(range(-20, 21)) AS k)),
+rs AS (SELECT trace_name, t AS i, sum(w * CASE WHEN 2 * t + k BETWEEN 0 AND 63 THEN samples[2 * t + k + 1] ELSE 0 END) / sum(w) AS v FROM traces, (SELECT unnest(range(32)) AS t), kernel GROUP BY 1, 2)"""
+
+
+def _filtered(name: str, source: str, sections) -> str:
+    """Recursive CTE `name` (trace_name, y): lists `x` of `source`, 64 long, through second-order sections one sample at a time."""
+    inner = f"SELECT *, x[i + 1] AS o0 FROM {name}_r WHERE i < 64"
+    for k, (b0, *_) in enumerate(sections):
+        inner = f"SELECT *, {b0!r} * o{k} + s[{2 * k + 1}] AS o{k + 1} FROM ({inner})"
+    state = ", ".join(f"{b1!r} * o{k} - {a1!r} * o{k + 1} + s[{2 * k + 2}], {b2!r} * o{k} - {a2!r} * o{k + 1}" for k, (_, b1, b2, a1, a2) in enumerate(sections))
+    return f"""{name}_r(trace_name, x, i, y, s) AS (SELECT trace_name, x, 0, []::DOUBLE[], list_transform(range({2 * len(sections)}), lambda j: 0::DOUBLE) FROM {source}
+UNION ALL SELECT trace_name, x, i + 1, list_append(y, o{len(sections)}), [{state}] FROM ({inner})),
+{name} AS (SELECT trace_name, y FROM {name}_r WHERE i = 64)"""
+
+
+_SECTIONS = [tuple(map(float, section)) for section in spectral.butterworth_sections(2.0, 20.0, 4, 100.0)]
 
 
 def _maxima(source: str, x: str, height: float) -> str:
@@ -192,6 +207,21 @@ done AS (SELECT cl.trace_name, cl.i, coalesce(r.y, cl.m) AS m FROM cl LEFT JOIN
 {_SUMMED.format("m", "done")}""",
     "w23_resample": f"WITH {TRACES_SQL}, {_HALVED} {_SUMMED.format('v', 'rs')}",
     "w29_coda_window": f"WITH {TRACES_SQL}, {_HUSID_GRADIENT} SELECT trace_name, round(i5 / 100, 9) AS start_s, round(i95 / 100, 9) AS end_s FROM hu",
+    "w31_bandpass": f"""WITH RECURSIVE {TRACES_SQL}, dm AS (SELECT trace_name, list_transform(samples, lambda q: q - list_avg(samples)) AS x FROM traces),
+{_filtered("fw", "dm", _SECTIONS)},
+rv AS (SELECT trace_name, list_reverse(y) AS x FROM fw),
+{_filtered("bw", "rv", _SECTIONS)},
+done AS (SELECT trace_name, unnest(y) AS v FROM bw)
+{_SUMMED.format("v", "done")}""",
+    "a29_retriggered": f"""WITH {TRACES_SQL}, {_CURVES}, t AS (SELECT unnest([0.05, 0.1, 0.2]) AS threshold),
+x AS (SELECT trace_name, threshold, i, m, i - row_number() OVER (PARTITION BY trace_name, threshold ORDER BY i) AS g FROM cl, t WHERE m > threshold)
+SELECT 'm0' AS model, trace_name, threshold::DOUBLE AS threshold, (row_number() OVER (PARTITION BY trace_name, threshold ORDER BY min(i)) - 1)::INT AS box, min(i)::INT AS on_sample, max(i)::INT AS off_sample, round(max(m), 6) AS peak_value FROM x GROUP BY trace_name, threshold, g""",
+    "w9_peaks": f"""WITH RECURSIVE {TRACES_SQL}, {_CURVES}, {_maxima("(SELECT trace_name || '/P' AS trace_name, i, p FROM cl UNION ALL SELECT trace_name || '/S', i, s FROM cl)", "p", 0.1)},
+o AS (SELECT trace_name, list({{'i': i, 'x': x}} ORDER BY x DESC, i DESC) AS l FROM pk GROUP BY 1),
+k(trace_name, l, n, kept) AS (SELECT trace_name, l, 0, []::BIGINT[] FROM o UNION ALL
+  SELECT trace_name, l, n + 1, CASE WHEN len(list_filter(kept, lambda q: abs(q - l[n + 1].i) < 5)) = 0 THEN list_append(kept, l[n + 1].i) ELSE kept END FROM k WHERE n < len(l)),
+f AS (SELECT split_part(trace_name, '/', 1) AS trace_name, split_part(trace_name, '/', 2) AS phase, unnest(kept) AS i FROM k WHERE n = len(l))
+SELECT 'm0' AS model, trace_name, phase, (row_number() OVER (PARTITION BY trace_name ORDER BY phase, i) - 1)::INT AS emit_order, i::INT AS sample, round(CASE phase WHEN 'P' THEN p ELSE s END, 6) AS peak_value FROM f JOIN cl USING (trace_name, i)""",
     "x1_annotate": f"""WITH {TRACES_SQL},
 win AS (SELECT trace_name, a, samples[a + 1:a + 16] AS x FROM traces, (SELECT unnest([0, 8, 16, 24, 32, 40, 48]) AS a)),
 std AS (SELECT trace_name, a, unnest(range(16)) AS j, unnest(list_transform(x, lambda q: (q - list_avg(x)) / CASE WHEN list_stddev_pop(x) < 1e-10 THEN 1 ELSE list_stddev_pop(x) END / 2)) AS q FROM win)

@@ -40,7 +40,7 @@ QUERIES = {
     "j5_unmatched": lambda s, d: match.unmatched(v.picks(s, d), match.match_picks(v.picks(s, d), v.truth(s, d), TOL)).select("model", "trace_name", "phase", "emit_order"),
     "j6_cross_phase": lambda s, d: rounded(match.match_cross_phase(v.picks(s, d), v.truth(s, d), TOL).drop("offset_s")),
     "j7_match_detections": lambda s, d: rounded(match.match_detections(v.boxes(s, d), v.truth(s, d))),
-    "j8_gate": lambda s, d: match.gate(v.picks(s, d), v.boxes(s, d), bin_s=7200.0).select("model", "trace_name", "phase", "emit_order"),
+    "j8_gate": lambda s, d: match.gate(v.picks(s, d), v.boxes(s, d), unit_s=60.0).select("model", "trace_name", "phase", "emit_order"),
     "j10_closest": lambda s, d: rounded(match.closest_match(v.picks(s, d).drop("model"), v.truth(s, d), 3600.0).drop("peak_value")),
     "j14_restrict": lambda s, d: match.restrict(v.picks(s, d), v.noise(s, d)).groupBy("trace_name").agg(F.count("*").alias("n")),
     "f7_threshold": lambda s, d: _swept(s, d).filter("threshold = 0.3").select("model", "trace_name", "phase", "emit_order"),
