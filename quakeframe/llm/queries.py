@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quakeframe.llm import conversations, decontaminate, lengths, minhash, negatives, packing, pii, quality, rules, secrets, simhash, toxicity, warc
-from quakeframe.llm.common import shared_folder, table
+from quakeframe.llm.common import discard, shared_folder, table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}").drop("record_id")
+    at = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    found = warc.archive_pages(table(spark, sf_dir, "pages"), at).drop("record_id")
+    discard(spark, at)  # what was read from the archives has been written elsewhere
+    return found
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,26 +50,62 @@ def arc_record(version: int, url: str, ip: str, date: str, kind: str, content: b
     return f"{safe} {ip} {date} {kind}{middle} {len(content)}\n".encode() + content + b"\n"
 
 
-def parse_arc(blob: bytes) -> Iterator[dict]:
-    """Records of an ARC archive after its version block, whose number tells how many fields a header line has."""
-    at = blob.index(b"\n")
-    length = int(blob[:at].rsplit(b" ", 1)[1])
-    version = int(blob[at + 1 : at + 1 + length].split(b" ", 1)[0])
-    n_fields = {1: 5, 2: 10}[version]
-    at += 1 + length
+#: What follows the URL, which may hold spaces, in a header line.
+_HEADERS = {
+    1: re.compile(r"(?P<url>.*) (?P<ip>\S+) (?P<date>[0-9]{4,14}) (?P<kind>.*) (?P<size>[0-9]+)", re.DOTALL),
+    2: re.compile(r"(?P<url>.*) (?P<ip>\S+) (?P<date>[0-9]{4,14}) (?P<kind>.*) (?P<result_code>\S+) (?P<checksum>\S+) (?P<location>\S+) (?P<place>\S+) (?P<file>\S+) (?P<size>[0-9]+)", re.DOTALL),
+}
+
+
+def _arc_records(blob: bytes, version: int | None) -> Iterator[dict]:
+    """Records of plain ARC bytes, a dict with `error` for those that can't be read; the version block gives its number only."""
+    at = 0
     while at < len(blob):
         if blob[at] in b"\r\n":
             at += 1
             continue
-        end = blob.index(b"\n", at)
-        fields = blob[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        if len(fields) != n_fields:
-            raise ValueError(f"an ARC version {version} header has {n_fields} fields: {fields[:12]}")
-        size = int(fields[-1])
-        if end + 1 + size > len(blob):
-            raise ValueError("an ARC record is shorter than it declares")
-        yield {"url": fields[0], "ip": fields[1], "date": fields[2], "kind": fields[3], "version": version, "offset": at, "content": blob[end + 1 : end + 1 + size]}
-        at = end + 1 + size
+        end = blob.find(b"\n", at)
+        line = blob[at : end if end >= 0 else len(blob)].decode("utf-8", "replace").rstrip("\r")
+        size = re.search(r" ([0-9]+)$", line) if end >= 0 else None
+        if size is None:
+            yield {"error": f"no header line with a length: {line[:100]}", "offset": at, "version": version}
+            return
+        content = blob[end + 1 : end + 1 + int(size[1])]
+        found = _HEADERS[version].fullmatch(line) if version else None
+        if line.startswith("filedesc:"):
+            number = content.split(b" ", 1)[0]
+            version = int(number) if number in (b"1", b"2") else None
+            if version is None:
+                yield {"error": f"no version of ARC: {number[:20]!r}", "offset": at, "version": None}
+        elif len(content) < int(size[1]):
+            yield {"error": "the record is shorter than it declares", "offset": at, "version": version}
+        elif found is None:
+            yield {"error": f"no header of ARC version {version}: {line[:100]}", "offset": at, "version": version}
+        else:
+            x = found.groupdict()
+            yield {"version": version, "offset": at, "content": content, "error": None} | {k: x.get(k) for k in ("url", "ip", "date", "kind", "result_code", "checksum", "location")}
+        at = end + 1 + int(size[1])
+
+
+def parse_arc(blob: bytes) -> Iterator[dict]:
+    """Records of an ARC archive, plain or of gzip members, after its version block, which tells what header lines hold.
+
+    Lines are read from the right, as URLs may hold spaces. What can't be read is a record with `error`: those after it are
+    found by its length where it declares one, or in the next member.
+    """
+    if blob[:2] != b"\x1f\x8b":
+        yield from _arc_records(blob, None)
+        return
+    version, before = None, 0
+    try:
+        for part in members(blob):
+            first = re.match(rb"filedesc:[^\n]*\n([12]) ", part)
+            version = int(first[1]) if first else version
+            for x in _arc_records(part, version):
+                yield x | {"offset": x["offset"] + before}  # in the unpacked archive
+            before += len(part)
+    except (ValueError, zlib.error) as error:
+        yield {"error": f"{type(error).__name__}: {error}", "offset": before, "version": version}
 
 
 # --- WARC --------------------------------------------------------------------------------------------------------
@@ -83,16 +121,26 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def convert(record: dict) -> dict:
-    """The WARC equivalent of an ARC record: HTTP responses keep their headers, anything else is a resource."""
+def head_length(content: bytes) -> int:
+    """Bytes of HTTP headers and the empty line after them, whether lines end in CR LF or in LF alone; 0 for anything else."""
+    ends = [at + len(gap) for gap in (b"\r\n\r\n", b"\n\n") if (at := content.find(gap)) >= 0]
+    return min(ends) if ends and content.startswith(b"HTTP/") else 0
+
+
+def convert(record: dict, archive: str = "") -> dict:
+    """The WARC equivalent of an ARC record: HTTP responses keep their headers, anything else is a resource.
+
+    Its identifier is made from where it stands, so that repeated records have their own.
+    """
     content, http = record["content"], record["content"].startswith(b"HTTP/")
-    split = content.find(b"\r\n\r\n") + 4 if http and b"\r\n\r\n" in content else 0
+    split = head_length(content)
     payload = content[split:]
-    named = f"{record['url']} {record['date']} {digest(content)}"
+    named = f"{archive} {record['offset']} {record['url']} {record['date']} {digest(content)}"
     return {
         "record_id": f"urn:uuid:{uuid.uuid5(_SPACE, named)}", "date": iso_date(record["date"]), "uri": record["url"], "ip": record["ip"],
         "record_type": "response" if http else "resource", "media_type": "application/http; msgtype=response" if http else record["kind"],
         "head": content[:split], "payload": payload, "payload_digest": digest(payload), "block_digest": digest(content),
+        "result_code": record["result_code"], "checksum": record["checksum"], "location": record["location"], "error": None,
     }
 
 
@@ -103,6 +151,7 @@ def record_text(x: dict, refers_to: str | None) -> bytes:
         ("WARC-Type", "revisit" if refers_to is not None else x["record_type"]), ("WARC-Record-ID", f"<{x['record_id']}>"), ("WARC-Date", x["date"]), ("WARC-Target-URI", x["uri"]), ("WARC-IP-Address", x["ip"]),
         ("WARC-Payload-Digest", f"sha1:{x['payload_digest']}"), ("WARC-Block-Digest", f"sha1:{digest(block) if refers_to is not None else x['block_digest']}"), ("Content-Type", x["media_type"]),
         ("X-Payload-Length", str(len(x["payload"]))),
+        *((f"X-Arc-{name}", x[k]) for k, name in (("result_code", "Result-Code"), ("checksum", "Checksum"), ("location", "Location")) if x[k] not in (None, "-")),
     ]
     if refers_to is not None:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{refers_to}>")]
@@ -168,11 +217,13 @@ _ARC = pa.schema([("name", pa.string()), ("blob", pa.binary())])
 def _packer(date: str, ip: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         version, name, parts, size = 1, None, [], 0
+        task, made = TaskContext.get().partitionId(), 0  # equal rows in two archives don't give these one name
         for batch in batches:
             for page_id, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html"))):
                 page_id, url, html = page_id.as_py(), url.as_py(), html.as_py()
                 if not parts:
-                    name = f"{uuid.uuid5(_SPACE, f'{page_id} {url}').hex}.arc"
+                    name = f"{uuid.uuid5(_SPACE, f'{task} {made} {page_id} {url}').hex}.arc"
+                    made += 1
                     parts = [arc_version_block(name, version, date)]
                     size = len(parts[0])
                 payload = (html or "").encode("utf-8", "surrogatepass")
@@ -196,25 +247,40 @@ def pages_to_arc(pages: DataFrame, date: str = "20240101000000", ip: str = "0.0.
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_packer(date, ip), "name string, blob binary")
 
 
-_CONVERTED = "page_id long, record_id string, date string, uri string, ip string, record_type string, media_type string, head binary, payload binary, payload_digest string, block_digest string, payload_bytes long"
+_CONVERTED = "page_id long, record_id string, date string, uri string, ip string, record_type string, media_type string, head binary, payload binary, payload_digest string, block_digest string, result_code string, checksum string, location string, payload_bytes long, error string"
 _TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 _RECORDS = pa.schema([(x.split(" ")[0], _TYPES[x.split(" ")[1]]) for x in _CONVERTED.split(", ")])
 
 
 def _convert_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for blob in batch.column("blob"):
-            rows = []
-            for record in parse_arc(blob.as_py()):
-                x = convert(record)
-                page = x["head"].partition(b"X-Page-Id: ")[2].partition(b"\r\n")[0]
-                rows.append(x | {"page_id": int(page) if page else None, "payload_bytes": len(x["payload"])})
-            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in _RECORDS], schema=_RECORDS)
+        for name, blob in zip(batch.column("name"), batch.column("blob")):
+            rows, size = [], 0
+            for record in parse_arc(blob.as_py() or b""):
+                if record["error"] is not None:
+                    rows.append({"error": f"{name.as_py()}, byte {record['offset']}: {record['error']}"})
+                    continue
+                x = convert(record, name.as_py())
+                page = re.search(rb"(?:^|\n)X-Page-Id: (-?[0-9]+)\r?\n", x["head"])
+                rows.append(x | {"page_id": int(page[1]) if page else None, "payload_bytes": len(x["payload"])})
+                size += len(x["payload"])
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _RECORDS], schema=_RECORDS)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _RECORDS], schema=_RECORDS)
 
 
 def arc_to_records(archives: DataFrame) -> DataFrame:
-    """WARC records of ARC archives (column blob), one row each; page_id is that of an X-Page-Id header, else null."""
-    return archives.select("blob").mapInArrow(_convert_archives, _CONVERTED)
+    """WARC records of ARC archives (name, blob), one row each; page_id is that of an X-Page-Id header, else null.
+
+    What can't be read of an archive is a row with `error`, which says where, and nothing else; the other records stay.
+    """
+    return archives.select("name", "blob").mapInArrow(_convert_archives, _CONVERTED)
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """`arc_to_records` of the `.arc` and `.arc.gz` files at a path."""
+    return arc_to_records(spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), F.col("content").alias("blob")))
 
 
 def pages_to_records(pages: DataFrame, date: str = "20240101000000", ip: str = "0.0.0.0") -> DataFrame:
@@ -227,8 +293,9 @@ def write_warc(records: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Writes records as gzipped WARC archives; of equal payloads of least_bytes or more, that of the largest page_id stays whole.
 
     Which one that is comes from a maximum by digest, combined before the shuffle. Only digests with copies are joined, by
-    whatever join Spark takes for their number; a digest with very many copies may be split.
+    whatever join Spark takes for their number; a digest with very many copies may be split. Rows with an error are left out.
     """
+    records = records.filter("error IS NULL")
     big = records.filter(F.col("payload_bytes") >= least_bytes)
     first = big.groupBy(F.col("payload_digest").alias("of_digest")).agg(F.max(F.struct("page_id", "record_id")).alias("of"), F.count("*").alias("copies")).filter("copies > 1")
     first = cut(first.select("of_digest", F.col("of.page_id").alias("of_page"), F.col("of.record_id").alias("of_record")))
@@ -266,13 +333,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to_record", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def row(fields, block):
-        http = fields["Content-Type"].startswith("application/http")
-        split = block.find(b"\r\n\r\n") + 4 if http else 0
-        page = block[:split].partition(b"X-Page-Id: ")[2].partition(b"\r\n")[0]
+        split = head_length(block) if fields["Content-Type"].startswith("application/http") else 0
+        page = re.search(rb"(?:^|\n)X-Page-Id: (-?[0-9]+)\r?\n", block[:split])
         whole, said = fields["WARC-Type"] != "revisit", fields["WARC-Payload-Digest"].removeprefix("sha1:")
         if whole and digest(block[split:]) != said:
             raise ValueError(f"{fields['WARC-Record-ID']}: the payload isn't what its digest says")
-        return int(page) if page else None, fields["WARC-Record-ID"][1:-1], fields["WARC-Type"], None if whole else fields["WARC-Refers-To"][1:-1], len(block) - split if whole else int(fields["X-Payload-Length"]), said, block[split:] if whole else None
+        return int(page[1]) if page else None, fields["WARC-Record-ID"][1:-1], fields["WARC-Type"], None if whole else fields["WARC-Refers-To"][1:-1], len(block) - split if whole else int(fields["X-Payload-Length"]), said, block[split:] if whole else None
 
     def made(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)

@@ -157,8 +157,9 @@ def test_arc_versions(version):
     one, two = map(warc.convert, warc.parse_arc(blob))
     assert (one["payload"], one["date"], one["record_type"], one["uri"]) == (b"hello\n\nworld", "2020-03-04T05:06:07Z", "response", "http://a/%20b")
     assert (two["record_type"], two["media_type"], two["date"], two["payload"]) == ("resource", "text/dns", "2020-03-04T00:00:00Z", b"raw")
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(blob[:-6]))
+    for cut_off, why in ((2, "shorter"), (6, "no header line")):
+        *good, bad = warc.parse_arc(blob[:-cut_off])
+        assert [x["error"] for x in good] == [None] and why in bad["error"]
 
 
 def test_archives_convert_alike_in_one_pass_or_two(spark, sf_dir):
@@ -166,6 +167,37 @@ def test_archives_convert_alike_in_one_pass_or_two(spark, sf_dir):
     assert sorted(map(str, warc.arc_to_records(warc.pages_to_arc(pages)).collect())) == sorted(map(str, warc.pages_to_records(pages).collect()))
 
 
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("version", [1, 2])
+def test_archives_as_crawlers_left_them(spark, tmp_path, version, packed):
+    import gzip
+
+    tail = "" if version == 1 else " 404 sum http://to/ 77 x.arc"
+    line = lambda url, kind, content, size=None: f"{url} 1.2.3.4 20010203040506 {kind}{tail} {len(content) if size is None else size}\n".encode() + content + b"\n"
+    parts = [
+        warc.arc_version_block("x.arc", version, "20010203040506"),
+        line("http://a/b c  d", "text/html; charset=x", b"HTTP/1.0 404 Not\nServer: x\nX-Page-Id: 7\n\nbody\r\n\r\nmore"),
+        b"http://bad 1.2.3.4 never text/html 4\nabcd\n",
+        line("http://a/", "text/html", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nx\n\ny"),
+        line("http://a/", "text/html", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nx\n\ny"),
+        line("http://plain/", "text/plain", b"a\n\nb"),
+        line("http://cut/", "text/plain", b"abc", 99),
+    ]
+    name = "x.arc.gz" if packed else "x.arc"
+    (tmp_path / name).write_bytes(b"".join(gzip.compress(p) for p in parts) if packed else b"".join(parts))
+    (tmp_path / "garbage.arc").write_bytes(b"what is this")
+    records = warc.read_arc(spark, str(tmp_path)).cache()
+    rows = records.collect()
+    errors, good = [r.error for r in rows if r.error], [r for r in rows if not r.error]
+    assert len(errors) == 3 and any("never" in e for e in errors) and any("shorter" in e for e in errors) and any("garbage" in e for e in errors)
+    assert [(r.uri, bytes(r.payload), r.page_id) for r in good] == [("http://a/b c  d", b"body\r\n\r\nmore", 7), ("http://a/", b"x\n\ny", None), ("http://a/", b"x\n\ny", None), ("http://plain/", b"a\n\nb", None)]
+    assert [r.record_type for r in good] == ["response"] * 3 + ["resource"] and len({r.record_id for r in good}) == 4
+    assert {(r.result_code, r.checksum, r.location) for r in good} == {(None, None, None) if version == 1 else ("404", "sum", "http://to/")}
+    warc.write_warc(records, str(tmp_path / "warc"))
+    back = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert sorted((r.page_id or 0, r.payload_digest) for r in back) == sorted((r.page_id or 0, r.payload_digest) for r in good)
+
+
 def test_archive_of_an_empty_table(spark, tmp_path):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w")).collect() == []
 
