@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
+
+from quakeframe.operators.lineage import cut
 
 SPLITS = ("train", "val", "test")
 #: Names in a split column, by the names of draws.
@@ -56,6 +61,47 @@ def bernoulli_unit(seed: int, key: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**52)) / F.lit(float(2**52))
 
 
+def row_index(df: DataFrame, order: Sequence[str], column: str = "row_index") -> DataFrame:
+    """`df` with each row's place, from 0, in the order of some columns, which should leave no ties.
+
+    Rows are sorted over ranges and kept at a checkpoint, so that their places can't change between counting and numbering;
+    a place is that within the range and the sizes of the ranges before, of which there is one number each.
+    """
+    kept = cut(df.sort(*order).withColumn(column, F.monotonically_increasing_id()))
+    part = F.shiftright(column, 33)
+    sizes = kept.groupBy(part.alias("part")).agg((F.max(column).bitwiseAND((1 << 33) - 1) + 1).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    sizes = sizes.select(F.col("part").alias("index_part"), before.alias("index_before"))
+    return kept.join(F.broadcast(sizes), part == F.col("index_part")).withColumn(column, F.col("index_before") + F.col(column).bitwiseAND((1 << 33) - 1)).drop("index_part", "index_before")
+
+
+def ordered_unit(seed: int, index: Column) -> Column:
+    """The index-th draw in [0, 1) of the generator that `seed` begins (PCG64), as if all before it had been drawn in turn.
+
+    Each run of consecutive indexes in a batch jumps to its first draw, so that any partitioning gives the same draws.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def drawn(indexes: pd.Series) -> pd.Series:
+        at, out = indexes.to_numpy(np.int64), np.zeros(len(indexes))
+        begins = np.flatnonzero(np.diff(at, prepend=at[:1] - 2) != 1)
+        for a, b in zip(begins, [*begins[1:], len(at)]):
+            state = np.random.PCG64(seed)
+            state.advance(int(at[a]))
+            out[a:b] = np.random.Generator(state).random(b - a)
+        return pd.Series(out)
+
+    return drawn(index)
+
+
+def assign_split_in_order(df: DataFrame, order: Sequence[str], key: str = "source_id", salt: str = "split-v1", p_train: float = 0.7, p_val: float = 0.15, seed: int = 42, algo: str = "blake2s", column: str = "split") -> DataFrame:
+    """`assign_split` with the draws of one generator, one for each row without a usable key, in the order of some columns."""
+    usable = F.coalesce((F.trim(F.col(key)) != "") & (F.col(key) != "nan"), F.lit(False))
+    hashed = hash_split(df.filter(usable), key, salt, p_train, p_val, algo, column)
+    drawn = row_index(df.filter(~usable), order, "draw_index").withColumn(column, choose(ordered_unit(seed, F.col("draw_index")), p_train, p_val)).drop("draw_index")
+    return hashed.select(*df.columns, column).unionByName(drawn.select(*df.columns, column)).replace({k: v for k, v in RENAMED.items() if k != v}, subset=[column])
+
+
 def assign_split(df: DataFrame, key: str = "source_id", row_key: str = "trace_name", salt: str = "split-v1", p_train: float = 0.7, p_val: float = 0.15, seed: int = 42, algo: str = "blake2s", column: str = "split") -> DataFrame:
     """Split by key where it is a non-blank string, else by a draw for the row; 'val' is called 'dev'."""
     usable = (F.trim(F.col(key)) != "") & (F.lower(F.trim(F.col(key))) != "nan")

@@ -165,6 +165,23 @@ def s7_array_pool(s, d):
     return read.select("trace_name", "status", F.size("z").alias("n_z"), total("z").alias("z"), total("n").alias("n"))
 
 
+def s11_sc3ml(s, d):
+    """Streams with a public id for their sensor, written as XML with a namespace and read again, ids resolved."""
+    at, x = f"{_folder(s)}/sc3ml", _epochs(s, d).select("network", "station", "channel", "location").distinct()
+    stream = F.struct(F.col("channel").alias("_code"), F.concat(F.lit("Sensor/"), F.col("channel")).alias("_sensor"), F.lit("2020-01-01T00:00:00Z").alias("start"), F.length("channel").cast("double").alias("gain"))
+    places = x.groupBy("network", "station", "location").agg(F.sort_array(F.collect_list(stream)).alias("stream"))  # channels of one station
+    places = places.groupBy("network", "station").agg(F.collect_list(F.struct(F.when(F.col("location") != "", F.col("location")).alias("_code"), "stream")).alias("sensorLocation"))
+    networks = places.select(F.lit("http://example.org/inventory").alias("_xmlns"), F.col("network").alias("_code"), F.array(F.struct(F.col("station").alias("_code"), "sensorLocation")).alias("station"))
+    networks.write.option("rowTag", "network").option("rootTag", "inventory").xml(at)
+    return inventory.read_sc3ml(s, at).select("network", "station", "location", "channel", "start_date", "sensitivity", F.array_join("dangling", ",").alias("dangling"))
+
+
+def p14_ordered(s, d):
+    """Draws of one generator in the order of trace names, alike under another partitioning."""
+    df = _orders(s, d).select("trace_name", F.when(F.col("key") % 2 == 0, F.col("source_id")).alias("source_id"))
+    return splits.assign_split_in_order(df.repartition(13, "trace_name"), ["trace_name"])
+
+
 def p14_drawn(s, d):
     """Draws by key: how many of each split, alike under another partitioning."""
     one = lambda df: df.select("trace_name", splits.choose(splits.bernoulli_unit(42, F.col("trace_name")), 0.7, 0.15).alias("split"))
@@ -206,6 +223,8 @@ QUERIES = {
     "s9_sweeps": s9_sweeps,
     "s11_inventory": s11_inventory,
     "s7_array_pool": s7_array_pool,
+    "s11_sc3ml": s11_sc3ml,
+    "p14_ordered": p14_ordered,
     "k3_write_split": k3_write_split,
     "k7_publish": k7_publish,
     "k8_by_station": k8_by_station,
@@ -226,6 +245,7 @@ ORACLE_SQL = {
     "s8_s10_catalogues": _with("SELECT trace_name AS event_id, TIMESTAMP '2020-01-01' + to_seconds(key % 100000) AS time, ep AS depth, NULL::DOUBLE AS magnitude, station_code AS station_id, CASE WHEN key % 2 = 0 THEN 'P' ELSE 'S' END AS phase, p::INT AS p_sample, CASE WHEN key % 3 <> 0 THEN s::INT END AS s_sample, key % 5 = 0 AS is_noise FROM ord", _ORD),
     "s9_sweeps": f"SELECT *, 'missing' AS missing FROM ({SCORING_SQL['a29_threshold_sweep']})",
     "s11_inventory": _with("SELECT DISTINCT network, station, location, channel, TIMESTAMP '2020-01-01' AS start_date, 2.0::DOUBLE AS sensitivity FROM ep", _EPO),
+    "s11_sc3ml": _with("SELECT DISTINCT network, station, location, channel, TIMESTAMP '2020-01-01' AS start_date, length(channel)::DOUBLE AS sensitivity, 'Sensor/' || channel AS dangling FROM ep", _EPO),
     "k3_write_split": _with(f"SELECT coalesce(y, '_total') AS year, split, count(*) AS n, any_value(w) AS written, 0.6::DOUBLE AS p_train, 'dev' AS val, count(*) AS recorded FROM (SELECT *, count(*) OVER (PARTITION BY split) AS w FROM (SELECT trace_chunk AS y, {_YS} AS split FROM ord)) WHERE split IS NOT NULL GROUP BY GROUPING SETS ((y, split), (split))", _ORD),
     "s7_array_pool": """SELECT vec_id::VARCHAR AS trace_name, CASE WHEN vec_id::VARCHAR LIKE '1%' THEN 'short' ELSE 'ok' END AS status, CASE WHEN vec_id::VARCHAR NOT LIKE '1%' THEN 64 END AS n_z,
 CASE WHEN vec_id::VARCHAR NOT LIKE '1%' THEN round(-list_sum(embedding::DOUBLE[]), 5) END AS z, CASE WHEN vec_id::VARCHAR NOT LIKE '1%' THEN round(2 * list_sum(embedding::DOUBLE[]), 5) END AS n FROM embeddings""",

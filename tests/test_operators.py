@@ -501,6 +501,114 @@ def test_reference_windows_and_short_traces(spark):
     assert spectral.faded(8, 20, True, True).tolist() == [0, 1, 1, 1, 1, 1, 1, 0] and spectral.faded(3, 20, True, True).tolist() == [1, 1, 1]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ordered_draws_are_those_of_one_generator(spark, parts):
+    n = 500
+    want = np.random.default_rng(42).random(n)
+    df = spark.range(n).select(F.format_string("t%05d", "id").alias("trace_name"), "id").orderBy(F.rand(parts)).repartition(parts)
+    got = splits.row_index(df, ["trace_name"]).withColumn("u", splits.ordered_unit(42, F.col("row_index"))).collect()
+    assert len(got) == n and all(r.row_index == r.id and r.u == want[r.id] for r in got)
+    keyed = df.withColumn("source_id", F.when(F.col("id") % 3 == 0, F.lit("ev")).when(F.col("id") % 3 == 1, F.lit(" ")))
+    rows = {r.id: r.split for r in splits.assign_split_in_order(keyed, ["trace_name"]).collect()}
+    free = [i for i in range(n) if i % 3]
+    assert [rows[i] for i in free] == ["train" if u < 0.7 else "dev" if u < 0.85 else "test" for u in want[: len(free)]]
+    assert len({rows[i] for i in range(0, n, 3)}) == 1
+
+
+def test_sc3ml(spark, tmp_path):
+    (tmp_path / "one.xml").write_text("""<?xml version="1.0"?><sc:seiscomp xmlns:sc="http://example.org/x"><sc:Inventory>
+<sc:sensor publicID="S/1" response="R/1"><sc:lowFrequency>0.1</sc:lowFrequency><sc:highFrequency>40</sc:highFrequency></sc:sensor>
+<sc:datalogger publicID="D/1"><sc:gain>400</sc:gain></sc:datalogger><sc:responsePAZ publicID="R/1"><sc:gain>1500</sc:gain></sc:responsePAZ>
+<sc:network code="RO"><sc:station code="A"><sc:sensorLocation><sc:stream code="BHZ" sensor="S/1" datalogger="D/1"><sc:start>2020-01-01T00:00:00Z</sc:start><sc:gain>2.5</sc:gain></sc:stream><sc:stream sensor="S/1" datalogger="D/1"/></sc:sensorLocation>
+<sc:sensorLocation code="10"><sc:stream code="HNZ" sensor="S/9" datalogger="D/1"/></sc:sensorLocation></sc:station><sc:station code="B"/></sc:network></sc:Inventory></sc:seiscomp>""")
+    (tmp_path / "two.xml").write_text('<seiscomp><Inventory><network code="XX"><station code="C"><sensorLocation><stream code="BHZ" sensor="S/1"/></sensorLocation></station></network></Inventory></seiscomp>')
+    (tmp_path / "bad.xml").write_text('<seiscomp><Inventory><network code="YY"><station code="D"')
+    rows = {(r.network, r.station, r.location, r.channel): r for r in inventory.read_sc3ml(spark, str(tmp_path)).collect()}
+    first, second, third, other = rows["RO", "A", "", "BHZ"], rows["RO", "A", "", ""], rows["RO", "A", "10", "HNZ"], rows["XX", "C", "", "BHZ"]
+    assert (first.sensitivity, first.freq_start, first.freq_end, first.dangling, first.start_date.year) == (2.5, 0.1, 40.0, [], 2020)
+    assert second.sensitivity == 600_000.0 and (third.sensitivity, third.freq_end, third.dangling) == (None, None, ["S/9"])
+    assert other.dangling == ["S/1"] and ("RO", "B", "", "") in rows and not [k for k in rows if k[1] == "D"]  # ids are those of their own file
+    merged = {(r.network, r.channel): r.freq_end for r in inventory.merge_channels(inventory.read_sc3ml(spark, str(tmp_path)).filter("channel <> ''")).collect()}
+    assert merged["RO", "BHZ"] is None
+
+
+def test_filters_are_recursions_from_rest(spark):
+    sections = spectral.butterworth_sections(2, 20, 4, 100)
+    f = np.linspace(0.01, 49.9, 300)
+    z, w = np.exp(-2j * np.pi * f / 100), np.tan(np.pi * f / 100)
+    response = np.abs(np.prod([(b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z) for b0, b1, b2, a1, a2 in sections], axis=0))
+    low, high = np.tan(np.pi * 2 / 100), np.tan(np.pi * 20 / 100)
+    assert np.allclose(response, 1 / np.sqrt(1 + ((w * w - low * high) / (w * (high - low))) ** 8), atol=1e-9)
+
+    def slow(x):
+        y = x - x.mean()
+        for _ in range(2):
+            for b0, b1, b2, a1, a2 in sections:
+                s1 = s2 = 0.0
+                for i, v in enumerate(y.copy()):
+                    y[i] = b0 * v + s1
+                    s1, s2 = b1 * v - a1 * y[i] + s2, b2 * v - a2 * y[i]
+            y = y[::-1].copy()
+        return y
+
+    impulse, step, noise = np.eye(1, 200, 90)[0], np.repeat([0.0, 1.0], 65), rng(18).standard_normal(130)
+    holes = [None if i in (0, 50, 51, 129) else float(v) for i, v in enumerate(noise)]
+    filled = noise.copy()
+    filled[[0, 129]], filled[50:52] = noise[[1, 128]], noise[49] + (noise[52] - noise[49]) * np.array([1, 2]) / 3
+    df = spark.createDataFrame([("i", impulse.tolist()), ("s", step.tolist()), ("h", holes), ("n", None), ("e", [])], "trace_name string, samples array<double>")
+    got = {r.trace_name: r.samples for r in spectral.bandpass(df, 2, 20).collect()}
+    for name, x in (("i", impulse), ("s", step), ("h", filled)):
+        assert np.allclose(got[name], slow(x.copy()))
+    assert got["n"] is None and got["e"] == []
+    for bad in ((0, 0), (50, 0), (20, 2)):
+        with pytest.raises(ValueError):
+            spectral.butterworth_sections(*bad, 4, 100)
+
+
+@pytest.mark.parametrize("ratio", [(2, 1), (1, 2), (3, 2), (333, 1000), (1000, 333), (4, 2)])
+def test_polyphase_is_filtering_between_zeros(ratio):
+    up, down = ratio
+    x = rng(19).standard_normal(61)
+    got = spectral.resample_array(x, up, down)
+    up, down = (2, 1) if ratio == (4, 2) else ratio
+    h, wide = spectral.polyphase_taps(up, down), np.zeros(61 * up)
+    wide[::up] = x
+    want = np.convolve(wide, h)[len(h) // 2 :][: len(wide)][::down]
+    n = round(61 * up / down)
+    assert len(got) == n and np.allclose(got[: len(want)], want[:n]) and np.allclose(got[len(want) :], want[-1])
+
+
+def test_triggering_anew_at_every_threshold(spark):
+    x = np.abs(np.convolve(rng(20).standard_normal(400), np.ones(7) / 7, "same"))
+    x[100:103], x[0] = np.nan, 0.9
+    levels = [0.5, 0.1, 0.3, 0.3, 2.0]
+    df = spark.createDataFrame([("m", "t", [None if np.isnan(v) else float(v) for v in x]), ("m", "none", None), ("m", "low", [0.1, 0.05])], "model string, trace_name string, m array<double>")
+    got = sorted(tuple(r)[1:] for r in spectral.trigger_sweep(df, levels).collect())
+    want = []
+    for t in sorted(set(levels)):
+        above = np.concatenate([[False], np.nan_to_num(x, nan=-1) > t, [False]])
+        begins, ends = np.flatnonzero(above[1:] & ~above[:-1]), np.flatnonzero(above[:-1] & ~above[1:]) - 1
+        want += [("t", t, k, int(a), int(b), float(x[a : b + 1].max())) for k, (a, b) in enumerate(zip(begins, ends))]
+    assert got == sorted(want) and len(want) > 30
+
+
+def test_index_of_intervals_and_near_arrivals_on_long_records(spark):
+    year, random = 366 * 86400.0, rng(23)
+    boxes = [("m", "t", 10.5, year), ("m", "t", 5.0, 5.0), ("m", "t", 1.0, 1.2), ("m", "t", 9.0, 3.0), ("m", "u", -20.0, -3.0)]
+    offsets = [*random.uniform(-50, 50, 300).tolist(), *random.uniform(0, 1.1 * year, 300).tolist(), 5.0, 10.5, year]
+    picks = [("m", t, "P", i, x, 0.5) for i, x in enumerate(offsets) for t in ("t", "u")]
+    df = spark.createDataFrame(picks, PICKS)
+    b = spark.createDataFrame(boxes, "model string, trace_name string, start_s double, end_s double")
+    got = sorted(map(tuple, match.gate(df, b, unit_s=1.0).collect()))
+    assert got == sorted(p for p in picks if any(p[1] == t and lo <= p[4] <= hi for _, t, lo, hi in boxes)) and len(got) > 300
+    nodes = b.select(F.explode(match._nodes(F.floor("start_s").cast("bigint"), F.floor("end_s").cast("bigint")))).count()
+    assert nodes < 5 * 2 * (match.FAN - 1) * match.LEVELS
+    truth = spark.range(3000).select(F.lit("t").alias("trace_name"), F.lit("P").alias("phase"), (F.col("id") * 20.25).alias("true_s"))
+    near = {r.emit_order: r for r in match.match_picks(df.filter("trace_name = 't'").withColumn("model", F.concat(F.lit("m"), "emit_order")), truth, {"P": 3.0}).collect()}
+    want = {i: min((abs(x - 20.25 * k), k) for k in range(3000)) for i, x in enumerate(offsets)}
+    assert {i: round(r.true_s / 20.25) for i, r in near.items()} == {i: k for i, (d, k) in want.items() if d <= 3.0}
+
+
 def test_exported_channels_of_other_events_stay(spark, tmp_path):
     at = str(tmp_path / "channels")
     for event in ("ev1", "ev2", "ev1"):
