@@ -40,42 +40,61 @@ LONG, BATCH = 24, 128
 
 
 def terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of each row, with repeats, and the rows' offsets into them: words' are even, beginnings' odd."""
+    """Hashes of all terms, with repeats, and each one's row: words', which are even, then beginnings', which are odd."""
     low = LOWER[raw]
     starts, ends, at = spans(low, off, ALNUM[low])
     if not len(starts):
-        return np.zeros(0, np.int64), at
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero((low & 0xC0) != 0x80)  # bytes that begin a code point
     beyond = np.append(first, np.full(BEGINNING, len(low)))[np.searchsorted(first, starts) + BEGINNING]
-    longer = beyond < ends
+    longer, row = beyond < ends, rows_of(at)
     words = run_hashes(low, starts, ends) & ~np.uint64(1)
     beginnings = run_hashes(low, starts[longer], beyond[longer]) | np.uint64(1)
-    row = rows_of(at)
-    order = np.argsort(np.concatenate([row, row[longer]]), kind="stable")
-    return np.concatenate([words, beginnings])[order].view(np.int64), at + np.concatenate([[0], np.cumsum(longer)])[at]
+    return np.concatenate([words, beginnings]).view(np.int64), np.concatenate([row, row[longer]])
 
 
-def counted(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def counted(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values of each row in order, how often each occurs, and the rows' offsets into them."""
-    row = rows_of(at)
     order = np.lexsort((values, row))
     v, r = values[order], row[order]
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
     begins = np.flatnonzero(new)
-    return v[new], np.diff(np.append(begins, len(v))), np.searchsorted(r[new], np.arange(len(at)))
+    return v[new], np.diff(np.append(begins, len(v))), np.searchsorted(r[new], np.arange(rows + 1))
 
 
-def vectors(raw: np.ndarray, off: np.ndarray, vocabulary: np.ndarray):
-    """Places in the (sorted) vocabulary of the terms of each row that it holds, their counts, and the rows' offsets."""
-    values, at = terms(raw, off)
-    if not len(vocabulary) or not len(values):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    place = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
-    known = vocabulary[place] == values
-    held = np.sort(rows_of(at)[known] * len(vocabulary) + place[known])
+class Vocabulary:
+    """Places of hashes in a sorted list of distinct ones: a table by their highest bits says where to begin to look."""
+
+    BITS = 20
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.begin = np.searchsorted(values >> (64 - self.BITS), np.arange(-(1 << (self.BITS - 1)), (1 << (self.BITS - 1)) + 1))
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        """Each value's place, or -1."""
+        cell = (values >> (64 - self.BITS)) + (1 << (self.BITS - 1))
+        out, at, end, left = np.full(len(values), -1), self.begin[cell], self.begin[cell + 1], np.arange(len(values))
+        while len(left := left[at[left] < end[left]]):
+            found = self.values[at[left]] == values[left]
+            out[left[found]] = at[left[found]]
+            left = left[~found]
+            at[left] += 1
+        return out
+
+
+def vectors(raw: np.ndarray, off: np.ndarray, vocabulary: Vocabulary):
+    """Places in the vocabulary of the terms of each row that it holds, their counts, and the rows' offsets."""
+    values, row = terms(raw, off)
+    place = vocabulary.places(values)
+    known = place >= 0
+    held = np.sort(row[known] * max(len(vocabulary), 1) + place[known])
     begins = np.flatnonzero(np.append(True, held[1:] != held[:-1])[: len(held)])
-    row, term = np.divmod(held[begins], len(vocabulary))
+    row, term = np.divmod(held[begins], max(len(vocabulary), 1))
     return term, np.diff(np.append(begins, len(held))), np.searchsorted(row, np.arange(len(off)))
 
 
@@ -84,7 +103,7 @@ def _read_examples(batches):
     schema = pa.schema([*kinds.items(), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
     for batch in batches:
         for lo, hi, raw, off in text_chunks(batch.column("text")):
-            t, n, at = counted(*terms(raw, off))
+            t, n, at = counted(*terms(raw, off), hi - lo)
             lists = (pa.ListArray.from_arrays(at.astype(np.int32), pa.array(x)) for x in (t, n.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in kinds), *lists], schema=schema)
 
@@ -93,10 +112,10 @@ def _document_frequencies(vocabulary):
     """How many texts of a partition hold each term: one small table for each partition."""
 
     def count(batches):
-        total = np.zeros(len(vocabulary.value), np.int64)
+        known, total = Vocabulary(vocabulary.value), np.zeros(len(vocabulary.value), np.int64)
         for batch in batches:
             for _, _, raw, off in text_chunks(batch.column("text")):
-                total += np.bincount(vectors(raw, off, vocabulary.value)[0], minlength=len(total))
+                total += np.bincount(vectors(raw, off, known)[0], minlength=len(total))
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["term", "n"])
 
@@ -250,6 +269,7 @@ def _scorer(shared, calibration):
 
     def score(batches):
         (index, vocabulary), (votes, fitted, none), known = shared.value, calibration, {}
+        vocabulary = Vocabulary(vocabulary)
         for batch in batches:
             for lo, hi, raw, off in text_chunks(batch.column("text")):
                 term, count, at = vectors(raw, off, vocabulary)
