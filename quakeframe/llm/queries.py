@@ -150,3 +150,42 @@ n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() O
   FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
+
+
+def _edit(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """A state's least cost, audit and text after one more edit, in SQL."""
+    text = f"{state}.text" if line is None else f"CASE WHEN {state}.text = '' THEN {line} ELSE {state}.text || chr(10) || {line} END"
+    return f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', 'text': {text}}}"
+
+
+def _inserted(states: str) -> str:
+    """Rows of `states` with the states 1 to 4 (nothing, s, u, a) after insertions that make one cheaper."""
+    u = f"least(b[3], {_edit('b[1]', '5', 'I', chr(39) + 'user:' + chr(39))}, {_edit('b[2]', '5', 'I', chr(39) + 'user:' + chr(39))}, {_edit('b[4]', '5', 'I', chr(39) + 'user:' + chr(39))})"
+    return f"SELECT * EXCLUDE (b, u), [b[1], b[2], u, least(b[4], {_edit('u', '5', 'I', chr(39) + 'assistant:' + chr(39))})] AS b FROM (SELECT *, {u} AS u FROM ({states}))"
+
+
+def _taken() -> str:
+    """The four states after row r, from the states b before it."""
+    line, never = "r.role || ':' || r.text", "{'cost': 1000000, 'audit': '', 'text': ''}"
+    keep = lambda state, initial: f"CASE WHEN r.fault NOT IN ('b', 'd') AND r.ini = '{initial}' THEN {_edit(state, 'more', 'K', line)} ELSE {never} END"
+    new = lambda state, role: f"CASE WHEN r.fault NOT IN ('b', 'd') THEN {_edit(state, '1 + more', 'R', chr(39) + role + ':' + chr(39) + ' || r.text')} ELSE {never} END"
+    gone = lambda k: _edit(f"b[{k}]", "2", "D")
+    to_u = ", ".join(f"{keep(f'b[{k}]', 'u')}, {new(f'b[{k}]', 'user')}" for k in (1, 2, 4))
+    return f"[{gone(1)}, least({gone(2)}, {keep('b[1]', 's')}), least({gone(3)}, {to_u}), least({gone(4)}, {keep('b[3]', 'a')}, {new('b[3]', 'assistant')})]"
+
+
+ORACLE_SQL["op12_conversations"] = f"""
+WITH RECURSIVE t AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END) AS v FROM (SELECT unnest(range(256)) AS n))),
+raw AS (SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+kinds AS (SELECT raw.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c // 256)), 4294967295::BIGINT) % 20 AS kind FROM raw, t),
+hurt AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS p FROM hurt),
+faults AS (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '?' END AS ini, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY p) > 1 THEN 'd'
+  WHEN regexp_matches(text, '[^\\x20\\x09-\\x0D.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '-' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY p) || left(role, 1) AS two FROM placed),
+convs AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, list({{'role': role, 'text': text, 'ini': ini, 'fault': fault}} ORDER BY p) AS l FROM faults GROUP BY conv),
+dp(conv, l, i, b) AS (SELECT conv, l, 0, [{{'cost': 0, 'audit': '', 'text': ''}}, {{'cost': 1000000, 'audit': '', 'text': ''}}, {{'cost': 1000000, 'audit': '', 'text': ''}}, {{'cost': 1000000, 'audit': '', 'text': ''}}] FROM convs
+  UNION ALL SELECT conv, l, i + 1, {_taken()} FROM ({_inserted("SELECT *, l[i + 1] AS r, CASE WHEN l[i + 1].fault = 't' THEN 5 ELSE 0 END AS more FROM dp WHERE i < len(l)")})),
+best AS (SELECT conv, least(b[1], b[4]) AS x FROM ({_inserted("SELECT * FROM dp WHERE i = len(l)")}))
+SELECT a.conv AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(x.cost, 0)::BIGINT AS cost, coalesce(x.audit, '') AS audit, sha256(coalesce(x.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv FROM raw) a LEFT JOIN convs ON a.conv IS NOT DISTINCT FROM convs.conv LEFT JOIN best ON a.conv IS NOT DISTINCT FROM best.conv"""
