@@ -103,10 +103,13 @@ def assign_split_in_order(df: DataFrame, order: Sequence[str], key: str = "sourc
 
 
 def assign_split(df: DataFrame, key: str = "source_id", row_key: str = "trace_name", salt: str = "split-v1", p_train: float = 0.7, p_val: float = 0.15, seed: int = 42, algo: str = "blake2s", column: str = "split") -> DataFrame:
-    """Split by key where it is a non-blank string, else by a draw for the row; 'val' is called 'dev'."""
+    """Split by key where it is a non-blank string, else by a draw for the row; 'val' is called 'dev'.
+
+    With algo='sha2' both come from SHA-256, draws with the seed for a salt.
+    """
     usable = (F.trim(F.col(key)) != "") & (F.lower(F.trim(F.col(key))) != "nan")
     hashed = hash_split(df, key, salt, p_train, p_val, algo, column)
-    drawn = choose(bernoulli_unit(seed, F.col(row_key)), p_train, p_val)
+    drawn = choose(sha_unit(F.col(row_key), str(seed)) if algo == "sha2" else bernoulli_unit(seed, F.col(row_key)), p_train, p_val)
     out = hashed.withColumn(column, F.when(F.coalesce(usable, F.lit(False)), F.col(column)).otherwise(drawn))
     return out.replace({k: v for k, v in RENAMED.items() if k != v}, subset=[column])
 

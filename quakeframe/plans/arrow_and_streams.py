@@ -207,6 +207,11 @@ done AS (SELECT cl.trace_name, cl.i, coalesce(r.y, cl.m) AS m FROM cl LEFT JOIN
 {_SUMMED.format("m", "done")}""",
     "w23_resample": f"WITH {TRACES_SQL}, {_HALVED} {_SUMMED.format('v', 'rs')}",
     "w29_coda_window": f"WITH {TRACES_SQL}, {_HUSID_GRADIENT} SELECT trace_name, round(i5 / 100, 9) AS start_s, round(i95 / 100, 9) AS end_s FROM hu",
+    "w28_envelope_coda": f"""WITH {TRACES_SQL}, {_PICKED},
+ht AS (SELECT a.trace_name, a.i, sqrt(any_value(a.v) ** 2 + sum(CASE WHEN (a.i - b.i) % 2 <> 0 THEN b.v / tan(pi() * (a.i - b.i) / 64) / 32 ELSE 0 END) ** 2) AS env FROM long a JOIN long b USING (trace_name) GROUP BY 1, 2),
+sm AS (SELECT trace_name, i, sum(env) OVER (PARTITION BY trace_name ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS q FROM ht),
+af AS (SELECT trace_name, s_sample, i, q, max(q) OVER (PARTITION BY trace_name) AS top FROM sm JOIN picked USING (trace_name) WHERE i >= s_sample)
+SELECT trace_name, any_value(picked.s_sample) AS s_sample, CASE WHEN any_value(picked.s_sample) IS NOT NULL THEN coalesce(min(i) FILTER (q < 0.4 * top), 63)::INT END AS coda_end FROM picked LEFT JOIN af USING (trace_name) GROUP BY 1""",
     "w31_bandpass": f"""WITH RECURSIVE {TRACES_SQL}, dm AS (SELECT trace_name, list_transform(samples, lambda q: q - list_avg(samples)) AS x FROM traces),
 {_filtered("fw", "dm", _SECTIONS)},
 rv AS (SELECT trace_name, list_reverse(y) AS x FROM fw),

@@ -88,13 +88,14 @@ QUERIES = {
     "p4_p20_j1_j2_build": lambda s, d: rounded(_built(s, d).select(*_TRACE_COLUMNS)),
     "p5_physical": lambda s, d: build.to_physical(_built(s, d)).select("trace_name", "physical_error", _doubles("z_physical").alias("z"), _doubles("e_physical").alias("e")),
     "p20_stack": lambda s, d: build.stack_components(_records(s, d)).select("event_id", "station_id", "npts", _doubles("z").alias("z"), _doubles("n").alias("n"), _doubles("e").alias("e")),
-    "p21_event_channels": lambda s, d: build.event_channels(_built(s, d)).select("source_id", "channel", "component", F.size("samples").alias("n")),
+    "p21_event_channels": lambda s, d: build.event_channels(_built(s, d)).select("source_id", "channel", "component", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 3).alias("total")),
     "p22_prefixed": lambda s, d: _records(s, d).select("event_id", "station_id", "component", F.explode(build.prefixed(F.col("station_attrs"), "p_")).alias("key", "value")),
     "s4_stations": lambda s, d: rounded(build.read_station_table(_stations(s, d))),
     "s6_responses": lambda s, d: build.response_index(_records(s, d)),
     "k2_chunks": lambda s, d: io.chunk_list(_orders(s, d)),
     "p13_hash_split": lambda s, d: splits.hash_split(_orders(s, d).select("trace_name", "source_id"), "source_id", "split-v1", algo="sha2"),
     "p13_blake_split": lambda s, d: splits.hash_split(_orders(s, d).select("trace_name", "source_id"), "source_id", "split-v1"),
+    "p17_sha_split": lambda s, d: splits.assign_split(_orders(s, d).select("trace_name", F.when(F.col("key") % 5 != 0, F.col("source_id")).alias("source_id")), algo="sha2"),
     "p17_assign_split": lambda s, d: splits.assign_split(_orders(s, d).select("trace_name", F.when(F.col("key") % 5 != 0, F.col("source_id")).alias("source_id"))),
     "p15_year_split": lambda s, d: _orders(s, d).select("trace_name", splits.year_split(F.col("trace_chunk").cast("int"), range(1992, 1997), (1997, 1998), (1999, 2000)).alias("split")),
     "a14_split_counts": lambda s, d: splits.split_counts(_orders(s, d).select(F.col("trace_chunk").alias("year"), splits.year_split(F.col("trace_chunk").cast("int"), range(1992, 1997), (1997, 1998), (1999, 2000)).alias("split")).filter("split IS NOT NULL")),
@@ -190,13 +191,15 @@ ORACLE_SQL = {
 FROM b LEFT JOIN sta ON code = station""", _REC),
     "p5_physical": _with(f"SELECT trace_name, er AS physical_error, CASE WHEN er IS NULL THEN {_RD.format('list_transform(z, lambda q: q / sz)')} END AS z, CASE WHEN er IS NULL THEN {_RD.format('list_transform(e, lambda q: q / se)')} END AS e FROM (SELECT *, CASE WHEN status = 'missing_response' THEN status WHEN sz = 0 OR sn = 0 OR se = 0 THEN 'bad_sensitivity' END AS er FROM b)", _REC),
     "p20_stack": _with(f"SELECT event_id, station_id, npts::INT AS npts, {_RD.format('z')} AS z, {_RD.format('n')} AS n, {_RD.format('e')} AS e FROM b", _REC),
-    "p21_event_channels": _with("SELECT event_id AS source_id, net || '.' || code || '.' || loc || '.' || band || c AS channel, c AS component, npts::INT AS n FROM b, (VALUES ('Z'), ('N'), ('E')) AS t(c)", _REC),
+    "p21_event_channels": _with("SELECT event_id AS source_id, net || '.' || code || '.' || loc || '.' || band || c AS channel, c AS component, npts::INT AS n, round(list_sum(list_transform(CASE c WHEN 'Z' THEN z WHEN 'N' THEN n ELSE e END, lambda q: q::FLOAT::DOUBLE)), 3) AS total FROM b, (VALUES ('Z'), ('N'), ('E')) AS t(c)", _REC),
     "p22_prefixed": _with("""SELECT event_id, station_id, component, key, value FROM (SELECT event_id, station_id, component, unnest([{'key': 'p_npts', 'value': CASE WHEN g % 5 = 0 THEN 'nan' ELSE (50 + g % 30)::VARCHAR END}, {'key': 'p_p_arrival_sample', 'value': CASE WHEN g % 4 = 0 THEN '-1' ELSE (g % 60)::VARCHAR END},
   {'key': 'p_p_arrival_in_trace', 'value': CASE WHEN g % 2 = 0 THEN 'True' ELSE 'False' END}, {'key': 'p_status_physical', 'value': CASE WHEN g % 8 = 0 THEN 'missing_response' ELSE 'ok' END}], recursive := true) FROM rec)""", _REC),
     "s4_stations": _with("SELECT station, round(lat, 6) AS station_latitude_deg, 25.5::DOUBLE AS station_longitude_deg, round(el, 6) AS station_elevation_m, region AS station_region FROM sta", _REC),
     "s6_responses": _with("SELECT event_id, station_id, status AS trace_status_physical, '' AS trace_missing_response_components, sz AS trace_sensitivity_z, sn AS trace_sensitivity_n, se AS trace_sensitivity_e, CASE WHEN n0 IS NOT NULL THEN 'M/S1' WHEN e0 IS NOT NULL THEN 'M/S2' END AS trace_unit_physical FROM st", _REC),
     "k2_chunks": _with("SELECT DISTINCT trace_chunk FROM ord", _ORD),
     "p13_hash_split": _with(f"SELECT trace_name, source_id, {_SHA}", _ORD),
+    "p17_sha_split": _with("""SELECT trace_name, source_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7 + 0.15 THEN 'dev' ELSE 'test' END AS split
+FROM (SELECT trace_name, CASE WHEN key % 5 <> 0 THEN source_id END AS source_id, ('0x' || substr(sha256(CASE WHEN key % 5 <> 0 THEN 'split-v1|' || source_id ELSE '42|' || trace_name END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM ord)""", _ORD),
     "p15_year_split": _with(f"SELECT trace_name, {_YS} AS split FROM ord", _ORD),
     "a14_split_counts": _with(f"SELECT coalesce(y, '_total') AS year, split, count(*) AS n FROM (SELECT trace_chunk AS y, {_YS} AS split FROM ord) WHERE split IS NOT NULL GROUP BY GROUPING SETS ((y, split), (split))", _ORD),
     "k6_test_index": _with(f"SELECT * FROM (SELECT trace_name, source_id, {_SHA}) WHERE split = 'test'", _ORD),
