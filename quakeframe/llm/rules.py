@@ -24,6 +24,8 @@ CELLS = 1 << 15  # of words, as many of pairs, and as many of trigrams
 SAMPLE = 6000
 SHARDS, ROUNDS, EPOCHS, RATE = 8, 3, 4, 0.5
 MIN_WORDS, MAX_REPEATED, LEAST = 50, 50, 0.5
+#: The bigram of a word and itself.
+REPEATED = np.uint64(0)
 
 
 def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,12 +44,14 @@ def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def hashed(raw: np.ndarray, off: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Cells of each row's word unigrams, word bigrams and character trigrams: (cells, offsets) of each, with repeats.
 
-    Characters are code points. Each kind has CELLS cells.
+    Characters are code points. One rule is made by hand: a word followed by itself is the bigram REPEATED, whatever the
+    word, since hashed n-grams of unseen words can't tell that text repeats itself. Each kind has CELLS cells.
     """
     cells = lambda h, kind: (h >> np.uint64(40)).astype(np.int64) % CELLS + kind * CELLS
     row = rows_of(at)
     together = row[:-1] == row[1:]
-    pairs = mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])[together]
+    pairs = mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    pairs = np.where(hashes[:-1] == hashes[1:], REPEATED, pairs)[together]
     pairs_at = np.concatenate([[0], np.cumsum(together)])[np.minimum(at, len(together))]
     begins, points = code_points(raw)
     n = np.searchsorted(begins, off)
