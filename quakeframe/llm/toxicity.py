@@ -145,18 +145,23 @@ class Index:
         self.share, self.keys, self.ids, self.size = share[order], keys[order], ids[order], len(order)
         self.width, self.blocks = BLOCK, -(-self.size // BLOCK)
         taken = _ranges(at[:-1][order], lens[order])
-        term, row = term[taken], np.repeat(np.arange(self.size), lens[order])
-        w = self.weights(term, count[taken], row, self.size).astype(np.float32)
+        term, count = term[taken], count[taken]
+        del taken
+        row = np.repeat(np.arange(self.size, dtype=np.int32), lens[order])
+        w = self.weights(term, count, row, self.size).astype(np.float32)
         long = np.bincount(term, minlength=len(df)) * LONG >= max(self.size, 1)
         self.long = np.where(long, np.cumsum(long) - 1, -1)
         some = long[term]
         self.shape = int(long.sum()), self.blocks * self.width
-        self.entries = self.long[term[some]].astype(np.int32), row[some].astype(np.int32), w[some]
-        # Other postings by term, then by row: a term's blocks are runs of them.
-        listed = np.lexsort((row, term))
-        listed = listed[~long[term[listed]]]
-        term, self.row, self.weight = term[listed], row[listed].astype(np.int32), w[listed]
-        place, begins = np.unique(term * max(self.blocks, 1) + self.row // self.width, return_index=True)
+        self.entries = self.long[term[some]].astype(np.int32), row[some], w[some]
+        # Other postings by term, then by row, in whose order they are: a term's blocks are runs of them.
+        listed = np.flatnonzero(~some)
+        listed = listed[np.argsort(term[listed], kind="stable")]
+        term, self.row, self.weight = term[listed], row[listed], w[listed]
+        del listed, row, w, some
+        place = term * np.int64(max(self.blocks, 1)) + self.row // self.width
+        begins = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+        place = place[begins]
         self.posting_at = np.append(begins, len(term)).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0, np.float32)
         self.block = (place % max(self.blocks, 1)).astype(np.int32)
@@ -299,15 +304,17 @@ def _scored(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Data
     held = examples.toArrow().combine_chunks()
     column = lambda c: held.column(c).combine_chunks() if held.num_rows else pa.array([], held.schema.field(c).type)
     (term, at), (count, _) = _flat(column("terms")), _flat(column("counts"))
-    share = np.asarray(column("share"), float)
+    share, keys, ids = np.asarray(column("share"), float), np.asarray(column("key")), np.asarray(column("doc_id"))
     vocabulary = np.unique(term)
+    term = np.searchsorted(vocabulary, term).astype(np.int32)
+    del held  # the driver holds the examples' lists once
 
     sent = sc.broadcast(vocabulary)
     frequent = docs.select("text").mapInArrow(_document_frequencies(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     sent.destroy()
     df = np.zeros(len(vocabulary), np.int64)
     df[np.asarray(frequent.column("term").combine_chunks())] = np.asarray(frequent.column("n").combine_chunks())
-    index = Index(np.searchsorted(vocabulary, term), count, at, df, docs.count(), share, np.asarray(column("key")), np.asarray(column("doc_id")), np.where(vocabulary & 1, 1.0, WHOLE))
+    index = Index(term, count, at, df, docs.count(), share, keys, ids, np.where(vocabulary & 1, 1.0, WHOLE))
     shared = sc.broadcast((index, vocabulary))
 
     own = examples.mapInArrow(_own_votes(shared), "vote double, share double").collect()  # `sample` at most
