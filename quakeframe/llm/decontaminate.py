@@ -18,6 +18,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Rows of 64 bits each that the broadcast table of block hashes has at most: 16 MB of cells and bits.
 CELLS = 1 << 20
+#: Copies of one text that are returned from one array.
+COPIES = 4096
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -119,7 +121,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     found = hits(docs, benchmark, window)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     n_hit = F.size("places").cast("long")
-    out = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))  # no array is as long as a text has copies
+    out = found.withColumn("run", runs).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("copies") - F.col("run") * COPIES))))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 

@@ -344,10 +344,10 @@ def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     found = _grouped(docs, percent, size).filter("doc_id IS NOT NULL")
     kept = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.*")
     kept = kept.union(found.filter("component IS NULL").select("doc_id", "text_hash").distinct())
-    doc_id, text_hash, rank = fresh(docs, "doc_id", "text_hash", "rank")
-    kept = kept.toDF(doc_id, text_hash)
-    named = docs.join(kept, (F.col("doc_id") == F.col(doc_id)) & (F.xxhash64("text") == F.col(text_hash)), "left_semi")
-    order = [quoted(c) for c, kind in named.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]
-    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*order, "text"))
-    named = named.withColumn(rank, first).filter(quoted(rank) == 1).drop(rank)
+    doc_id, text_hash, own_hash, rank = fresh(docs, "doc_id", "text_hash", "own_hash", "rank")
+    # Repeated rows are told apart before the join, so that each task sends one of its own copies on, however many there are.
+    order = [quoted(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]
+    first = F.row_number().over(Window.partitionBy("doc_id", own_hash).orderBy(*order, "text"))
+    named = docs.filter("doc_id IS NOT NULL").withColumn(own_hash, F.xxhash64("text")).withColumn(rank, first).filter(quoted(rank) == 1)
+    named = named.join(kept.toDF(doc_id, text_hash), (F.col("doc_id") == F.col(doc_id)) & (F.col(own_hash) == F.col(text_hash)), "left_semi").drop(own_hash, rank)
     return named.union(docs.filter("doc_id IS NULL"))

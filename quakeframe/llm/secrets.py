@@ -25,6 +25,8 @@ from quakeframe.llm.common import cut, fresh, quoted
 KINDS = ("assign", "access", "hex", "owned")
 #: From this many owners on, a value is a widely copied example; two owners are enough where they hold it in this many repositories.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 5
+#: A value of more than one in this many candidates is joined by broadcast: there are fewer such values than this.
+HOT = 1000
 #: Bits a character that a live-looking value has at least; a value of one repeated character has none.
 LIVE_BITS = 2.5
 
@@ -97,10 +99,14 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     each = rows.select("row", "repository", "owner", F.explode("found").alias("x")).select("row", "repository", "owner", "x.*")
     held = each.groupBy("value", "owner", "repository").agg(F.count("*").alias("copies"))
     held = held.groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.sum("copies").alias("copies"))
-    held = held.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("copies").alias("copies"))
+    held = cut(held.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("copies").alias("copies")))
+    total = held.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    hot = held.filter(F.col("copies") * HOT > total)  # fewer than HOT rows, as their copies add up to `total` at most
+    rest = each.join(F.broadcast(hot.select("value")), "value", "left_anti").join(held, "value")
+    each = rest.unionByName(each.join(F.broadcast(hot), "value"))
     copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("owners") > 1) & (F.col("repositories") >= EXAMPLE_REPOSITORIES)
     classed = F.when(copied, "example").when(F.col("live"), "live").otherwise("plain")
-    return rows.drop("found"), each.join(held, "value").select("row", "start", "kind", "end", "value", "owners", "repositories", "copies", classed.alias("class"))
+    return rows.drop("found"), each.select("row", "start", "kind", "end", "value", "owners", "repositories", "copies", classed.alias("class"))
 
 
 def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
@@ -152,7 +158,7 @@ def redact(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] =
 
     Keeps all columns, also ones named like those used here; n_chars, where there is one, is brought up to date for
     redacted rows. What to redact is found by (doc_id, hash of the text), so that rows that share a doc_id each get their
-    own. Null and empty texts stay as they are.
+    own. Null and empty texts stay as they are; very long ones are redacted whole. An empty table gives an empty result.
     """
     rows, each = scan(docs, owner, repository)
     doc_id, text_hash, values = fresh(docs, "doc_id", "text_hash", "values")

@@ -74,7 +74,9 @@ def test_secret_seen_by_many_owners_is_an_example_and_stays(spark):
     assert out[4].text is None and out[5].text == "clean" and len(out) == 6
 
 
-def test_repositories_decide_where_owners_are_few(spark):
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_repositories_decide_where_owners_are_few(spark, monkeypatch, hot):
+    monkeypatch.setattr(secrets, "HOT", hot)  # no value is hot, one of three, each
     names = ["token: Aa1Bb2Cc3Dd4Ee5Ff6", "token: Zz9Yy8Xx7Ww6Vv5Uu4", "token: Qq1Ww2Ee3Rr4Tt5Yy6"]
     rows = [(i, names[0], f"l{i}", "ab"[i % 2]) for i in range(6)]  # two owners, six repositories
     rows += [(10 + i, names[1], f"l{i}", "a") for i in range(9)]  # nine repositories of one owner
@@ -507,8 +509,9 @@ def contaminated(texts, items, window=10):
 ITEMS = [(1, prose(25, 50)), (2, "Short item"), (3, None), (4, ""), (20, prose(25, 50)), (5, prose(10, 51)), (None, prose(12, 52)), (1, prose(25, 50)), (6, "ünïcode É")]
 
 
-@pytest.mark.parametrize("cells", [1 << 20, 1])
-def test_decontamination_against_brute_force(spark, monkeypatch, cells):
+@pytest.mark.parametrize("cells, copies", [(1 << 20, 4096), (1, 1)])
+def test_decontamination_against_brute_force(spark, monkeypatch, cells, copies):
+    monkeypatch.setattr(decontaminate, "COPIES", copies)
     monkeypatch.setattr(decontaminate, "CELLS", cells)  # with one, most blocks pass and windows alone decide
     texts = [None, "", prose(40, 60), f"{prose(7, 61)} {ITEMS[0][1]}, {prose(7, 62)}", "a SHORT,item!", " ".join(ITEMS[0][1].split()[3:14]), " ".join(ITEMS[0][1].split()[3:12]), ITEMS[5][1].upper(), f"x {ITEMS[6][1]} y", "ünïcode é", "ünïcode É", prose(8000, 63) + " short item", "short item short item"]
     docs = documents(spark, texts + texts[3:5], [*range(len(texts)), 3, None])
