@@ -37,6 +37,8 @@ NEIGHBOURS, BLOCK = 25, 32
 FIRST = 1 / 4
 #: Every how many examples a term's list has to hold to be kept as a full row, and how many texts such rows are multiplied with at once.
 LONG, BATCH = 24, 128
+#: Examples whose columns of the full rows are made double at once, to be multiplied.
+COLUMNS = 1024
 
 
 def terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +120,7 @@ def _document_frequencies(vocabulary):
                 total += np.bincount(vectors(raw, off, known)[0], minlength=len(total))
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["term", "n"])
+        pa.default_memory_pool().release_unused()  # the worker lives on, and has the index next
 
     return count
 
@@ -169,8 +172,8 @@ class Index:
 
     @cached_property
     def full(self) -> np.ndarray:
-        """Rows of the long lists, made where they are used."""
-        rows = np.zeros(self.shape)
+        """Rows of the long lists, made where they are used, in single precision as the lists are."""
+        rows = np.zeros(self.shape, np.float32)
         rows[self.entries[0], self.entries[1]] = self.entries[2]
         return rows
 
@@ -197,7 +200,9 @@ class Index:
             for i, r in enumerate(some):
                 t = self.long[term[at[r] : at[r + 1]]]
                 asked[i, t[t >= 0]] = w[at[r] : at[r + 1]][t >= 0]
-            sums = asked @ self.full
+            sums = np.empty((len(some), self.shape[1]))
+            for c in range(0, self.shape[1], COLUMNS):
+                sums[:, c : c + COLUMNS] = asked @ self.full[:, c : c + COLUMNS].astype(float)
             for r, part in zip(some, sums):
                 t = term[at[r] : at[r + 1]]
                 short = self.long[t] < 0
