@@ -32,13 +32,17 @@ from quakeframe.llm.tokens import ALNUM, LOWER, row_reduce, rows_of, run_hashes,
 BEGINNING, WHOLE = 4, 0.25
 #: Distinct labelled texts that serve as examples at most.
 SAMPLE = 8_000
-NEIGHBOURS, BLOCK = 25, 32
+NEIGHBOURS, BLOCK = 25, 256
+#: Examples of which the best one stands for all when the k-th best is estimated.
+GROUP = 32
 #: Share of the blocks that are scored before bounds are compared with what has been found.
-FIRST = 1 / 4
+FIRST = 1 / 2
 #: Every how many examples a term's list has to hold to be kept as a full row, and how many texts such rows are multiplied with at once.
 LONG, BATCH = 24, 128
-#: Examples whose columns of the full rows are made double at once, to be multiplied.
-COLUMNS = 1024
+#: How many examples have their weights made at once.
+SOME = 512
+#: More than a cosine of single precision can be wrong by: some thousand additions of 2 ** -24 each.
+SLACK = 1e-4
 
 
 def terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +114,28 @@ def _read_examples(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in kinds), *lists], schema=schema)
 
 
+def _distinct_terms(batches):
+    """The terms of a partition's examples, each once."""
+    found = np.zeros(0, np.int64)
+    for batch in batches:
+        found = np.union1d(found, _flat(batch.column("terms"))[0])
+    yield pa.RecordBatch.from_arrays([pa.array(found)], names=["term"])
+
+
+def _placed(vocabulary):
+    """Examples with the places of their terms, which are half as long as the terms, in the sorted vocabulary."""
+
+    def place(batches):
+        known = vocabulary.value
+        for batch in batches:
+            terms, at = _flat(batch.column("terms"))
+            places = np.searchsorted(known, terms).astype(np.int32)
+            lists = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(places))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "doc_id", "share")), lists, batch.column("counts")], names=["key", "doc_id", "share", "places", "counts"])
+
+    return place
+
+
 def _document_frequencies(vocabulary):
     """How many texts of a partition hold each term: one small table for each partition."""
 
@@ -151,11 +177,18 @@ class Index:
         term, count = term[taken], count[taken]
         del taken
         row = np.repeat(np.arange(self.size, dtype=np.int32), lens[order])
-        w = self.weights(term, count, row, self.size).astype(np.float32)
+        w, begins = np.empty(len(term), np.float32), np.append(0, np.cumsum(lens[order]))
+        for lo in range(0, self.size, SOME):  # in double for some examples at a time
+            hi = min(lo + SOME, self.size)
+            part = slice(begins[lo], begins[hi])
+            w[part] = self.weights(term[part], count[part], row[part] - lo, hi - lo)
+        del count
         long = np.bincount(term, minlength=len(df)) * LONG >= max(self.size, 1)
-        self.long = np.where(long, np.cumsum(long) - 1, -1)
+        self.long = np.full(len(df), -1)
+        held = np.flatnonzero(long)
+        self.long[held[np.argsort(-df[held], kind="stable")]] = np.arange(len(held))  # the commonest term's list is the first
         some = long[term]
-        self.shape = int(long.sum()), self.blocks * self.width
+        self.shape = self.blocks * self.width, int(long.sum())
         self.entries = self.long[term[some]].astype(np.int32), row[some], w[some]
         # Other postings by term, then by row, in whose order they are: a term's blocks are runs of them.
         listed = np.flatnonzero(~some)
@@ -172,9 +205,9 @@ class Index:
 
     @cached_property
     def full(self) -> np.ndarray:
-        """Rows of the long lists, made where they are used, in single precision as the lists are."""
+        """The long lists side by side, a row for each example, made where they are used and in single precision as they are."""
         rows = np.zeros(self.shape, np.float32)
-        rows[self.entries[0], self.entries[1]] = self.entries[2]
+        rows[self.entries[1], self.entries[0]] = self.entries[2]
         return rows
 
     def __getstate__(self) -> dict:
@@ -192,58 +225,72 @@ class Index:
         Cosines are rounded to six places, so that the order of addition doesn't break ties; these go by the index's
         order. Examples without a common term are never neighbours.
         """
-        row = rows_of(at)
-        w = self.weights(term, count, row, len(at) - 1)
-        for lo in range(0, len(rows), BATCH):
-            some = rows[lo : lo + BATCH]
-            asked = np.zeros((len(some), len(self.full)))
+        w = self.weights(term, count, rows_of(at), len(at) - 1)
+        asked = [(self.long[term[at[r] : at[r + 1]]], term[at[r] : at[r + 1]], w[at[r] : at[r + 1]]) for r in rows]
+        # Texts whose commonest term is the same, those of a language, are multiplied together with the lists that they have.
+        order = sorted(range(len(asked)), key=lambda i: asked[i][0][asked[i][0] >= 0].min(initial=self.shape[1]))
+        found = [None] * len(asked)
+        for lo in range(0, len(order), BATCH):
+            some = order[lo : lo + BATCH]
+            long = np.zeros((len(some), self.shape[1]))
             for i, r in enumerate(some):
-                t = self.long[term[at[r] : at[r + 1]]]
-                asked[i, t[t >= 0]] = w[at[r] : at[r + 1]][t >= 0]
-            sums = np.empty((len(some), self.shape[1]))
-            for c in range(0, self.shape[1], COLUMNS):
-                sums[:, c : c + COLUMNS] = asked @ self.full[:, c : c + COLUMNS].astype(float)
-            for r, part in zip(some, sums):
-                t = term[at[r] : at[r + 1]]
-                short = self.long[t] < 0
-                yield self._nearest(part, t[short], w[at[r] : at[r + 1]][short], k)
-
-    def _nearest(self, part: np.ndarray, term: np.ndarray, w: np.ndarray, k: int):
-        """`part`: what the long lists add up to. The others are looked at by blocks."""
+                place, _, x = asked[r]
+                long[i, place[place >= 0]] = x[place >= 0]
+            lists = np.flatnonzero(long.any(axis=0))
+            if 2 * len(lists) > self.shape[1]:
+                near = long.astype(np.float32) @ self.full.T
+            else:
+                near = long[:, lists].astype(np.float32) @ self.full.take(lists, axis=1).T
+            for r, v, part in zip(some, long, near):
+                place, t, x = asked[r]
+                found[r] = self._nearest(v, part, t[place < 0], x[place < 0], k)
+        yield from found
+
+    def _nearest(self, long: np.ndarray, near: np.ndarray, term: np.ndarray, w: np.ndarray, k: int):
+        """`near`: what the long lists, whose weights are `long`, add up to in single precision. The others are looked at by blocks.
+
+        Cosines that are made from `near` say which examples to look at, and SLACK is more than they are wrong by; those
+        that may be among the k best have theirs added up once more, in double.
+        """
         lens = self.block_at[term + 1] - self.block_at[term]
         there = _ranges(self.block_at[term], lens)
         weight, block = np.repeat(w, lens), self.block[there]
-        bound = part.reshape(-1, self.width).max(axis=1) + np.bincount(block, weight * self.most[there], minlength=self.blocks)
+        bound = near.reshape(-1, self.width).max(axis=1) + np.bincount(block, weight * self.most[there], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
         n = max(int(len(order) * FIRST), -(-k // self.width))
-        places, cosines = self._score(order[:n], part, there, block, weight, k)
-        least = cosines[-1] if len(cosines) == k else 0.0
+        listed = self._listed(order[:n], there, block, weight)
+        total = near + listed  # of blocks that aren't looked at less than they have
+        least = self._least(total, k)
         rest = order[n:]
-        rest = rest[bound[rest] >= least - 2e-6]
+        rest = rest[bound[rest] >= least - SLACK]
         if len(rest):
-            more, other = self._score(rest, part, there, block, weight, k)
-            places, cosines = np.concatenate([places, more]), np.concatenate([cosines, other])
-            best = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[best], cosines[best]
-        return places, cosines
-
-    def _score(self, blocks, part, there, block, weight, k):
-        """The k best of the given blocks' examples, from their postings."""
+            listed = listed + self._listed(rest, there, block, weight)
+            total = near + listed
+            least = self._least(total, k)
+        rows = np.flatnonzero((total >= least) & (total > 0))
+        if len(rows) > k:
+            rows = rows[total[rows] >= np.partition(total[rows], len(rows) - k)[len(rows) - k] - SLACK]
+        exact = np.round(self.full[rows].astype(float) @ long + listed[rows], 6)
+        best = np.lexsort((rows, -exact))[:k]
+        best = best[exact[best] > 0]
+        return rows[best], exact[best]
+
+    @staticmethod
+    def _least(total: np.ndarray, k: int) -> float:
+        """What the k-th best reaches at least: as many runs of GROUP places have a best one that does."""
+        best = total[: len(total) // GROUP * GROUP].reshape(-1, GROUP).max(axis=1)
+        return np.partition(best, len(best) - k)[len(best) - k] - SLACK if len(best) >= k else 0.0
+
+    def _listed(self, blocks: np.ndarray, there: np.ndarray, block: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the postings of the given blocks add up to for each place."""
         chosen = np.zeros(self.blocks, bool)
         chosen[blocks] = True
-        some = chosen[block]
-        runs, w = there[some], weight[some]
-        lens = self.posting_at[runs + 1] - self.posting_at[runs]
-        postings = _ranges(self.posting_at[runs], lens)
-        listed = np.bincount(self.row[postings], np.repeat(w, lens) * self.weight[postings], minlength=len(part))
-        rows = np.flatnonzero(np.repeat(chosen, self.width))
-        total = np.round(part[rows] + listed[rows], 6)
-        if len(rows) > 4 * k:
-            enough = total >= np.partition(total, len(rows) - k)[len(rows) - k]
-            rows, total = rows[enough], total[enough]
-        best = np.lexsort((rows, -total))[:k]
-        best = best[total[best] > 0]
-        return rows[best], total[best]
+        some = np.flatnonzero(chosen[block])
+        runs = there[some]
+        begins = self.posting_at[runs]
+        lens = self.posting_at[runs + 1] - begins
+        postings = _ranges(begins, lens)
+        return np.bincount(self.row[postings], np.repeat(weight[some], lens) * self.weight[postings], minlength=self.shape[0])
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of the label among the neighbours, weighted by the squares of their cosines."""
@@ -306,20 +353,24 @@ def _scored(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Data
     # `sample` rows at most are broadcast, and come to the driver as vectors.
     examples = docs.select("doc_id", "text", key).join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["key"])
     examples = cut(examples.mapInArrow(_read_examples, "key long, doc_id long, share double, terms array<long>, counts array<int>"))
-    held = examples.toArrow().combine_chunks()
+    vocabulary = examples.mapInArrow(_distinct_terms, "term long").distinct().toArrow()
+    vocabulary = np.sort(np.asarray(vocabulary.column("term").combine_chunks(), np.int64))
+    sent = sc.broadcast(vocabulary)
+    placed = examples.mapInArrow(_placed(sent), "key long, doc_id long, share double, places array<int>, counts array<int>")
+    held = placed.toArrow().combine_chunks()
     column = lambda c: held.column(c).combine_chunks() if held.num_rows else pa.array([], held.schema.field(c).type)
-    (term, at), (count, _) = _flat(column("terms")), _flat(column("counts"))
-    share, keys, ids = np.asarray(column("share"), float), np.asarray(column("key")), np.asarray(column("doc_id"))
-    vocabulary = np.unique(term)
-    term = np.searchsorted(vocabulary, term).astype(np.int32)
-    del held  # the driver holds the examples' lists once
+    (term, at), (count, _) = _flat(column("places")), _flat(column("counts"))
+    share, keys, ids = np.array(column("share"), float), np.array(column("key")), np.array(column("doc_id"))
+    del held
+    pa.default_memory_pool().release_unused()  # the driver holds the examples' lists once
 
-    sent = sc.broadcast(vocabulary)
     frequent = docs.select("text").mapInArrow(_document_frequencies(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     sent.destroy()
     df = np.zeros(len(vocabulary), np.int64)
     df[np.asarray(frequent.column("term").combine_chunks())] = np.asarray(frequent.column("n").combine_chunks())
     index = Index(term, count, at, df, docs.count(), share, keys, ids, np.where(vocabulary & 1, 1.0, WHOLE))
+    del term, count, at, frequent
+    pa.default_memory_pool().release_unused()
     shared = sc.broadcast((index, vocabulary))
 
     own = examples.mapInArrow(_own_votes(shared), "vote double, share double").collect()  # `sample` at most

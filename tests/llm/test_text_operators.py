@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -854,3 +855,24 @@ def test_packing_keeps_large_ids_beside_null_ones(spark):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_query_agrees_with_sql(spark, sf_dir, duck, name):
     assert_same(Q.QUERIES[name](spark, sf_dir), duck.sql(Q.ORACLE_SQL[name]))
+
+
+def test_toxicity_index_is_built_in_little_memory_and_searched_exactly():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n, size = 4000, 3000
+    rows = [np.sort(rng.choice(size, 100, replace=False) if i % 40 else np.arange(100)) for i in range(n)]  # some are copies
+    term, at = np.concatenate(rows).astype(np.int32), np.arange(n + 1) * 100
+    count, df = rng.integers(1, 4, len(term)).astype(np.int32), np.bincount(term, minlength=size)
+    tracemalloc.start()
+    index = toxicity.Index(term, count, at, df, n, np.zeros(n), np.arange(n), np.arange(n))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(term)
+    whole = np.zeros((n, size))
+    whole[np.repeat(np.arange(n), 100), term] = index.weights(term, count, np.repeat(np.arange(n), 100), n)
+    for r, (near, cosines) in zip((3, 40, 80), index.search(term, count, at, [3, 40, 80])):
+        want = np.sort(whole @ whole[r])[::-1][: toxicity.NEIGHBOURS]
+        assert cosines == pytest.approx(want, abs=2e-6)
+        assert (whole @ whole[r])[index.keys[near]] == pytest.approx(cosines, abs=2e-6)
