@@ -78,6 +78,10 @@ def stream_gate(picks: DataFrame, boxes: DataFrame, late: str = "10 minutes") ->
 # --- annotation --------------------------------------------------------------------------------------------------
 
 
+#: Samples that are annotated at once, or four windows if these are more.
+PIECE = 1 << 16
+
+
 class Segment:
     """Samples without a break of one station, of which no more than the last window and what follows it is held.
 
@@ -88,16 +92,25 @@ class Segment:
     def __init__(self, at: int, channels: int):
         self.first = self.held = self.next = at
         self.x, self.total, self.weight = np.zeros((0, channels)), np.zeros((0, 3)), np.zeros(0)
+        self.fed, self.n, self.last = [], 0, None  # packets that aren't joined with the samples yet, their length, the last sample
         self.error: str | None = None
 
     @property
     def end(self) -> int:
-        return self.held + len(self.x)
+        return self.held + len(self.x) + self.n
 
     def feed(self, x: np.ndarray) -> None:
-        self.x = np.concatenate([self.x, x])
-        self.total = np.concatenate([self.total, np.zeros((len(x), 3))])
-        self.weight = np.concatenate([self.weight, np.zeros(len(x))])
+        if len(x):
+            self.fed.append(x)
+            self.n, self.last = self.n + len(x), x[-1]
+
+    def _join(self) -> None:
+        """Joins what was fed, once however many packets it came in."""
+        if self.n:
+            self.x = np.concatenate([self.x, *self.fed])
+            self.total = np.concatenate([self.total, np.zeros((self.n, 3))])
+            self.weight = np.concatenate([self.weight, np.zeros(self.n)])
+            self.fed, self.n = [], 0
 
     def _predict(self, starts: Sequence[int], predict: Predictor, weights: np.ndarray, batch_size: int) -> None:
         for lo in range(0, len(starts), batch_size):
@@ -122,6 +135,7 @@ class Segment:
         return out if self.error is None else []
 
     def curves(self, predict: Predictor, weights: np.ndarray, step: int, batch_size: int) -> list[tuple[int, np.ndarray]]:
+        self._join()
         window = len(weights)
         ready = range(self.next, self.end - window + 1, step)
         if self.error is None:
@@ -133,6 +147,7 @@ class Segment:
         out, n = self.curves(predict, weights, step, batch_size), len(self.x)
         if self.end - self.first < len(weights):  # zeros follow
             self.feed(np.zeros((len(weights) - n, self.x.shape[1])))
+            self._join()
         last = self.end - len(weights)
         if self.error is None and last != self.next - step:
             self._predict([last], predict, weights, batch_size)
@@ -165,7 +180,10 @@ def stream_annotate(packets: DataFrame, predict: Predictor, window: int = 6000,
         for pdf in batches:
             waiting += [(row.at, np.stack([np.asarray(getattr(row, c), float) for c in columns], axis=1)) for row in pdf.itertuples(index=False)]
         waiting.sort(key=lambda p: (p[0], len(p[1]), p[1].tobytes()))
-        now, out = state.getCurrentWatermarkMs() * rate / 1000, []
+        now, out, taken = state.getCurrentWatermarkMs() * rate / 1000, [], 0
+
+        def curves() -> None:
+            out.extend((start, *y.T, None) for start, y in segment.curves(*run))
 
         def close() -> None:
             nonlocal segment
@@ -174,8 +192,13 @@ def stream_annotate(packets: DataFrame, predict: Predictor, window: int = 6000,
                 out.append((segment.held, None, None, None, segment.error))
             segment = None
 
-        while waiting and waiting[0][0] < now:
-            at, x = waiting.pop(0)
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame([(model, trace[0], *x) for x in out], columns=["model", "trace_name", "start", "p", "s", "m", "error"])
+
+        for at, x in waiting:
+            if at >= now:
+                break
+            taken += 1
             if segment is not None and at - segment.end > gap:
                 close()
             if segment is None:
@@ -183,20 +206,25 @@ def stream_annotate(packets: DataFrame, predict: Predictor, window: int = 6000,
             pause = at - segment.end
             if pause > 0:
                 share = (np.arange(1, pause + 1) / (pause + 1))[:, None]
-                segment.feed(segment.x[-1] * (1 - share) + x[0] * share)
+                segment.feed(segment.last * (1 - share) + x[0] * share)
             segment.feed(x[max(0, -pause) :])
+            if segment.n >= max(PIECE, 4 * window):  # a long run is annotated and given in pieces
+                curves()
+                yield frame()
+                out.clear()
+        del waiting[:taken]
         if segment is not None:
             if segment.end + gap < now:
                 close()
             else:
-                out += [(start, *y.T, None) for start, y in segment.curves(*run)]
+                curves()
         if waiting or segment is not None:
             state.update((pickle.dumps((segment, waiting)),))
             upto = min(([segment.end + gap] if segment is not None else []) + [waiting[0][0]] * bool(waiting))
             state.setTimeoutTimestamp(int(max(now, upto) * 1000 / rate) + 1)
         else:
             state.remove()
-        yield pd.DataFrame([(model, trace[0], *x) for x in out], columns=["model", "trace_name", "start", "p", "s", "m", "error"])
+        yield frame()
 
     schema = f"model string, trace_name {key}, start long, p array<double>, s array<double>, m array<double>, error string"
     return placed.groupBy("trace_name").applyInPandasWithState(advance, schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)

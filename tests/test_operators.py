@@ -800,3 +800,25 @@ def test_detection_leaderboard_counts_the_event_traces_of_its_table(spark, sf):
     rows = corpus.QUERIES["a16_detection_leaderboard"](spark, d).collect()
     print(sf, n, [tuple(r) for r in rows][:2])
     assert rows and {r.n_event for r in rows} == {n} and all(r.tp + r.fn == n and r.tp <= n for r in rows)
+
+
+def test_packets_of_a_segment_are_joined_once():
+    from quakeframe.streaming import jobs
+
+    x, run = np.random.default_rng(3).normal(size=(300, 20, 3)), (lambda b: b / 2, np.ones(64), 32, 7)
+    one, many = jobs.Segment(5, 3), jobs.Segment(5, 3)
+    one.feed(x.reshape(-1, 3))
+    pieces = []
+    for k, packet in enumerate(x):
+        many.feed(packet)
+        assert len(many.x) < 1000 and many.end == 5 + sum(len(y) for _, y in pieces) + len(many.x) + many.n
+        if k % 40 == 39:
+            pieces += many.curves(*run)
+    whole = one.curves(*run) + one.close(*run)
+    pieces += many.curves(*run) + many.close(*run)
+    assert [a for a, _ in pieces] == sorted({a for a, _ in pieces}) and pieces[0][0] == 5
+    assert np.array_equal(np.concatenate([y for _, y in pieces]), np.concatenate([y for _, y in whole]))
+    fed = jobs.Segment(0, 3)
+    for packet in x:
+        fed.feed(packet)
+    assert len(fed.x) == 0 and fed.end == 6000  # nothing is copied before it is asked for
