@@ -30,47 +30,57 @@ _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFor
 # --- gating ------------------------------------------------------------------------------------------------------
 
 
-def inside(at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Which places are in any interval, both ends inclusive: the farthest end of those that have begun decides."""
-    order = np.argsort(starts, kind="stable")
-    farthest = np.concatenate([[np.iinfo(np.int64).min], np.maximum.accumulate(ends[order])])
-    return farthest[np.searchsorted(starts[order], at, "right")] >= at
+#: Buckets of traces that share a state.
+GATE_BUCKETS = 1024
 
 
-def stream_gate(picks: DataFrame, boxes: DataFrame, late: str = "10 minutes") -> DataFrame:
+def inside(trace: np.ndarray, a: np.ndarray, b: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Which rows are places `a` in any interval of their trace, both ends inclusive; where `box`, a row is the interval a to b.
+
+    The farthest end of those that have begun decides.
+    """
+    code = pd.factorize(trace)[0]
+    order = np.lexsort((~box, a, code))
+    farthest = pd.Series(np.where(box, b, np.iinfo(np.int64).min)[order]).groupby(code[order]).cummax().to_numpy()
+    found = np.zeros(len(a), bool)
+    found[order] = farthest >= a[order]
+    return found & ~box
+
+
+def stream_gate(picks: DataFrame, boxes: DataFrame, late: str = "10 minutes", buckets: int = GATE_BUCKETS) -> DataFrame:
     """Picks of a stream inside any detection box of their trace, both ends inclusive.
 
     picks: trace_name, ts, …; boxes: box_trace, box_start, box_end. Rows later than `late` are dropped. State is kept by
-    trace: a box until the watermark has passed its end, however long it is, and a pick until its trace's boxes that begin
-    before it must have come. A pick without a trace or time is in no box.
+    buckets of traces, which are looked at together: a box until the watermark has passed its end, however long it is, and
+    a pick until its trace's boxes that begin before it must have come. A bucket that nothing comes for is cleared when the
+    watermark has passed half of what it holds. A pick without a trace or time is in no box.
     """
     names = [c for c in picks.columns if c not in ("trace_name", "ts")]
     told = picks.filter("trace_name IS NOT NULL AND ts IS NOT NULL").select("trace_name", F.col("ts").alias("at"), F.lit(None).cast("timestamp").alias("upto"), F.struct(F.lit(1).alias("_"), *names).alias("pick"))
     seen = boxes.filter("box_trace IS NOT NULL AND box_end >= box_start").select(F.col("box_trace").alias("trace_name"), F.col("box_start").alias("at"), F.col("box_end").alias("upto"), F.lit(None).cast(told.schema["pick"].dataType).alias("pick"))
     both = told.union(seen).withWatermark("at", late)
-    micros = both.select("trace_name", "at", F.unix_micros("at").alias("a"), F.unix_micros("upto").alias("b"), F.to_json(F.struct("pick"), _EXACT).alias("pick"))
-    key = both.schema["trace_name"].dataType.simpleString()
-
-    def step(trace, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, starts, ends = pickle.loads(state.get[0]) if state.exists else ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for pdf in batches:
-            box = pdf["b"].notna()
-            waiting += list(zip(pdf["a"][~box].tolist(), pdf["pick"][~box].tolist()))
-            starts, ends = np.append(starts, pdf["a"][box].to_numpy(np.int64)), np.append(ends, pdf["b"][box].to_numpy(np.int64))
-        at = np.array([a for a, _ in waiting], np.int64)
-        found = inside(at, starts, ends)
+    micros = both.select(
+        F.pmod(F.xxhash64("trace_name"), F.lit(buckets)).cast("int").alias("bucket"), "trace_name", "at", F.unix_micros("at").alias("a"), F.coalesce(F.unix_micros("upto"), F.unix_micros("at")).alias("b"),
+        F.col("upto").isNotNull().alias("box"), F.when(F.col("upto").isNull(), F.to_json(F.struct("pick"), _EXACT)).alias("pick"),
+    )
+    key, columns = both.schema["trace_name"].dataType.simpleString(), ["trace_name", "a", "b", "box", "pick"]
+
+    def step(bucket, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [pickle.loads(state.get[0])] if state.exists else []
+        rows = pd.concat(held + [pdf[columns] for pdf in batches], ignore_index=True).astype({"a": np.int64, "b": np.int64, "box": bool})
+        trace, a, b, box, pick = (rows[c].to_numpy() for c in columns)
+        found = inside(trace, a, b, box)
         now = state.getCurrentWatermarkMs() * 1000
-        out = [(trace[0], *x) for x, hit in zip(waiting, found) if hit]
-        waiting = [x for x, hit in zip(waiting, found) if not hit and x[0] >= now]
-        starts, ends = starts[ends >= now], ends[ends >= now]
-        if waiting or len(starts):
-            state.update((pickle.dumps((waiting, starts, ends)),))
-            state.setTimeoutTimestamp(max(now // 1000, min([a for a, _ in waiting] + ends.tolist()) // 1000) + 1)
+        stays = ~found & (b >= now)
+        if stays.any():
+            state.update((pickle.dumps(rows[stays].reset_index(drop=True)),))
+            ends = np.sort(b[stays])
+            state.setTimeoutTimestamp(max(now, int(ends[len(ends) // 2])) // 1000 + 1)
         else:
             state.remove()
-        yield pd.DataFrame(out, columns=["trace_name", "a", "pick"])
+        yield pd.DataFrame({"trace_name": trace[found], "a": a[found], "pick": pick[found]})
 
-    gated = micros.groupBy("trace_name").applyInPandasWithState(step, f"trace_name {key}, a long, pick string", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    gated = micros.groupBy("bucket").applyInPandasWithState(step, f"trace_name {key}, a long, pick string", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
     kind = told.schema["pick"].dataType.simpleString()
     return gated.select("trace_name", F.timestamp_micros("a").alias("ts"), F.from_json("pick", f"pick {kind}", _EXACT).alias("x")).select("trace_name", "ts", "x.pick.*").select(*picks.columns)
 

@@ -822,3 +822,14 @@ def test_packets_of_a_segment_are_joined_once():
     for packet in x:
         fed.feed(packet)
     assert len(fed.x) == 0 and fed.end == 6000  # nothing is copied before it is asked for
+
+
+def test_boxes_of_many_traces_are_looked_at_together():
+    from quakeframe.streaming import jobs
+
+    rng, n = np.random.default_rng(8), 2000
+    trace, box = np.array([f"t{k}" for k in rng.integers(0, 40, n)], object), rng.random(n) < 0.3
+    a = rng.integers(0, 3000, n) + 10**15
+    b = np.where(box, a + rng.integers(0, 60, n), a)
+    want = [not box[i] and bool((box & (trace == trace[i]) & (a <= a[i]) & (b >= a[i])).any()) for i in range(n)]
+    assert jobs.inside(trace, a, b, box).tolist() == want and sum(want) > 100
