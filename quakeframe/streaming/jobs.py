@@ -258,7 +258,9 @@ def runs_upto(n: int) -> list[tuple[int, int]]:
 
 def kept_rows(spark: SparkSession, path: str, runs: Sequence[tuple[int, int]], schema: str, buckets: Sequence[int] | None = None) -> DataFrame:
     """Rows of some runs, of all or of some buckets; other buckets' files aren't read."""
-    df = spark.read.schema(f"{schema}, bucket int").parquet(*(f"{path}/rows/{a}-{b}" for a, b in runs))
+    df, *more = (spark.read.schema(f"{schema}, bucket int").parquet(f"{path}/rows/{a}-{b}") for a, b in runs)
+    for other in more:  # each has partitions of its own
+        df = df.union(other)
     return df if buckets is None else df.filter(F.col("bucket").isin(*buckets))
 
 
